@@ -60,7 +60,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def remainder(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text modulo n; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")) % F.lit(n)
+    key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
 def as_bytes(column: pa.Array) -> Iterator[bytes]:
