@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_NAMES = {"op9_sentencepieces": "sentencepieces", "op10_packing": "packing"}
+_NAMES = {"op5_quality_rules": "quality", "op9_sentencepieces": "sentencepieces", "op10_packing": "packing"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,4 +15,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .quality import OP5_SQL
+
+    return {"op5_quality_rules": OP5_SQL}
