@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_NAMES = {"op5_quality_rules": "quality", "op9_sentencepieces": "sentencepieces", "op10_packing": "packing"}
+_NAMES = {"op1_warc": "warc", "op5_quality_rules": "quality", "op9_sentencepieces": "sentencepieces", "op10_packing": "packing"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,5 +16,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .quality import OP5_SQL
+    from .warc import OP1_SQL
 
-    return {"op5_quality_rules": OP5_SQL}
+    return {"op1_warc": OP1_SQL, "op5_quality_rules": OP5_SQL}
