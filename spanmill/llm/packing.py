@@ -24,6 +24,7 @@ class WordIds(dict):
     """Ids of white-space separated words, as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space before it splits, so a text's ids are those of its words in turn.
+    Words of Latin letters with or without stops after them share what is known of their letters.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
@@ -33,14 +34,66 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
+        self.tokenizer, self.most, self.cores = Tokenizer.from_file(path), most, {}
+        self.ends = frozenset(i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>"))
+
+    def encode(self, words: str) -> list[int]:
+        return self.tokenizer.encode(words, add_special_tokens=False).ids
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that aren't known; as many as there is room for are kept."""
+        found, split, new = {}, [], set()
+        for word in words:
+            core = word.rstrip(b".,")
+            letters = core.decode("utf-8", "replace")
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):  # here lower case goes by the character and nothing composes
+                letters = letters.lower()
+                split.append((word, letters, word[len(core) :]))
+                if letters not in self.cores:
+                    new.add(letters)
+            else:
+                found[word] = _packed(self.encode(word.decode("utf-8", "replace")))
+        cores, learned, at = self.cores, {}, 0
+        if new:
+            order = list(new)
+            ids = self.encode(" ".join(order))  # each is one word of the tokenizer, whose last id alone marks a word's end
+            ends = iter([k + 1 for k, i in enumerate(ids) if i in self.ends])
+            packed = _packed(ids)
+            for letters in order:
+                end = next(ends)
+                learned[letters] = packed[4 * at : 4 * end]
+                at = end
+            if len(cores) < self.most:
+                cores.update(learned)
+        for word, letters, stops in split:
+            ids = learned[letters] if letters in learned else cores[letters]
+            found[word] = ids + self.stops(stops) if stops else ids
         if len(self) < self.most:
-            self[word] = out
-        return out
+            self.update(found)
+        return found
+
+    def stops(self, stops: bytes) -> bytes:
+        if stops not in self:
+            self[stops] = _packed(self.encode(stops.decode()))
+        return self[stops]
+
+    def text(self, text: bytes) -> bytes:
+        words = text.split()
+        ids = list(map(self.get, words))
+        if None in ids:
+            new = self.learn({w for w, i in zip(words, ids, strict=True) if i is None})
+            ids = [new[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+        return b"".join(ids)
+
+
+def _packed(ids: list[int]) -> bytes:
+    import array
+    import sys
+
+    out = array.array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -81,7 +134,7 @@ def pack(docs: DataFrame, path: str, max_length: int = MAX_LENGTH, end_id: int =
 
         def rows():
             for (doc_id,), text in one_row_texts(batches, "text", ["doc_id"]):
-                ids = b"".join(map(table.__getitem__, text.split())) + end
+                ids = table.text(text) + end
                 n = len(ids) // 4
                 for start, length in cuts(n, max_length):
                     yield doc_id, start, length, n, ids[4 * start : 4 * (start + length)]
