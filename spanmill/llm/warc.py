@@ -78,8 +78,8 @@ class Archive:
 
     @classmethod
     def write(cls, pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> "Archive":
-        with_headers(records(pages, min_revisit_bytes)).write.mode("overwrite").parquet(f"{path}/headers")
-        payloads(pages).write.mode("overwrite").parquet(f"{path}/payloads")
+        with_headers(records(pages, min_revisit_bytes)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
+        payloads(pages).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
         return cls(pages.sparkSession, path)
 
     def headers(self) -> DataFrame:
