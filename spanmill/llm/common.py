@@ -47,6 +47,11 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    @classmethod
+    def keep(cls, scratch: "Scratch") -> None:
+        """Leave this one out of ``drop_all``."""
+        cls._open.remove(scratch)
+
     @classmethod
     def drop_all(cls) -> None:
         """Delete every scratch table; call only once nothing reads the results made from them."""

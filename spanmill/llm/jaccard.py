@@ -315,5 +315,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     return out.select(F.col("doc").alias("doc_id"), of.alias("class_id"), F.when(F.col("n") > 0, F.col("links")).otherwise(0).cast("long").alias("n_links"), F.col("doc").eqNullSafe(of).alias("kept"))
 
 
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, of which none has a near-duplicate with a smaller id in its class.
+
+    Ids tell rows apart: rows that repeat a kept id all stay. Rows without an id stay.
+    """
+    dropped = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    gone = Scratch(docs.sparkSession, "dropped").write(dropped.select(F.col("doc_id").alias("__dropped_id")).distinct(), "ids")
+    return docs.join(gone, F.col(id_col) == F.col("__dropped_id"), "left_anti")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
