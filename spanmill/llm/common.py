@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,12 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, which cut the lineage and survive lost executors."""
 
-    _open: list["Scratch"] = []
+    _open: list["Scratch"] | None = None
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        Scratch._open.append(self)
+        if Scratch._open is not None:
+            Scratch._open.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -48,15 +50,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     @classmethod
-    def keep(cls, scratch: "Scratch") -> None:
-        """Leave this one out of ``drop_all``."""
-        cls._open.remove(scratch)
-
-    @classmethod
-    def drop_all(cls) -> None:
-        """Delete every scratch table; call only once nothing reads the results made from them."""
-        while cls._open:
-            cls._open.pop().drop()
+    @contextmanager
+    def gathered(cls) -> Iterator[list["Scratch"]]:
+        """The scratch tables that are opened within the block, for a caller that knows when they can go."""
+        before, cls._open = cls._open, []
+        try:
+            yield cls._open
+        finally:
+            cls._open = before
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
