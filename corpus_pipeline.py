@@ -6,6 +6,7 @@ Each stage works on all that its predecessor kept. All but the last return the c
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,25 @@ from spanmill.llm import jaccard, lines, packing, quality, substrings
 from spanmill.llm.common import Scratch
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Scratch tables of the latest stage. Its result has been written by the time another stage is called, so they can go then.
+_LATEST: list[Scratch] = []
+
+
+def _stage(build: Stage) -> Stage:
+    @wraps(build)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _LATEST:
+            _LATEST.pop().drop()
+        with Scratch.gathered() as opened:
+            result = build(spark, docs, sf_dir)
+        _LATEST.extend(opened)
+        return result
+
+    return call
+
+
 def _columns_of(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
     """The documents' own columns, with n_chars brought up to date where there is one."""
     if "n_chars" in docs.columns:
@@ -22,38 +42,36 @@ def _columns_of(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
     return cleaned.select(*docs.columns)
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the line-first rules reject; the others stay as they are."""
-    Scratch.drop_all()
     return quality.filter_documents(docs)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes chunks of lines that an earlier document has. A document that is left empty stays, empty."""
-    Scratch.drop_all()
     return _columns_of(docs, lines.deduplicate(docs))
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: that with the smallest id."""
-    Scratch.drop_all()
     return jaccard.keep_first(docs)
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that an earlier document has."""
-    Scratch.drop_all()
     return _columns_of(docs, substrings.deduplicate(docs))
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of power-of-two lengths, none of which crosses documents."""
-    Scratch.drop_all()
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
@@ -69,7 +87,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents, each result written to the shared folder and read again."""
     scratch = Scratch(spark, "pipeline")
-    Scratch.keep(scratch)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
