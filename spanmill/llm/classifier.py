@@ -56,8 +56,8 @@ def _word(word: bytes) -> int:
 
 
 def features(text: bytes, mark: np.ndarray) -> np.ndarray:
-    """Sorted indices of the indicators that a text has: words, pairs of words, forms, pairs and triples of forms,
-    repetition of the word before or of a recent one, length. ``mark`` is a scratch array of zeros."""
+    """Distinct indices of the indicators that a text has: words, pairs of words, forms, pairs and triples of forms,
+    repetition of the word before or of a recent one, length. ``mark`` is a scratch array of ``N_FEATURES``."""
     words = text.split()
     if len(_WORDS) > _KEEP_WORDS:
         _WORDS.clear()
@@ -83,11 +83,10 @@ def features(text: bytes, mark: np.ndarray) -> np.ndarray:
         common = np.unique(form, return_counts=True)[1].max() / len(x)
         extra += [np.uint64(80 + s) for s in range(10) if common > s / 10]
     found.append(mixed(np.array(extra, dtype=np.uint64), 6))
-    for f in found:
-        mark[f] = 1
-    out = np.flatnonzero(mark)
-    mark[out] = 0
-    return out
+    every = np.concatenate(found).astype(np.int64)
+    order = np.arange(len(every), dtype=np.int32)
+    mark[every] = order  # of equal indices the last one's place stays
+    return every[mark[every] == order]
 
 
 @dataclass
@@ -150,10 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_fold, scratch: Scratch, sample
     """Fit on the labelled rows for which ``train_fold`` (a column on the id) holds."""
     marked = labels.where(train_fold & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     texts = docs.where(train_fold).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = scratch.write(texts.join(marked, "id"), "labelled")
+    # Both sides are large in general, so the plan is one whatever the labels' size.
+    rows = scratch.write(texts.join(marked.hint("merge"), "id"), "labelled")
 
     def counted(batches):
-        mark, held = np.zeros(N_FEATURES, dtype=np.uint8), np.zeros((3, N_FEATURES), dtype=np.int64)
+        mark, held = np.zeros(N_FEATURES, dtype=np.int32), np.zeros((3, N_FEATURES), dtype=np.int64)
         for batch in batches:
             for text, label in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 held[label, features(text, mark)] += 1
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_fold, scratch: Scratch, sample
     ratio[(f0 + f1) < 2 * ALPHA + 3] = 0  # seen in fewer than three labelled rows
 
     def indexed(batches):
-        mark = np.zeros(N_FEATURES, dtype=np.uint8)
+        mark = np.zeros(N_FEATURES, dtype=np.int32)
 
         def out():
             for batch in batches:
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        mark = np.zeros(N_FEATURES, dtype=np.uint8)
+        mark = np.zeros(N_FEATURES, dtype=np.int32)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.score(t, mark) for t in as_bytes(batch.column(1))], pa.float64())], names=["id", "score"])
 
