@@ -1,0 +1 @@
+"""Analytics over sampled language-model completions, and training-data operators, on Spark."""
