@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, documents, remainder, table_batches
+from .common import Scratch, as_bytes, documents, own_cache, remainder, table_batches
 
 #: Indicators are hashed to so many features.
 FEATURE_BITS = 18
@@ -28,7 +28,7 @@ PASSES = 12
 THRESHOLD = 0.7
 
 _WORDS: dict[bytes, int] = {}
-_KEEP_WORDS = 400_000
+_KEEP_WORDS = 300_000
 _PUNCTUATION = b".,;:!?\"'()[]{}#*$%&|<>=+-_/\\^~@`"
 
 
@@ -153,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_fold, scratch: Scratch, sample
     rows = scratch.write(texts.join(marked.hint("merge"), "id"), "labelled")
 
     def counted(batches):
+        own_cache("classifier", _WORDS.clear)
         mark, held = np.zeros(N_FEATURES, dtype=np.int32), np.zeros((3, N_FEATURES), dtype=np.int64)
         for batch in batches:
             for text, label in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
@@ -213,6 +214,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        own_cache("classifier", _WORDS.clear)
         mark = np.zeros(N_FEATURES, dtype=np.int32)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.score(t, mark) for t in as_bytes(batch.column(1))], pa.float64())], names=["id", "score"])

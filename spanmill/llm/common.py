@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -60,6 +60,20 @@ class Scratch:
             cls._open = before
 
 
+#: What empties the caches that this worker process holds, by operator.
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def own_cache(name: str, clear: Callable[[], None]) -> None:
+    """Called where a task begins to use an operator's cache: the caches of other operators, which an earlier task left in this worker, are emptied."""
+    if name not in _CACHES:
+        for empty in _CACHES.values():
+            empty()
+        _CACHES.clear()
+        _CACHES[name] = clear
+        pa.default_memory_pool().release_unused()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Each round at least halves the nodes that still have edges; this is far beyond any table.
+#: The nodes that still have edges fall by a constant factor each round; this is far beyond any table.
 MAX_ROUNDS = 64
 
 
@@ -15,10 +15,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     """node, component for each end of ``edges`` (a, b long), where component is the smallest node reachable.
 
     Each round points every node at the smallest of itself and its neighbours, follows these pointers
-    once more, and keeps the edges between different targets. Hubs cost no more than their edges:
-    minima are taken before the shuffle. Self-loops make a component of their own.
+    once more, and keeps the edges between different targets. Smallest goes by a bijective hash of the
+    nodes, so no order of theirs (a path of rising ids, say) makes the pointers creep. Hubs cost no more
+    than their edges: minima are taken before the shuffle. Self-loops make a component of their own.
     """
-    left = scratch.write(edges.select("a", "b").distinct(), f"{name}-edges0")
+    edges = scratch.write(edges.select("a", "b").distinct(), f"{name}-edges")
+    left = edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     steps: list[DataFrame] = []
     for k in range(MAX_ROUNDS):
         both = left.union(left.select("b", "a")).toDF("node", "other")
@@ -38,4 +40,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
         found = found.join(step.toDF("to", "next"), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
         if k % 4 == 0:
             found = scratch.write(found, f"{name}-found{k}")
-    return found.select("node", F.col("to").alias("component"))
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    named = scratch.write(nodes.join(found.select(F.col("node").alias("h"), "to"), F.xxhash64(nodes["node"]) == F.col("h")).select(nodes["node"], "to"), f"{name}-named")
+    least = named.groupBy("to").agg(F.min("node").alias("component"))
+    return named.join(least, "to").select("node", "component")

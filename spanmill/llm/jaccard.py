@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, documents, table_batches
+from .common import Scratch, as_bytes, documents, own_cache, table_batches
 from .components import connected_components
 from .repeats import NO_ID
 
@@ -38,7 +38,7 @@ BLOCK_TOKENS = 1 << 20
 SECOND_CHILD = 4  # one node in so many has a second branch
 
 _WORDS: dict[bytes, int] = {}
-_KEEP_WORDS = 400_000
+_KEEP_WORDS = 250_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -94,6 +94,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     """doc, k1, k2 (digest of the whole set), n (its size), sketch; n is 0 for a text without words."""
 
     def run(batches):
+        own_cache("jaccard", _WORDS.clear)
         for batch in batches:
             keys, sizes, rows = [], [], []
             for text in as_bytes(batch.column(1)):
@@ -290,6 +291,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text")).join(members, "doc")
 
     def tokens(batches):
+        own_cache("jaccard", _WORDS.clear)
         for batch in batches:
             found, take = [], []
             for i, (text, k1, k2) in enumerate(zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):

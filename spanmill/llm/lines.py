@@ -73,7 +73,8 @@ def compared(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
     different chunks have is left out: nothing is removed on its word.
     """
     listed = repeats.lists(found, repeats.shared(found))
-    touched = repeats.with_lists(docs.select(id_col, text_col), listed, id_col, "inner")
+    pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    touched = repeats.with_lists(pair, listed, "id", "inner")
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
@@ -90,7 +91,7 @@ def compared(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
 
         yield from table_batches(rows(), schema)
 
-    chunks = touched.withColumn(id_col, F.col(id_col).cast("long")).mapInArrow(run, "k1 long, k2 long, doc long, bytes binary")
+    chunks = touched.mapInArrow(run, "k1 long, k2 long, doc long, bytes binary")
     same = chunks.groupBy("k1", "k2", "bytes").agg(F.min("doc").alias("first"))
     return same.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("variants"), F.min("first").alias("first")).where("variants = 1").select("k1", "k2", "first")
 
@@ -101,14 +102,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A chunk of two or more lines, one of them with a word, stays in the document with the smallest
     id, at its first place. Rows that share an id count as one document and lose nothing to each
     other; so do rows without an id, after all others. A null text stays null and counts as one
-    empty line. Other columns pass through.
+    empty line. Other columns pass through; a count whose name one of them has gets an
+    underscore after it.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     names = docs.columns
+    stats = repeats.free_names(names, _STATS)
     place = names.index(text_col)
     found = scratch.write(repeats.light(docs, chunk_digests, id_col, text_col), "light")
     together = repeats.with_lists(docs, repeats.lists(found, compared(docs, found, id_col, text_col)), id_col)
-    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in _STATS)])
+    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in stats)])
 
     def run(batches):
         for batch in batches:
@@ -116,7 +119,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             rows = [cleaned(text, repeats.list_of(listed, i)) for i, text in enumerate(as_bytes(batch.column(place)))]
             texts = pa.array([r[0].decode("utf-8", "replace") if ok else None for r, ok in zip(rows, batch.column(place).is_valid().to_pylist(), strict=True)], pa.string())
             columns = [texts if k == place else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[1 + k] for r in rows], pa.int64()) for k in range(3))], names=[*names, *_STATS])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[1 + k] for r in rows], pa.int64()) for k in range(3))], names=[*names, *stats])
 
     return together.mapInArrow(run, schema)
 

@@ -10,12 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, one_row_texts, table_batches
+from .common import documents, one_row_texts, own_cache, table_batches
 
 MAX_LENGTH = 4096
 END_ID = 2
 #: Distinct words whose ids each worker remembers; others are tokenised again.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
@@ -100,6 +100,7 @@ _LOADED: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
+    own_cache("packing", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = WordIds(path)
     return _LOADED[path]

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table_batches, as_bytes
+from .common import as_bytes, documents, own_cache, table_batches
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -142,6 +142,8 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id
     schema = pa.schema([("doc_id", pa.int64()), *((f.split()[0], k) for f, k in zip(_FIELDS.split(", "), _KINDS, strict=True)), ("cleaned", pa.string())])
 
     def run(batches):
+        own_cache("quality", _PHRASES.clear)
+
         def rows():
             for batch in batches:
                 for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
@@ -161,6 +163,7 @@ def filter_documents(docs: DataFrame, rules: LineRules = LineRules(), text_col:
     place = fields.fieldNames().index(text_col)
 
     def run(batches):
+        own_cache("quality", _PHRASES.clear)
         for batch in batches:
             yield batch.filter(pa.array([judge(text, rules)[6] for text in as_bytes(batch.column(place))], pa.bool_()))
 

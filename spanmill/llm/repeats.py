@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id, and so comes last: rows without an id count as one document.
 NO_ID = (1 << 63) - 1
-_DOC, _LIST = "__repeats_doc", "__repeats_list"
 
 
 def key(id_col: str) -> Column:
@@ -46,12 +45,25 @@ def shared(found: DataFrame) -> DataFrame:
 def lists(found: DataFrame, firsts: DataFrame) -> DataFrame:
     """doc and its list of shared digests (k1, k2, later: another document is the first). A list is no longer than its document."""
     both = found.join(firsts, ["k1", "k2"]).select("doc", F.struct("k1", "k2", (F.col("doc") != F.col("first")).alias("later")).alias("x"))
-    return both.groupBy("doc").agg(F.collect_list("x").alias(_LIST)).withColumnRenamed("doc", _DOC)
+    return both.groupBy("doc").agg(F.collect_list("x").alias("list"))
 
 
 def with_lists(docs: DataFrame, listed: DataFrame, id_col: str, how: str = "left") -> DataFrame:
-    """The documents' columns and, last, the list; its rows keep their order of columns."""
-    return docs.withColumn(_DOC, key(id_col)).join(listed, _DOC, how).select(*(docs[c] for c in docs.columns), _LIST)
+    """The documents' columns by place (c0, c1, ...), so that no name can clash, and last the list."""
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    placed = docs.toDF(*own).withColumn("doc", key(own[docs.columns.index(id_col)]))
+    return placed.join(listed, "doc", how).select(*own, "list")
+
+
+def free_names(taken: list[str], wanted: tuple[str, ...]) -> list[str]:
+    """The wanted names; one that is taken already gets underscores after it."""
+    held, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def list_of(column: pa.Array, i: int) -> dict[bytes, bool]:

@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, one_row_texts, table_batches
+from .common import documents, one_row_texts, own_cache, table_batches
 
 SPACE = "▁"
 #: Words, parts of words and token pairs that each worker remembers; others are worked out again.
@@ -203,6 +203,7 @@ _LOADED: dict[str, MergePrefixEncoder] = {}
 
 
 def encoder(path: str) -> MergePrefixEncoder:
+    own_cache("sentencepieces", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = MergePrefixEncoder(path)
     return _LOADED[path]

@@ -99,14 +99,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A chunk stays where it occurs first: in the document with the smallest id, at its first place.
     Later occurrences go if they and their repeated neighbours reach ``MIN_RUN`` bytes. Rows that
     share an id count as one document and lose nothing to each other; rows without an id likewise,
-    after all others. A null text stays null, with counts of 0. Other columns pass through; names
-    that clash with the counts' are the caller's to rename.
+    after all others. A null text stays null, with counts of 0. Other columns pass through; a
+    count whose name one of them has gets an underscore after it.
     """
     names = docs.columns
+    stats = repeats.free_names(names, _STATS)
     place = names.index(text_col)
     found = repeats.light(docs, chunk_digests, id_col, text_col)
     together = repeats.with_lists(docs, repeats.lists(found, repeats.shared(found)), id_col)
-    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in _STATS)])
+    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in stats)])
     kind = docs.schema[text_col].dataType
 
     def run(batches):
@@ -119,7 +120,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             valid = batch.column(place).is_valid()
             texts = pa.array([r[0].decode("utf-8", "replace") if ok else None for r, ok in zip(rows, valid.to_pylist(), strict=True)], pa.string())
             columns = [texts if k == place else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[1 + k] for r in rows], pa.int64()) for k in range(4))], names=[*names, *_STATS])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[1 + k] for r in rows], pa.int64()) for k in range(4))], names=[*names, *stats])
 
     assert kind.simpleString() == "string"
     return together.mapInArrow(run, schema)
