@@ -38,7 +38,8 @@ def kernel_density(values: DataFrame, keys: list[str], value: str, points: int =
     first, last = (F.col("least"), F.col("most")) if low is None else (F.lit(float(low)), F.col("most") + 1)
     grid = ends.select(*share, first.alias("first"), last.alias("last")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     grid = grid.select(*share, (F.col("first") + (F.col("last") - F.col("first")) * F.col("i") / (points - 1)).alias("x"), "i")
-    at = counted.join(per, keys).join(grid, share) if share else counted.join(per, keys).join(F.broadcast(grid))
+    one_row = lambda a, b, on: a.join(b, on) if on else a.join(F.broadcast(b))  # noqa: E731  without keys there is one group
+    at = one_row(one_row(counted, per, keys), grid, share)
     z = (F.col("x") - F.col("v")) / F.col("h")
     return at.groupBy(*keys, "i", "x").agg((F.sum(F.col("k") * F.exp(-z * z / 2)) / (F.first("n") * F.first("h") * (2 * 3.141592653589793) ** 0.5)).alias("density")).drop("i")
 

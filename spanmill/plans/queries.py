@@ -34,7 +34,7 @@ def rounded(df: DataFrame) -> DataFrame:
 R = "round({0}, 6) + 0.0::double as {1}".format
 P = "task, model_name, model_variant, prompt_id"
 V = "task, model_name, model_variant"
-FISHER = "round(tanh(coalesce(sum(case when {0} is not null and {1} > 3 then ({1} - 3) * atanh(greatest(-0.999999, least(0.999999, {0}))) end) / nullif(sum(case when {0} is not null and {1} > 3 then {1} - 3 end), 0), avg(atanh(greatest(-0.999999, least(0.999999, {0})))))), 6) + 0.0::double as {2}".format
+FISHER = "round(tanh(coalesce(sum(case when {0} is not null and {1} > 3 then ({1} - 3) * atanh(greatest(-0.999999, least(0.999999, {0}))) end) / nullif(sum(case when {0} is not null and {1} > 3 then {1} - 3 end), 0), avg(case when {0} is not null then atanh(greatest(-0.999999, least(0.999999, {0}))) end))), 6) + 0.0::double as {2}".format
 WEIGHTED = "round(coalesce(sum(case when {0} is not null and {1} > 0 then {1} * {0} end) / nullif(sum(case when {0} is not null and {1} > 0 then {1} end), 0), avg({0})), 6) + 0.0::double as {2}".format
 
 

@@ -38,16 +38,20 @@ def sf_dir():
     return SF
 
 
-@pytest.fixture(scope="session")
-def duck(sf_dir):
+def tables(folder):
     import duckdb
 
     con = duckdb.connect()
     for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.sql(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
+        con.sql(f"create view {name} as select * from '{folder}/{name}.parquet'")
     return con
 
 
+@pytest.fixture(scope="session")
+def duck(sf_dir):
+    return tables(sf_dir)
+
+
 def plain(value):
     """A value that compares across engines."""
     if isinstance(value, float):
