@@ -24,7 +24,7 @@ class LineRules:
     #: A line is navigation if this share of its words, at least this many, are separators.
     min_separators: int = 3
     separator_share: float = 0.2
-    #: A line is noise if words that end in a run of symbols or shouted words make up this share of it.
+    #: A line is noise if words that end in a run of symbols, shouted words or words that repeat the one before make up this share of it.
     noisy_share: float = 0.5
     #: A line is boilerplate if it holds one of these phrases, in lower case.
     boilerplate: tuple[str, ...] = ("licensed under", "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here", "sign up for", "subscribe to our", "powered by", "skip to content")
@@ -57,6 +57,8 @@ def line_verdict(line: bytes, words: list[bytes], rules: LineRules) -> str:
             return "punctuation"
     if n >= 4 and b"!!" in line and sum(1 for w in words if w.endswith(b"!!")) >= rules.noisy_share * n:
         return "punctuation"
+    if n >= 8 and sum(map(bytes.__eq__, words[1:], words)) >= rules.noisy_share * n:
+        return "punctuation"
     if n >= rules.punctuated_from and not any(w[-1] in _TERMINALS for w in words[-rules.punctuated_from :]):
         return "punctuation"
     return ""
@@ -193,12 +195,13 @@ v as (select rid, len(ws) as n,
       len(list_filter(ws, lambda x: x in ('|', '>', '<', '/', '-', '*', '»', '›', '•', '·'))) as bars,
       len(list_filter(ws, lambda x: strlen(x) > 1 and regexp_matches(x, '(^|[#*$%&|<>])[#*$%&|<>][.,;:!?"''()]*$') or strlen(x) > 1 and regexp_matches(x, '^[.,;:!?"''()]*$'))) as noisy,
       len(list_filter(ws, lambda x: x like '%!!')) as loud,
+      len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) as stutter,
       regexp_matches(line, '[#*$%&|<>]') as has_symbol,
       len(list_filter(ws[-12:], lambda x: regexp_matches(x, '[.!?:;"'')\]}…]$'))) as stops,
       regexp_matches(lower(line), 'licensed under|all rights reserved|cookie policy|privacy policy|terms of use|terms of service|enable javascript|click here|sign up for|subscribe to our|powered by|skip to content') as boiler
       from lw where len(ws) > 0),
 x as (select rid, n, case when boiler then 'b' when bars >= 3 and bars >= 0.2 * n or bars > 0 and n <= 8 and bars >= 0.25 * n then 'n'
-      when has_symbol and n >= 4 and noisy >= 0.5 * n then 'p' when n >= 4 and loud >= 0.5 * n then 'p'
+      when has_symbol and n >= 4 and noisy >= 0.5 * n then 'p' when n >= 4 and loud >= 0.5 * n then 'p' when n >= 8 and stutter >= 0.5 * n then 'p'
       when n >= 12 and stops = 0 then 'p' else '' end as verdict from v),
 y as (select rid, count(*) filter (verdict <> '') as n_lines_removed, coalesce(sum(n) filter (verdict <> ''), 0)::bigint as n_words_removed,
       coalesce(sum(n) filter (verdict = 'b'), 0)::bigint as boiler_words from x group by rid),

@@ -6,6 +6,8 @@ touches and no others.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -58,36 +60,37 @@ def chunk_digests(text: bytes) -> list[bytes]:
     return [digest(whole[a:b]) for a, b in zip(at, at[1:]) if b - a >= MIN_CHUNK]
 
 
+def _runs(marks: list[bool], at: list[int]) -> list[tuple[int, int]]:
+    """First and past-the-last chunk of each run of marked chunks that is long enough."""
+    out, start = [], None
+    for k, mark in enumerate([*marks, False]):
+        if mark and start is None:
+            start = k
+        elif not mark and start is not None:
+            if at[k] - at[start] >= MIN_RUN:
+                out.append((start, k))
+            start = None
+    return out
+
+
 def cleaned(text: bytes, shared: dict[bytes, bool]) -> tuple[bytes, int, int, int, int]:
-    """The text without removed runs, and how many chunks there are, repeat anywhere, went, and bytes went."""
+    """The text without removed runs, and how many chunks there are, lie in repeated runs (the first occurrence included), went, and bytes went."""
     at, whole, digest = boundaries(text), memoryview(text), xxhash.xxh3_128_digest
-    seen: set[bytes] = set()
-    repeated = gone = gone_bytes = run_from = run_chunks = 0
-    kept, kept_to = [], 0
-
-    def close(end: int) -> None:
-        nonlocal gone, gone_bytes, kept_to
-        if run_chunks and end - run_from >= MIN_RUN:
-            kept.append(whole[kept_to:run_from])
-            kept_to = end
-            gone += run_chunks
-            gone_bytes += end - run_from
-
-    for a, b in zip(at, at[1:]):
-        own = digest(whole[a:b])
-        again = own in seen
-        seen.add(own)
-        repeated += own in shared or again
-        if b - a >= MIN_CHUNK and (again or shared.get(own, False)):
-            if not run_chunks:
-                run_from = a
-            run_chunks += 1
-        else:
-            close(a)
-            run_chunks = 0
-    close(len(text))
+    own = [digest(whole[a:b]) if b - a >= MIN_CHUNK else b"" for a, b in zip(at, at[1:])]
+    times = Counter(own)
+    seen: set[bytes] = {b""}
+    later, repeated = [], []
+    for d in own:
+        again = d in seen and d != b""
+        seen.add(d)
+        later.append(again or shared.get(d, False))
+        repeated.append(d in shared or d != b"" and times[d] > 1)
+    kept, kept_to, gone = [], 0, _runs(later, at)
+    for a, b in gone:
+        kept.append(whole[kept_to : at[a]])
+        kept_to = at[b]
     kept.append(whole[kept_to:])
-    return b"".join(kept), len(at) - 1, repeated, gone, gone_bytes
+    return b"".join(kept), len(own), sum(b - a for a, b in _runs(repeated, at)), sum(b - a for a, b in gone), sum(at[b] - at[a] for a, b in gone)
 
 
 _STATS = ("n_chunks", "n_repeated_chunks", "n_removed_chunks", "n_removed_bytes")
