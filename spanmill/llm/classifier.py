@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_fold, scratch: Scratch, sample
     marked = labels.where(train_fold & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     texts = docs.where(train_fold).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # Both sides are large in general, so the plan is one whatever the labels' size.
-    rows = scratch.write(texts.join(marked.hint("merge"), "id"), "labelled")
+    rows = scratch.write(texts.join(marked.hint("merge"), "id"), "labelled", merged=True)
 
     def counted(batches):
         own_cache("classifier", _WORDS.clear)

@@ -26,6 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in at most four partitions for each core, or an eighth of the shuffle's if that is more.
+
+    Each task then takes several partitions in turn, with the memory of one, and writes one file: many
+    small partitions don't mean as many tiny files.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 class Scratch:
     """Tables written to the shared folder, which cut the lineage and survive lost executors."""
 
@@ -40,9 +50,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back; later plans start from the files."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, merged: bool = False) -> DataFrame:
+        """Write ``df`` and read it back; later plans start from the files. ``merged``: with ``few_files``."""
+        (few_files(df) if merged else df).write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self) -> None:

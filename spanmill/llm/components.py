@@ -19,18 +19,18 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     nodes, so no order of theirs (a path of rising ids, say) makes the pointers creep. Hubs cost no more
     than their edges: minima are taken before the shuffle. Self-loops make a component of their own.
     """
-    edges = scratch.write(edges.select("a", "b").distinct(), f"{name}-edges")
+    edges = scratch.write(edges.select("a", "b").distinct(), f"{name}-edges", merged=True)
     left = edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     steps: list[DataFrame] = []
     for k in range(MAX_ROUNDS):
         both = left.union(left.select("b", "a")).toDF("node", "other")
         pointed = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("to"))
-        pointed = scratch.write(pointed, f"{name}-pointed{k}")
+        pointed = scratch.write(pointed, f"{name}-pointed{k}", merged=True)
         up = pointed.toDF("to", "next")
-        step = scratch.write(pointed.join(up, "to", "left").select("node", F.coalesce("next", "to").alias("to")), f"{name}-step{k}")
+        step = scratch.write(pointed.join(up, "to", "left").select("node", F.coalesce("next", "to").alias("to")), f"{name}-step{k}", merged=True)
         steps.append(step)
         moved = left.join(step.toDF("a", "to_a"), "a").join(step.toDF("b", "to_b"), "b")
-        left = scratch.write(moved.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), f"{name}-edges{k + 1}")
+        left = scratch.write(moved.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), f"{name}-edges{k + 1}", merged=True)
         if left.isEmpty():
             break
     else:
@@ -39,8 +39,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     for k, step in enumerate(steps[1:], 1):
         found = found.join(step.toDF("to", "next"), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
         if k % 4 == 0:
-            found = scratch.write(found, f"{name}-found{k}")
+            found = scratch.write(found, f"{name}-found{k}", merged=True)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    named = scratch.write(nodes.join(found.select(F.col("node").alias("h"), "to"), F.xxhash64(nodes["node"]) == F.col("h")).select(nodes["node"], "to"), f"{name}-named")
+    named = scratch.write(nodes.join(found.select(F.col("node").alias("h"), "to"), F.xxhash64(nodes["node"]) == F.col("h")).select(nodes["node"], "to"), f"{name}-named", merged=True)
     least = named.groupBy("to").agg(F.min("node").alias("component"))
     return named.join(least, "to").select("node", "component")

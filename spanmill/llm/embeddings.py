@@ -41,7 +41,7 @@ def unit_vectors(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", v
     usable = F.coalesce(v.isNotNull() & finite, F.lit(False))
     rows = base.select("vec_id", usable.alias("usable"), F.xxhash64("v").alias("k1"), F.xxhash64(F.lit("again"), "v").alias("k2"), "v")
     reps = rows.where("usable").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least_id"), F.first("v").alias("v"))
-    reps = scratch.write(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
+    reps = scratch.write(reps.withColumn("node", F.monotonically_increasing_id()), "reps", merged=True)
     return rows.drop("v"), reps
 
 
@@ -58,7 +58,7 @@ def strips(reps: DataFrame, scratch: Scratch, dim: int, blocks: int, budget: flo
             x = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x)), pa.array(list(x @ leads))], names=["node", "copies", "u", "leads"])
 
-    led = scratch.write(reps.select("node", "v", "copies").mapInArrow(lead, "node long, copies long, u array<double>, leads array<double>"), f"led{dim}")
+    led = scratch.write(reps.select("node", "v", "copies").mapInArrow(lead, "node long, copies long, u array<double>, leads array<double>"), f"led{dim}", merged=True)
     n = led.count()
     parts = max(1, -(-n // strip))
     cuts = [led.select(F.col("leads")[b].alias("x")).stat.approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else [] for b in range(blocks)]
@@ -166,13 +166,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
         found = part if found is None else found.union(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = scratch.write(found, "found")
+    found = scratch.write(found, "found", merged=True)
     component = connected_components(found.select(F.col("node").alias("a"), F.col("toward").alias("b")), scratch)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = reps.select("node", "k1", "k2", "copies", "least_id").join(links, "node", "left").join(component, "node", "left")
     classes = classes.withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    classes = scratch.write(classes.join(least, "component").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("component_id").alias("of")), "classes")
+    classes = scratch.write(classes.join(least, "component").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("component_id").alias("of")), "classes", merged=True)
     out = rows.join(classes.withColumn("usable", F.lit(True)), ["usable", "k1", "k2"], "left")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("of", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("of", "vec_id"), F.lit(False)).alias("kept"))
 

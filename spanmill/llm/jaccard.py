@@ -147,7 +147,7 @@ def buckets(reps: DataFrame, scratch: Scratch, runs: int, depth: int, small: int
     leaves = None
     for d in range(1, depth + 1):
         sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = scratch.write(level.join(sizes, "bucket"), f"level{d}")
+        sized = scratch.write(level.join(sizes, "bucket"), f"level{d}", merged=True)
         ends = (F.col("size") <= small) | (F.lit(d) == depth) | F.coalesce(F.col("size") >= TOGETHER * F.col("parent_size"), F.lit(False))
         leaf = sized.where(ends).select("bucket", "node", "size")
         leaves = leaf if leaves is None else leaves.unionAll(leaf)
@@ -278,10 +278,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    rows = scratch.write(sketched(docs, id_col, text_col, width), "sketched")
+    rows = scratch.write(sketched(docs, id_col, text_col, width), "sketched", merged=True)
     known = rows.where("n > 0").withColumn("doc", F.coalesce("doc", F.lit(NO_ID)))
     reps = known.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    reps = scratch.write(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
+    reps = scratch.write(reps.withColumn("node", F.monotonically_increasing_id()), "reps", merged=True)
 
     leaves = buckets(reps, scratch, runs_for(recall, DEPTH, threshold), DEPTH, SMALL)
     groups = connected_components(suggested(leaves, reps, threshold - SLACK), scratch, "groups").withColumnRenamed("component", "grp")
@@ -305,13 +305,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     sets = texts.select("text", "k1", "k2", "node", "copies", "grp", "parts").mapInArrow(tokens, "node long, copies long, grp long, parts long, tokens binary")
     dealt = tiles(sets, "grp", F.col("parts")).select("grp", "i", "j", "node", "own", "copies", "tokens")
-    found = scratch.write(verified(dealt, threshold), "found")
+    found = scratch.write(verified(dealt, threshold), "found", merged=True)
 
     component = connected_components(found.select(F.col("node").alias("a"), F.col("toward").alias("b")), scratch, "classes")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = reps.select("node", "k1", "k2", "copies", "least").join(links, "node", "left").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("least").alias("of"))
-    classes = scratch.write(classes.join(least, "component").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "of"), "by_set")
+    classes = scratch.write(classes.join(least, "component").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "of"), "by_set", merged=True)
     out = rows.select("doc", "k1", "k2", "n").join(classes.withColumn("some", F.lit(True)), ["k1", "k2"], "left")
     of = F.when(F.col("n") > 0, F.when(F.col("of") != NO_ID, F.col("of"))).otherwise(F.col("doc"))
     return out.select(F.col("doc").alias("doc_id"), of.alias("class_id"), F.when(F.col("n") > 0, F.col("links")).otherwise(0).cast("long").alias("n_links"), F.col("doc").eqNullSafe(of).alias("kept"))
@@ -323,7 +323,7 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     Ids tell rows apart: rows that repeat a kept id all stay. Rows without an id stay.
     """
     dropped = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = Scratch(docs.sparkSession, "dropped").write(dropped.select(F.col("doc_id").alias("__dropped_id")).distinct(), "ids")
+    gone = Scratch(docs.sparkSession, "dropped").write(dropped.select(F.col("doc_id").alias("__dropped_id")).distinct(), "ids", merged=True)
     return docs.join(gone, F.col(id_col) == F.col("__dropped_id"), "left_anti")
 
 

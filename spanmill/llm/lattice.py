@@ -6,6 +6,10 @@ worked out once for the whole corpus. A word is one edge of the lattice if the t
 it, with its discounted count; the counts' discounts are the probability that a word is spelled from
 the vocabulary's pieces. Their probabilities are learned from the training texts' distinct words by
 expectation maximisation, starting from the vocabulary's order.
+
+A text may come from one of a few classes (languages, where training rows name them). Each has its own
+word counts, whose discounts fall back on the lattice of all; a text's probability is the sum over
+the classes, so scoring sees the text alone.
 """
 
 from __future__ import annotations
@@ -27,13 +31,15 @@ from .common import Scratch, as_bytes, documents, remainder
 SPACE = "▁"
 #: Added to a piece's expected count, and passes of expectation maximisation over all training words.
 SMOOTHING = 0.01
-PASSES = 4
+PASSES = 3
 #: Added to a word's count by the word model that the scores are compared with.
 BASE_SMOOTHING = 0.1
 #: Words that a worker counts before it hands them on.
 COUNTED_WORDS = 250_000
 #: The most frequent words, at most so many, are sent to all workers; the others meet their scores in a join.
 HOT_WORDS = 200_000
+#: Classes of training texts that are told apart.
+MAX_CLASSES = 8
 #: Words of a vectorised recursion.
 BATCH = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -154,31 +160,44 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_counts(docs: DataFrame, train: Column, text_col: str = "text") -> DataFrame:
-    """word, n (in all texts), c (in training texts). Workers count before they shuffle, so a word of a third of all tokens is a few rows."""
+def class_column(docs: DataFrame, train: Column, class_col: str | None) -> tuple[Column, int]:
+    """The number of a training row's class, and how many there are: the largest ``MAX_CLASSES`` by name, all others (and nulls) together as the last."""
+    if class_col is None:
+        return F.lit(0), 1
+    named = docs.where(train & F.col(class_col).isNotNull()).groupBy(F.col(class_col).cast("string").alias("name")).count().orderBy(F.desc("count"), "name").limit(MAX_CLASSES).collect()
+    out = F.lit(len(named))
+    for k, row in enumerate(named):
+        out = F.when(F.col(class_col).cast("string").eqNullSafe(F.lit(row["name"])), k).otherwise(out)
+    return out, len(named) + 1
+
+
+def word_counts(docs: DataFrame, train: Column, of: Column, classes: int, text_col: str = "text") -> DataFrame:
+    """word, n (in all texts), c0, c1, ... (in training texts of each class). Workers count before they shuffle, so a word of a third of all tokens is a few rows."""
+    names = [f"c{k}" for k in range(classes)]
 
     def run(batches):
-        every, trained, size = Counter(), Counter(), 0
+        every, trained, held = Counter(), [Counter() for _ in names], 0
 
         def rows():
             words = list(every)
             for at in range(0, len(words), 1 << 15):
                 part = words[at : at + (1 << 15)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([every[w] for w in part], pa.int64()), pa.array([trained[w] for w in part], pa.int64())], names=["word", "n", "c"])
-            every.clear()
-            trained.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([every[w] for w in part], pa.int64()), *(pa.array(list(map(c.__getitem__, part)), pa.int64()) for c in trained)], names=["word", "n", *names])
+            for c in (every, *trained):
+                c.clear()
 
         for batch in batches:
             for learn, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                own = tokens(text)
+                own = Counter(tokens(text))
                 every.update(own)
-                if learn:
-                    trained.update(own)
+                if learn is not None:
+                    trained[learn].update(own)
                 if len(every) > COUNTED_WORDS:
                     yield from rows()
         yield from rows()
 
-    return docs.select(F.coalesce(train, F.lit(False)).alias("learn"), F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    counted = docs.select(F.when(train, of).alias("learn"), F.col(text_col).alias("text")).mapInArrow(run, f"word binary, n long, {', '.join(f'{c} long' for c in names)}")
+    return counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", *names)))
 
 
 def _word_batches(batches) -> Iterator[pa.Table]:
@@ -217,7 +236,7 @@ def learn(words: DataFrame, path: str, passes: int = PASSES) -> Lattice:
                 at = np.flatnonzero(out)
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[out[at], n])], names=["piece", "count"])
 
-        found = words.where("c > 0").select("word").mapInArrow(run, "piece int, count double").groupBy("piece").agg(F.sum("count").alias("count")).toArrow()
+        found = words.where(F.col("c") > 0).select("word").mapInArrow(run, "piece int, count double").groupBy("piece").agg(F.sum("count").alias("count")).toArrow()
         piece, count = found["piece"].to_numpy(), found["count"].to_numpy()
         counts = np.full(len(pieces), SMOOTHING)
         counts[piece[piece >= 0]] += count[piece >= 0]
@@ -225,33 +244,63 @@ def learn(words: DataFrame, path: str, passes: int = PASSES) -> Lattice:
     return lattice
 
 
-def score(docs: DataFrame, train: Column, path: str, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
-    """id, learn, n_tokens, n_known, train_tokens, base_score, score for every row, all logs to base 10.
+@dataclass
+class Discounted:
+    """Absolute discounting of word counts: what is taken from each known word's count is the chance of falling back."""
+
+    tokens: int
+    texts: int
+    types: int
+    once: int
+    twice: int
+
+    def __post_init__(self) -> None:
+        self.discount = self.once / (self.once + 2 * self.twice) if self.once and self.twice else 0.5
+        self.mass = self.tokens + self.texts + 1.0
+        self.fall_back = math.log((self.discount * self.types + 0.5) / self.mass)
+        self.end = math.log10((self.texts + 0.5) / self.mass)
+
+    def log_p(self, counts: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Natural logs, from the counts and the logs of what is fallen back on."""
+        own = np.maximum(counts - self.discount, 0) / self.mass
+        return np.logaddexp(np.log(own, out=np.full(len(own), -np.inf), where=own > 0), self.fall_back + below)
+
+
+def _discounted(words: DataFrame, columns: list[str], texts: list[int]) -> list[Discounted]:
+    found = words.agg(*(x.alias(f"x{i}") for i, x in enumerate(y for c in columns for y in (F.coalesce(F.sum(c), F.lit(0)), *(F.count(F.when(z, 1)) for z in (F.col(c) > 0, F.col(c) == 1, F.col(c) == 2)))))).first()
+    return [Discounted(found[4 * k], texts[k], *found[4 * k + 1 : 4 * k + 4]) for k in range(len(columns))]
+
+
+def score(docs: DataFrame, train: Column, path: str, class_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
+    """id, n_tokens, n_known, train_tokens, base_score, score for every row, all logs to base 10.
 
     Words are what ASCII white space separates, with A-Z in lower case; an end follows them. A null
     text is an empty one, whose only token is the end; null ids stay null; rows that repeat are
-    scored each. With no training text, counts are 0 and only the smoothing speaks. Other columns
-    are not read.
+    scored each. With no training text, counts are 0 and only the smoothing speaks. ``class_col``
+    names the class of training rows; it is not read of the row that is scored. Other columns are
+    not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lattice")
-    words = scratch.write(word_counts(docs, train, text_col), "words")
-    n_texts = docs.where(train).count()
-    total, types, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), *(F.count(F.when(x, 1)) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2))).first()
-    train_tokens, distinct = total + n_texts, types + (n_texts > 0)
-    # Absolute discounting: what is taken from each known word's count is the chance of a spelled one.
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    mass = train_tokens + 1.0
-    spelled = math.log((discount * types + 0.5) / mass)
-    shared = spark.sparkContext.broadcast(learn(words, path))
+    of, classes = class_column(docs, train, class_col)
+    names = [f"c{k}" for k in range(classes)]
+    words = word_counts(docs, train, of, classes, text_col)
+    words = scratch.write(words.withColumn("c", sum((F.col(c) for c in names[1:]), F.col(names[0]))), "words", merged=True)
+    texts = {r["k"]: r["n"] for r in docs.where(train).groupBy(of.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = [texts.get(k, 0) for k in range(classes)]
+    every, *each = _discounted(words, ["c", *names], [sum(texts), *texts])
+    train_tokens, distinct = every.tokens + every.texts, every.types + (every.texts > 0)
+    lattice = spark.sparkContext.broadcast(learn(words, path))
+    chance = [math.log10((n + 1) / (sum(texts) + classes)) for n in texts]
+    logs = [f"l{k}" for k in range(classes)]
 
     def weigh(batches):
         for table in _word_batches(batches):
-            whole = np.maximum(table["c"].to_numpy() - discount, 0) / mass
-            log_p = np.logaddexp(np.log(whole, out=np.full(len(whole), -np.inf), where=whole > 0), spelled + shared.value.word_log_p(table["word"].to_pylist())) / math.log(10)
-            yield from table.append_column("log_p", pa.array(log_p)).combine_chunks().to_batches()
+            below = every.log_p(table["c"].to_numpy(), lattice.value.word_log_p(table["word"].to_pylist()))
+            found = [each[k].log_p(table[c].to_numpy(), below) / math.log(10) for k, c in enumerate(names)]
+            yield from pa.table([table["word"], table["n"], table["c"], *map(pa.array, found)], names=["word", "n", "c", *logs]).combine_chunks().to_batches()
 
-    weighed = scratch.write(words.mapInArrow(weigh, "word binary, n long, c long, log_p double"), "weighed")
+    weighed = scratch.write(words.mapInArrow(weigh, f"word binary, n long, c long, {', '.join(f'{x} double' for x in logs)}"), "weighed", merged=True)
     # The frequent words: the smallest count, on a scale of bounded length, above which there are few enough.
     step = lambda c: F.floor(F.log2(c) * 16)
     bins = weighed.groupBy(step("n").alias("step")).count().orderBy(F.desc("step")).collect()
@@ -264,61 +313,66 @@ def score(docs: DataFrame, train: Column, path: str, id_col: str = "doc_id", tex
     frequent = F.lit(False) if least is None else step("n") >= least
     scale = train_tokens + BASE_SMOOTHING * (distinct + 1)
     base = lambda c: np.log10((c + BASE_SMOOTHING) / scale)
-    table = weighed.where(frequent).select("word", "c", "log_p").toArrow()
+    table = weighed.where(frequent).select("word", "c", *logs).toArrow()
     known = table["c"].to_numpy()
-    hot = spark.sparkContext.broadcast(dict(zip(table["word"].to_pylist(), zip((known > 0).tolist(), base(known).tolist(), table["log_p"].to_pylist()), strict=True)))
-    end_known, end_base, end_log_p = int(n_texts > 0), float(base(np.float64(n_texts))), math.log10((n_texts + 0.5) / mass)
+    places = {w: i for i, w in enumerate(table["word"].to_pylist())}
+    hot = spark.sparkContext.broadcast((places, np.column_stack([known > 0, base(known), *(table[x].to_numpy() for x in logs)]).reshape(len(places), 2 + classes)))
+    end = np.array([int(every.texts > 0), float(base(np.float64(every.texts))), *(x.end for x in each)])
+    fields = ["row", "id", "word", "times", "n_tokens", "n_known", "base", *(f"s{k}" for k in range(classes))]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * (1 + classes)]
 
     def run(batches):
-        table, part, at = hot.value, TaskContext.get().partitionId(), 0
-        schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("log_p", pa.float64())])
-        columns = [[] for _ in schema.names]
+        (places, values), part, at = hot.value, TaskContext.get().partitionId() << 40, 0
+        whole, rows, words, times = [], [], [], []
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, schema.types, strict=True)], schema=schema)
-            for c in columns:
+            row, key, n, sums = zip(*whole, strict=True)
+            sums = np.array(sums)
+            # A space is in no word: these rows' keys are their own and meet no word in the join.
+            columns = [row, key, [b" %d" % r for r in row], [0] * len(row), n, sums[:, 0].astype(np.int64), *sums[:, 1:].T]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=fields)
+            for k in range(0, len(rows), 1 << 15):
+                own = slice(k, k + (1 << 15))
+                size = len(rows[own])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[own], kinds[0]), pa.nulls(size, kinds[1]), pa.array(words[own], kinds[2]), pa.array(times[own], kinds[3]), *(pa.nulls(size, x) for x in kinds[4:])], names=fields)
+            for c in (whole, rows, words, times):
                 c.clear()
-            return out
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                row = part << 40 | at
-                at += 1
                 own = tokens(text)
-                found = list(map(table.get, own))
-                known, base_sum, log_sum = end_known, end_base, end_log_p
+                found = list(map(places.get, own))
                 if None in found:
                     rare = Counter(w for w, f in zip(own, found, strict=True) if f is None)
+                    rows.extend([part | at] * len(rare))
+                    words.extend(rare)
+                    times.extend(rare.values())
                     found = [f for f in found if f is not None]
-                else:
-                    rare = {}
-                if found:
-                    k, b, p = zip(*found, strict=True)
-                    known, base_sum, log_sum = known + sum(k), base_sum + math.fsum(b), log_sum + math.fsum(p)
-                # A space is in no word: this row's key is its own and meets no word in the join.
-                for values in ([row, key, b" %d" % row, 0, len(own) + 1, known, base_sum, log_sum], *([row, None, w, n, None, None, None, None] for w, n in rare.items())):
-                    for column, value in zip(columns, values, strict=True):
-                        column.append(value)
-                if len(columns[0]) >= 1 << 15:
-                    yield flush()
-        yield flush()
-
-    parts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "row long, id long, word binary, times long, n_tokens long, n_known long, base double, log_p double")
-    rare = weighed.where(~frequent).select("word", "c", F.col("log_p").alias("word_log_p"))
-    met = parts.join(rare, "word", "left")
+                whole.append((part | at, key, len(own) + 1, end + values[found].sum(0) if found else end))
+                at += 1
+                if len(rows) + len(whole) >= 1 << 15:
+                    yield from flush()
+        if whole:
+            yield from flush()
+
+    ddl = ["long", "long", "binary", "long", "long", "long", *["double"] * (1 + classes)]
+    parts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{f} {k}" for f, k in zip(fields, ddl, strict=True)))
+    met = parts.join(weighed.where(~frequent).drop("n"), "word", "left")
     times, count = F.col("times"), F.coalesce("c", F.lit(0))
     rare_base = times * F.log10((count + F.lit(BASE_SMOOTHING)) / F.lit(float(scale)))
     summed = met.groupBy("row").agg(
         F.max("id").alias(id_col),
         F.max("n_tokens").alias("n_tokens"),
-        (F.sum(F.coalesce("n_known", F.when(count > 0, times).otherwise(0)))).cast("long").alias("n_known"),
+        F.sum(F.coalesce("n_known", F.when(count > 0, times).otherwise(0))).cast("long").alias("n_known"),
         F.sum(F.coalesce("base", rare_base)).alias("base_score"),
-        F.sum(F.coalesce("log_p", times * F.col("word_log_p"))).alias("score"),
+        *((F.sum(F.coalesce(f"s{k}", times * F.col(x))) + chance[k]).alias(x) for k, x in enumerate(logs)),
     )
-    return summed.select(id_col, "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    most = F.greatest(*logs) if classes > 1 else F.col(logs[0])
+    of_classes = most + F.log10(sum((F.pow(F.lit(10.0), F.col(x) - most) for x in logs), F.lit(0.0)))
+    return summed.select(id_col, "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", of_classes.alias("score"))
 
 
 def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 10) == 0
-    scored = score(documents(spark, sf_dir), ~held_out, public_tokenizers.path("piece_bpe_32k.model"))
+    scored = score(documents(spark, sf_dir), ~held_out, public_tokenizers.path("piece_bpe_32k.model"), class_col="lang")
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

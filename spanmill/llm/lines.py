@@ -109,7 +109,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = docs.columns
     stats = repeats.free_names(names, _STATS)
     place = names.index(text_col)
-    found = scratch.write(repeats.light(docs, chunk_digests, id_col, text_col), "light")
+    found = scratch.write(repeats.light(docs, chunk_digests, id_col, text_col), "light", merged=True)
     together = repeats.with_lists(docs, repeats.lists(found, compared(docs, found, id_col, text_col)), id_col)
     schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in stats)])
 
