@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmill.llm import jaccard, lines, packing, quality, substrings
-from spanmill.llm.common import Scratch
+from spanmill.llm.common import Scratch, few_files
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,7 +30,7 @@ def _stage(build: Stage) -> Stage:
         with Scratch.gathered() as opened:
             result = build(spark, docs, sf_dir)
         _LATEST.extend(opened)
-        return result
+        return few_files(result)
 
     return call
 
