@@ -45,13 +45,25 @@ def kernel_density(values: DataFrame, keys: list[str], value: str, points: int =
 
 
 def heatmap(trajectories: DataFrame, prompt: list[str], values: str, order: str | None = None) -> DataFrame:
-    """row, pos, value: a line for each rollout, by length within its prompt (``order="global"``: of all), padded by absence."""
-    length = F.size(values)
-    place = Window.orderBy("length", *prompt, "rollout_idx") if order == "global" else Window.orderBy(*prompt, "length", "rollout_idx")
-    lined = trajectories.withColumn("length", length).withColumn("row", F.row_number().over(place) - 1)
+    """row, pos, value: a line for each rollout, by length within its prompt (``order="global"``: of all), padded by absence.
+
+    Lines are numbered within blocks (a prompt, or a length) that start where the counts before them
+    end, so no task sorts all lines.
+    """
+    block = ["length"] if order == "global" else prompt
+    lengths = trajectories.withColumn("length", F.size(values))
+    starts = _running_count(lengths, block)
+    place = F.row_number().over(Window.partitionBy(*block).orderBy(*([] if order == "global" else ["length"]), *(prompt if order == "global" else []), "rollout_idx"))
+    lined = lengths.join(starts, block).withColumn("row", F.col("end") - F.col("n") + place - 1)
     return lined.select(*prompt, "rollout_idx", "row", F.posexplode(values).alias("pos", "value"))
 
 
+def _running_count(rows: DataFrame, block: list[str]) -> DataFrame:
+    """n of each block and where it ends; the counts, a row per block, are summed up in order."""
+    n = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("end", F.sum("n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def active_counts(trajectories: DataFrame, keys: list[str], values: str) -> DataFrame:
     """For each position how many rollouts have a finite value there."""
     at = trajectories.select(*keys, F.posexplode(values).alias("pos", "value"))
@@ -61,9 +73,7 @@ def active_counts(trajectories: DataFrame, keys: list[str], values: str) -> Data
 
 def prompt_bounds(trajectories: DataFrame, prompt: list[str]) -> DataFrame:
     """Where each prompt's block of lines ends, and its centre."""
-    n = trajectories.groupBy(*prompt).agg(F.count(F.lit(1)).alias("n"))
-    end = F.sum("n").over(Window.orderBy(*prompt).rowsBetween(Window.unboundedPreceding, 0))
-    return n.select(*prompt, "n", end.alias("end"), (end - F.col("n") / 2).alias("centre"))
+    return _running_count(trajectories, prompt).select(*prompt, "n", "end", (F.col("end") - F.col("n") / 2).alias("centre"))
 
 
 def colour_limits(cells: DataFrame, value: str = "value", low: float = 0.02, high: float = 0.98) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import PROMPT, RUN, beta, bootstrap, correlation, figures, filtering, judge, panel, regression, semantic, tree
 from ..sources import artifacts, results
+from . import compute
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,6 +192,12 @@ def kept_tree_metrics(spark, d):
     return rounded(tree.pooled_metrics(prompts, ["subset", *RUN], {"rollouts": F.sum("m")}).select("subset", *RUN, "prompts", "rollouts", "ce_star_max", "gen_ppl", "branching_factor"))
 
 
+@query()
+def pooled_stats(spark, d):
+    prompts = compute.prompt_stats(fx.embedded(spark, d), RUN, fx.MAX_NEW_TOKENS, compute.Compute(use_reward_filter=True))
+    return rounded(compute.flat_summary(compute.pooled_stats(prompts, RUN), RUN))
+
+
 # Embeddings
 
 
@@ -270,7 +277,7 @@ def heatmap_blocks(spark, d):
     return rounded(figures.prompt_bounds(fx.rollouts(spark, d), ["task", "prompt_id"]).withColumnRenamed("end", "end_line"))
 
 
-@query(f"select l.line::int as line, (s.t - 1)::int as pos, {R('s.h', 'value')} from (select rollout_idx, row_number() over (order by task, prompt_id, seq_len, rollout_idx) - 1 as line from fx_rollouts) l join fx_steps s on s.custkey = l.rollout_idx")
+@query(f"select l.line::bigint as line, (s.t - 1)::int as pos, {R('s.h', 'value')} from (select rollout_idx, row_number() over (order by task, prompt_id, seq_len, rollout_idx) - 1 as line from fx_rollouts) l join fx_steps s on s.custkey = l.rollout_idx")
 def heatmap_cells(spark, d):
     return rounded(figures.heatmap(fx.rollouts(spark, d), ["task", "prompt_id"], "step_entropy").select(F.col("row").alias("line"), "pos", "value"))
 

@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Used only where the session names no folder (tests on one machine).
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, kept in the folder that ``spark.checkpoint.dir`` names: what reads them several times plans from there, and survives lost executors."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+    return df.checkpoint()
+
+
 def flat_scalars(nested: DataFrame, keys: list[str]) -> DataFrame:
     """keys, name, value: the numbers of a row, those of structs as ``parent.child``; arrays and texts are skipped."""
     from pyspark.sql.types import NumericType, StructType

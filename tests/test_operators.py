@@ -309,6 +309,38 @@ def test_store(spark, tmp_path):
     assert store.resume_judgments(RUN, {"judge_name": "j"}, None) == 0
 
 
+def test_compute(spark, tmp_path):
+    from spanmill.plans import compute
+
+    store = artifacts.Store(spark, str(tmp_path))
+    store.save_run(RUN)
+    rows = rollout_rows(spark, range(4))
+    store.append(rows, "rollouts")
+    rewards = rows.select(*artifacts.RUN_KEYS, F.lit("r").alias("reward_name"), "prompt_id", "rollout_idx", F.col("rollout_idx").cast("float").alias("reward"))
+    vectors = rows.select(*artifacts.RUN_KEYS, F.lit("e").alias("embedding_key"), "prompt_id", "rollout_idx", F.when(F.col("rollout_idx") == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).cast("array<float>").alias("embedding"))
+    store.append(rewards, "rewards")
+    store.append(vectors, "embeddings")
+    prompts, pooled = compute.compute_run(store, compute.Compute(0.5, True), "e", "r")
+    got = {r.subset: r for r in pooled.collect()}
+    assert got["raw"].num_prompts == got["kept"].num_prompts == 3
+    assert got["raw"].semantic_diversity == pytest.approx(1) and got["raw"].vendi_score == pytest.approx(2) and got["kept"].vendi_score == pytest.approx(1) and got["kept"].semantic_diversity is None
+    assert got["raw"].ce_star_max == 1.5 and got["raw"].truncation_rate == 0
+    flat = compute.flat_summary(pooled, artifacts.RUN_KEYS)
+    assert flat.count() == 35 and {r.m for r in prompts.where("subset = 'kept'").collect()} == {1}
+    _, bare = compute.compute_run(store, embedding_key="none")
+    assert bare.where("subset = 'raw'").first().vendi_score is None
+    curves = compute.trajectory_table(rows, artifacts.RUN_KEYS, ["task"], 10, compute.Figures(bin_step=1))
+    assert [(r.t, r.mean_rate, r.active) for r in curves.orderBy("t").collect()] == [(1, 0.5, 8), (2, 0.75, 8)]
+    lengths = tree.rollout_entropies(rows)
+    assert compute.length_figure(lengths, ["task"], ["model_name"], "hist").agg(F.sum("n")).first()[0] == 8
+
+
+def test_heatmap_orders(spark):
+    rows = spark.createDataFrame([("p", 1, [1.0, 2.0]), ("p", 2, [1.0]), ("q", 3, [5.0])], "prompt_id string, rollout_idx int, v array<double>")
+    lines = lambda order: {r.rollout_idx: r.row for r in figures.heatmap(rows, ["prompt_id"], "v", order).collect()}
+    assert lines(None) == {2: 0, 1: 1, 3: 2} and lines("global") == {2: 0, 3: 1, 1: 2}
+
+
 def test_results(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1.5, (2.0, None), [1.0])], "k string, x double, s struct<p: double, q: double>, list array<double>")
     assert sorted((r.name, r.value) for r in results.flat_scalars(rows, ["k"]).collect() if r.value) == [("s.p", 2.0), ("x", 1.5)]
