@@ -82,7 +82,7 @@ def compute_run(store: artifacts.Store, settings: Compute = Compute(), embedding
         rollouts = artifacts.attach(rollouts, store.read("rewards", reward_name=reward_name), "reward", runs)
     if embedding_key is not None:
         rollouts = artifacts.attach(rollouts, store.read("embeddings", embedding_key=embedding_key), "embedding", runs)
-    rollouts = rollouts.join(F.broadcast(runs.select(*RUN_KEYS, "max_new_tokens")), RUN_KEYS)  # a row per run
+    rollouts = rollouts.join(runs.select(*RUN_KEYS, "max_new_tokens"), RUN_KEYS)
     prompts = prompt_stats(rollouts, RUN_KEYS, "max_new_tokens", settings)
     return prompts, pooled_stats(prompts, RUN_KEYS)
 

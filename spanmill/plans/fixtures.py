@@ -38,7 +38,7 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """task, model_name, model_variant, prompt_id, rollout_idx, step_entropy, h_sum, seq_len, rate, reward."""
     arrays = steps(spark, sf_dir).groupBy("custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "h"))), lambda s: s["h"]).alias("step_entropy"))
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    customer = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    customer = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     named = customer.select(
         F.col("r_name").alias("task"),
         F.concat(F.lit("fam"), (F.floor(F.col("c_custkey") / 2) % 3).cast("string")).alias("model_name"),

@@ -109,13 +109,13 @@ def require_complete(expected: DataFrame, found: DataFrame, keys: list[str] = RU
     short = completeness(expected, found, keys, num).where("not complete").select(*keys, "found", num).take(5)
     if short:
         raise ValueError(f"incomplete: {[r.asDict() for r in short]}")
-    return found.join(F.broadcast(expected.select(*keys, num)), keys).where(F.col("prompt_id") < F.col(num)).drop(num)
+    return found.join(expected.select(*keys, num), keys).where(F.col("prompt_id") < F.col(num)).drop(num)
 
 
 def attach(rollouts: DataFrame, artifact: DataFrame, value: str, expected: DataFrame, keys: list[str] = RUN_KEYS, num: str = "num_prompts") -> DataFrame:
     """Rollouts with an artifact's value. A run whose artifact is not complete gets null everywhere: all or nothing."""
     whole = completeness(expected, artifact, keys, num).where("complete").select(*keys)
-    usable = artifact.join(F.broadcast(whole), keys, "left_semi").select(*keys, "prompt_id", "rollout_idx", value)
+    usable = artifact.join(whole, keys, "left_semi").select(*keys, "prompt_id", "rollout_idx", value)
     return rollouts.join(usable, [*keys, "prompt_id", "rollout_idx"], "left")
 
 
