@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, documents, remainder
+from .common import Scratch, as_bytes, documents, few_files, remainder
 
 SPACE = "▁"
 #: Added to a piece's expected count, and passes of expectation maximisation over all training words.
@@ -176,23 +176,21 @@ def word_counts(docs: DataFrame, train: Column, of: Column, classes: int, text_c
     names = [f"c{k}" for k in range(classes)]
 
     def run(batches):
-        every, trained, held = Counter(), [Counter() for _ in names], 0
+        held = [Counter() for _ in range(classes + 1)]  # the last one: texts that are not learned from
 
         def rows():
-            words = list(every)
-            for at in range(0, len(words), 1 << 15):
-                part = words[at : at + (1 << 15)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([every[w] for w in part], pa.int64()), *(pa.array(list(map(c.__getitem__, part)), pa.int64()) for c in trained)], names=["word", "n", *names])
-            for c in (every, *trained):
-                c.clear()
+            for k, counter in enumerate(held):
+                words, counts = list(counter), list(counter.values())
+                for at in range(0, len(words), 1 << 15):
+                    n = pa.array(counts[at : at + (1 << 15)], pa.int64())
+                    none = pa.array(np.zeros(len(n), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(words[at : at + (1 << 15)], pa.binary()), n, *(n if k == j else none for j in range(classes))], names=["word", "n", *names])
+                counter.clear()
 
         for batch in batches:
             for learn, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                own = Counter(tokens(text))
-                every.update(own)
-                if learn is not None:
-                    trained[learn].update(own)
-                if len(every) > COUNTED_WORDS:
+                held[classes if learn is None else learn].update(tokens(text))
+                if sum(map(len, held)) > COUNTED_WORDS:
                     yield from rows()
         yield from rows()
 
@@ -375,4 +373,4 @@ def score(docs: DataFrame, train: Column, path: str, class_col: str | None = Non
 def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 10) == 0
     scored = score(documents(spark, sf_dir), ~held_out, public_tokenizers.path("piece_bpe_32k.model"), class_col="lang")
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return few_files(scored).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
