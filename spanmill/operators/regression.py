@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.results import cut
+
 Z95 = 1.959963984540054
 
 
@@ -126,6 +128,7 @@ def fit(rows: DataFrame, y: str, design: dict[str, Column], group: str = "prompt
 
 def main_regression(panel: DataFrame, y: str = "D") -> Fit:
     """y on rate, length, task and the product of model and variant, with an intercept for each prompt (REML)."""
+    panel = cut(panel)  # read for its levels, then for its sums
     model, variant = dummies("model_name", levels(panel, "model_name")), dummies("model_variant", levels(panel, "model_variant"))
     design = {"Intercept": F.lit(1.0), **dummies("task", levels(panel, "task")), **model, **variant, **products(model, variant), "R_bar": F.col("R_bar"), "N_bar": F.col("N_bar")}
     return fit(panel, y, design)
@@ -141,6 +144,7 @@ def interaction_design(panel: DataFrame, tuned: str = "instruct", base: str = "b
 
 def interaction_regression(panel: DataFrame, y: str = "D", tuned: str = "instruct", base: str = "base") -> Fit:
     """y on the product of rate and variant, length, task and model (REML). ``extra`` names beta (rate), tau (variant), eta (their product) and gamma (length)."""
+    panel = cut(panel)
     out = fit(panel, y, interaction_design(panel, tuned, base))
     v = f"model_variant[{tuned}]"
     out.extra = {"beta": out.terms["R_bar"].estimate, "tau": out.terms[v].estimate, "eta": out.terms[f"R_bar:{v}"].estimate, "gamma": out.terms["N_bar"].estimate}
@@ -149,6 +153,7 @@ def interaction_regression(panel: DataFrame, y: str = "D", tuned: str = "instruc
 
 def quadratic_robustness(panel: DataFrame, y: str = "D", tuned: str = "instruct", base: str = "base") -> dict[str, float]:
     """Does a quadratic rate change the picture? Both models by maximum likelihood over the centred rate; the ratio test has two degrees of freedom, whose tail is exp(-x / 2)."""
+    panel = cut(panel)
     (mean,) = panel.agg(F.avg("R_bar")).first()
     centred = panel.withColumn("R_bar", F.col("R_bar") - F.lit(mean))
     design = interaction_design(centred, tuned, base)
