@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, few_files
 from .components import connected_components
 
 THRESHOLD = 0.9
 BLOCKS = 4
-#: Vectors of a strip: what one task holds of either side.
-STRIP = 4096
+#: Bytes of a strip's vectors, what one task holds of either side; small tables get several strips still, of this many vectors at least.
+STRIP_BYTES = 8 << 20
+STRIPS, LEAST = 4, 1024
 #: Pairs that are verified at once.
 CHUNK = 1 << 15
 #: What rounding may add to a block's squared distance.
@@ -45,7 +46,7 @@ def unit_vectors(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", v
     return rows.drop("v"), reps
 
 
-def strips(reps: DataFrame, scratch: Scratch, dim: int, blocks: int, budget: float, strip: int) -> DataFrame:
+def strips(reps: DataFrame, scratch: Scratch, dim: int, blocks: int, budget: float, strip: int | None) -> DataFrame:
     """block, strip pair (s, t), role, node, copies, vector: each vector in its own strips and, as a visitor, in those that its block's range reaches."""
     import numpy as np
 
@@ -60,8 +61,9 @@ def strips(reps: DataFrame, scratch: Scratch, dim: int, blocks: int, budget: flo
 
     led = scratch.write(reps.select("node", "v", "copies").mapInArrow(lead, "node long, copies long, u array<double>, leads array<double>"), f"led{dim}", merged=True)
     n = led.count()
-    parts = max(1, -(-n // strip))
-    cuts = [led.select(F.col("leads")[b].alias("x")).stat.approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else [] for b in range(blocks)]
+    parts = -(-n // strip) if strip else max(-(-n // max(1, STRIP_BYTES // (8 * dim))), min(STRIPS, -(-n // LEAST)))
+    names = [f"x{b}" for b in range(blocks)]
+    cuts = led.select(*(F.col("leads")[b].alias(x) for b, x in enumerate(names))).stat.approxQuantile(names, [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else [[]] * blocks
     reach = [float((budget * (edges_at[b + 1] - edges_at[b]) / dim) ** 0.5) + SLACK for b in range(blocks)]
     schema = "block int, s int, t int, owner boolean, node long, copies long, u array<double>"
 
@@ -144,7 +146,7 @@ def joined(dealt: DataFrame, dim: int, blocks: int, budget: float, threshold: fl
     return dealt.groupBy("block", "s", "t").applyInArrow(tile, "node long, links long, toward long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, strip: int = STRIP, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, strip: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row, exactly.
 
     Equal vectors are joined as one and counted as many. Vectors that are null, empty, zero, or hold
@@ -178,4 +180,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return few_files(near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
