@@ -19,11 +19,7 @@ SLICE_BYTES = 8 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = LOCAL_CHECKPOINTS
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def few_files(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, documents, own_cache, table_batches
+from .common import Scratch, as_bytes, documents, few_files, own_cache, table_batches
 from .components import connected_components
 from .repeats import NO_ID
 
@@ -328,4 +328,4 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return few_files(near_duplicates(documents(spark, sf_dir)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import repeats
-from .common import Scratch, as_bytes, documents, table_batches
+from .common import Scratch, as_bytes, documents, few_files, table_batches
 
 #: Lines that a boundary depends on, and of how many boundaries' places one is taken.
 WINDOW = 2
@@ -125,4 +125,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(documents(spark, sf_dir)).select("doc_id", "text", *_STATS)
+    return few_files(deduplicate(documents(spark, sf_dir)).select("doc_id", "text", *_STATS))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import repeats
-from .common import as_bytes, documents
+from .common import as_bytes, documents, few_files
 
 #: A gear hash of 16 bits has seen exactly the last 16 bytes; its four highest bits decide.
 WINDOW = 16
@@ -130,4 +130,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(documents(spark, sf_dir)).select("doc_id", "text", *_STATS, F.length("text").cast("long").alias("n_chars"))
+    return few_files(deduplicate(documents(spark, sf_dir)).select("doc_id", "text", *_STATS, F.length("text").cast("long").alias("n_chars")))

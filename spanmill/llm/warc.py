@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, few_files
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -78,8 +78,8 @@ class Archive:
 
     @classmethod
     def write(cls, pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> "Archive":
-        with_headers(records(pages, min_revisit_bytes)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
-        payloads(pages).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
+        few_files(with_headers(records(pages, min_revisit_bytes))).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
+        few_files(payloads(pages)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
         return cls(pages.sparkSession, path)
 
     def headers(self) -> DataFrame:
@@ -122,7 +122,7 @@ class Archive:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = Archive.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), Scratch(spark, "warc").path("archive"))
-    return archive.summary()
+    return few_files(archive.summary())
 
 
 OP1_SQL = """
