@@ -40,6 +40,8 @@ COUNTED_WORDS = 250_000
 HOT_WORDS = 200_000
 #: Classes of training texts that are told apart.
 MAX_CLASSES = 8
+#: Bytes of a word up to which recursions are vectorised; longer words go through theirs alone, a position at a time.
+LONG_WORD = 256
 #: Words of a vectorised recursion.
 BATCH = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -120,14 +122,33 @@ class Lattice:
     def word_log_p(self, words: list[bytes]) -> np.ndarray:
         """Natural log of each word's probability of being spelled so, over all ways to do it."""
         out = np.empty(len(words))
-        for length, at, matrix in _by_length(words):
-            out[at] = self.forward(len(at), length, self.edges(matrix))[length] + self.log_stop
+        short = [i for i, w in enumerate(words) if len(w) < LONG_WORD]
+        for length, at, matrix in _by_length([b" " + words[i] for i in short]):
+            out[np.array(short)[at]] = self.forward(len(at), length, self.edges(matrix))[length] + self.log_stop
+        for i in sorted(set(range(len(words))) - set(short)):
+            out[i] = self.long_log_p(b" " + words[i]) + self.log_stop
         return out
 
+    def long_log_p(self, word: bytes) -> float:
+        """The forward recursion of one word, which keeps as many offsets as a piece is long."""
+        if not hasattr(self, "by_piece"):
+            self.by_piece = dict(zip(self.pieces, self.log_p.tolist(), strict=True))
+        longest = max(self.tables)
+        recent = [0.0]  # log probabilities of the offsets up to here
+        for end in range(1, len(word) + 1):
+            terms = [recent[-size] + p for size in range(1, len(recent) + 1) if (p := self.by_piece.get(word[end - size : end])) is not None]
+            most = max(terms)
+            recent.append(most + math.log(math.fsum(math.exp(t - most) for t in terms)))
+            if len(recent) > longest:
+                del recent[0]
+        return recent[-1]
+
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces in words that occur so often."""
+        """Expected counts of the pieces in words that occur so often. In words beyond ``LONG_WORD`` bytes no piece is taken to span a multiple of it."""
         out = np.zeros(len(self.pieces))
-        for length, at, matrix in _by_length(words):
+        parts = [(b" " + w)[k : k + LONG_WORD] for w in words for k in range(0, len(w) + 1, LONG_WORD)]
+        counts = np.repeat(counts, [len(w) // LONG_WORD + 1 for w in words])
+        for length, at, matrix in _by_length(parts):
             n, edges = len(at), self.edges(matrix)
             alpha = self.forward(n, length, edges)
             beta = np.full((length + 1, n), -np.inf)
@@ -148,11 +169,12 @@ def _hash(piece: bytes) -> int:
     return (h ^ (h >> 31)) * int(_BASE) % (1 << 64)
 
 
-def _by_length(words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    sizes = np.array([len(w) + 1 for w in words])
+def _by_length(parts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, which parts, their bytes as rows) for each length that occurs."""
+    sizes = np.array([len(w) for w in parts], dtype=np.int64)
     for length in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == length)
-        yield length, at, np.frombuffer(b"".join(b" " + words[i] for i in at.tolist()), dtype=np.uint8).reshape(-1, length)
+        yield length, at, np.frombuffer(b"".join(parts[i] for i in at.tolist()), dtype=np.uint8).reshape(-1, length)
 
 
 def tokens(text: bytes) -> list[bytes]:

@@ -122,7 +122,7 @@ def test_jaccard_oddities(spark):
     by = defaultdict(list)
     for r in rows:
         by[r.doc_id].append(r)
-    assert len(rows) == 12 and all(by[k][0].n_links == 0 and by[k][0].class_id == k and by[k][0].kept for k in (1, 2, 3, 4))
+    assert len(rows) == 13 and all(by[k][0].n_links == 0 and by[k][0].class_id == k and by[k][0].kept for k in (1, 2, 3, 4))
     assert by[8][0].n_links == 4 and {r.class_id for r in by[9]} == {8} and by[None][0].class_id == 8 and not by[None][0].kept
     assert jaccard.near_duplicates(empty(spark)).count() == 0
     assert jaccard.keep_first(empty(spark)).columns == empty(spark).columns
@@ -134,7 +134,7 @@ def test_runs_reach_the_recall():
         assert miss <= 0.001
 
 
-def test_lattice_sums_all_segmentations():
+def test_lattice_sums_all_segmentations(monkeypatch):
     own = lattice.Lattice([b" ", b" a", b" ab", b"a", b"b", b"c", b"ab", b"bc", b"abc"], np.log([0.5, 0.3, 0.2, 0.1, 0.2, 0.1, 0.1, 0.1, 0.1]), math.log(0.3))
     p = {k: math.exp(v) for k, v in zip(own.pieces, own.log_p, strict=True)}
 
@@ -143,6 +143,12 @@ def test_lattice_sums_all_segmentations():
 
     words = [b"abc", b"a", b"cab", b"abcabc", b"b", b""]
     assert np.allclose(own.word_log_p(words), [math.log(total(b" " + w) * 0.3) for w in words])
+    long = b"abcab" * 60
+    one = own.word_log_p([long])[0]
+    monkeypatch.setattr(lattice, "LONG_WORD", 1000)
+    assert own.word_log_p([long])[0] == pytest.approx(one)
+    monkeypatch.setattr(lattice, "LONG_WORD", 7)
+    assert own.expected([long], np.array([1.0]))[[0, 1, 2]].sum() == pytest.approx(1)
     counts = own.expected([b"abc"], np.array([2.0]))
     assert counts[[0, 1, 2]].sum() == pytest.approx(2)  # each word begins once
 
@@ -167,7 +173,7 @@ def test_lattice_joins_rare_words(spark):
     docs = odd_documents(spark)
     train = F.coalesce(F.col("doc_id"), F.lit(0)) != 8
     every, none = (sorted(((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lattice.score(docs, train, PIECES, hot_words=h).collect()), key=repr) for h in (1000, 0))
-    assert every == none and len(every) == 12
+    assert every == none and len(every) == 13
     assert lattice.score(empty(spark), train, PIECES).count() == 0
     one = lattice.score(docs.where("doc_id = 8"), F.lit(False), PIECES).first()
     assert one.n_known == 0 and one.train_tokens == 0 and math.isfinite(one.score)
@@ -186,7 +192,7 @@ def test_classifier_oddities(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(4, 0, 0), (8, 1, 0), (8, 1, 0), (9, None, 0), (None, 1, 1), (77, 1, 0)], "doc_id long, quality int, toxic int")
     model = classifier.fit(docs, labels, F.lit(True), Scratch(spark, "test"))
-    assert classifier.score(docs, model).where("score between 0 and 1").count() == 12
+    assert classifier.score(docs, model).where("score between 0 and 1").count() == 13
     flat = classifier.fit(docs, labels.limit(0), F.lit(True), Scratch(spark, "test"))
     assert {r.score for r in classifier.score(docs, flat).collect()} == {0.5}
     assert classifier.score(empty(spark), model).count() == 0
