@@ -66,7 +66,10 @@ class MergePrefixEncoder:
         for piece in self.score:
             self.pieces.add_word(piece, piece)
             self.joints.update(map("".join, zip(piece, piece[1:])))
+        for letter in {c for joint in self.joints for c in joint} - set(self.score):  # begins as a token too, whatever it becomes
+            self.pieces.add_word(letter, letter)
         self.pieces.make_automaton()
+        self.longest_run = max((len(p) for p in self.score if not p.strip(SPACE)), default=1)
         self.inner_space = any(x[1] == SPACE and x[0] != SPACE for x in self.joints)
         if self.inner_space or any("\n" in x for x in self.score):
             raise ValueError("pieces that span words or lines are not supported")
@@ -135,10 +138,9 @@ class MergePrefixEncoder:
             rest = rest[1:]
         elif rest:
             spaces -= 1
-        longest = max((len(p) for p in self.score if not p.strip(SPACE)), default=1)
         out = []
         while spaces:
-            n = min(longest, spaces)
+            n = min(self.longest_run, spaces)
             while n > 1 and SPACE * n not in self.score:
                 n -= 1
             out.append(SPACE * n)

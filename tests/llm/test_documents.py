@@ -23,9 +23,9 @@ SENTENCES = "The quick brown fox jumps over the lazy dog near the river bank. "
 
 def odd_documents(spark):
     """Nulls, empty and long texts, ties, repeated rows, and columns whose names could clash."""
-    texts = {1: None, 2: "", 3: " \n\t \n", 4: LONG, 5: "é" * 5000 + "\n\U0001f600 x\n\ny", 6: "same line\nsame line\nsame line\nsame line\n" * 9, 7: "one", 8: SENTENCES, 9: SENTENCES, None: SENTENCES}
+    texts = {1: None, 2: "", 3: " \n\t \n", 4: LONG, 5: "é" * 5000 + "\n\U0001f600 x\n\ny", 6: "same line\nsame line\nsame line\nsame line\n" * 9, 7: "one", 8: SENTENCES, 9: SENTENCES, 11: "x" * 30_000 + "漢字" * 5000, None: SENTENCES}
     rows = [(k, t, None, None, None, 7, "d", "l", 0, "x", "y", 3) for k, t in texts.items()]
-    return spark.createDataFrame([*rows, rows[-2], rows[-2]], SCHEMA)
+    return spark.createDataFrame([*rows, rows[-3], rows[-3]], SCHEMA)
 
 
 def empty(spark):
@@ -44,7 +44,7 @@ def test_sql(spark, duck, sf_dir, name):
 
 def test_quality_oddities(spark):
     rows = quality.clean(odd_documents(spark)).collect()
-    assert len(rows) == 12
+    assert len(rows) == 13
     by = {r.doc_id: r for r in rows}
     assert by[1].n_words == by[2].n_words == by[3].n_words == 0 and by[1].base_failed and not by[1].kept
     assert by[4].n_words == 200_001 and by[4].base_failed
@@ -139,7 +139,7 @@ def test_sentencepieces_oddities(spark):
         assert ids == library.encode(text), repr(text)
         assert own.decode([1, *ids, 2]).decode() == library.decode([1, *ids, 2])
     rows = sentencepieces.encode_decode(odd_documents(spark), path).collect()
-    assert len(rows) == 12 and {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {2}
+    assert len(rows) == 13 and {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {2}
     assert next(bytes(r.decoded).decode() for r in rows if r.doc_id == 4) == LONG
     assert sentencepieces.encode_decode(empty(spark), path).count() == 0
 
@@ -185,7 +185,7 @@ def test_chunk_oddities(spark, module):
     docs = odd_documents(spark)
     out = module.deduplicate(docs)
     rows = out.collect()
-    assert out.columns[: len(docs.columns)] == docs.columns and len({c.lower() for c in out.columns}) == len(out.columns) and len(rows) == 12
+    assert out.columns[: len(docs.columns)] == docs.columns and len({c.lower() for c in out.columns}) == len(out.columns) and len(rows) == 13
     by = {r.doc_id: r.text for r in rows}
     assert by[1] is None and by[2] == "" and by[8] == SENTENCES if module is lines else by[1] is None and by[2] == ""
     again = [r.text for r in rows if r.doc_id == 9]
