@@ -15,16 +15,21 @@ from .common import documents, one_row_texts, own_cache, table_batches
 MAX_LENGTH = 4096
 END_ID = 2
 #: Distinct words whose ids each worker remembers; others are tokenised again.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
 
+#: ASCII characters that are neither letters nor digits nor white space.
+_STOPS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
 class WordIds(dict):
     """Ids of white-space separated words, as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space before it splits, so a text's ids are those of its words in turn.
-    Words of Latin letters with or without stops after them share what is known of their letters.
+    Words of Latin letters with or without punctuation after them, which is a token run of its own,
+    share what is known of their letters.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
@@ -42,32 +47,33 @@ class WordIds(dict):
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words that aren't known; as many as there is room for are kept."""
-        found, split, new = {}, [], set()
+        found, split, new, cores = {}, [], {}, self.cores
         for word in words:
-            core = word.rstrip(b".,")
-            letters = core.decode("utf-8", "replace")
-            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):  # here lower case goes by the character and nothing composes
-                letters = letters.lower()
-                split.append((word, letters, word[len(core) :]))
-                if letters not in self.cores:
-                    new.add(letters)
+            core = word.rstrip(_STOPS)
+            if core.isalpha():  # ASCII letters
+                letters = core.lower()
             else:
-                found[word] = _packed(self.encode(word.decode("utf-8", "replace")))
-        cores, learned, at = self.cores, {}, 0
+                text = core.decode("utf-8", "replace")
+                if not text.isalpha() or max(text) >= "\u0100":
+                    found[word] = _packed(self.encode(word.decode("utf-8", "replace")))
+                    continue
+                letters = text.lower().encode()  # in Latin 1 lower case goes by the character and nothing composes
+            split.append((word, letters, len(core)))
+            if letters not in cores:
+                new[letters] = b""
         if new:
-            order = list(new)
-            ids = self.encode(" ".join(order))  # each is one word of the tokenizer, whose last id alone marks a word's end
-            ends = iter([k + 1 for k, i in enumerate(ids) if i in self.ends])
-            packed = _packed(ids)
-            for letters in order:
-                end = next(ends)
-                learned[letters] = packed[4 * at : 4 * end]
+            # Each is one word of the tokenizer, whose last id alone marks a word's end.
+            ids = self.encode(b" ".join(new).decode())
+            packed, at, ends = _packed(ids), 0, self.ends
+            words_ends = [4 * k for k, i in enumerate(ids, 1) if i in ends]
+            for letters, end in zip(new, words_ends, strict=True):
+                new[letters] = packed[at:end]
                 at = end
             if len(cores) < self.most:
-                cores.update(learned)
-        for word, letters, stops in split:
-            ids = learned[letters] if letters in learned else cores[letters]
-            found[word] = ids + self.stops(stops) if stops else ids
+                cores.update(new)
+        for word, letters, size in split:
+            ids = new[letters] if letters in new else cores[letters]
+            found[word] = ids if size == len(word) else ids + self.stops(word[size:])
         if len(self) < self.most:
             self.update(found)
         return found
