@@ -1,6 +1,7 @@
-"""Line deduplication: rolling hashes over line hashes choose where chunks of lines end, so an
-inserted line moves no boundary but those beside it; chunks of several lines that repeat anywhere
-are removed once their bytes have been compared."""
+"""Line deduplication: a rolling window of two lines is digested at every line, so no boundary can
+miss a repeated run of lines; a line goes if a window that holds it repeats an earlier one, once
+their bytes have been compared. Rolling hashes over line hashes cut the chunks in which what went
+is counted."""
 
 from __future__ import annotations
 
@@ -13,11 +14,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from . import repeats
 from .common import Scratch, as_bytes, documents, few_files, table_batches
 
-#: Lines that a boundary depends on, and of how many boundaries' places one is taken.
+#: Lines that a chunk's boundary depends on, and of how many places one is a boundary: chunks count what goes, they don't choose it.
 WINDOW = 2
 ONE_IN = 4
-#: Chunks of fewer lines stay.
-MIN_LINES = 2
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _STATS = ("n_lines", "n_removed_lines", "n_removed_chunks")
@@ -40,37 +39,40 @@ def line_chunks(text: bytes, window: int = WINDOW, one_in: int = ONE_IN) -> list
     return chunks
 
 
-def _countable(chunk: list[bytes]) -> bool:
-    return len(chunk) >= MIN_LINES and any(map(bytes.strip, chunk))
+def windows(lines: list[bytes]) -> list[tuple[int, bytes]]:
+    """Places of the pairs of neighbouring lines, one of them with a word, and the pairs' bytes."""
+    worded = [bool(line) and not line.isspace() for line in lines]
+    return [(i, b"%b\n%b" % (lines[i], lines[i + 1])) for i in range(len(lines) - 1) if worded[i] or worded[i + 1]]
 
 
 def chunk_digests(text: bytes) -> list[bytes]:
-    return [xxhash.xxh3_128_digest(b"\n".join(c)) for c in line_chunks(text) if _countable(c)]
+    return [xxhash.xxh3_128_digest(pair) for _, pair in windows(text.split(b"\n"))]
 
 
 def cleaned(text: bytes, shared: dict[bytes, bool]) -> tuple[bytes, int, int, int]:
-    """The text without the chunks that go; how many lines it had; lines and chunks that went."""
-    seen: set[bytes] = set()
-    kept, lines, gone, chunks = [], 0, 0, 0
+    """The text without the lines that go; how many lines it had; lines that went and chunks that went whole."""
+    lines = text.split(b"\n")
+    first: dict[bytes, int] = {}
+    goes = bytearray(len(lines))
+    for i, pair in windows(lines):
+        # A pair that overlaps its own first place is no second copy of it.
+        if i >= first.setdefault(pair, i) + 2 or shared and shared.get(xxhash.xxh3_128_digest(pair), False):
+            goes[i] = goes[i + 1] = 1
+    gone = sum(goes)
+    if not gone:
+        return text, len(lines), 0, 0
+    chunks = at = 0
     for chunk in line_chunks(text):
-        lines += len(chunk)
-        if _countable(chunk):
-            joined = b"\n".join(chunk)
-            later = joined in seen or shared and shared.get(xxhash.xxh3_128_digest(joined), False)
-            seen.add(joined)
-            if later:
-                gone += len(chunk)
-                chunks += 1
-                continue
-        kept += chunk
-    return b"\n".join(kept), lines, gone, chunks
+        chunks += all(goes[at : at + len(chunk)])
+        at += len(chunk)
+    return b"\n".join(line for line, go in zip(lines, goes, strict=True) if not go), len(lines), gone, chunks
 
 
 def compared(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k1, k2, first: shared digests whose chunks are the same bytes in all documents.
+    """k1, k2, first: shared digests whose pairs of lines are the same bytes in all documents.
 
-    Only chunks with a shared digest travel, and copies meet before the shuffle. A digest that two
-    different chunks have is left out: nothing is removed on its word.
+    Only pairs with a shared digest travel, and copies meet before the shuffle. A digest that two
+    different pairs have is left out: nothing is removed on its word.
     """
     listed = repeats.lists(found, repeats.shared(found))
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -82,25 +84,24 @@ def compared(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
             for batch in batches:
                 for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True)):
                     shared = repeats.list_of(batch.column(2), i)
-                    for chunk in line_chunks(text):
-                        if _countable(chunk):
-                            joined = b"\n".join(chunk)
-                            digest = xxhash.xxh3_128_digest(joined)
-                            if digest in shared:
-                                yield int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), repeats.NO_ID if doc is None else doc, joined
+                    for pair in {pair for _, pair in windows(text.split(b"\n"))}:
+                        digest = xxhash.xxh3_128_digest(pair)
+                        if digest in shared:
+                            yield int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), repeats.NO_ID if doc is None else doc, pair
 
         yield from table_batches(rows(), schema)
 
-    chunks = touched.mapInArrow(run, "k1 long, k2 long, doc long, bytes binary")
-    same = chunks.groupBy("k1", "k2", "bytes").agg(F.min("doc").alias("first"))
+    pairs = touched.mapInArrow(run, "k1 long, k2 long, doc long, bytes binary")
+    same = pairs.groupBy("k1", "k2", "bytes").agg(F.min("doc").alias("first"))
     return same.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("variants"), F.min("first").alias("first")).where("variants = 1").select("k1", "k2", "first")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without repeated chunks of lines, and three counts (``_STATS``).
+    """The documents without repeated runs of lines, and three counts (``_STATS``).
 
-    A chunk of two or more lines, one of them with a word, stays in the document with the smallest
-    id, at its first place. Rows that share an id count as one document and lose nothing to each
+    Two neighbouring lines, one of them with a word, stay in the document with the smallest id, at
+    their first place; every later run of two or more such lines goes, whatever stands around it.
+    A line that repeats alone stays. Rows that share an id count as one document and lose nothing to each
     other; so do rows without an id, after all others. A null text stays null and counts as one
     empty line. Other columns pass through; a count whose name one of them has gets an
     underscore after it.

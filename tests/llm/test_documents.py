@@ -217,6 +217,31 @@ def test_boundaries_resist_insertions():
     assert b"\n".join(b"\n".join(c) for c in lines.line_chunks(b"a\n\nb\n")) == b"a\n\nb\n"
 
 
+def run_lines_gone(texts):
+    """The texts without each line in a run of two or more, one with a word, that an earlier text has, by comparing all runs of lines."""
+    out, earlier = {}, set()
+    for k, text in sorted(texts.items()):
+        rows = text.split("\n")
+        runs = [(i, j, "\n".join(rows[i:j])) for i in range(len(rows)) for j in range(i + 2, min(i + 10, len(rows)) + 1)]
+        gone = {x for i, j, run in runs if run in earlier for x in range(i, j)}
+        earlier |= {run for *_, run in runs if run.strip()}
+        out[k] = "\n".join(row for x, row in enumerate(rows) if x not in gone)
+    return out
+
+
+def test_lines_find_copied_runs(spark):
+    """Copied blocks of 2 to 8 lines inside otherwise different documents go whole; lines that repeat alone stay."""
+    r = random.Random(11)
+    own = lambda n: [f"line {r.random()}" for _ in range(n)]
+    blocks = {n: own(n) for n in range(2, 9)}
+    texts = {k: "\n".join([*own(r.randrange(1, 4)), *blocks[2 + k % 7], "", *own(r.randrange(1, 3)), "alone", *own(2)]) for k in range(70)}
+    texts |= {100: "\n".join([blocks[8][0], "x", blocks[8][1], blocks[7][0], blocks[8][2]])}
+    got = {x.doc_id: x for x in lines.deduplicate(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+    assert {k: x.text for k, x in got.items()} == run_lines_gone(texts)
+    assert all(got[k].n_removed_lines >= 2 + k % 7 for k in range(7, 70)) and all(got[k].n_removed_lines == 0 for k in [*range(7), 100])
+    assert lines.cleaned(b"a\na\na\na\na", {})[:3] == (b"a\na", 5, 3) and lines.cleaned(b"a\nb\nc\na\nb", {})[0] == b"a\nb\nc"
+
+
 def test_lines_compare_bytes(spark, monkeypatch):
     """Chunks whose digests are equal but whose bytes are not stay."""
     a, b = "\n".join(f"first {i}" for i in range(40)), "\n".join(f"other {i}" for i in range(40))
