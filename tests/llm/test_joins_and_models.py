@@ -198,6 +198,24 @@ def test_classifier_oddities(spark):
     assert classifier.score(empty(spark), model).count() == 0
 
 
+def test_classifier_counts_each_indicator_alone(spark):
+    """Log ratios are those of exact counts, and words that training hasn't seen weigh nothing, however many it has."""
+    r = random.Random(4)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(12))
+    rows = [(k, " ".join([f"class{'ab'[k % 2]}", *(word("abcdefghijklm") for _ in range(1000))])) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    model = classifier.fit(docs, labels, F.lit(True), Scratch(spark, "test"))
+    texts = spark.createDataFrame([(k, " ".join(["classa", *(word("nopqrstuvwxyz") for _ in range(1000))])) for k in range(8)], "doc_id long, text string")
+    assert len({x.score for x in classifier.score(texts, model).collect()}) == 1
+    held = {}
+    for k, text in rows:
+        for key in classifier.features(text.encode()).tolist():
+            held.setdefault(key, [0, 0])[k % 2] += 1
+    ratios = {key: math.log((b + 1) / 202) - math.log((a + 1) / 202) for key, (a, b) in held.items() if a + b >= 3}
+    assert dict(zip(model.keys.tolist(), model.scales.tolist(), strict=True)) == pytest.approx({k: v * v for k, v in ratios.items() if v})
+
+
 def test_dual_coordinate_descent_meets_its_conditions():
     r = np.random.default_rng(1)
     y = np.where(r.random(80) < 0.5, 1.0, -1.0)
