@@ -158,7 +158,7 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id
 
 
 def filter_documents(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text") -> DataFrame:
-    """The rows that are kept, as they are, with all their columns; the judged text crosses to Python once."""
+    """The rows that are kept, with all their columns, without the lines that fail; the text crosses to Python once."""
     from pyspark.sql.types import StructType
 
     fields = docs.schema
@@ -167,7 +167,13 @@ def filter_documents(docs: DataFrame, rules: LineRules = LineRules(), text_col:
     def run(batches):
         own_cache("quality", _PHRASES.clear)
         for batch in batches:
-            yield batch.filter(pa.array([judge(text, rules)[6] for text in as_bytes(batch.column(place))], pa.bool_()))
+            kept, texts = [], []
+            for text in as_bytes(batch.column(place)):
+                *found, cleaned = judge(text, rules)
+                kept.append(found[6])
+                texts.append(cleaned.decode("utf-8", "replace") if found[6] else None)
+            columns = [pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, StructType(fields))
 

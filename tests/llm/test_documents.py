@@ -54,6 +54,18 @@ def test_quality_oddities(spark):
     assert kept.columns == odd_documents(spark).columns and {r.doc_id for r in kept.collect()} <= set(by)
 
 
+def test_quality_stage_removes_failing_lines(spark, sf_dir):
+    import corpus_pipeline
+
+    good = "The dog went to the river, and the fox stayed where it was before, near the old stone bridge of the town."
+    more = "Later that day a heavy rain fell on all the fields, so both of them went home and slept until noon."
+    rows = [(1, f"{good}\nHome | About | Contact | Help\n\n{more}", 999), (2, "Home | About | Contact | Help", 29), (3, None, None), (4, good, len(good))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    text = f"{good}\n\n{more}"
+    out = corpus_pipeline.quality_rules(spark, docs, sf_dir)
+    assert out.schema == docs.schema and sorted(map(tuple, out.collect())) == [(1, text, len(text)), (4, good, len(good))]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_repeated_words(seed):
     r = random.Random(seed)
