@@ -44,8 +44,8 @@ def _columns_of(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes the lines that fail the line-first rules, and drops the documents that the rules reject."""
-    return _columns_of(docs, quality.filter_documents(docs))
+    """Removes the lines that fail the line-first rules, and drops the documents that the rules reject: boilerplate counts as lost too."""
+    return _columns_of(docs, quality.filter_documents(docs, quality.LineRules(exempt=0)))
 
 
 @_stage

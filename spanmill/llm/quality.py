@@ -28,8 +28,9 @@ class LineRules:
     noisy_share: float = 0.5
     #: A line is boilerplate if it holds one of these phrases, in lower case.
     boilerplate: tuple[str, ...] = ("licensed under", "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here", "sign up for", "subscribe to our", "powered by", "skip to content")
-    #: A text is rejected if more than this share of its words went; boilerplate that is at most half of it doesn't count.
+    #: A text is rejected if more than this share of its words went; boilerplate that is at most ``exempt`` of it doesn't count.
     max_removed: float = 0.5
+    exempt: float = 0.5
 
 
 _TERMINALS = frozenset(b'.!?:;"\')]}') | {0xA6}  # 0xA6: last byte of the ellipsis
@@ -125,7 +126,7 @@ def judge(text: bytes, rules: LineRules) -> tuple:
         else:
             kept_lines.append(line)
     failed = n < MIN_WORDS or 100 * repeats > MAX_REPEATED_PERCENT * n
-    lost = plain_words if 2 * (bad_words - plain_words) <= n else bad_words
+    lost = plain_words if bad_words - plain_words <= rules.exempt * n else bad_words
     kept = not failed and lost <= rules.max_removed * n
     return n, word_chars, symbols, dup, repeats, failed, kept, bad_lines, bad_words, b"\n".join(kept_lines)
 

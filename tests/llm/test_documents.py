@@ -66,6 +66,17 @@ def test_quality_stage_removes_failing_lines(spark, sf_dir):
     assert out.schema == docs.schema and sorted(map(tuple, out.collect())) == [(1, text, len(text)), (4, good, len(good))]
 
 
+def test_quality_stage_bounds_all_lost_words(spark, sf_dir):
+    import corpus_pipeline
+
+    licence = "Licensed under the Apache License, Version 2.0 of the year two thousand and four, too."
+    menu = "Home | About | Contact | Help | Shop | News | Jobs | Terms"
+    own = "The dog went to a river, and the fox stayed where it was before, near an old stone bridge of that town."
+    docs = spark.createDataFrame([(1, f"{licence}\n{menu}"), (2, f"{licence}\n{own}")], "doc_id long, text string")
+    assert quality.judge(f"{licence}\n{menu}".encode(), quality.LineRules())[6]
+    assert [(r.doc_id, r.text) for r in corpus_pipeline.quality_rules(spark, docs, sf_dir).collect()] == [(2, own)]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_repeated_words(seed):
     r = random.Random(seed)
