@@ -276,6 +276,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     ids come last: their rows have the class of their links, null if these all lack an id, and are
     kept only then. Rows that repeat an id are documents of their own. Other columns are not read.
     """
+    return _judged(docs, threshold, recall, width, id_col, text_col).drop("k1", "k2")
+
+
+def _judged(docs: DataFrame, threshold: float, recall: float, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` with the digest (k1, k2) of each row's set."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = scratch.write(sketched(docs, id_col, text_col, width), "sketched", merged=True)
@@ -314,17 +319,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     classes = scratch.write(classes.join(least, "component").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "of"), "by_set", merged=True)
     out = rows.select("doc", "k1", "k2", "n").join(classes.withColumn("some", F.lit(True)), ["k1", "k2"], "left")
     of = F.when(F.col("n") > 0, F.when(F.col("of") != NO_ID, F.col("of"))).otherwise(F.col("doc"))
-    return out.select(F.col("doc").alias("doc_id"), of.alias("class_id"), F.when(F.col("n") > 0, F.col("links")).otherwise(0).cast("long").alias("n_links"), F.col("doc").eqNullSafe(of).alias("kept"))
+    return out.select(F.col("doc").alias("doc_id"), of.alias("class_id"), F.when(F.col("n") > 0, F.col("links")).otherwise(0).cast("long").alias("n_links"), F.col("doc").eqNullSafe(of).alias("kept"), "k1", "k2")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, of which none has a near-duplicate with a smaller id in its class.
 
-    Ids tell rows apart: rows that repeat a kept id all stay. Rows without an id stay.
+    Each row goes or stays by its own text, also where rows share an id. Rows without an id stay.
     """
-    dropped = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = Scratch(docs.sparkSession, "dropped").write(dropped.select(F.col("doc_id").alias("__dropped_id")).distinct(), "ids", merged=True)
-    return docs.join(gone, F.col(id_col) == F.col("__dropped_id"), "left_anti")
+    judged = _judged(docs, threshold, RECALL, SHINGLE, id_col, text_col).where(F.col("doc_id").isNotNull())
+    by_id = judged.groupBy(F.col("doc_id").alias("__dropped_id")).agg(F.max("kept").alias("__mixed"), F.collect_set(F.when(~F.col("kept"), F.struct("k1", "k2"))).alias("__sets"))
+    gone = Scratch(docs.sparkSession, "dropped").write(by_id.where(F.size("__sets") > 0).withColumn("__sets", F.when(F.col("__mixed"), F.col("__sets"))), "ids", merged=True)
+    same = F.col(id_col) == F.col("__dropped_id")
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        own_cache("jaccard", _WORDS.clear)
+        for batch in batches:
+            stays = []
+            for text, sets in zip(as_bytes(batch.column(place)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                digest = xxhash.xxh3_128_digest(shingles(text, SHINGLE).tobytes())
+                stays.append(np.frombuffer(digest, dtype="<i8").tolist() not in [[x["k1"], x["k2"]] for x in sets])
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(stays, pa.bool_()))
+
+    # Ids with both kinds of rows: their texts tell which.
+    some = docs.join(gone.where("__mixed"), same).select(*docs.columns, "__sets").mapInArrow(run, docs.schema)
+    return docs.join(gone.select("__dropped_id"), same, "left_anti").union(some)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

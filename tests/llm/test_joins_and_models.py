@@ -179,6 +179,14 @@ def test_lattice_joins_rare_words(spark):
     assert one.n_known == 0 and one.train_tokens == 0 and math.isfinite(one.score)
 
 
+def test_keep_first_judges_rows_that_share_an_id(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(f"w{r.randrange(10_000)}" for _ in range(60))
+    copied, alone, other = text(), text(), text()
+    docs = spark.createDataFrame([(1, copied, "a"), (5, copied + " more", "b"), (5, alone, "c"), (6, copied, "d"), (None, copied, "e"), (7, other, "f"), (7, other, "g"), (7, "", "h")], "doc_id long, text string, kind string")
+    assert "".join(sorted(x.kind for x in jaccard.keep_first(docs).collect())) == "acefgh"
+
+
 def test_classifier_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
