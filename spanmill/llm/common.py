@@ -102,6 +102,13 @@ def as_bytes(column: pa.Array) -> Iterator[bytes]:
             yield value or b""
 
 
+def sliced(batches: Iterable[pa.RecordBatch], most: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows at most, so that few texts are held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
 def one_row_texts(batches: Iterable[pa.RecordBatch], text: str, keys: list[str]) -> Iterator[tuple[tuple, bytes]]:
     """(keys, text) for each row of the batches."""
     for batch in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import repeats
-from .common import Scratch, as_bytes, documents, few_files, table_batches
+from .common import Scratch, as_bytes, documents, few_files, own_cache, sliced, table_batches
 
 #: Lines that a chunk's boundary depends on, and of how many places one is a boundary: chunks count what goes, they don't choose it.
 WINDOW = 2
@@ -80,8 +80,10 @@ def compared(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
+        own_cache("lines", dict)
+
         def rows():
-            for batch in batches:
+            for batch in sliced(batches):
                 for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True)):
                     shared = repeats.list_of(batch.column(2), i)
                     for pair in {pair for _, pair in windows(text.split(b"\n"))}:
@@ -111,11 +113,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stats = repeats.free_names(names, _STATS)
     place = names.index(text_col)
     found = scratch.write(repeats.light(docs, chunk_digests, id_col, text_col), "light", merged=True)
-    together = repeats.with_lists(docs, repeats.lists(found, compared(docs, found, id_col, text_col)), id_col)
+    together = repeats.with_lists(docs, repeats.lists(found, compared(docs, found, id_col, text_col), later_only=True), id_col)
     schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in stats)])
 
     def run(batches):
-        for batch in batches:
+        own_cache("lines", dict)
+        for batch in sliced(batches):
             listed = batch.column(batch.num_columns - 1)
             rows = [cleaned(text, repeats.list_of(listed, i)) for i, text in enumerate(as_bytes(batch.column(place)))]
             texts = pa.array([r[0].decode("utf-8", "replace") if ok else None for r, ok in zip(rows, batch.column(place).is_valid().to_pylist(), strict=True)], pa.string())

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, own_cache, table_batches
+from .common import as_bytes, documents, own_cache, sliced, table_batches
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -167,7 +167,7 @@ def filter_documents(docs: DataFrame, rules: LineRules = LineRules(), text_col:
 
     def run(batches):
         own_cache("quality", _PHRASES.clear)
-        for batch in batches:
+        for batch in sliced(batches):
             kept, texts = [], []
             for text in as_bytes(batch.column(place)):
                 *found, cleaned = judge(text, rules)

@@ -42,9 +42,10 @@ def shared(found: DataFrame) -> DataFrame:
     return found.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("k1", "k2", "first")
 
 
-def lists(found: DataFrame, firsts: DataFrame) -> DataFrame:
-    """doc and its list of shared digests (k1, k2, later: another document is the first). A list is no longer than its document."""
-    both = found.join(firsts, ["k1", "k2"]).select("doc", F.struct("k1", "k2", (F.col("doc") != F.col("first")).alias("later")).alias("x"))
+def lists(found: DataFrame, firsts: DataFrame, later_only: bool = False) -> DataFrame:
+    """doc and its list of shared digests (k1, k2, later: another document is the first). A list is no longer than its document. ``later_only``: without those of which it is the first."""
+    both = found.join(firsts, ["k1", "k2"])
+    both = (both.where(F.col("doc") != F.col("first")) if later_only else both).select("doc", F.struct("k1", "k2", (F.col("doc") != F.col("first")).alias("later")).alias("x"))
     return both.groupBy("doc").agg(F.collect_list("x").alias("list"))
 
 
