@@ -1,15 +1,11 @@
-"""Language-model scores by a subword lattice: the likelihood of a text is the sum over all its
+"""Language-model scores by a subword lattice: the probability of a text is the sum over all its
 segmentations into pieces of an existing vocabulary, by a forward recursion in log space.
 
-Pieces never span words, so a text's sum is the product of its words' sums, and each distinct word is
-worked out once for the whole corpus. A word is one edge of the lattice if the training texts hold
-it, with its discounted count; the counts' discounts are the probability that a word is spelled from
-the vocabulary's pieces. Their probabilities are learned from the training texts' distinct words by
-expectation maximisation, starting from the vocabulary's order.
-
-A text may come from one of a few classes (languages, where training rows name them). Each has its own
-word counts, whose discounts fall back on the lattice of all; a text's probability is the sum over
-the classes, so scoring sees the text alone.
+Pieces never span words, so a text's sum is the product of its words' sums and of an end, and each
+distinct word is worked out once for the whole corpus. The model is a unigram one: the pieces and the
+end share one distribution. A vocabulary of merges has ranks for scores, not probabilities, so
+these are learned by expectation maximisation from the words of all training texts, each as often as
+it occurs, starting from the vocabulary's order.
 """
 
 from __future__ import annotations
@@ -26,21 +22,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, documents, few_files, remainder
+from .common import Scratch, as_bytes, documents, remainder
 
 SPACE = "▁"
 #: Added to a piece's expected count, and passes of expectation maximisation over all training words.
 SMOOTHING = 0.01
 PASSES = 3
+#: Added to a rank where a pass begins from the vocabulary's order, by Zipf's law.
+RANK_SHIFT = 100
 #: Added to a word's count by the word model that the scores are compared with.
 BASE_SMOOTHING = 0.1
-#: Words that a worker counts before it hands them on.
-COUNTED_WORDS = 250_000
+#: Words that a worker counts before it hands them on, and bytes of text that it takes meanwhile at most.
+COUNTED_WORDS, COUNTED_BYTES = 250_000, 128 << 20
 #: The most frequent words, at most so many, are sent to all workers; the others meet their scores in a join.
 HOT_WORDS = 200_000
-#: Classes of training texts that are told apart.
-MAX_CLASSES = 8
-#: Bytes of a word up to which recursions are vectorised; longer words go through theirs alone, a position at a time.
+#: Bytes of a word up to which recursions run over many words at once; a longer word goes through the same recursion alone.
 LONG_WORD = 256
 #: Words of a vectorised recursion.
 BATCH = 20_000
@@ -62,15 +58,11 @@ def vocabulary(path: str) -> list[bytes]:
 
 @dataclass
 class Lattice:
-    """Pieces with their log probabilities, laid out for look-up by length and hash.
-
-    Of the pieces that begin a word (with a space) the probabilities sum to one; so do those of the
-    others together with the end of a word.
-    """
+    """Pieces with their natural log probabilities, laid out for look-up by length and hash. Those of the pieces and of the end sum to one."""
 
     pieces: list[bytes]
     log_p: np.ndarray
-    log_stop: float
+    log_end: float = 0.0
 
     def __post_init__(self) -> None:
         by_length: dict[int, list[int]] = {}
@@ -120,48 +112,59 @@ class Lattice:
         return alpha
 
     def word_log_p(self, words: list[bytes]) -> np.ndarray:
-        """Natural log of each word's probability of being spelled so, over all ways to do it."""
+        """Natural log of each word's probability, over all ways to spell it with the space before it."""
         out = np.empty(len(words))
         short = [i for i, w in enumerate(words) if len(w) < LONG_WORD]
         for length, at, matrix in _by_length([b" " + words[i] for i in short]):
-            out[np.array(short)[at]] = self.forward(len(at), length, self.edges(matrix))[length] + self.log_stop
+            out[np.array(short)[at]] = self.forward(len(at), length, self.edges(matrix))[length]
         for i in sorted(set(range(len(words))) - set(short)):
-            out[i] = self.long_log_p(b" " + words[i]) + self.log_stop
+            out[i] = self.long_forward(b" " + words[i])[-1]
         return out
 
-    def long_log_p(self, word: bytes) -> float:
-        """The forward recursion of one word, which keeps as many offsets as a piece is long."""
-        if not hasattr(self, "by_piece"):
-            self.by_piece = dict(zip(self.pieces, self.log_p.tolist(), strict=True))
-        longest = max(self.tables)
-        recent = [0.0]  # log probabilities of the offsets up to here
+    def spelled(self, word: bytes, end: int) -> list[tuple[int, int, float]]:
+        """(begin, piece, log probability) of the pieces of one word that end there."""
+        if not hasattr(self, "places"):
+            self.places = {p: (i, x) for i, (p, x) in enumerate(zip(self.pieces, self.log_p.tolist(), strict=True))}
+        return [(begin, *found) for begin in range(max(0, end - max(self.tables)), end) if (found := self.places.get(word[begin:end]))]
+
+    def long_forward(self, word: bytes) -> list[float]:
+        """``forward`` of one word, a position at a time."""
+        alpha = [0.0]
         for end in range(1, len(word) + 1):
-            terms = [recent[-size] + p for size in range(1, len(recent) + 1) if (p := self.by_piece.get(word[end - size : end])) is not None]
-            most = max(terms)
-            recent.append(most + math.log(math.fsum(math.exp(t - most) for t in terms)))
-            if len(recent) > longest:
-                del recent[0]
-        return recent[-1]
+            alpha.append(_log_sum([alpha[begin] + p for begin, _, p in self.spelled(word, end)]))
+        return alpha
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces in words that occur so often. In words beyond ``LONG_WORD`` bytes no piece is taken to span a multiple of it."""
+        """Expected counts of the pieces in words that occur so often."""
         out = np.zeros(len(self.pieces))
-        parts = [(b" " + w)[k : k + LONG_WORD] for w in words for k in range(0, len(w) + 1, LONG_WORD)]
-        counts = np.repeat(counts, [len(w) // LONG_WORD + 1 for w in words])
-        for length, at, matrix in _by_length(parts):
+        short = [i for i, w in enumerate(words) if len(w) < LONG_WORD]
+        for length, at, matrix in _by_length([b" " + words[i] for i in short]):
             n, edges = len(at), self.edges(matrix)
             alpha = self.forward(n, length, edges)
             beta = np.full((length + 1, n), -np.inf)
             beta[length] = 0
-            times = counts[at]
+            times = counts[np.array(short)[at]]
             for end in range(length, 0, -1):
                 for begin, own, ids in edges[end]:
                     through = beta[end, own] + self.log_p[ids]
                     out += np.bincount(ids, np.exp(alpha[begin, own] + through - alpha[length, own]) * times[own], len(out))
                     beta[begin, own] = np.logaddexp(beta[begin, own], through)
+        for k in sorted(set(range(len(words))) - set(short)):
+            word = b" " + words[k]
+            alpha, beta = self.long_forward(word), [-math.inf] * len(word) + [0.0]
+            for end in range(len(word), 0, -1):
+                for begin, i, p in self.spelled(word, end):
+                    through = beta[end] + p
+                    out[i] += math.exp(alpha[begin] + through - alpha[-1]) * counts[k]
+                    beta[begin] = _log_sum([beta[begin], through])
         return out
 
 
+def _log_sum(terms: list[float]) -> float:
+    most = max(terms)
+    return most + math.log(math.fsum(math.exp(t - most) for t in terms)) if most > -math.inf else most
+
+
 def _hash(piece: bytes) -> int:
     h = 0
     for b in piece:
@@ -182,42 +185,31 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def class_column(docs: DataFrame, train: Column, class_col: str | None) -> tuple[Column, int]:
-    """The number of a training row's class, and how many there are: the largest ``MAX_CLASSES`` by name, all others (and nulls) together as the last."""
-    if class_col is None:
-        return F.lit(0), 1
-    named = docs.where(train & F.col(class_col).isNotNull()).groupBy(F.col(class_col).cast("string").alias("name")).count().orderBy(F.desc("count"), "name").limit(MAX_CLASSES).collect()
-    out = F.lit(len(named))
-    for k, row in enumerate(named):
-        out = F.when(F.col(class_col).cast("string").eqNullSafe(F.lit(row["name"])), k).otherwise(out)
-    return out, len(named) + 1
-
-
-def word_counts(docs: DataFrame, train: Column, of: Column, classes: int, text_col: str = "text") -> DataFrame:
-    """word, n (in all texts), c0, c1, ... (in training texts of each class). Workers count before they shuffle, so a word of a third of all tokens is a few rows."""
-    names = [f"c{k}" for k in range(classes)]
+def word_counts(docs: DataFrame, train: Column, text_col: str = "text") -> DataFrame:
+    """word, n (in all texts), c (in training texts). Workers count before they shuffle, so a word of a third of all tokens is a few rows."""
 
     def run(batches):
-        held = [Counter() for _ in range(classes + 1)]  # the last one: texts that are not learned from
+        held, taken = (Counter(), Counter()), 0
 
         def rows():
-            for k, counter in enumerate(held):
+            for learn, counter in enumerate(held):
                 words, counts = list(counter), list(counter.values())
-                for at in range(0, len(words), 1 << 15):
-                    n = pa.array(counts[at : at + (1 << 15)], pa.int64())
-                    none = pa.array(np.zeros(len(n), dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(words[at : at + (1 << 15)], pa.binary()), n, *(n if k == j else none for j in range(classes))], names=["word", "n", *names])
+                for at in range(0, len(words), 1 << 14):
+                    n = pa.array(counts[at : at + (1 << 14)], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(words[at : at + (1 << 14)], pa.binary()), n, n if learn else pa.array(np.zeros(len(n), dtype=np.int64))], names=["word", "n", "c"])
                 counter.clear()
 
         for batch in batches:
             for learn, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                held[classes if learn is None else learn].update(tokens(text))
-                if sum(map(len, held)) > COUNTED_WORDS:
+                held[bool(learn)].update(tokens(text))
+                taken += len(text)
+                if len(held[0]) + len(held[1]) > COUNTED_WORDS or taken > COUNTED_BYTES:
                     yield from rows()
+                    taken = 0
         yield from rows()
 
-    counted = docs.select(F.when(train, of).alias("learn"), F.col(text_col).alias("text")).mapInArrow(run, f"word binary, n long, {', '.join(f'{c} long' for c in names)}")
-    return counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", *names)))
+    counted = docs.select(train.alias("learn"), F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long, c long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
 def _word_batches(batches) -> Iterator[pa.Table]:
@@ -232,95 +224,57 @@ def _word_batches(batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def learn(words: DataFrame, path: str, passes: int = PASSES) -> Lattice:
-    """The pieces' probabilities from all training words, each once. What comes to the driver is one number per piece."""
-    pieces = vocabulary(path)
-    first = np.array([p[:1] == b" " for p in pieces])
+def weighted(pieces: list[bytes], counts: np.ndarray, ends: float) -> Lattice:
+    """Pieces and an end by these counts."""
+    total = counts.sum() + ends
+    return Lattice(pieces, np.log(counts / total), math.log(ends / total))
 
-    def normalised(counts: np.ndarray, stops: float) -> Lattice:
-        rest = counts[~first].sum() + stops
-        return Lattice(pieces, np.log(counts / np.where(first, counts[first].sum(), rest)), math.log(stops / rest))
 
-    counts = 1 / (np.arange(len(pieces)) + 100.0)
-    lattice = normalised(counts, float(counts[~first].sum()))
+def learn(words: DataFrame, texts: int, path: str, passes: int = PASSES) -> Lattice:
+    """The probabilities from all training words (word, c) and the number of training texts. What comes to the driver is one number per piece."""
+    pieces = vocabulary(path)
+    lattice = weighted(pieces, 1 / (np.arange(len(pieces)) + float(RANK_SHIFT)), 1 / RANK_SHIFT)
     for _ in range(passes):
         shared = words.sparkSession.sparkContext.broadcast(lattice)
 
         def run(batches, shared=shared):
-            out, n = None, 0
+            out = np.zeros(len(shared.value.pieces))
             for table in _word_batches(batches):
-                found = shared.value.expected(table["word"].to_pylist(), np.ones(table.num_rows))
-                out = found if out is None else out + found
-                n += table.num_rows
-            if out is not None:
-                at = np.flatnonzero(out)
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[out[at], n])], names=["piece", "count"])
-
-        found = words.where(F.col("c") > 0).select("word").mapInArrow(run, "piece int, count double").groupBy("piece").agg(F.sum("count").alias("count")).toArrow()
-        piece, count = found["piece"].to_numpy(), found["count"].to_numpy()
+                out += shared.value.expected(table["word"].to_pylist(), table["c"].to_numpy())
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], names=["piece", "count"])
+
+        found = words.where("c > 0").select("word", "c").mapInArrow(run, "piece int, count double").groupBy("piece").agg(F.sum("count").alias("count")).toArrow()
         counts = np.full(len(pieces), SMOOTHING)
-        counts[piece[piece >= 0]] += count[piece >= 0]
-        lattice = normalised(counts, float(count[piece < 0].sum()) + SMOOTHING)
+        counts[found["piece"].to_numpy()] += found["count"].to_numpy()
+        lattice = weighted(pieces, counts, texts + SMOOTHING)
+        shared.unpersist()
     return lattice
 
 
-@dataclass
-class Discounted:
-    """Absolute discounting of word counts: what is taken from each known word's count is the chance of falling back."""
-
-    tokens: int
-    texts: int
-    types: int
-    once: int
-    twice: int
-
-    def __post_init__(self) -> None:
-        self.discount = self.once / (self.once + 2 * self.twice) if self.once and self.twice else 0.5
-        self.mass = self.tokens + self.texts + 1.0
-        self.fall_back = math.log((self.discount * self.types + 0.5) / self.mass)
-        self.end = math.log10((self.texts + 0.5) / self.mass)
-
-    def log_p(self, counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Natural logs, from the counts and the logs of what is fallen back on."""
-        own = np.maximum(counts - self.discount, 0) / self.mass
-        return np.logaddexp(np.log(own, out=np.full(len(own), -np.inf), where=own > 0), self.fall_back + below)
-
-
-def _discounted(words: DataFrame, columns: list[str], texts: list[int]) -> list[Discounted]:
-    found = words.agg(*(x.alias(f"x{i}") for i, x in enumerate(y for c in columns for y in (F.coalesce(F.sum(c), F.lit(0)), *(F.count(F.when(z, 1)) for z in (F.col(c) > 0, F.col(c) == 1, F.col(c) == 2)))))).first()
-    return [Discounted(found[4 * k], texts[k], *found[4 * k + 1 : 4 * k + 4]) for k in range(len(columns))]
-
-
-def score(docs: DataFrame, train: Column, path: str, class_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
+def score(docs: DataFrame, train: Column, path: str, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score for every row, all logs to base 10.
 
     Words are what ASCII white space separates, with A-Z in lower case; an end follows them. A null
-    text is an empty one, whose only token is the end; null ids stay null; rows that repeat are
-    scored each. With no training text, counts are 0 and only the smoothing speaks. ``class_col``
-    names the class of training rows; it is not read of the row that is scored. Other columns are
-    not read.
+    text is an empty one, whose only token is the end; ids are integers, and null ids stay null; rows that repeat are
+    scored each, whole, however long. With no training text, counts are 0 and the vocabulary's order and the smoothing
+    alone speak. An empty table gives an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "lattice")
-    of, classes = class_column(docs, train, class_col)
-    names = [f"c{k}" for k in range(classes)]
-    words = word_counts(docs, train, of, classes, text_col)
-    words = scratch.write(words.withColumn("c", sum((F.col(c) for c in names[1:]), F.col(names[0]))), "words", merged=True)
-    texts = {r["k"]: r["n"] for r in docs.where(train).groupBy(of.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    texts = [texts.get(k, 0) for k in range(classes)]
-    every, *each = _discounted(words, ["c", *names], [sum(texts), *texts])
-    train_tokens, distinct = every.tokens + every.texts, every.types + (every.texts > 0)
-    lattice = spark.sparkContext.broadcast(learn(words, path))
-    chance = [math.log10((n + 1) / (sum(texts) + classes)) for n in texts]
-    logs = [f"l{k}" for k in range(classes)]
+    scratch = scratch or Scratch(spark, "lattice")
+    words = scratch.write(word_counts(docs, train, text_col), "words")
+    texts = docs.where(train).count()
+    tokens_, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    train_tokens, distinct = tokens_ + texts, types + (texts > 0)
+    lattice = learn(words, texts, path)
+    shared = spark.sparkContext.broadcast(lattice)
 
     def weigh(batches):
         for table in _word_batches(batches):
-            below = every.log_p(table["c"].to_numpy(), lattice.value.word_log_p(table["word"].to_pylist()))
-            found = [each[k].log_p(table[c].to_numpy(), below) / math.log(10) for k, c in enumerate(names)]
-            yield from pa.table([table["word"], table["n"], table["c"], *map(pa.array, found)], names=["word", "n", "c", *logs]).combine_chunks().to_batches()
+            found = shared.value.word_log_p(table["word"].to_pylist()) / math.log(10)
+            yield from table.append_column("l", pa.array(found)).combine_chunks().to_batches()
 
-    weighed = scratch.write(words.mapInArrow(weigh, f"word binary, n long, c long, {', '.join(f'{x} double' for x in logs)}"), "weighed", merged=True)
+    weighed = scratch.write(words.mapInArrow(weigh, "word binary, n long, c long, l double"), "weighed")
     # The frequent words: the smallest count, on a scale of bounded length, above which there are few enough.
     step = lambda c: F.floor(F.log2(c) * 16)
     bins = weighed.groupBy(step("n").alias("step")).count().orderBy(F.desc("step")).collect()
@@ -333,28 +287,27 @@ def score(docs: DataFrame, train: Column, path: str, class_col: str | None = Non
     frequent = F.lit(False) if least is None else step("n") >= least
     scale = train_tokens + BASE_SMOOTHING * (distinct + 1)
     base = lambda c: np.log10((c + BASE_SMOOTHING) / scale)
-    table = weighed.where(frequent).select("word", "c", *logs).toArrow()
+    table = weighed.where(frequent).select("word", "c", "l").toArrow()
     known = table["c"].to_numpy()
     places = {w: i for i, w in enumerate(table["word"].to_pylist())}
-    hot = spark.sparkContext.broadcast((places, np.column_stack([known > 0, base(known), *(table[x].to_numpy() for x in logs)]).reshape(len(places), 2 + classes)))
-    end = np.array([int(every.texts > 0), float(base(np.float64(every.texts))), *(x.end for x in each)])
-    fields = ["row", "id", "word", "times", "n_tokens", "n_known", "base", *(f"s{k}" for k in range(classes))]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * (1 + classes)]
+    hot = spark.sparkContext.broadcast((places, np.column_stack([known > 0, base(known), table["l"].to_numpy()]).reshape(len(places), 3)))
+    end = np.array([int(texts > 0), float(base(np.float64(texts))), lattice.log_end / math.log(10)])
+    kinds = {"row": pa.int64(), "id": pa.int64(), "word": pa.binary(), "times": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "s": pa.float64()}
 
     def run(batches):
         (places, values), part, at = hot.value, TaskContext.get().partitionId() << 40, 0
-        whole, rows, words, times = [], [], [], []
+        whole, rows, words, times, size = [], [], [], [], 0
 
         def flush():
             row, key, n, sums = zip(*whole, strict=True)
             sums = np.array(sums)
             # A space is in no word: these rows' keys are their own and meet no word in the join.
-            columns = [row, key, [b" %d" % r for r in row], [0] * len(row), n, sums[:, 0].astype(np.int64), *sums[:, 1:].T]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=fields)
-            for k in range(0, len(rows), 1 << 15):
-                own = slice(k, k + (1 << 15))
-                size = len(rows[own])
-                yield pa.RecordBatch.from_arrays([pa.array(rows[own], kinds[0]), pa.nulls(size, kinds[1]), pa.array(words[own], kinds[2]), pa.array(times[own], kinds[3]), *(pa.nulls(size, x) for x in kinds[4:])], names=fields)
+            columns = [row, key, [b" %d" % r for r in row], [0] * len(row), n, sums[:, 0].astype(np.int64), sums[:, 1], sums[:, 2]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+            for k in range(0, len(rows), 1 << 14):
+                own = slice(k, k + (1 << 14))
+                n = len(rows[own])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[own], pa.int64()), pa.nulls(n, pa.int64()), pa.array(words[own], pa.binary()), pa.array(times[own], pa.int64()), *(pa.nulls(n, kinds[x]) for x in ("n_tokens", "n_known", "base", "s"))], names=list(kinds))
             for c in (whole, rows, words, times):
                 c.clear()
 
@@ -368,31 +321,31 @@ def score(docs: DataFrame, train: Column, path: str, class_col: str | None = Non
                     words.extend(rare)
                     times.extend(rare.values())
                     found = [f for f in found if f is not None]
+                    size += len(text)
                 whole.append((part | at, key, len(own) + 1, end + values[found].sum(0) if found else end))
                 at += 1
-                if len(rows) + len(whole) >= 1 << 15:
+                if len(rows) + len(whole) >= 1 << 15 or size > 32 << 20:
                     yield from flush()
+                    size = 0
         if whole:
             yield from flush()
 
-    ddl = ["long", "long", "binary", "long", "long", "long", *["double"] * (1 + classes)]
-    parts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{f} {k}" for f, k in zip(fields, ddl, strict=True)))
+    ddl = "row long, id long, word binary, times long, n_tokens long, n_known long, base double, s double"
+    parts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
     met = parts.join(weighed.where(~frequent).drop("n"), "word", "left")
     times, count = F.col("times"), F.coalesce("c", F.lit(0))
     rare_base = times * F.log10((count + F.lit(BASE_SMOOTHING)) / F.lit(float(scale)))
-    summed = met.groupBy("row").agg(
+    return met.groupBy("row").agg(
         F.max("id").alias(id_col),
         F.max("n_tokens").alias("n_tokens"),
         F.sum(F.coalesce("n_known", F.when(count > 0, times).otherwise(0))).cast("long").alias("n_known"),
+        F.lit(train_tokens).cast("long").alias("train_tokens"),
         F.sum(F.coalesce("base", rare_base)).alias("base_score"),
-        *((F.sum(F.coalesce(f"s{k}", times * F.col(x))) + chance[k]).alias(x) for k, x in enumerate(logs)),
-    )
-    most = F.greatest(*logs) if classes > 1 else F.col(logs[0])
-    of_classes = most + F.log10(sum((F.pow(F.lit(10.0), F.col(x) - most) for x in logs), F.lit(0.0)))
-    return summed.select(id_col, "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", of_classes.alias("score"))
+        F.sum(F.coalesce("s", times * F.col("l"))).alias("score"),
+    ).drop("row")
 
 
 def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 10) == 0
-    scored = score(documents(spark, sf_dir), ~held_out, public_tokenizers.path("piece_bpe_32k.model"), class_col="lang")
-    return few_files(scored).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = score(documents(spark, sf_dir), ~held_out, public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
