@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, documents, own_cache, remainder, table_batches
+from .common import CACHED_BYTES, Scratch, as_bytes, documents, own_cache, remainder, sliced, table_batches
 
 #: The linear model is fitted to at most so many labelled rows, the first by a hash of their ids; the class counts take all.
 SAMPLE_ROWS = 6000
+#: Labels that are sent to all workers (16 MB); more of them are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 #: Indicators of fewer labelled rows are dropped.
 MIN_ROWS = 3
 #: Smoothing of the class counts, the hinge loss' weight, passes over the sample.
@@ -52,7 +54,7 @@ def _word(word: bytes) -> tuple[int, int]:
         case = "title"
     else:
         case = "lower"
-    around = word.replace(core, b"~", 1)[:6] if core else word[:4]
+    around = word.replace(core, b"~", 1) if core else word
     return xxhash.xxh3_64_intdigest(text.lower().encode()), xxhash.xxh3_64_intdigest(case.encode() + b"\0" + around)
 
 
@@ -64,15 +66,22 @@ def features(text: bytes) -> np.ndarray:
     if len(_WORDS) > _KEEP_WORDS:
         _WORDS.clear()
     ids = list(map(_WORDS.get, words))
+    long = []
     if None in ids:
         for i, w in enumerate(words):
             if ids[i] is None:
+                if len(w) > CACHED_BYTES:
+                    ids[i] = 0
+                    long.append(i)
+                    continue
                 if (at := _WORDS.setdefault(w, len(_WORDS))) == _HASHES.shape[1]:
                     _HASHES = np.concatenate([_HASHES, np.empty_like(_HASHES)], axis=1)
                 ids[i] = at
                 _HASHES[:, at] = _word(w)
     x = np.array(ids, dtype=np.int64)
     word, form = _HASHES[0][x], _HASHES[1][x]
+    for i in long:
+        word[i], form[i] = _word(words[i])
     m = np.uint64(0x9E3779B97F4A7C15)
     mixed = lambda v, salt: ((v + np.uint64(salt)) * m ^ (v >> np.uint64(7))) * m
     found = [mixed(word, 1), mixed(word[1:] * m + word[:-1], 2), mixed(form, 3), mixed(form[1:] * m + form[:-1], 4)]
@@ -121,7 +130,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, passes: int, seed: int = 5, n: int | None = None) -> np.ndarray:
+def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, passes: int, seed: int = 5, n: int | None = None, least: float = 1e-3) -> np.ndarray:
     """Weights on ``n`` features and the intercept (last) of a linear model with hinge loss, by dual coordinate descent; rows have unit length."""
     n = max((int(f.max()) + 1 for f in rows if len(f)), default=0) if n is None else n
     w, alpha, rng = np.zeros(n + 1), np.zeros(len(rows)), np.random.default_rng(seed)
@@ -137,7 +146,7 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cos
                 w[at] += step * y[i] * x
                 w[-1] += step * y[i]
                 most = max(most, abs(step))
-        if most < 1e-3:
+        if most < least:
             break
     return w
 
@@ -160,11 +169,17 @@ def sigmoid(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_fold, scratch: Scratch, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on the labelled rows for which ``train_fold`` (a column on the id) holds."""
-    marked = labels.where(train_fold & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    texts = docs.where(train_fold).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # Both sides are large in general, so the plan is one whatever the labels' size.
-    rows = scratch.write(texts.join(marked.hint("merge"), "id"), "labelled", merged=True)
+    """Fit on the labelled rows for which ``train_fold`` (a column on the id) holds.
+
+    Ids are integers. Labels but 0 and 1, null ones among them, and labels without an id mark nothing; a label
+    that is given twice counts once, and an id with both labels is a row of either. Rows that share a
+    labelled id have its label each. Without rows of both labels (an empty table, say) every text has
+    the same score, the labels' smoothed share.
+    """
+    marked = labels.where(train_fold & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
+    texts = docs.where(train_fold).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    few = marked.count() <= BROADCAST_LABELS
+    rows = scratch.write(texts.join(F.broadcast(marked) if few else marked.hint("merge"), "id"), "labelled")
 
     totals = dict(rows.groupBy("label").count().collect())
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
@@ -191,8 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_fold, scratch: Scratch, sample
         yield from table_batches(out(), pa.schema([("found", pa.binary()), ("label", pa.int32())]), 256)
 
     # One task: the rows that are fitted are at most ``sample_rows``. Only their indicators can have a weight.
-    share = min(1.0, sample_rows / (n0 + n1))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
+    # The first by hash: what is sorted is cut to little more than these rows before.
+    share = min(1.0, (sample_rows + 8 * math.sqrt(sample_rows) + 16) / (n0 + n1))
+    chance = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    sample = rows.where(chance <= int(share * (1 << 40))).orderBy(chance, "id", "label").limit(sample_rows)
     table = sample.select("text", "label").coalesce(1).mapInArrow(indexed, "found binary, label int").toArrow()
     is_row = table["label"].to_numpy() >= 0
     blobs = table["found"].to_pylist()
