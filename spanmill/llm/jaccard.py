@@ -18,9 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, documents, few_files, own_cache, table_batches
+from .common import CACHED_BYTES, NO_ID, Scratch, as_bytes, documents, hot_join, keyed, own_cache, place, sliced, table_batches
 from .components import connected_components
-from .repeats import NO_ID
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -53,7 +52,9 @@ def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
     if None in ids:
         for i, w in enumerate(words):
             if ids[i] is None:
-                _WORDS[w] = ids[i] = xxhash.xxh3_64_intdigest(w)
+                ids[i] = xxhash.xxh3_64_intdigest(w)
+                if len(w) <= CACHED_BYTES:
+                    _WORDS[w] = ids[i]
     x = np.array(ids, dtype=np.uint64)
     width = min(width, len(x))
     n = len(x) - width + 1
@@ -90,24 +91,23 @@ def runs_for(recall: float = RECALL, depth: int = DEPTH, threshold: float = THRE
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found_with(depth, threshold))))
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc, k1, k2 (digest of the whole set), n (its size), sketch; n is 0 for a text without words."""
+def sketched(rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """row, doc (its id), k1, k2 (digest of the whole set), n (its size), sketch; n is 0 for a text without words."""
 
     def run(batches):
         own_cache("jaccard", _WORDS.clear)
-        for batch in batches:
-            keys, sizes, rows = [], [], []
-            for text in as_bytes(batch.column(1)):
+        for batch in sliced(batches, 2):
+            keys, sizes, found = [], [], []
+            for text in as_bytes(batch.column(2)):
                 tokens = shingles(text, width)
                 keys.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                 sizes.append(len(tokens))
-                rows.append(sketch(tokens))
+                found.append(sketch(tokens))
             k = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
-            flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKETCH), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(sizes, pa.int32()), lists], names=["doc", "k1", "k2", "n", "sketch"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(sizes, pa.int32()), lists], names=["row", "doc", "k1", "k2", "n", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, k1 long, k2 long, n int, sketch array<int>")
+    return rows.select("row", F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "row long, doc long, k1 long, k2 long, n int, sketch array<int>")
 
 
 def consecutive(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -146,8 +146,8 @@ def buckets(reps: DataFrame, scratch: Scratch, runs: int, depth: int, small: int
     level = reps.select("node", F.explode(first).alias("bucket"), F.lit(None).cast("long").alias("parent_size"))
     leaves = None
     for d in range(1, depth + 1):
-        sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = scratch.write(level.join(sizes, "bucket"), f"level{d}", merged=True)
+        sizes = scratch.write(level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("n", F.col("size")), f"sizes{d}")
+        sized = scratch.write(hot_join(level, sizes, ["bucket"]), f"level{d}")
         ends = (F.col("size") <= small) | (F.lit(d) == depth) | F.coalesce(F.col("size") >= TOGETHER * F.col("parent_size"), F.lit(False))
         leaf = sized.where(ends).select("bucket", "node", "size")
         leaves = leaf if leaves is None else leaves.unionAll(leaf)
@@ -266,86 +266,69 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, class_id, n_links, kept for every row.
 
-    Two documents link if their sets of shingles have this Jaccard similarity or more. class_id is
+    Two rows link if their texts' sets of shingles have this Jaccard similarity or more. class_id is
     the smallest id reachable by links, n_links how many other rows link directly, kept whether the
     row has its class's smallest id. Equal sets are joined as one and counted as many. A text
-    without words (null, empty, white space) links with nothing, and its class is its own id. Null
-    ids come last: their rows have the class of their links, null if these all lack an id, and are
+    without words (null, empty, white space) links with nothing, and its class is its own id. Ids
+    are integers. Null ids come last: their rows have the class of their links, null if these all lack an id, and are
     kept only then. Rows that repeat an id are documents of their own. Other columns are not read.
+    An empty table gives an empty one.
     """
-    return _judged(docs, threshold, recall, width, id_col, text_col).drop("k1", "k2")
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    return _judged(keyed(docs, id_col, text_col, scratch), place(docs, id_col), place(docs, text_col), threshold, recall, width, scratch).drop("row")
 
 
-def _judged(docs: DataFrame, threshold: float, recall: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``near_duplicates`` with the digest (k1, k2) of each row's set."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    rows = scratch.write(sketched(docs, id_col, text_col, width), "sketched", merged=True)
-    known = rows.where("n > 0").withColumn("doc", F.coalesce("doc", F.lit(NO_ID)))
-    reps = known.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    reps = scratch.write(reps.withColumn("node", F.monotonically_increasing_id()), "reps", merged=True)
+def _judged(rows: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, width: int, scratch: Scratch) -> DataFrame:
+    """``near_duplicates`` of ``keyed`` rows, with their keys."""
+    sets = scratch.write(sketched(rows, id_col, text_col, width), "sketched")
+    known = sets.where("n > 0")
+    reps = known.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"), F.min(F.coalesce("doc", F.lit(NO_ID))).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = scratch.write(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
 
     leaves = buckets(reps, scratch, runs_for(recall, DEPTH, threshold), DEPTH, SMALL)
     groups = connected_components(suggested(leaves, reps, threshold - SLACK), scratch, "groups").withColumnRenamed("component", "grp")
-    members = groups.join(reps.drop("sketch"), "node")
-    sizes = groups.join(reps.select("node", "n"), "node").groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("parts"))
-    members = members.join(sizes, "grp").select(F.col("least").alias("doc"), "k1", "k2", "node", "copies", "grp", "parts")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text")).join(members, "doc")
+    members = scratch.write(groups.join(reps.select("node", "copies", "row", "n"), "node"), "members")
+    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("parts"), F.count(F.lit(1)).alias("members"))
+    members = hot_join(members.drop("n"), scratch.write(sizes, "sizes"), ["grp"], "members")
+    texts = rows.select("row", F.col(text_col).alias("text")).join(members, "row")
 
     def tokens(batches):
         own_cache("jaccard", _WORDS.clear)
-        for batch in batches:
-            found, take = [], []
-            for i, (text, k1, k2) in enumerate(zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                own = shingles(text, width).tobytes()
-                if np.frombuffer(xxhash.xxh3_128_digest(own), dtype="<i8").tolist() == [k1, k2]:  # not another row with the id
-                    found.append(own)
-                    take.append(i)
-            at = pa.array(take, pa.int64())
-            for s in range(0, max(1, len(take)), 256):
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at.slice(s, 256)) for c in (3, 4, 5, 6)), pa.array(found[s : s + 256], pa.binary())], names=["node", "copies", "grp", "parts", "tokens"])
-
-    sets = texts.select("text", "k1", "k2", "node", "copies", "grp", "parts").mapInArrow(tokens, "node long, copies long, grp long, parts long, tokens binary")
-    dealt = tiles(sets, "grp", F.col("parts")).select("grp", "i", "j", "node", "own", "copies", "tokens")
-    found = scratch.write(verified(dealt, threshold), "found", merged=True)
+        for batch in sliced(batches, 0, 256):
+            found = [shingles(text, width).tobytes() for text in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (1, 2, 3, 4)), pa.array(found, pa.binary())], names=["node", "copies", "grp", "parts", "tokens"])
+
+    whole = texts.select("text", "node", "copies", "grp", "parts").mapInArrow(tokens, "node long, copies long, grp long, parts long, tokens binary")
+    dealt = tiles(whole, "grp", F.col("parts")).select("grp", "i", "j", "node", "own", "copies", "tokens")
+    found = scratch.write(verified(dealt, threshold), "found")
 
     component = connected_components(found.select(F.col("node").alias("a"), F.col("toward").alias("b")), scratch, "classes")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = reps.select("node", "k1", "k2", "copies", "least").join(links, "node", "left").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = classes.groupBy("component").agg(F.min("least").alias("of"))
-    classes = scratch.write(classes.join(least, "component").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "of"), "by_set", merged=True)
-    out = rows.select("doc", "k1", "k2", "n").join(classes.withColumn("some", F.lit(True)), ["k1", "k2"], "left")
-    of = F.when(F.col("n") > 0, F.when(F.col("of") != NO_ID, F.col("of"))).otherwise(F.col("doc"))
-    return out.select(F.col("doc").alias("doc_id"), of.alias("class_id"), F.when(F.col("n") > 0, F.col("links")).otherwise(0).cast("long").alias("n_links"), F.col("doc").eqNullSafe(of).alias("kept"), "k1", "k2")
+    classes = scratch.write(classes, "classes")
+    least = scratch.write(classes.groupBy("component").agg(F.min("least").alias("of"), F.count(F.lit(1)).alias("n")), "least")
+    by_set = hot_join(classes, least, ["component"]).select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "of", F.col("copies").alias("rows"))
+    out = hot_join(known.select("row", "doc", "k1", "k2"), scratch.write(by_set, "by_set"), ["k1", "k2"], "rows")
+    of = F.when(F.col("of") != NO_ID, F.col("of"))
+    joined = out.select("row", F.col("doc").alias("doc_id"), of.alias("class_id"), F.col("links").cast("long").alias("n_links"), F.col("doc").eqNullSafe(of).alias("kept"))
+    bare = sets.where("n = 0").select("row", F.col("doc").alias("doc_id"), F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return joined.unionByName(bare)
 
 
-def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The documents, all columns, of which none has a near-duplicate with a smaller id in its class.
 
     Each row goes or stays by its own text, also where rows share an id. Rows without an id stay.
     """
-    judged = _judged(docs, threshold, RECALL, SHINGLE, id_col, text_col).where(F.col("doc_id").isNotNull())
-    by_id = judged.groupBy(F.col("doc_id").alias("__dropped_id")).agg(F.max("kept").alias("__mixed"), F.collect_set(F.when(~F.col("kept"), F.struct("k1", "k2"))).alias("__sets"))
-    gone = Scratch(docs.sparkSession, "dropped").write(by_id.where(F.size("__sets") > 0).withColumn("__sets", F.when(F.col("__mixed"), F.col("__sets"))), "ids", merged=True)
-    same = F.col(id_col) == F.col("__dropped_id")
-    place = docs.columns.index(text_col)
-
-    def run(batches):
-        own_cache("jaccard", _WORDS.clear)
-        for batch in batches:
-            stays = []
-            for text, sets in zip(as_bytes(batch.column(place)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                digest = xxhash.xxh3_128_digest(shingles(text, SHINGLE).tobytes())
-                stays.append(np.frombuffer(digest, dtype="<i8").tolist() not in [[x["k1"], x["k2"]] for x in sets])
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(stays, pa.bool_()))
-
-    # Ids with both kinds of rows: their texts tell which.
-    some = docs.join(gone.where("__mixed"), same).select(*docs.columns, "__sets").mapInArrow(run, docs.schema)
-    return docs.join(gone.select("__dropped_id"), same, "left_anti").union(some)
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    rows = keyed(docs, id_col, text_col, scratch)
+    judged = _judged(rows, place(docs, id_col), place(docs, text_col), threshold, RECALL, SHINGLE, scratch)
+    gone = scratch.write(judged.where("doc_id is not null and not kept").select("row"), "gone")
+    return rows.join(gone, "row", "left_anti").drop("row").toDF(*docs.columns)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few_files(near_duplicates(documents(spark, sf_dir)))
+    return near_duplicates(documents(spark, sf_dir))

@@ -5,6 +5,8 @@ is counted."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import repeats
-from .common import Scratch, as_bytes, documents, few_files, own_cache, sliced, table_batches
+from .common import Scratch, as_bytes, documents, free_names, keyed, own_cache, place, sliced, table_batches
 
 #: Lines that a chunk's boundary depends on, and of how many places one is a boundary: chunks count what goes, they don't choose it.
 WINDOW = 2
@@ -45,18 +47,18 @@ def windows(lines: list[bytes]) -> list[tuple[int, bytes]]:
     return [(i, b"%b\n%b" % (lines[i], lines[i + 1])) for i in range(len(lines) - 1) if worded[i] or worded[i + 1]]
 
 
-def chunk_digests(text: bytes) -> list[bytes]:
-    return [xxhash.xxh3_128_digest(pair) for _, pair in windows(text.split(b"\n"))]
+def chunk_digests(text: bytes, digest: Callable[[bytes], bytes] = xxhash.xxh3_128_digest) -> list[bytes]:
+    return [digest(pair) for _, pair in windows(text.split(b"\n"))]
 
 
-def cleaned(text: bytes, shared: dict[bytes, bool]) -> tuple[bytes, int, int, int]:
+def cleaned(text: bytes, shared: dict[bytes, bool], digest: Callable[[bytes], bytes] = xxhash.xxh3_128_digest) -> tuple[bytes, int, int, int]:
     """The text without the lines that go; how many lines it had; lines that went and chunks that went whole."""
     lines = text.split(b"\n")
     first: dict[bytes, int] = {}
     goes = bytearray(len(lines))
     for i, pair in windows(lines):
         # A pair that overlaps its own first place is no second copy of it.
-        if i >= first.setdefault(pair, i) + 2 or shared and shared.get(xxhash.xxh3_128_digest(pair), False):
+        if i >= first.setdefault(pair, i) + 2 or shared and shared.get(digest(pair), False):
             goes[i] = goes[i + 1] = 1
     gone = sum(goes)
     if not gone:
@@ -68,65 +70,68 @@ def cleaned(text: bytes, shared: dict[bytes, bool]) -> tuple[bytes, int, int, in
     return b"\n".join(line for line, go in zip(lines, goes, strict=True) if not go), len(lines), gone, chunks
 
 
-def compared(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k1, k2, first: shared digests whose pairs of lines are the same bytes in all documents.
+def differing(listed: DataFrame, text: str, digest: Callable[[bytes], bytes] = xxhash.xxh3_128_digest) -> DataFrame:
+    """k1, k2: shared digests whose pairs of lines are not the same bytes in all rows.
 
-    Only pairs with a shared digest travel, and copies meet before the shuffle. A digest that two
-    different pairs have is left out: nothing is removed on its word.
+    ``listed`` has texts and their lists of shared digests; only pairs with such a digest travel, and
+    copies are merged before the shuffle.
     """
-    listed = repeats.lists(found, repeats.shared(found))
-    pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    touched = repeats.with_lists(pair, listed, "id", "inner")
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("bytes", pa.binary())])
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
         own_cache("lines", dict)
 
         def rows():
-            for batch in sliced(batches):
-                for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True)):
-                    shared = repeats.list_of(batch.column(2), i)
-                    for pair in {pair for _, pair in windows(text.split(b"\n"))}:
-                        digest = xxhash.xxh3_128_digest(pair)
-                        if digest in shared:
-                            yield int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), repeats.NO_ID if doc is None else doc, pair
+            for batch in sliced(batches, 0):
+                for i, own in enumerate(as_bytes(batch.column(0))):
+                    shared = repeats.list_of(batch.column(1), i)
+                    for pair in {pair for _, pair in windows(own.split(b"\n"))} if shared else ():
+                        key = digest(pair)
+                        if key in shared:
+                            yield int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), pair
 
         yield from table_batches(rows(), schema)
 
-    pairs = touched.mapInArrow(run, "k1 long, k2 long, doc long, bytes binary")
-    same = pairs.groupBy("k1", "k2", "bytes").agg(F.min("doc").alias("first"))
-    return same.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("variants"), F.min("first").alias("first")).where("variants = 1").select("k1", "k2", "first")
+    pairs = listed.where(F.col("list").isNotNull()).select(text, "list").mapInArrow(run, "k1 long, k2 long, bytes binary")
+    return pairs.distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1").select("k1", "k2")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, digest: Callable[[bytes], bytes] = xxhash.xxh3_128_digest) -> DataFrame:
     """The documents without repeated runs of lines, and three counts (``_STATS``).
 
-    Two neighbouring lines, one of them with a word, stay in the document with the smallest id, at
-    their first place; every later run of two or more such lines goes, whatever stands around it.
-    A line that repeats alone stays. Rows that share an id count as one document and lose nothing to each
-    other; so do rows without an id, after all others. A null text stays null and counts as one
-    empty line. Other columns pass through; a count whose name one of them has gets an
-    underscore after it.
+    Two neighbouring lines, one of them with a word, stay in the row with the smallest id, at their
+    first place; every later run of two or more such lines goes, whatever stands around it. A line
+    that repeats alone stays. Every row is a document: of rows that share an id the order goes by
+    their texts' hashes, and rows without an id come last. Ids are integers. A null text stays null and counts
+    as one empty line. Other columns pass through; a count whose name one of them has gets an
+    underscore after it. An empty table gives an empty one. ``digest`` gives 16 bytes; pairs of lines
+    that share one and differ are kept.
     """
-    scratch = Scratch(docs.sparkSession, "lines")
+    scratch = scratch or Scratch(docs.sparkSession, "lines")
     names = docs.columns
-    stats = repeats.free_names(names, _STATS)
-    place = names.index(text_col)
-    found = scratch.write(repeats.light(docs, chunk_digests, id_col, text_col), "light", merged=True)
-    together = repeats.with_lists(docs, repeats.lists(found, compared(docs, found, id_col, text_col), later_only=True), id_col)
+    stats = free_names(names, _STATS)
+    at, text = names.index(text_col), place(docs, text_col)
+    rows = keyed(docs, id_col, text_col, scratch)
+    found = scratch.write(repeats.light(rows, text, lambda own: chunk_digests(own, digest)), "light")
+    firsts = repeats.shared(found, scratch)
+    together = scratch.write(rows.join(repeats.lists(found, firsts), "row", "left").drop("row"), "together")
+    unlike = scratch.write(differing(together, text, digest), "unlike")
+    if not unlike.isEmpty():  # nothing is removed on the word of a digest that two different pairs have
+        firsts = scratch.write(firsts.join(unlike, ["k1", "k2"], "left_anti"), "alike")
+        together = rows.join(repeats.lists(found, firsts), "row", "left").drop("row")
     schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in stats)])
 
     def run(batches):
         own_cache("lines", dict)
-        for batch in sliced(batches):
+        for batch in sliced(batches, at):
             listed = batch.column(batch.num_columns - 1)
-            rows = [cleaned(text, repeats.list_of(listed, i)) for i, text in enumerate(as_bytes(batch.column(place)))]
-            texts = pa.array([r[0].decode("utf-8", "replace") if ok else None for r, ok in zip(rows, batch.column(place).is_valid().to_pylist(), strict=True)], pa.string())
-            columns = [texts if k == place else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[1 + k] for r in rows], pa.int64()) for k in range(3))], names=[*names, *stats])
+            found = [cleaned(own, repeats.list_of(listed, i), digest) for i, own in enumerate(as_bytes(batch.column(at)))]
+            texts = pa.array([r[0].decode("utf-8", "replace") if ok else None for r, ok in zip(found, batch.column(at).is_valid().to_pylist(), strict=True)], pa.string())
+            columns = [texts if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[1 + k] for r in found], pa.int64()) for k in range(3))], names=[*names, *stats])
 
     return together.mapInArrow(run, schema)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few_files(deduplicate(documents(spark, sf_dir)).select("doc_id", "text", *_STATS))
+    return deduplicate(documents(spark, sf_dir)).select("doc_id", "text", *_STATS)

@@ -10,11 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, one_row_texts, own_cache, table_batches
+from .common import CACHED_BYTES, documents, one_row_texts, own_cache, table_batches
 
 MAX_LENGTH = 4096
 END_ID = 2
-#: Distinct words whose ids each worker remembers; others are tokenised again.
+#: Distinct words (of ``CACHED_BYTES`` at most) whose ids each worker remembers; others are tokenised again.
 CACHE_WORDS = 600_000
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
@@ -70,18 +70,20 @@ class WordIds(dict):
                 new[letters] = packed[at:end]
                 at = end
             if len(cores) < self.most:
-                cores.update(new)
+                cores.update((w, i) for w, i in new.items() if len(w) <= CACHED_BYTES)
         for word, letters, size in split:
             ids = new[letters] if letters in new else cores[letters]
             found[word] = ids if size == len(word) else ids + self.stops(word[size:])
         if len(self) < self.most:
-            self.update(found)
+            self.update((w, i) for w, i in found.items() if len(w) <= CACHED_BYTES)
         return found
 
     def stops(self, stops: bytes) -> bytes:
-        if stops not in self:
-            self[stops] = _packed(self.encode(stops.decode()))
-        return self[stops]
+        if (found := self.get(stops)) is None:
+            found = _packed(self.encode(stops.decode()))
+            if len(stops) <= CACHED_BYTES:
+                self[stops] = found
+        return found
 
     def text(self, text: bytes) -> bytes:
         words = text.split()
@@ -129,7 +131,7 @@ def pack(docs: DataFrame, path: str, max_length: int = MAX_LENGTH, end_id: int =
     sequence_id, offset, bucket (the sequence's length, which all sequences of a bucket share).
 
     One pass without a shuffle: a piece fills its sequence, so no sequence needs a second document.
-    ``max_length`` is a power of two. A null or empty text is a document of the end id alone; a null
+    ``max_length`` is a power of two. Ids are integers. A null or empty text is a document of the end id alone; a null
     id stays null; rows that repeat are packed each by themselves. Other columns are not read.
     """
     if max_length & (max_length - 1):
@@ -159,4 +161,4 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")

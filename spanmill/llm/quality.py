@@ -136,11 +136,11 @@ _FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 _KINDS = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2
 
 
-def clean(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the counts, base_failed, kept, what was removed, and the cleaned text (``cleaned``).
+def clean(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """doc_id, the counts, base_failed, kept, what was removed, and the cleaned text (``cleaned``; null without ``with_text``, which spares its way back).
 
-    One pass without a shuffle. A null text counts as one without words, which is base_failed; null
-    ids stay null; repeated rows are judged each. Columns besides id and text are not read.
+    One pass without a shuffle. A null text counts as one without words, which is base_failed; ids are
+    integers, null ones stay null; repeated rows are judged each. Columns besides id and text are not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), *((f.split()[0], k) for f, k in zip(_FIELDS.split(", "), _KINDS, strict=True)), ("cleaned", pa.string())])
 
@@ -151,7 +151,7 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id
             for batch in batches:
                 for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                     *found, cleaned = judge(text, rules)
-                    yield key, *found, cleaned.decode("utf-8", "replace")
+                    yield key, *found, cleaned.decode("utf-8", "replace") if with_text else None
 
         yield from table_batches(rows(), schema)
 
@@ -163,24 +163,24 @@ def filter_documents(docs: DataFrame, rules: LineRules = LineRules(), text_col:
     from pyspark.sql.types import StructType
 
     fields = docs.schema
-    place = fields.fieldNames().index(text_col)
+    at = fields.fieldNames().index(text_col)
 
     def run(batches):
         own_cache("quality", _PHRASES.clear)
-        for batch in sliced(batches):
+        for batch in sliced(batches, at):
             kept, texts = [], []
-            for text in as_bytes(batch.column(place)):
+            for text in as_bytes(batch.column(at)):
                 *found, cleaned = judge(text, rules)
                 kept.append(found[6])
                 texts.append(cleaned.decode("utf-8", "replace") if found[6] else None)
-            columns = [pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(batch.num_columns)]
+            columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, StructType(fields))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(documents(spark, sf_dir)).drop("cleaned")
+    return clean(documents(spark, sf_dir), with_text=False).drop("cleaned")
 
 
 #: The contract's counts and the line rules over whole texts, for DuckDB.

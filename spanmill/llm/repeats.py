@@ -1,4 +1,4 @@
-"""What the two chunk deduplicators share: digests that several documents hold, and documents with their lists of them."""
+"""What the two chunk deduplicators share: digests that several rows hold, and rows with their lists of them."""
 
 from __future__ import annotations
 
@@ -6,69 +6,44 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Stands for a null id, and so comes last: rows without an id count as one document.
-NO_ID = (1 << 63) - 1
+from .common import Scratch, as_bytes, hot_join, sliced
 
 
-def key(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-
-
-def light(docs: DataFrame, digests: Callable[[bytes], list[bytes]], id_col: str, text_col: str) -> DataFrame:
-    """k1, k2, doc: each document's distinct 16-byte chunk digests."""
-    from .common import as_bytes
+def light(keyed: DataFrame, text: str, digests: Callable[[bytes], list[bytes]]) -> DataFrame:
+    """k1, k2, row: each row's distinct 16-byte digests."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             found, counts = [], []
-            for text in as_bytes(batch.column(1)):
-                own = dict.fromkeys(digests(text))
+            for own in as_bytes(batch.column(1)):
+                own = dict.fromkeys(digests(own))
                 found.append(b"".join(own))
                 counts.append(len(own))
             k = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-            doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
-            for at in range(0, max(1, len(k)), 1 << 16):
+            row = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
+            for at in range(0, len(k), 1 << 16):
                 own = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(k[own, 0])), pa.array(np.ascontiguousarray(k[own, 1])), pa.array(doc[own])], names=["k1", "k2", "doc"])
-
-    return docs.select(key(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "k1 long, k2 long, doc long")
-
-
-def shared(found: DataFrame) -> DataFrame:
-    """k1, k2, first: digests of at least two documents and the first of these. Minima are taken before the shuffle, so a digest of a third of all documents costs no task more."""
-    return found.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("k1", "k2", "first")
-
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(k[own, 0])), pa.array(np.ascontiguousarray(k[own, 1])), pa.array(row[own])], names=["k1", "k2", "row"])
 
-def lists(found: DataFrame, firsts: DataFrame, later_only: bool = False) -> DataFrame:
-    """doc and its list of shared digests (k1, k2, later: another document is the first). A list is no longer than its document. ``later_only``: without those of which it is the first."""
-    both = found.join(firsts, ["k1", "k2"])
-    both = (both.where(F.col("doc") != F.col("first")) if later_only else both).select("doc", F.struct("k1", "k2", (F.col("doc") != F.col("first")).alias("later")).alias("x"))
-    return both.groupBy("doc").agg(F.collect_list("x").alias("list"))
+    return keyed.select("row", F.col(text).alias("text")).mapInArrow(run, "k1 long, k2 long, row long")
 
 
-def with_lists(docs: DataFrame, listed: DataFrame, id_col: str, how: str = "left") -> DataFrame:
-    """The documents' columns by place (c0, c1, ...), so that no name can clash, and last the list."""
-    own = [f"c{i}" for i in range(len(docs.columns))]
-    placed = docs.toDF(*own).withColumn("doc", key(own[docs.columns.index(id_col)]))
-    return placed.join(listed, "doc", how).select(*own, "list")
+def shared(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """k1, k2, first, n: digests of at least two rows, the first of these, and how many there are. Rows are merged before the shuffle, so a digest of a third of all rows costs no task more."""
+    return scratch.write(found.groupBy("k1", "k2").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
 
 
-def free_names(taken: list[str], wanted: tuple[str, ...]) -> list[str]:
-    """The wanted names; one that is taken already gets underscores after it."""
-    held, out = {t.lower() for t in taken}, []
-    for name in wanted:
-        while name.lower() in held:
-            name += "_"
-        held.add(name.lower())
-        out.append(name)
-    return out
+def lists(found: DataFrame, firsts: DataFrame) -> DataFrame:
+    """row and its list of shared digests (k1, k2, later: another row is the first). A list is no longer than its row has digests."""
+    both = hot_join(found, firsts, ["k1", "k2"])
+    return both.select("row", F.struct("k1", "k2", (F.col("row") != F.col("first")).alias("later")).alias("x")).groupBy("row").agg(F.collect_list("x").alias("list"))
 
 
 def list_of(column: pa.Array, i: int) -> dict[bytes, bool]:
-    """Row i's digests, each with whether another document is the first."""
+    """Row i's digests, each with whether another row is the first."""
     if not column[i].is_valid:
         return {}
     x = column[i].values

@@ -15,10 +15,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, one_row_texts, own_cache, table_batches
+from .common import CACHED_BYTES, documents, one_row_texts, own_cache, table_batches
 
 SPACE = "▁"
-#: Words, parts of words and token pairs that each worker remembers; others are worked out again.
+#: Words and parts of words (of ``CACHED_BYTES`` at most) and token pairs that each worker remembers; others are worked out again.
 CACHE_WORDS = 500_000
 CACHE_PARTS = 300_000
 CACHE_PAIRS = 300_000
@@ -125,7 +125,7 @@ class MergePrefixEncoder:
             else:
                 tokens = self.tokens(part)
             found = b"".join(self.id_of[t].to_bytes(4, "little") if t in self.id_of else b"".join(self.byte_id[b].to_bytes(4, "little") for b in t.encode()) for t in tokens)
-            if len(self.parts) < CACHE_PARTS:
+            if len(self.parts) < CACHE_PARTS and len(part) <= CACHED_BYTES:
                 self.parts[part] = found
         return found
 
@@ -196,7 +196,7 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         found = self.encoder.word(self.prefix + word.decode("utf-8", "replace"))
-        if len(self) < CACHE_WORDS:
+        if len(self) < CACHE_WORDS and len(word) <= CACHED_BYTES:
             self[word] = found
         return found
 
@@ -215,7 +215,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """doc_id, n_tokens, ids (little-endian uint32 bytes with begin and end ids), decoded (UTF-8 bytes).
 
     One pass without a shuffle. A null text is an empty one: begin and end ids, empty decoded text.
-    Null ids stay null, repeated rows are encoded each, other columns are not read.
+    Ids are integers; null ids stay null, repeated rows are encoded each, other columns are not read.
     """
     import array
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import repeats
-from .common import as_bytes, documents, few_files
+from .common import Scratch, as_bytes, documents, free_names, keyed, place, sliced
 
 #: A gear hash of 16 bits has seen exactly the last 16 bytes; its four highest bits decide.
 WINDOW = 16
@@ -96,38 +96,35 @@ def cleaned(text: bytes, shared: dict[bytes, bool]) -> tuple[bytes, int, int, in
 _STATS = ("n_chunks", "n_repeated_chunks", "n_removed_chunks", "n_removed_bytes")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The documents with repeated passages removed from the text, and four counts (``_STATS``).
 
-    A chunk stays where it occurs first: in the document with the smallest id, at its first place.
-    Later occurrences go if they and their repeated neighbours reach ``MIN_RUN`` bytes. Rows that
-    share an id count as one document and lose nothing to each other; rows without an id likewise,
-    after all others. A null text stays null, with counts of 0. Other columns pass through; a
-    count whose name one of them has gets an underscore after it.
+    A chunk stays where it occurs first: in the row with the smallest id, at its first place. Later
+    occurrences go if they and their repeated neighbours reach ``MIN_RUN`` bytes. Chunks are the same
+    if their 128-bit digests (XXH3, not a cryptographic hash) are; their bytes are not compared. Every row is
+    a document: of rows that share an id the order goes by their texts' hashes, and rows without an
+    id come last. Ids are integers. A null text stays null, with counts of 0. Other columns pass
+    through; a count whose name one of them has gets an underscore after it. An empty table gives an empty one.
     """
+    scratch = scratch or Scratch(docs.sparkSession, "substrings")
     names = docs.columns
-    stats = repeats.free_names(names, _STATS)
-    place = names.index(text_col)
-    found = repeats.light(docs, chunk_digests, id_col, text_col)
-    together = repeats.with_lists(docs, repeats.lists(found, repeats.shared(found)), id_col)
+    stats = free_names(names, _STATS)
+    at, text = names.index(text_col), place(docs, text_col)
+    rows = keyed(docs, id_col, text_col, scratch)
+    found = scratch.write(repeats.light(rows, text, chunk_digests), "light")
+    together = rows.join(repeats.lists(found, repeats.shared(found, scratch)), "row", "left").drop("row")
     schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in stats)])
-    kind = docs.schema[text_col].dataType
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, at):
             listed = batch.column(batch.num_columns - 1)
-            rows = []
-            for i, text in enumerate(as_bytes(batch.column(place))):
-                shared = repeats.list_of(listed, i)
-                rows.append(cleaned(text, shared))
-            valid = batch.column(place).is_valid()
-            texts = pa.array([r[0].decode("utf-8", "replace") if ok else None for r, ok in zip(rows, valid.to_pylist(), strict=True)], pa.string())
-            columns = [texts if k == place else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[1 + k] for r in rows], pa.int64()) for k in range(4))], names=[*names, *stats])
-
-    assert kind.simpleString() == "string"
+            found = [cleaned(own, repeats.list_of(listed, i)) for i, own in enumerate(as_bytes(batch.column(at)))]
+            texts = pa.array([r[0].decode("utf-8", "replace") if ok else None for r, ok in zip(found, batch.column(at).is_valid().to_pylist(), strict=True)], pa.string())
+            columns = [texts if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[1 + k] for r in found], pa.int64()) for k in range(4))], names=[*names, *stats])
+
     return together.mapInArrow(run, schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few_files(deduplicate(documents(spark, sf_dir)).select("doc_id", "text", *_STATS, F.length("text").cast("long").alias("n_chars")))
+    return deduplicate(documents(spark, sf_dir)).select("doc_id", "text", *_STATS, F.length("text").cast("long").alias("n_chars"))

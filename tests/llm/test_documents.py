@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from spanmill.llm import lines, packing, quality, sentencepieces, substrings, warc
-from spanmill.llm.common import Scratch
+from spanmill.llm import common, lines, packing, quality, sentencepieces, substrings, warc
+from spanmill.llm.common import Scratch, keyed
 from spanmill.llm.queries import oracle_sql, queries
 from tests.conftest import same_rows
 
@@ -175,9 +177,11 @@ def test_archive(spark, tmp_path):
     assert got == sorted([(1, 3, "response", None), (2, 3, "revisit", 1), (3, 0, "response", None), (4, 0, "revisit", 3), (5, 300_000, "response", None), (7, 3, "revisit", 6), (6, 3, "response", None), (6, 3, "response", None), (None, 3, "revisit", 1), (None, 4, "response", None)], key=repr)
     assert sorted(((r.page_id, bytes(r.payload).decode()) for r in archive.read().select("page_id", "payload").collect()), key=repr) == sorted(((k, h or "") for k, _, h in rows), key=repr)
     assert archive.payloads().count() == 5
-    original = {r.page_id: bytes(r.record) for r in archive.original().collect()}
-    assert original[5].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and b"Content-Length: 300000\r\n\r\nxxx" in original[5] and original[5].endswith(b"x\r\n\r\n")
-    assert b"WARC-Refers-To: <urn:page:1>\r\n" in original[2] and original[2].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+    whole = archive.original().collect()
+    assert len({r.header.split("WARC-Record-ID: ")[1].split("\r")[0] for r in whole}) == len(rows)
+    original = {r.page_id: bytes(r.record) for r in whole if r.page_id}
+    assert original[5].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and b"\r\nWARC-Date: 20" in original[5] and b"\r\nWARC-Target-URI: u%0D%0A2\r\n" in original[2] and b"Content-Length: 300000\r\n\r\nxxx" in original[5] and original[5].endswith(b"x\r\n\r\n")
+    assert b"WARC-Refers-To: " + original[1].split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] + b"\r\n" in original[2] and original[2].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
     assert warc.Archive.write(pages.limit(0), str(tmp_path / "e")).summary().count() == 0
     spark.createDataFrame([(bytes(32), b"forged")], "sha256 binary, payload binary").write.mode("append").parquet(str(tmp_path / "a" / "payloads"))
     with pytest.raises(Exception, match="digest"):
@@ -265,18 +269,55 @@ def test_lines_find_copied_runs(spark):
     assert lines.cleaned(b"a\na\na\na\na", {})[:3] == (b"a\na", 5, 3) and lines.cleaned(b"a\nb\nc\na\nb", {})[0] == b"a\nb\nc"
 
 
-def test_lines_compare_bytes(spark, monkeypatch):
-    """Chunks whose digests are equal but whose bytes are not stay."""
+def test_lines_compare_bytes(spark):
+    """Pairs of lines whose digests are equal but whose bytes are not stay."""
     a, b = "\n".join(f"first {i}" for i in range(40)), "\n".join(f"other {i}" for i in range(40))
-    docs = spark.createDataFrame([(1, a), (2, a), (3, b)], "doc_id long, text string")
-    found = spark.createDataFrame([(5, 6, 1), (5, 6, 2), (5, 6, 3)], "k1 long, k2 long, doc long")
-    assert lines.compared(docs, found, "doc_id", "text").count() == 0
+    docs = spark.createDataFrame([(1, a), (2, a), (3, b), (4, "x\ny" * 40), (5, "x\ny" * 40)], "doc_id long, text string")
     got = {r.doc_id: r.n_removed_lines for r in lines.deduplicate(docs).collect()}
-    assert got[1] == got[3] == 0 and got[2] > 20
+    assert got[1] == got[3] == 0 and got[2] == 40
+    weak = {r.doc_id: (r.text, r.n_removed_lines) for r in lines.deduplicate(docs, digest=lambda pair: bytes([len(pair)]) * 16).collect()}
+    assert [weak[k] for k in (1, 2, 3)] == [(a, 0), (a, 0), (b, 0)] and got[5] == 41 and weak[5][1] == 39  # of its pairs only the middle ones have a length of their own
+
+
+@pytest.mark.parametrize("ids", ["none", "one", "mixed"])
+@pytest.mark.parametrize("module", [lines, substrings])
+def test_rows_without_ids_of_their_own(spark, module, ids):
+    """Of rows that lack an id or share one each is a document: what several hold stays in one of them only, and no list outgrows its row."""
+    r = random.Random(7)
+    passage = "\n".join("".join(r.choice("abcdefgh") for _ in range(40)) for _ in range(5))
+    rows = [({"none": None, "one": 3, "mixed": [None, 3, k][k % 3]}[ids], f"own {k} {r.random()}\n{passage if k % 2 else r.random()}\nend {r.random()}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = module.deduplicate(docs).collect()
+    middle = passage.split("\n")[2]
+    assert len(out) == 3000 and sum(middle in x.text for x in out) == 1
+    assert Counter(x.doc_id for x in out) == Counter(k for k, _ in rows)
+    assert sorted(x.text for x in out if x.n_removed_lines == 0) == sorted(t for _, t in rows if passage not in t or t in {x.text for x in out}) if module is lines else True
+
+
+def test_keys_of_rows(spark):
+    """Unique whole ids are the keys; else rows are numbered in the order of ids, those without one last."""
+    with Scratch(spark, "test") as scratch:
+        docs = spark.createDataFrame([(5, "a"), (9, "b"), (2, None)], "doc_id long, text string")
+        assert sorted((x.c0, x.row) for x in keyed(docs, "doc_id", "text", scratch).collect()) == [(2, 2), (5, 5), (9, 9)]
+        r = random.Random(3)
+        ids = [r.choice([None, 7, r.randrange(50), -r.randrange(50)]) for _ in range(400)]
+        docs = spark.createDataFrame([(k, str(i)) for i, k in enumerate(ids)], "doc_id long, text string").repartition(5)
+        rows = sorted(keyed(docs, "doc_id", "text", scratch).collect(), key=lambda x: x.row)
+        assert len({x.row for x in rows}) == 400 and [x.c0 for x in rows] == sorted(ids, key=lambda k: math.inf if k is None else k)
+
+
+def test_hot_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    r = random.Random(1)
+    many = spark.createDataFrame([(r.choice([0, 1, r.randrange(90)]), i) for i in range(600)], "k long, i long")
+    few = many.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("least")).where("k % 7 <> 3")
+    got = common.hot_join(many, few, ["k"])
+    assert got.columns == ["k", "i", "least"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, many.join(few.drop("n"), "k").collect()))
 
 
 def test_scratch(spark):
-    with Scratch.gathered() as opened:
-        table = Scratch(spark, "test").write(spark.range(5), "t")
-    assert table.count() == 5 and len(opened) == 1
-    opened[0].drop()
+    with Scratch(spark, "test") as scratch:
+        table = scratch.write(spark.range(5), "t")
+        assert table.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(scratch.path("t"))

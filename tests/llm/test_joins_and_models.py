@@ -134,26 +134,34 @@ def test_runs_reach_the_recall():
         assert miss <= 0.001
 
 
+def segmentations(word, p):
+    """The sum over all segmentations, by plain recursion on suffixes."""
+    sums = {len(word): 1.0}
+    for at in range(len(word) - 1, -1, -1):
+        sums[at] = sum(p[word[at:to]] * sums[to] for to in range(at + 1, min(len(word), at + 60) + 1) if word[at:to] in p)
+    return sums[0]
+
+
 def test_lattice_sums_all_segmentations(monkeypatch):
-    own = lattice.Lattice([b" ", b" a", b" ab", b"a", b"b", b"c", b"ab", b"bc", b"abc"], np.log([0.5, 0.3, 0.2, 0.1, 0.2, 0.1, 0.1, 0.1, 0.1]), math.log(0.3))
+    own = lattice.Lattice([b" ", b" a", b" ab", b"a", b"b", b"c", b"ab", b"bc", b"abc"], np.log([0.2, 0.15, 0.1, 0.1, 0.1, 0.1, 0.1, 0.05, 0.05]), math.log(0.05))
     p = {k: math.exp(v) for k, v in zip(own.pieces, own.log_p, strict=True)}
 
     def total(word):
         return 1.0 if not word else sum(p[word[:k]] * total(word[k:]) for k in range(1, len(word) + 1) if word[:k] in p)
 
     words = [b"abc", b"a", b"cab", b"abcabc", b"b", b""]
-    assert np.allclose(own.word_log_p(words), [math.log(total(b" " + w) * 0.3) for w in words])
-    long = b"abcab" * 60
-    one = own.word_log_p([long])[0]
-    monkeypatch.setattr(lattice, "LONG_WORD", 1000)
-    assert own.word_log_p([long])[0] == pytest.approx(one)
-    monkeypatch.setattr(lattice, "LONG_WORD", 7)
-    assert own.expected([long], np.array([1.0]))[[0, 1, 2]].sum() == pytest.approx(1)
+    assert np.allclose(own.word_log_p(words), [math.log(total(b" " + w)) for w in words])
+    assert total(b" abcabc") == pytest.approx(segmentations(b" abcabc", p))
     counts = own.expected([b"abc"], np.array([2.0]))
     assert counts[[0, 1, 2]].sum() == pytest.approx(2)  # each word begins once
+    long = [b"abcab" * 20, b"cab", b"bca" * 9]
+    short, times = (own.word_log_p(long), own.expected(long, np.array([1.0, 3.0, 2.0]))), np.array([1.0, 3.0, 2.0])
+    monkeypatch.setattr(lattice, "LONG_WORD", 5)  # a long word goes through the same sums
+    assert np.allclose(own.word_log_p(long), short[0]) and np.allclose(own.expected(long, times), short[1])
 
 
 def test_lattice_query(spark, sf_dir):
+    """Counts, the base and the score of all rows, the weights learned too, by plain recursion over dictionaries."""
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     counts, ends = Counter(), 0
     for k, t in docs.items():
@@ -161,11 +169,34 @@ def test_lattice_query(spark, sf_dir):
             counts.update((t or "").encode().lower().split())
             ends += 1
     n, v = sum(counts.values()) + ends, len(counts) + 1
+    pieces = lattice.vocabulary(PIECES)
+    p = {x: 1 / (i + 100) for i, x in enumerate(pieces)}
+    end = 1 / 100
+    for _ in range(lattice.PASSES):
+        whole = sum(p.values()) + end
+        p, found = {x: c / whole for x, c in p.items()}, dict.fromkeys(pieces, lattice.SMOOTHING)
+        for word, times in counts.items():
+            word = b" " + word
+            to = {0: 1.0}
+            for at in range(1, len(word) + 1):
+                to[at] = sum(to[a] * p[word[a:at]] for a in range(max(0, at - 60), at) if word[a:at] in p)
+            after = {len(word): 1.0}
+            for at in range(len(word) - 1, -1, -1):
+                after[at] = sum(p[word[at:b]] * after[b] for b in range(at + 1, min(len(word), at + 60) + 1) if word[at:b] in p)
+            for a in range(len(word)):
+                for b in range(a + 1, min(len(word), a + 60) + 1):
+                    if word[a:b] in p:
+                        found[word[a:b]] += times * to[a] * p[word[a:b]] * after[b] / to[len(word)]
+        p, end = found, ends + lattice.SMOOTHING
+    whole = sum(p.values()) + end
+    p = {x: c / whole for x, c in p.items()}
+    own = {w: math.log10(segmentations(b" " + w, p)) for w in {w for t in docs.values() for w in (t or "").encode().lower().split()}}
     for r in queries()["op4_lattice_score"](spark, sf_dir).collect():
         words = (docs[r.doc_id] or "").encode().lower().split()
         base = sum(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in [*(counts[w] for w in words), ends])
         assert r.n_tokens == len(words) + 1 and r.n_known == 1 + sum(w in counts for w in words) and r.train_tokens == n
-        assert r.base_score == pytest.approx(base) and r.score < 0 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
+        assert r.base_score == pytest.approx(base) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
+        assert r.score == pytest.approx(sum(own[w] for w in words) + math.log10(end / whole), rel=1e-6)
 
 
 def test_lattice_joins_rare_words(spark):
@@ -234,6 +265,23 @@ def test_dual_coordinate_descent_meets_its_conditions():
     assert (y * margins).min() > 0.95  # separable, and the cost is high
 
 
+def test_dual_coordinate_descent_against_a_dense_solver():
+    """The same weights as projected gradient steps on the whole dual problem give."""
+    r = np.random.default_rng(3)
+    y = np.where(r.random(60) < 0.5, 1.0, -1.0)
+    x = r.random((60, 12)) * (r.random((60, 12)) < 0.5) + 0.2 * (y > 0)[:, None] * (np.arange(12) < 3)
+    x[x.sum(1) == 0, 0] = 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cost = np.where(y > 0, 0.7, 1.3)
+    rows, values = [np.flatnonzero(v) for v in x], [v[v != 0] for v in x]
+    w = classifier.descend(rows, values, y, cost, 20_000, n=12, least=1e-10)
+    q = (y[:, None] * np.c_[x, np.ones(60)]) @ (y[:, None] * np.c_[x, np.ones(60)]).T
+    alpha, step = np.zeros(60), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(200_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, cost)
+    assert np.allclose(w, (alpha * y) @ np.c_[x, np.ones(60)], atol=1e-4)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as pipe
 
