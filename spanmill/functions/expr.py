@@ -211,10 +211,14 @@ def text_hash(text: Column | str) -> Column:
     return F.substring(F.sha2(col(text), 256), 1, 16)
 
 
+#: All white space characters, those beyond ASCII too.
+WHITE_SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def clean_prompt(text: Column | str) -> Column:
     """Without white space at the end, then without one closing fence of three backticks, then without white space again."""
-    bare = F.regexp_replace(col(text), r"\s+$", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"```$", ""), r"\s+$", "")
+    bare = F.regexp_replace(col(text), rf"[{WHITE_SPACE}]+\z", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"```\z", ""), rf"[{WHITE_SPACE}]+\z", "")
 
 
 def task_stem(path: Column | str) -> Column:

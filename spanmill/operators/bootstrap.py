@@ -16,12 +16,21 @@ BROADCAST_ROWS = 2_000_000
 
 
 def index_table(spark: SparkSession, n_prompts: int, n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:
-    """b, slot, pos: the generator's draws with replacement, the same for every comparison over as many prompts."""
-    drawn = np.random.default_rng(seed).integers(0, n_prompts, (n_boot, n_prompts))
-    b, slot = np.indices(drawn.shape)
+    """b, slot, pos: the generator's draws with replacement, the same for every comparison over as many prompts.
+
+    One stream of draws is one executor's task, which hands it on a few replicates at a time.
+    """
     import pyarrow as pa
 
-    return spark.createDataFrame(pa.table({"b": b.ravel().astype("int32"), "slot": slot.ravel().astype("int32"), "pos": drawn.ravel().astype("int64")}))
+    def draw(batches):
+        for _ in batches:
+            rng, step = np.random.default_rng(seed), max(1, (1 << 16) // n_prompts)
+            for at in range(0, n_boot, step):
+                drawn = rng.integers(0, n_prompts, (min(step, n_boot - at), n_prompts))
+                b, slot = np.indices(drawn.shape)
+                yield pa.RecordBatch.from_arrays([pa.array((b + at).ravel().astype("int32")), pa.array(slot.ravel().astype("int32")), pa.array(drawn.ravel().astype("int64"))], names=["b", "slot", "pos"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(draw, "b int, slot int, pos long")
 
 
 def paired(prompts: DataFrame, pair: list[str], variant: str = "model_variant", base: str = "base", other: str = "instruct") -> DataFrame:

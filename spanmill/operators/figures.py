@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import expr as E
+from ..sources import results
 
 
 def length_histogram(rollouts: DataFrame, cell: list[str], series: list[str], bins: int = 50, length: str = "seq_len") -> DataFrame:
@@ -29,10 +29,10 @@ def kernel_density(values: DataFrame, keys: list[str], value: str, points: int =
     """
     x = F.ln(value) if log_value else F.col(value).cast("double")
     rows = values.where(F.col(value) > 0) if log_value else values
-    counted = rows.where(F.col(value).isNotNull()).withColumn("v", x).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("k"))
-    per = counted.groupBy(*keys).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("v")).alias("s"), F.sum(F.col("k") * F.col("v") * F.col("v")).alias("q"))
-    var = E.ratio(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1)
-    per = per.select(*keys, "n", (F.sqrt(F.greatest(var, F.lit(0.0))) * F.pow("n", F.lit(-0.2))).alias("h")).where("h > 0")
+    rows = rows.where(F.col(value).isNotNull()).withColumn("v", x)
+    counted = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("k"))
+    # By running means, not by sums of squares: equal values have no deviation at all.
+    per = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd")).select(*keys, "n", (F.col("sd") * F.pow("n", F.lit(-0.2))).alias("h")).where("h > 0")
     share = keys if high_from is None else high_from
     ends = counted.groupBy(*share).agg(F.min("v").alias("least"), F.max("v").alias("most"))
     first, last = (F.col("least"), F.col("most")) if low is None else (F.lit(float(low)), F.col("most") + 1)
@@ -59,9 +59,13 @@ def heatmap(trajectories: DataFrame, prompt: list[str], values: str, order: str
 
 
 def _running_count(rows: DataFrame, block: list[str]) -> DataFrame:
-    """n of each block and where it ends; the counts, a row per block, are summed up in order."""
+    """n of each block and where it ends. Blocks are sorted over many tasks; only the tasks' totals, one row each, are summed up in one."""
     n = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("end", F.sum("n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = results.cut(n.repartitionByRange(*block).withColumn("__task", F.spark_partition_id()))
+    totals = dealt.groupBy("__task").agg(F.sum("n").alias("__n"))
+    before = totals.select("__task", (F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
+    own = F.sum("n").over(Window.partitionBy("__task").orderBy(*block).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("end", own).join(before, "__task").select(*block, "n", (F.col("end") + F.col("__before")).alias("end"))
 
 
 def active_counts(trajectories: DataFrame, keys: list[str], values: str) -> DataFrame:

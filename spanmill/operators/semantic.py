@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import expr as E
 from . import PROMPT, RUN
@@ -68,41 +71,64 @@ def spectrum_entropy(gram: np.ndarray, n: int) -> float:
     return float(-(values * np.log(values)).sum())
 
 
-def vendi_entropy(rows: DataFrame, keys: list[str] = PROMPT, embedding: str = "embedding") -> DataFrame:
-    """m and vendi_entropy of each group; the Vendi score is its exponential.
+def collision_entropy(gram: np.ndarray, n: int) -> float:
+    """Minus the log of the squared Frobenius norm, which kernel and Gram matrix share."""
+    return float(-np.log((gram * gram).sum() / (n * n)))
+
+
+#: Rows of one task's part of a large group, in multiples of the dimension.
+PART = 4
+#: Large groups that are sent to all workers; more are joined by a shuffle.
+SENT_GROUPS = 100_000
+
 
-    The dimension-square Gram matrix has the kernel's spectrum and is a sum over rows: tasks send one
-    matrix a group, whatever the group's size.
+def _spectral(rows: DataFrame, keys: list[str], embedding: str, name: str, statistic: Callable[[np.ndarray, int], float]) -> DataFrame:
+    """keys, m and a statistic of each group's kernel, by the smaller of two matrices.
+
+    A group of no more vectors than they have dimensions goes to one task, whose matrix is of the
+    vectors; a larger one is dealt in parts of ``PART`` times the dimension, each of which sends on a
+    dimension-square sum, a fraction of its vectors.
     """
+    rows = rows.select(*keys, F.col(embedding).cast("array<double>").alias("__v")).where(F.col("__v").isNotNull())
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+    matrix = lambda table: np.asarray(table["__v"].combine_chunks().flatten()).reshape(table.num_rows, -1)
 
-    def partial(batches):
-        for batch in batches:
-            names = [batch.column(k) for k in range(len(keys))]
-            groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(*(c.to_pylist() for c in names), strict=True)):
-                groups.setdefault(key, []).append(i)
-            x = batch.column(len(keys))
-            out = []
-            for at in groups.values():
-                m = np.array(x.take(pa.array(at)).to_pylist(), dtype=np.float64)
-                out.append((m.T @ m).ravel())
-            first = pa.array([at[0] for at in groups.values()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(first) for c in names), pa.array([len(at) for at in groups.values()], pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=[*keys, "m", "gram"])
+    def whole(key, table):
+        x = matrix(table)
+        return pa.table({**{k: [v.as_py()] for k, v in zip(keys, key, strict=True)}, "m": [len(x)], name: [statistic(x @ x.T, len(x))]})
+
+    def part(key, table):
+        x = matrix(table)
+        return pa.table({**{k: [v.as_py()] for k, v in zip(keys, key, strict=False)}, "m": [len(x)], "gram": [(x.T @ x).ravel()]})
 
     def final(batches):
         for batch in batches:
-            n, grams = batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist()
-            found = [spectrum_entropy(np.array(g).reshape(int(len(g) ** 0.5), -1), k) for g, k in zip(grams, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys) + 1)), pa.array(found, pa.float64())], names=[*keys, "m", "vendi_entropy"])
+            n, grams = batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1)
+            found = [statistic(np.asarray(grams[i].values).reshape(int(len(grams[i]) ** 0.5), -1), k) for i, k in enumerate(n)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys) + 1)), pa.array(found, pa.float64())], names=[*keys, "m", name])
+
+    typed = lambda f, schema: lambda key, table: f(key, table).cast(schema)
+    arrow = to_arrow_schema(rows.select(*keys, F.lit(0).cast("long").alias("m"), F.lit(0.0).alias(name)).schema)
+    arrow_part = to_arrow_schema(rows.select(*keys, F.lit(0).cast("long").alias("m"), F.col("__v").alias("gram")).schema)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"), F.max(F.size("__v")).alias("__d"))
+    large = counts.where("__m > __d").select(*keys, F.ceil(F.col("__m") / (PART * F.col("__d"))).alias("__parts"))
+    n = large.count()
+    sent = (lambda df: F.broadcast(df)) if n <= SENT_GROUPS else (lambda df: df)
+    small = rows.join(sent(large.select(*keys)), keys, "left_anti") if n else rows
+    own = small.groupBy(*keys).applyInArrow(typed(whole, arrow), f"{kinds}, m long, {name} double")
+    if not n:
+        return own
+    dealt = rows.join(sent(large), keys).withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.col("__parts")))
+    grams = dealt.select(*keys, "__part", "__v").groupBy(*keys, "__part").applyInArrow(typed(part, arrow_part), f"{kinds}, m long, gram array<double>")
+    summed = grams.groupBy(*keys).agg(F.sum("m").alias("m"), vector_sum("gram").alias("gram"))
+    return own.unionByName(summed.mapInArrow(final, f"{kinds}, m long, {name} double"))
 
-    parts = rows.select(*keys, embedding).where(F.col(embedding).isNotNull()).mapInArrow(partial, f"{kinds}, m long, gram array<double>")
-    grams = parts.groupBy(*keys).agg(F.sum("m").alias("m"), vector_sum("gram").alias("gram"))
-    return grams.mapInArrow(final, f"{kinds}, m long, vendi_entropy double")
+
+def vendi_entropy(rows: DataFrame, keys: list[str] = PROMPT, embedding: str = "embedding") -> DataFrame:
+    """m and vendi_entropy of each group: the entropy of its kernel's spectrum. The Vendi score is its exponential."""
+    return _spectral(rows, keys, embedding, "vendi_entropy", spectrum_entropy)
 
 
 def renyi2_entropy(rows: DataFrame, keys: list[str] = PROMPT, embedding: str = "embedding") -> DataFrame:
-    """Minus the log of the kernel's squared Frobenius norm: a lower bound of the Vendi entropy, from second moments alone."""
-    pairs = rows.select(*keys, F.posexplode(F.col(embedding).cast("array<double>")).alias("i", "x"), embedding)
-    moments = pairs.select(*keys, "i", F.transform(F.col(embedding).cast("array<double>"), lambda y: y * F.col("x")).alias("row")).groupBy(*keys, "i").agg(vector_sum("row").alias("row"), F.count(F.lit(1)).alias("m"))
-    return moments.groupBy(*keys).agg(F.max("m").alias("m"), (-F.ln(F.sum(E.dot(F.col("row"), F.col("row"))) / (F.max("m") * F.max("m")))).alias("renyi2_entropy"))
+    """m and renyi2_entropy: minus the log of the kernel's squared Frobenius norm, a lower bound of the Vendi entropy."""
+    return _spectral(rows, keys, embedding, "renyi2_entropy", collision_entropy)

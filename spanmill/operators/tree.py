@@ -17,6 +17,21 @@ def rollout_entropies(rollouts: DataFrame, steps: str = "step_entropy") -> DataF
     return rollouts.withColumn("h_sum", checked).withColumn("seq_len", n.cast("long")).withColumn("rate", E.entropy_rate("h_sum", "seq_len"))
 
 
+def step_entropies(candidates: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """keys, h (entropy in nats of the normalised scores) and k (candidates) of each step, from a row for each candidate: one aggregation.
+
+    Scores are logs between -700 and 700, as log probabilities are; -inf and null are candidates that are out.
+    """
+    x = F.when(F.col(score) > float("-inf"), F.col(score))
+    k, total = F.count(x), F.sum(F.exp(x))
+    return candidates.groupBy(*keys).agg(F.when(k > 1, F.ln(total) - F.sum(x * F.exp(x)) / total).when(k == 1, 0.0).alias("h"), k.alias("k"))
+
+
+def rollout_sums(steps: DataFrame, keys: list[str], h: str = "h") -> DataFrame:
+    """``rollout_entropies`` from a row for each step."""
+    return steps.groupBy(*keys).agg(F.sum(h).alias("h_sum"), F.count(F.lit(1)).alias("seq_len")).withColumn("rate", E.entropy_rate("h_sum", "seq_len"))
+
+
 def tree_aggregates(max_new_tokens: int | None = None) -> list[Column]:
     """Aggregates over a prompt's rollouts."""
     n = F.col("seq_len").cast("double")

@@ -24,22 +24,34 @@ def candidates(spark: SparkSession, sf_dir: str, score=None) -> DataFrame:
     return listed.select("orderkey", F.transform("lines", lambda s: s["l_linenumber"]).alias("numbers"), F.transform("lines", lambda s: s["x"]).alias("scores"))
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """custkey, orderkey, t, h, k."""
+def _placed(orders: DataFrame, entropy: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    entropy = candidates(spark, sf_dir).select("orderkey", E.step_entropy(E.normalize_scores(F.col("scores"))).alias("h"), F.size("scores").cast("long").alias("k"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), "o_orderdate")
     place = F.row_number().over(Window.partitionBy("custkey").orderBy("o_orderdate", "orderkey"))
     return orders.join(entropy, "orderkey").select("custkey", "orderkey", place.alias("t"), "h", "k")
 
 
-def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """task, model_name, model_variant, prompt_id, rollout_idx, step_entropy, h_sum, seq_len, rate, reward."""
-    arrays = steps(spark, sf_dir).groupBy("custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "h"))), lambda s: s["h"]).alias("step_entropy"))
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), "o_orderdate")
+
+
+def long_entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orderkey, h, k from the lines as they are, a row for each candidate."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderkey"), F.ln("l_extendedprice").alias("score"))
+    return tree.step_entropies(lines, ["orderkey"], "score")
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """custkey, orderkey, t, h, k; the candidates of a step as an array."""
+    entropy = candidates(spark, sf_dir).select("orderkey", E.step_entropy(E.normalize_scores(F.col("scores"))).alias("h"), F.size("scores").cast("long").alias("k"))
+    return _placed(_orders(spark, sf_dir), entropy)
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """task, model_name, model_variant, prompt_id, rollout_idx, reward of each customer."""
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     customer = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    named = customer.select(
+    return customer.select(
         F.col("r_name").alias("task"),
         F.concat(F.lit("fam"), (F.floor(F.col("c_custkey") / 2) % 3).cast("string")).alias("model_name"),
         F.when(F.col("c_custkey") % 2 == 0, "base").otherwise("instruct").alias("model_variant"),
@@ -47,19 +59,41 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("rollout_idx"),
         F.col("c_acctbal").alias("reward"),
     )
-    return tree.rollout_entropies(named.join(arrays, F.col("rollout_idx") == F.col("custkey")).drop("custkey"))
+
+
+def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """task, model_name, model_variant, prompt_id, rollout_idx, reward, h_sum, seq_len, rate: sums over rows, no array is built."""
+    sums = tree.rollout_sums(_orders(spark, sf_dir).join(long_entropies(spark, sf_dir), "orderkey"), ["custkey"])
+    return named(spark, sf_dir).join(sums, F.col("rollout_idx") == F.col("custkey")).drop("custkey")
+
+
+def rollouts_with_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from arrays of step entropies, as artifacts hold them, with ``step_entropy``."""
+    arrays = steps(spark, sf_dir).groupBy("custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "h"))), lambda s: s["h"]).alias("step_entropy"))
+    return tree.rollout_entropies(named(spark, sf_dir).join(arrays, F.col("rollout_idx") == F.col("custkey")).drop("custkey"))
 
 
 def run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps with the names of their runs."""
-    return rollouts(spark, sf_dir).select("task", "model_name", "model_variant", "prompt_id", "rollout_idx", F.posexplode("step_entropy").alias("t", "h")).withColumn("t", F.col("t") + 1)
+    placed = _placed(_orders(spark, sf_dir), long_entropies(spark, sf_dir))
+    return placed.join(named(spark, sf_dir), F.col("custkey") == F.col("rollout_idx")).select("task", "model_name", "model_variant", "prompt_id", "rollout_idx", "t", "h")
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollouts with an embedding each."""
     vectors = table(spark, sf_dir, "embeddings")
-    n = vectors.count()
-    return rollouts(spark, sf_dir).withColumn("vec_id", F.col("rollout_idx") % n).join(vectors.select("vec_id", "embedding"), "vec_id", "left")
+    total = vectors.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return rollouts(spark, sf_dir).join(F.broadcast(total)).withColumn("vec_id", F.col("rollout_idx") % F.col("total")).drop("total").join(vectors.select("vec_id", "embedding"), "vec_id", "left")
+
+
+def axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prompt_id, rollout_idx, embedding: groups of many and of five vectors, each vector one of eight orthogonal ones, so a kernel's spectrum is how often each occurs."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rollout_idx"), "label")
+    which = (F.col("rollout_idx") * 7 + F.floor(F.col("rollout_idx") / 5)) % 8
+    turned = F.array(*(F.when(F.bit_count(which.bitwiseAND(F.lit(i))) % 2 == 0, 1.0).otherwise(-1.0) / F.sqrt(F.lit(8.0)) for i in range(8)))
+    many = vectors.select(F.col("label").cast("long").alias("prompt_id"), "rollout_idx", turned.alias("embedding"))
+    few = vectors.select((F.floor(F.col("rollout_idx") / 5) + 10_000).alias("prompt_id"), "rollout_idx", turned.alias("embedding"))
+    return many.unionByName(few)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +154,8 @@ fx_spearman as (select task, model_name, model_variant, prompt_id, count(*) as n
 fx_kendall as (select a.task, a.model_name, a.model_variant, a.prompt_id, case when sum(abs(sign(a.seq_len - b.seq_len))) > 0 and sum(abs(sign(a.rate - b.rate))) > 0 then
     sum(sign(a.seq_len - b.seq_len) * sign(a.rate - b.rate)) / sqrt(sum(abs(sign(a.seq_len - b.seq_len)))::double * sum(abs(sign(a.rate - b.rate)))::double) end as kendall
   from fx_rollouts a join fx_rollouts b on a.task = b.task and a.model_name = b.model_name and a.model_variant = b.model_variant and a.prompt_id = b.prompt_id and a.rollout_idx < b.rollout_idx group by all),
+fx_axes as (select prompt_id, sum(c)::bigint as m, -sum(c / s * ln(c / s)) as h from (select prompt_id, w, count(*)::double as c, sum(count(*)) over (partition by prompt_id)::double as s from
+  (select g.prompt_id, (vec_id * 7 + vec_id // 5) % 8 as w from embeddings cross join lateral (select unnest([label::bigint, vec_id // 5 + 10000]) as prompt_id) g) group by prompt_id, w) group by prompt_id),
 fx_n as (select count(*) as n from embeddings),
 fx_embedded as (select f.*, e.embedding::double[] as e from fx_rollouts f cross join fx_n join embeddings e on e.vec_id = f.rollout_idx % fx_n.n),
 fx_cells as (select f.task, f.model_name, f.model_variant, f.prompt_id, f.rollout_idx, f.seq_len, unnest(e) as x, unnest(range(len(e))) as d from fx_embedded f),

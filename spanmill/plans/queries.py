@@ -49,7 +49,7 @@ def step_entropy(spark, d):
 
 @query(f"select rollout_idx, seq_len, {R('h_sum', 'h_sum')}, {R('rate', 'rate')} from fx_rollouts")
 def rollout_entropy(spark, d):
-    return rounded(fx.rollouts(spark, d).select("rollout_idx", "seq_len", "h_sum", "rate"))
+    return rounded(fx.rollouts_with_steps(spark, d).select("rollout_idx", "seq_len", "h_sum", "rate"))
 
 
 @query(f"select l_orderkey as orderkey, l_linenumber as line, {R('ln(p)', 'lp')} from fx_lines")
@@ -226,9 +226,16 @@ def pooled_buckets(spark, d):
     return rounded(semantic.pooled_buckets(semantic.bucket_stats(fx.embedded(spark, d))))
 
 
-@query()
+@query(f"select prompt_id, m, {R('h', 'vendi_entropy')} from fx_axes")
 def vendi_entropy(spark, d):
-    return rounded(semantic.vendi_entropy(fx.labelled(spark, d), ["prompt_id"]))
+    return rounded(semantic.vendi_entropy(fx.axes(spark, d), ["prompt_id"]))
+
+
+@query(f"select prompt_id, {R('exp(h)', 'vendi_score')}, {R('case when m > 1 then greatest(1e-6, least(1 - 1e-6, (exp(h) - 1) / (m - 1))) end', 'vs01')} from fx_axes")
+def vendi_unit(spark, d):
+    found = semantic.vendi_entropy(fx.axes(spark, d), ["prompt_id"])
+    rows = found.select("prompt_id", F.exp("vendi_entropy").alias("VS"), F.col("m").alias("M"), F.lit(0.5).alias("D"), F.col("m").cast("double").alias("R_bar"), F.col("prompt_id").cast("double").alias("N_bar"))
+    return rounded(panel.z_scored(rows).select("prompt_id", F.col("VS").alias("vendi_score"), F.col("VS01").alias("vs01")))
 
 
 @query(f"""select prompt_id, max(m) as m, {R('-ln(sum(g * g) / (max(m) * max(m)))', 'renyi2_entropy')} from (select a.prompt_id, a.i, b.i as j, sum(a.x * b.x) as g, count(*) as m
@@ -269,7 +276,7 @@ def variance_kde(spark, d):
 @query(f"select task, (t - 1)::int as pos, count(*) filter (h > 0) as active from fx_steps s join fx_rollouts r on r.rollout_idx = s.custkey group by task, t")
 def active_counts(spark, d):
     logs = F.transform("step_entropy", lambda h: F.when(h > 0, F.ln(h)).otherwise(float("-inf")))
-    return figures.active_counts(fx.rollouts(spark, d).withColumn("logs", logs), ["task"], "logs")
+    return figures.active_counts(fx.rollouts_with_steps(spark, d).withColumn("logs", logs), ["task"], "logs")
 
 
 @query(f"select task, prompt_id, count(*) as n, (sum(count(*)) over (order by task, prompt_id))::bigint as end_line, round(sum(count(*)) over (order by task, prompt_id) - count(*) / 2.0::double, 6) as centre from fx_rollouts group by task, prompt_id")
@@ -279,7 +286,7 @@ def heatmap_blocks(spark, d):
 
 @query(f"select l.line::bigint as line, (s.t - 1)::int as pos, {R('s.h', 'value')} from (select rollout_idx, row_number() over (order by task, prompt_id, seq_len, rollout_idx) - 1 as line from fx_rollouts) l join fx_steps s on s.custkey = l.rollout_idx")
 def heatmap_cells(spark, d):
-    return rounded(figures.heatmap(fx.rollouts(spark, d), ["task", "prompt_id"], "step_entropy").select(F.col("row").alias("line"), "pos", "value"))
+    return rounded(figures.heatmap(fx.rollouts_with_steps(spark, d), ["task", "prompt_id"], "step_entropy").select(F.col("row").alias("line"), "pos", "value"))
 
 
 @query(f"select {R('quantile_cont(h, 0.02)', 'low')}, {R('quantile_cont(h, 0.98)', 'high')} from fx_steps")
@@ -346,9 +353,12 @@ def rse_saturation(spark, d):
 # Texts
 
 
-@query(r"select doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text || '``````' || chr(10) || ' ', '\s+$', ''), '```$', ''), '\s+$', '')) as cleaned from documents")
+_STRIPPED = rf"regexp_replace(regexp_replace(regexp_replace({{0}}, '[{E.WHITE_SPACE}]+\z', ''), '```\z', ''), '[{E.WHITE_SPACE}]+\z', '')".replace(r"\x{85}\x{A0}", r"\x{0085}\x{00A0}")
+
+
+@query("select doc_id, sha256(" + _STRIPPED.replace("{0}", "text || chr(160) || '``````' || chr(10) || ' ' || chr(12288) || chr(8195)") + ") as cleaned from documents")
 def prompt_clean(spark, d):
-    fenced = F.concat("text", F.lit("``````\n "))
+    fenced = F.concat("text", F.lit("\u00a0``````\n \u3000\u2003"))
     return fx.table(spark, d, "documents").select("doc_id", F.sha2(E.clean_prompt(fenced), 256).alias("cleaned"))
 
 

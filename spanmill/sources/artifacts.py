@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,16 +58,20 @@ class Store:
         return self.read(artifact).groupBy(*self.partitions(artifact)).agg(F.count_distinct("prompt_id").alias("prompts"))
 
     def runs(self) -> DataFrame:
-        return self.spark.read.schema(RUNS).json(self.path("runs")) if self.exists("runs") else self.spark.createDataFrame([], RUNS)
+        """The settings of each run as they were saved last."""
+        if not self.exists("runs"):
+            return self.spark.createDataFrame([], RUNS)
+        saved = self.spark.read.schema(f"{RUNS}, saved_at bigint").json(self.path("runs"))
+        last = saved.groupBy(*RUN_KEYS).agg(F.max_by(F.struct(*names(RUNS)), "saved_at").alias("run"))
+        return last.select("run.*")
 
     def save_run(self, run: dict) -> None:
-        """One JSON line; all fields are needed, unknown ones are ignored."""
+        """One JSON line in a file of its own; all fields are needed, unknown ones are ignored. Nothing that was saved before is touched, so a crash or another writer loses no run."""
         missing = [f for f in names(RUNS) if f not in run]
         if missing:
             raise KeyError(f"the run lacks {missing}")
-        others = self.runs().where(~same_run(run)).collect()  # the dimension of runs: a line each
-        rows = [*others, tuple(run[f] for f in names(RUNS))]
-        self.spark.createDataFrame(rows, RUNS).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(self.path("runs"))
+        row = (*(run[f] for f in names(RUNS)), time.time_ns())
+        self.spark.createDataFrame([row], f"{RUNS}, saved_at bigint").coalesce(1).write.mode("append").option("ignoreNullFields", "false").json(self.path("runs"))
 
     def resume(self, run: dict) -> int:
         """Where a run goes on: how many prompts it has. Its settings may differ from the stored ones in ``num_prompts`` only; they are stored anew."""

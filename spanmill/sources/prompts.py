@@ -11,11 +11,15 @@ from ..functions import expr as E
 def load_prompts(spark: SparkSession, path: str, num_prompts: int = 0) -> DataFrame:
     """task, prompt_id, prompt of a JSON-lines file: blank lines are skipped, prompt_id is the place among the others.
 
-    The first ``num_prompts`` come back, all for 0 or less. A line without a prompt is an error.
+    The first ``num_prompts`` come back, all for 0 or less. A line without a prompt is an error. A
+    large file is read and numbered in parts: lines within each, and the parts by the lines before them.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "json"), F.col("_metadata.file_path").alias("file"))
-    filled = lines.where(F.trim(F.regexp_replace("json", r"\s", "")) != "")
-    numbered = filled.select("*", (F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).alias("prompt_id"))
+    lines = spark.read.text(path, lineSep="\n").select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line"))
+    filled = lines.where(F.regexp_replace("json", f"[{E.WHITE_SPACE}]", "") != "")
+    own = filled.withColumn("at", F.row_number().over(Window.partitionBy("file", "part").orderBy("line")) - 1)
+    parts = filled.groupBy("file", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = own.join(parts.select("file", "part", before.alias("before")), ["file", "part"]).withColumn("prompt_id", (F.col("before") + F.col("at")).cast("int"))
     text = F.from_json("json", "prompt string")["prompt"]
     prompt = F.when(text.isNotNull(), E.clean_prompt(text)).otherwise(F.raise_error(F.lit("a line has no prompt")).cast("string"))
     out = numbered.select(E.task_stem("file").alias("task"), "prompt_id", prompt.alias("prompt"))

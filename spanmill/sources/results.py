@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import atexit
+import contextlib
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where the session names no folder (tests on one machine).
+#: Used only where the session names no folder and driver and executors are one process (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; without a name a cluster gets an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, kept in the folder that ``spark.checkpoint.dir`` names: what reads them several times plans from there, and survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
-    return df.checkpoint()
+    """The rows, written once to the shared folder: what reads them several times plans from there, and survives lost executors. They go when the driver ends."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def at_exit() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone by then
+            drop(spark, path)
+
+    atexit.register(at_exit)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def flat_scalars(nested: DataFrame, keys: list[str]) -> DataFrame:

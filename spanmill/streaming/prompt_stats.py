@@ -1,4 +1,4 @@
-"""Prompt metrics kept up to date as rollouts arrive. A prompt's rollouts arrive together, so no state is needed: each batch recomputes the prompts that it touches."""
+"""Prompt metrics kept up to date as rollouts arrive, whatever batches a prompt's rollouts come in."""
 
 from __future__ import annotations
 
@@ -11,12 +11,22 @@ from ..schemas import ROLLOUTS, RUN_KEYS
 
 
 def stream_prompt_stats(spark: SparkSession, rollouts_path: str, out_path: str, checkpoint: str, max_new_tokens: int = 4000, available_now: bool = True) -> StreamingQuery:
-    """Follow a folder of rollouts and write prompt metrics, partitioned by run and prompt; a prompt that comes again replaces its rows."""
-    keys = [*RUN_KEYS, "prompt_id"]
+    """Follow a folder of rollouts and write prompt metrics, partitioned by run.
 
-    def write(batch: DataFrame, _: int) -> None:
-        measured = tree.rollout_entropies(batch.where(F.size("step_entropy") > 0))
-        tree.prompt_metrics(measured, keys, max_new_tokens).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(out_path)
+    The state is a row of sums for each rollout, beside the metrics (``out_path`` with ``-rollouts``), in a
+    folder for each batch, so a batch that is replayed replaces its own rows. A rollout that comes
+    again counts as it came last. Each batch writes the runs anew that it touches.
+    """
+    keys, sums = [*RUN_KEYS, "prompt_id", "rollout_idx"], f"{out_path.rstrip('/')}-rollouts"
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = tree.rollout_entropies(batch.where(F.size("step_entropy") > 0)).select(*keys, "h_sum", "seq_len", "rate")
+        own.write.mode("overwrite").parquet(f"{sums}/batch={number}")
+        schema = own.schema.add("batch", "long")
+        held = spark.read.schema(schema).parquet(sums).where(F.col("batch") <= number)
+        runs = spark.read.schema(own.schema).parquet(f"{sums}/batch={number}").select(*RUN_KEYS).distinct()
+        last = held.join(runs, RUN_KEYS, "left_semi").groupBy(*keys).agg(F.max_by(F.struct("h_sum", "seq_len", "rate"), "batch").alias("last")).select(*keys, "last.*")
+        tree.prompt_metrics(last, [*RUN_KEYS, "prompt_id"], max_new_tokens).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_KEYS).parquet(out_path)
 
     source = spark.readStream.schema(ROLLOUTS).parquet(rollouts_path)
     writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
