@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,3 +103,14 @@ def length_figure(rollouts: DataFrame, cell: list[str], series: list[str], mode:
     if mode == "kde":
         return figures.kernel_density(rollouts, [*cell, *series], "seq_len", settings.length_points, 0.0, cell)
     raise ValueError("mode is hist or kde")
+
+
+def eos_payload(store: artifacts.Store, score: Callable[[], DataFrame], mode: str = "compute_plot") -> DataFrame | None:
+    """The EOS trajectories of a store: ``compute_plot`` scores, stores and returns them, ``compute_only`` returns nothing, ``plot_only`` reads what is stored."""
+    if mode not in ("compute_plot", "compute_only", "plot_only"):
+        raise ValueError("mode is compute_plot, compute_only or plot_only")
+    if mode != "plot_only":
+        store.reset(score(), "eos", force=True)
+    elif not store.exists("eos"):
+        raise FileNotFoundError("no EOS trajectories are stored")
+    return None if mode == "compute_only" else store.read("eos")

@@ -192,11 +192,6 @@ def kept_tree_metrics(spark, d):
     return rounded(tree.pooled_metrics(prompts, ["subset", *RUN], {"rollouts": F.sum("m")}).select("subset", *RUN, "prompts", "rollouts", "ce_star_max", "gen_ppl", "branching_factor"))
 
 
-@query()
-def pooled_stats(spark, d):
-    prompts = compute.prompt_stats(fx.embedded(spark, d), RUN, fx.MAX_NEW_TOKENS, compute.Compute(use_reward_filter=True))
-    return rounded(compute.flat_summary(compute.pooled_stats(prompts, RUN), RUN))
-
 
 # Embeddings
 

@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schemas import ARTIFACTS, RUN_KEYS, RUNS, names
 
@@ -40,18 +41,22 @@ class Store:
     def texts(self, **where: str) -> DataFrame:
         return self.read("rollouts", **where).select(*RUN_KEYS, "prompt_id", "rollout_idx", "text")
 
+    def _shaped(self, df: DataFrame, artifact: str) -> DataFrame:
+        """The artifact's columns in its types, dealt so that a run is few files and a large one several tasks."""
+        shaped = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ARTIFACTS[artifact][0])))
+        return shaped.hint("rebalance", *self.partitions(artifact))
+
     def append(self, df: DataFrame, artifact: str) -> None:
-        columns = names(ARTIFACTS[artifact][0])
-        df.select(*columns).write.mode("append").partitionBy(*self.partitions(artifact)).parquet(self.path(artifact))
+        self._shaped(df, artifact).write.mode("append").partitionBy(*self.partitions(artifact)).parquet(self.path(artifact))
 
     def reset(self, df: DataFrame, artifact: str, force: bool = False) -> None:
         """Replace the partitions that ``df`` has; without ``force``, only such as hold nothing yet."""
-        columns, keys = names(ARTIFACTS[artifact][0]), self.partitions(artifact)
+        keys = self.partitions(artifact)
         if not force and self.exists(artifact):
             held = self.count_prompts(artifact).join(df.select(*keys).distinct(), keys, "left_semi").agg(F.sum("prompts")).first()[0]
             if held:
                 raise ValueError(f"{held} prompts of {artifact} would be replaced; pass force=True to do so")
-        df.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(self.path(artifact))
+        self._shaped(df, artifact).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(self.path(artifact))
 
     def count_prompts(self, artifact: str) -> DataFrame:
         """Prompts by run (and key) that an artifact holds."""
@@ -65,6 +70,11 @@ class Store:
         last = saved.groupBy(*RUN_KEYS).agg(F.max_by(F.struct(*names(RUNS)), "saved_at").alias("run"))
         return last.select("run.*")
 
+    def save_runs(self, runs: DataFrame) -> None:
+        """The settings of many runs at once."""
+        rows = runs.select(*names(RUNS), F.lit(time.time_ns()).alias("saved_at"))
+        rows.write.mode("append").option("ignoreNullFields", "false").json(self.path("runs"))
+
     def save_run(self, run: dict) -> None:
         """One JSON line in a file of its own; all fields are needed, unknown ones are ignored. Nothing that was saved before is touched, so a crash or another writer loses no run."""
         missing = [f for f in names(RUNS) if f not in run]

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import expr as E
+from ..operators import PROMPT, judge
+from ..schemas import EOS, RUN_KEYS
+from . import results
 
 Batches = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+#: Answers a prompt with a reply and why it ended ("stop", "length"); an exception is a failed request.
+Ask = Callable[[str], tuple[str, str]]
+#: From the ids before a generation and a few generations' ids: each one's log probabilities, a row per generated token over the whole vocabulary.
+EosScorer = Callable[[list[int], list[list[int]]], list[np.ndarray]]
 
 
 def generated(prompts: DataFrame, generator: Batches, schema: str) -> DataFrame:
@@ -23,5 +37,85 @@ def rewarded(rollouts: DataFrame, scorer: Batches, schema: str) -> DataFrame:
     return rollouts.mapInPandas(scorer, schema)
 
 
-def judged(pairs: DataFrame, judge: Batches, schema: str) -> DataFrame:
-    return pairs.mapInPandas(judge, schema)
+def _asked(ask: Ask, prompt: str, retries: int, wait: float) -> tuple[str, str | None, bool]:
+    """Reply, finish reason, failed. A request is repeated after ever longer waits; the last error is the reply."""
+    for k in range(retries + 1):
+        try:
+            text, reason = ask(prompt)
+            return (text or "").strip(), reason, False
+        except Exception as error:  # whatever a client raises is a failed request
+            last = error
+            if k < retries and wait:
+                time.sleep(wait * 2**k)
+    return repr(last), None, True
+
+
+def require_ready(judge: Callable[[], Ask], probe: str = "Reply with one word.") -> None:
+    """Asks once, on the driver, before many requests are spent; an error goes to the caller."""
+    judge()(probe)
+
+
+def judged(pairs: DataFrame, judge: Callable[[], Ask], prompt: str = "prompt", concurrency: int = 64, retries: int = 5, wait: float = 1.0) -> DataFrame:
+    """The rows with text, finish_reason and failed. ``judge`` makes a client, once a task; so many requests of a task are in flight at most, and so many rows held."""
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in pairs.schema.fields)}, text string, finish_reason string, failed boolean"
+    at = pairs.columns.index(prompt)
+
+    def run(batches):
+        ask = judge()
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 16 * concurrency):
+                    part = batch.slice(k, 16 * concurrency)
+                    replies = list(pool.map(lambda p: _asked(ask, p, retries, wait), part.column(at).to_pylist()))
+                    texts, reasons, failed = zip(*replies, strict=True)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string()), pa.array(reasons, pa.string()), pa.array(failed, pa.bool_())], names=[*part.schema.names, "text", "finish_reason", "failed"])
+
+    return pairs.mapInArrow(run, schema)
+
+
+def judgment_matrix(nodes: DataFrame, template: str, judge_client: Callable[[], Ask], keys: list[str] = PROMPT, text: str = "text", concurrency: int = 64, retries: int = 5, wait: float = 1.0) -> DataFrame:
+    """keys, r, c, text, is_similar, status: every pair r < c of the judged rollouts (keys, pos, text), and the other way round those that were found similar.
+
+    What is asked is written before it is used again, so no request is made twice. ``template`` has
+    {response_a} and {response_b}, and {task_prompt} if the nodes have that column.
+    """
+    own = nodes.select(*keys, "pos", F.col(text).alias("response"), *(c for c in ("task_prompt",) if c in nodes.columns))
+    both = judge.forward_pairs(own, keys)
+    response = {"response_a": F.col("response_r"), "response_b": F.col("response_c")} | ({"task_prompt": F.col("task_prompt_r")} if "task_prompt" in nodes.columns else {})
+
+    def asked(pairs: DataFrame) -> DataFrame:
+        replies = judged(pairs.select(*keys, "r", "c", E.filled(template, response).alias("prompt")), judge_client, "prompt", concurrency, retries, wait)
+        return results.cut(judge.judgments(replies).select(*keys, "r", "c", "text", "is_similar", "status"))
+
+    forward = asked(both)
+    turned = both.select(*keys, F.col("c").alias("r"), F.col("r").alias("c"), F.col("response_c").alias("response_r"), F.col("response_r").alias("response_c"), *(c for c in ("task_prompt_r",) if c in both.columns))
+    reverse = asked(turned.join(judge.reverse_pairs(forward, keys), [*keys, "r", "c"], "left_semi"))
+    return forward.unionByName(reverse)
+
+
+def eos_scored(rollouts: DataFrame, scorer: EosScorer, eos: list[int], top_k: int | None = None, batch_size: int = 4, prefix: str = "prefix_ids") -> DataFrame:
+    """Rows of the EOS artifact: for each generated token the log of the end tokens' joint probability and, with ``top_k``, whether one is among the likeliest.
+
+    ``rollouts`` has the run's keys, prompt_id, rollout_idx, token_ids and the ids before the generation
+    (``prefix``). Generations of one prefix and similar length are scored together.
+    """
+
+    def run(batches):
+        for batch in batches:
+            ids, before = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            logs, tops = [None] * len(ids), [None] * len(ids)
+            groups: dict[tuple, list[int]] = {}
+            for i in sorted(range(len(ids)), key=lambda i: len(ids[i])):
+                groups.setdefault(tuple(before[i]), []).append(i)
+            for prefix_ids, members in groups.items():
+                for k in range(0, len(members), batch_size):
+                    part = members[k : k + batch_size]
+                    for i, scores in zip(part, scorer(list(prefix_ids), [ids[j] for j in part]), strict=True):
+                        most = scores.max(1, keepdims=True)
+                        scores = scores - most - np.log(np.exp(scores - most).sum(1, keepdims=True))
+                        logs[i] = np.logaddexp.reduce(scores[:, eos], axis=1).astype(np.float32)
+                        if top_k:
+                            tops[i] = np.isin(np.argsort(-scores, axis=1, kind="stable")[:, :top_k], eos).any(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(logs, pa.list_(pa.float32())), pa.array(tops, pa.list_(pa.bool_()))], names=[*batch.schema.names[:-2], "eos_logprob", "eos_in_top_k"])
+
+    return rollouts.select(*RUN_KEYS, "prompt_id", "rollout_idx", "token_ids", F.col(prefix).alias("prefix")).mapInArrow(run, EOS)

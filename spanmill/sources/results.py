@@ -26,17 +26,42 @@ def drop(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder: what reads them several times plans from there, and survives lost executors. They go when the driver ends."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def temporary(spark: SparkSession, label: str) -> str:
+    """A folder of its own within the shared one, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def at_exit() -> None:
         with contextlib.suppress(Exception):  # the session may be gone by then
             drop(spark, path)
 
     atexit.register(at_exit)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder: what reads them several times plans from there, and survives lost executors."""
+    path = temporary(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """Nested statistics as they are; ``read_stats`` gives them back."""
+    stats.write.mode("overwrite").parquet(path)
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, wherever Spark's paths lead."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def flat_scalars(nested: DataFrame, keys: list[str]) -> DataFrame:
