@@ -59,6 +59,7 @@ class BetaFit:
     log_likelihood: float
     fitted: np.ndarray
     precision: np.ndarray
+    observed: np.ndarray
 
 
 def _factor(values: list[str], reference: str | None = None) -> tuple[list[str], np.ndarray]:
@@ -140,7 +141,7 @@ def fit_beta(y: np.ndarray, x: np.ndarray, names: list[str], z: np.ndarray, z_na
     prior = sum((s.stop - s.start) * math.log(var[k]) for k, s in places.items())
     laplace = value - penalty(beta) - (prior + (np.linalg.slogdet(inner)[1] if random else 0.0)) / 2
     terms = {k: Coefficient(float(b), float(e)) for k, b, e in zip(names, beta[:p], errors, strict=True)}
-    return BetaFit(terms, dict(zip(z_names, delta.tolist(), strict=True)), {k: math.sqrt(v) for k, v in var.items()}, laplace, mu, phi)
+    return BetaFit(terms, dict(zip(z_names, delta.tolist(), strict=True)), {k: math.sqrt(v) for k, v in var.items()}, laplace, mu, phi, y)
 
 
 def beta_interaction(panel: DataFrame, y: str = "D01", mean_df: int = 4, dispersion_df: int = 3, base: str = "base", spline_by_variant: bool = False) -> BetaFit:

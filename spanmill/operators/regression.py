@@ -126,12 +126,28 @@ def fit(rows: DataFrame, y: str, design: dict[str, Column], group: str = "prompt
     return solve(statistics(rows, y, design, group), list(design), reml)
 
 
+def normal_equations(rows: DataFrame, y: str, design: dict[str, Column], found: Fit, group: str = "prompt_uid") -> DataFrame:
+    """term, residual: what is left of each of the fit's normal equations at its variance ratio, x'(y - xb) by groups, from the rows themselves; a fit leaves nothing."""
+    names = list(design)
+    e = F.col(y).cast("double") - sum((design[n] * found.terms[n].estimate for n in names), F.lit(0.0))
+    z = rows.select(F.col(group).alias("g"), F.array(*(c.cast("double") for c in design.values()), e).alias("z")).where(F.forall("z", lambda x: x.isNotNull()))
+    p = len(names)
+    own = [F.sum(F.col("z")[j]).alias(f"s{j}") for j in range(p + 1)] + [F.sum(F.col("z")[j] * F.col("z")[p]).alias(f"t{j}") for j in range(p)]
+    per = z.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *own)
+    w = found.theta / (1 + F.col("n") * found.theta)
+    left = per.agg(*(F.sum(F.col(f"t{j}") - w * F.col(f"s{j}") * F.col(f"s{p}")).alias(f"r{j}") for j in range(p)))
+    return left.select(F.stack(F.lit(p), *(x for j, n in enumerate(names) for x in (F.lit(n), F.col(f"r{j}")))).alias("term", "residual"))
+
+
+def main_design(panel: DataFrame) -> dict[str, Column]:
+    model, variant = dummies("model_name", levels(panel, "model_name")), dummies("model_variant", levels(panel, "model_variant"))
+    return {"Intercept": F.lit(1.0), **dummies("task", levels(panel, "task")), **model, **variant, **products(model, variant), "R_bar": F.col("R_bar"), "N_bar": F.col("N_bar")}
+
+
 def main_regression(panel: DataFrame, y: str = "D") -> Fit:
     """y on rate, length, task and the product of model and variant, with an intercept for each prompt (REML)."""
     panel = cut(panel)  # read for its levels, then for its sums
-    model, variant = dummies("model_name", levels(panel, "model_name")), dummies("model_variant", levels(panel, "model_variant"))
-    design = {"Intercept": F.lit(1.0), **dummies("task", levels(panel, "task")), **model, **variant, **products(model, variant), "R_bar": F.col("R_bar"), "N_bar": F.col("N_bar")}
-    return fit(panel, y, design)
+    return fit(panel, y, main_design(panel))
 
 
 def interaction_design(panel: DataFrame, tuned: str = "instruct", base: str = "base") -> dict[str, Column]:
@@ -151,14 +167,18 @@ def interaction_regression(panel: DataFrame, y: str = "D", tuned: str = "instruc
     return out
 
 
-def quadratic_robustness(panel: DataFrame, y: str = "D", tuned: str = "instruct", base: str = "base") -> dict[str, float]:
-    """Does a quadratic rate change the picture? Both models by maximum likelihood over the centred rate; the ratio test has two degrees of freedom, whose tail is exp(-x / 2)."""
-    panel = cut(panel)
+def quadratic_designs(panel: DataFrame, tuned: str = "instruct", base: str = "base") -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """The panel with its rate centred, the linear design and the squares that the quadratic one adds."""
     (mean,) = panel.agg(F.avg("R_bar")).first()
     centred = panel.withColumn("R_bar", F.col("R_bar") - F.lit(mean))
-    design = interaction_design(centred, tuned, base)
+    square = {"R_bar^2": F.col("R_bar") ** 2, f"R_bar^2:model_variant[{tuned}]": F.col("R_bar") ** 2 * (F.col("model_variant") == tuned).cast("double")}
+    return centred, interaction_design(centred, tuned, base), square
+
+
+def quadratic_robustness(panel: DataFrame, y: str = "D", tuned: str = "instruct", base: str = "base") -> dict[str, float]:
+    """Does a quadratic rate change the picture? Both models by maximum likelihood over the centred rate; the ratio test has two degrees of freedom, whose tail is exp(-x / 2)."""
+    centred, design, square = quadratic_designs(cut(panel), tuned, base)
     v = f"model_variant[{tuned}]"
-    square = {"R_bar^2": F.col("R_bar") ** 2, f"R_bar^2:{v}": F.col("R_bar") ** 2 * (F.col("model_variant") == tuned).cast("double")}
     line, curve = fit(centred, y, design, reml=False), fit(centred, y, design | square, reml=False)
     statistic = max(0.0, 2 * (curve.log_likelihood - line.log_likelihood))
     out = {"lrt": statistic, "pvalue": math.exp(-statistic / 2), "log_likelihood_linear": line.log_likelihood, "log_likelihood_quadratic": curve.log_likelihood}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -405,7 +406,30 @@ def paired_delta(spark, d):
     return rounded(base.join(other, ["task", "model_name", "prompt_id"]).select("task", "model_name", "prompt_id", (F.col("instruct") - F.col("base")).alias("delta")))
 
 
-_METRICS = ["ce_star_max", "gen_ppl", "branching_factor", "pearson", "covariance"]
+_POSITIVE = "('ce_star_max', 'gen_ppl', 'branching_factor')"
+_POOL = ", ".join((R("avg(ce)", "ce_star_max"), R("exp(avg(ce) / avg(nbar))", "gen_ppl"), R("exp(avg(rbar))", "branching_factor"), FISHER("pearson", "m", "pearson"), FISHER("spearman", "m", "spearman"), WEIGHTED("kendall", "(m * (m - 1) / 2)", "kendall"), WEIGHTED("cov", "(m - 1)", "covariance"))).replace(", 6) + 0.0::double", ", 15)")
+_LONG = "unnest(['ce_star_max', 'gen_ppl', 'branching_factor', 'pearson', 'spearman', 'kendall', 'covariance']) as metric, unnest([ce_star_max, gen_ppl, branching_factor, pearson, spearman, kendall, covariance]) as x"
+_CONTRASTS = "unnest(['base', 'instruct', 'delta', 'percent_delta']) as contrast, unnest([x0, x1, x1 - x0, 100 * (x1 - x0) / nullif(abs(x0), 0)])"
+_VARIANTS = "max(case when model_variant = 'base' then x end) as x0, max(case when model_variant = 'instruct' then x end) as x1"
+
+
+def _bootstrap_sql(draws: str) -> str:
+    """All seven metrics over replicates; ``draws`` selects np (number of prompts), b, s and pos."""
+    whole = "case when count(x) = count(*) then {0} end".format
+    return f"""select task, model_name, metric, contrast, {R('v.value', 'value')}, {R('se', 'se')}, {R('lo', 'ci_low')}, {R('hi', 'ci_high')} from
+ (select * from (with f as (select * from fx_prompt join fx_spearman using ({P}) left join fx_kendall using ({P})),
+ p as (select *, row_number() over (partition by {V} order by prompt_id) - 1 as pos, count(*) over (partition by {V}) as np from f),
+ i as ({draws}), z as (select {V}, b, {_POOL} from p join i using (np, pos) group by {V}, b), l as (select {V}, b, {_LONG} from z),
+ w as (select task, model_name, b, metric, {_VARIANTS} from l group by all), c as (select task, model_name, metric, {_CONTRASTS} as x from w)
+ select task, model_name, metric, contrast, {whole('stddev_samp(x)')} as se, {whole('quantile_cont(x, 0.025)')} as lo, {whole('quantile_cont(x, 0.975)')} as hi from c group by task, model_name, metric, contrast)) q
+ join (with f as (select * from fx_prompt join fx_spearman using ({P}) left join fx_kendall using ({P})), z as (select {V}, {_POOL} from f group by {V}), l as (select {V}, {_LONG} from z), w as (select task, model_name, metric, {_VARIANTS} from l group by all)
+ select task, model_name, metric, {_CONTRASTS} as value from w) v using (task, model_name, metric, contrast)
+ where contrast <> 'percent_delta' or metric in {_POSITIVE}"""
+
+
+def _correlated_components(spark: SparkSession, d: str) -> DataFrame:
+    found = correlation.correlations(fx.rollouts(spark, d), "seq_len", "rate").drop("n")
+    return _components(spark, d).drop("pearson", "covariance").join(found, PROMPT)
 
 
 def _hashed_indices(spark: SparkSession, prompts: DataFrame) -> DataFrame:
@@ -415,49 +439,63 @@ def _hashed_indices(spark: SparkSession, prompts: DataFrame) -> DataFrame:
     return grid.select("n_prompts", "b", "slot", (((b * 7919 + slot * 104729 + b * slot * 31) % 1000003) % F.col("n_prompts")).cast("long").alias("pos"))
 
 
-@query(f"""select task, model_name, metric, contrast, {R('v.value', 'value')}, {R('se', 'se')}, {R('lo', 'ci_low')}, {R('hi', 'ci_high')} from
- (select * from (with p as (select *, row_number() over (partition by {V} order by prompt_id) - 1 as pos, count(*) over (partition by {V}) as np from fx_prompt),
- i as (select np, b, s, ((b * 7919 + s * 104729 + b * s * 31) % 1000003) % np as pos from (select distinct np from p) cross join range(2000) b(b) cross join lateral (select unnest(range(np)) as s)),
- z as (select {V}, b, {", ".join((R('avg(ce)', 'ce_star_max'), R('exp(avg(ce) / avg(nbar))', 'gen_ppl'), R('exp(avg(rbar))', 'branching_factor'), FISHER('pearson', 'm', 'pearson'), WEIGHTED('cov', '(m - 1)', 'covariance'))).replace(', 6) + 0.0::double', ', 15)')} from p join i using (np, pos) group by {V}, b),
- l as (select {V}, b, unnest(['ce_star_max', 'gen_ppl', 'branching_factor', 'pearson', 'covariance']) as metric, unnest([ce_star_max, gen_ppl, branching_factor, pearson, covariance]) as x from z),
- w as (select task, model_name, b, metric, max(case when model_variant = 'base' then x end) as x0, max(case when model_variant = 'instruct' then x end) as x1 from l group by all),
- c as (select task, model_name, metric, unnest(['base', 'instruct', 'delta', 'percent_delta']) as contrast, unnest([x0, x1, x1 - x0, 100 * (x1 - x0) / nullif(abs(x0), 0)]) as x from w)
- select task, model_name, metric, contrast, case when count(x) = count(*) then stddev_samp(x) end as se, case when count(x) = count(*) then quantile_cont(x, 0.025) end as lo, case when count(x) = count(*) then quantile_cont(x, 0.975) end as hi from c group by task, model_name, metric, contrast)) q
- join (with z as (select {V}, {", ".join((R('avg(ce)', 'ce_star_max'), R('exp(avg(ce) / avg(nbar))', 'gen_ppl'), R('exp(avg(rbar))', 'branching_factor'), FISHER('pearson', 'm', 'pearson'), WEIGHTED('cov', '(m - 1)', 'covariance'))).replace(', 6) + 0.0::double', ', 15)')} from fx_prompt group by {V}),
- l as (select {V}, unnest(['ce_star_max', 'gen_ppl', 'branching_factor', 'pearson', 'covariance']) as metric, unnest([ce_star_max, gen_ppl, branching_factor, pearson, covariance]) as x from z),
- w as (select task, model_name, metric, max(case when model_variant = 'base' then x end) as x0, max(case when model_variant = 'instruct' then x end) as x1 from l group by all)
- select task, model_name, metric, unnest(['base', 'instruct', 'delta', 'percent_delta']) as contrast, unnest([x0, x1, x1 - x0, 100 * (x1 - x0) / nullif(abs(x0), 0)]) as value from w) v using (task, model_name, metric, contrast)
- where (contrast <> 'percent_delta' or metric in ('ce_star_max', 'gen_ppl', 'branching_factor'))""")
+@query(_bootstrap_sql("select np, b, s, ((b * 7919 + s * 104729 + b * s * 31) % 1000003) % np as pos from (select distinct np from p) cross join range(2000) b(b) cross join lateral (select unnest(range(np)) as s)"))
 def bootstrap_ci(spark, d):
-    prompts = _components(spark, d)
-    metrics = {k: v for k, v in bootstrap.metric_aggregates().items() if k in _METRICS}
-    return rounded(bootstrap.comparison(prompts, _hashed_indices(spark, prompts), ["task", "model_name"], metrics=metrics))
+    prompts = _correlated_components(spark, d)
+    return rounded(bootstrap.comparison(prompts, _hashed_indices(spark, prompts), ["task", "model_name"]))
 
 
-@query()
+def _drawn(most: int = 5) -> str:
+    """The seeded generator's draws for up to so many prompts, a digit each: an input table of the SQL."""
+    digits = {n: "".join(map(str, np.random.default_rng(bootstrap.SEED).integers(0, n, (bootstrap.N_BOOT, n)).ravel())) for n in range(1, most + 1)}
+    rows = ", ".join(f"({n}, '{x}')" for n, x in digits.items())
+    return f"select n::bigint as np, (k - 1) // n as b, (k - 1) % n as s, substr(digits, k::int, 1)::bigint as pos from (values {rows}) t(n, digits) cross join lateral (select unnest(range(1, len(digits) + 1)) as k)"
+
+
+@query(_bootstrap_sql(_drawn()))
 def bootstrap_seeded(spark, d):
-    rows = fx.rollouts(spark, d)
-    prompts = _components(spark, d).drop("pearson", "covariance").join(correlation.correlations(rows, "seq_len", "rate").drop("n"), PROMPT)
+    prompts = _correlated_components(spark, d)
     return rounded(bootstrap.comparison(prompts, bootstrap.numpy_indices(spark, prompts, ["task", "model_name"]), ["task", "model_name"]))
 
 
-def _terms(spark: SparkSession, found: regression.Fit) -> DataFrame:
-    return spark.createDataFrame(found.rows(), "term string, estimate double, stderr double, pvalue double, ci_low double, ci_high double")
+def _plain_panel(spark: SparkSession, d: str) -> DataFrame:
+    return results.cut(panel.panel(tree.prompt_metrics(fx.rollouts(spark, d)), semantic.prompt_diversity(fx.diversity(spark, d))))
 
 
-@query()
+_LEVELS = "select 'task[' || task || ']' as term from (select distinct task from fx_panel) where task > (select min(task) from fx_panel) union all select 'model_name[' || model_name || ']' from (select distinct model_name from fx_panel) where model_name > (select min(model_name) from fx_panel)"
+_NAMED = "select unnest(['Intercept', 'model_variant[instruct]', 'R_bar', 'N_bar']) as term"
+_ZERO = "select {0}term, 0.0::double as residual, true as sound from ({1})".format
+
+
+def _equations(rows: DataFrame, design, found: regression.Fit) -> DataFrame:
+    """What the normal equations leave of each term, and whether its error, p value and interval are such."""
+    sound = {n: bool(c.stderr > 0 and 0 <= c.pvalue <= 1 and c.interval[0] < c.estimate < c.interval[1] and abs((c.interval[1] - c.interval[0]) / c.stderr - 2 * regression.Z95) < 1e-9) for n, c in found.terms.items()}
+    left = regression.normal_equations(rows, "D", design, found)
+    return left.select("term", (F.round("residual", 6) + F.lit(0.0)).alias("residual"), F.element_at(F.create_map(*(F.lit(x) for kv in sound.items() for x in kv)), F.col("term")).alias("sound"))
+
+
+@query(_ZERO("", f"{_LEVELS} union all {_NAMED} union all select 'model_name[' || model_name || ']:model_variant[instruct]' from (select distinct model_name from fx_panel) where model_name > (select min(model_name) from fx_panel)"))
 def lmm_main(spark, d):
-    return _terms(spark, regression.main_regression(_panel(spark, d)))
+    rows = _plain_panel(spark, d)
+    return _equations(rows, regression.main_design(rows), regression.main_regression(rows))
 
 
-@query()
+@query(_ZERO("", f"{_LEVELS} union all {_NAMED} union all select 'R_bar:model_variant[instruct]'"))
 def lmm_interaction(spark, d):
-    return _terms(spark, regression.interaction_regression(_panel(spark, d)))
+    rows = _plain_panel(spark, d)
+    return _equations(rows, regression.interaction_design(rows), regression.interaction_regression(rows))
 
 
-@query()
+@query(_ZERO("model, ", f"select m.model, t.term from (select unnest(['line', 'curve']) as model) m cross join ({_LEVELS} union all {_NAMED} union all select 'R_bar:model_variant[instruct]' union all select unnest(['R_bar^2', 'R_bar^2:model_variant[instruct]'])) t where m.model = 'curve' or t.term not like 'R_bar^2%'"))
 def lmm_quadratic(spark, d):
-    return spark.createDataFrame(sorted(regression.quadratic_robustness(_panel(spark, d)).items()), "name string, value double")
+    rows, design, square = regression.quadratic_designs(_plain_panel(spark, d))
+    line, curve = _equations(rows, design, regression.fit(rows, "D", design, reml=False)), _equations(rows, design | square, regression.fit(rows, "D", design | square, reml=False))
+    return line.withColumn("model", F.lit("line")).unionByName(curve.withColumn("model", F.lit("curve")))
+
+
+@query()
+def lmm_robustness(spark, d):
+    return spark.createDataFrame(sorted(regression.quadratic_robustness(_plain_panel(spark, d)).items()), "name string, value double")
 
 
 def _beta_terms(spark: SparkSession, found: beta.BetaFit) -> DataFrame:
@@ -474,6 +512,14 @@ def beta_vendi(spark, d):
     return _beta_terms(spark, beta.beta_interaction(panel.z_scored(_panel(spark, d)), "VS01", dispersion_df=4, spline_by_variant=True))
 
 
+@query()
+def beta_residuals(spark, d):
+    """Simulated residuals of the beta model over the panel."""
+    rows = results.cut(panel.z_scored(_plain_panel(spark, d)))
+    found = beta.beta_interaction(rows)
+    return spark.createDataFrame(sorted(beta.residual_tests(found, found.observed).items()), "name string, value double")
+
+
 # Artifacts and results
 
 
