@@ -1,8 +1,8 @@
 """Near-duplicate vectors by a subspace pigeonhole join.
 
 Unit vectors are rotated and split into blocks. If two have a squared distance of at most D, then in
-at least one block of m it is at most D/m. Each block is range-joined under that budget, and what
-any block finds is verified on the whole vectors in double precision.
+at least one block of m it is at most D/m. Each block is range-joined under that budget over cells of
+several of its coordinates, and what any block finds is verified on the whole vectors in double precision.
 """
 
 from __future__ import annotations
@@ -11,18 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, hot_join
 from .components import connected_components
 
 THRESHOLD = 0.9
 BLOCKS = 4
-#: Bytes of a strip's vectors, what one task holds of either side; small tables get several strips still, of this many vectors at least.
-STRIP_BYTES = 8 << 20
-STRIPS, LEAST = 4, 1024
-#: Pairs that are verified at once.
+#: Bytes of a cell's vectors, what one task holds of either side; small tables get several cells still, of this many vectors at least.
+CELL_BYTES = 8 << 20
+CELLS, LEAST = 4, 1024
+#: Vectors of either side whose block distances are worked out at once, and pairs that are verified at once.
+ROWS, COLUMNS = 256, 2048
 CHUNK = 1 << 15
-#: What rounding may add to a block's squared distance.
-SLACK = 1e-9
+#: What rounding may add to a block's squared distance, in double precision and in the single precision that finds candidates.
+SLACK, COARSE = 1e-9, 1e-5
 SEED = 11
 
 
@@ -46,52 +47,77 @@ def unit_vectors(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id", v
     return rows.drop("v"), reps
 
 
-def strips(reps: DataFrame, scratch: Scratch, dim: int, blocks: int, budget: float, strip: int | None) -> DataFrame:
-    """block, strip pair (s, t), role, node, copies, vector: each vector in its own strips and, as a visitor, in those that its block's range reaches."""
+def reachable(costs: list, budget: float):
+    """(which point, cell) of all cells whose squared distance from a point is at most the budget. ``costs``: for each
+    coordinate that is cut, by point and interval, the squared distance; cells are numbered with the last coordinate fastest."""
+    import numpy as np
+
+    n = len(costs[0]) if costs else 0
+    point, cell, spent = np.arange(n), np.zeros(n, dtype=np.int64), np.zeros(n)
+    for cost in costs:
+        q = cost.shape[1]
+        to = spent[:, None] + cost[point]
+        at, interval = np.nonzero(to <= budget)
+        point, cell, spent = point[at], cell[at] * q + interval, to[at, interval]
+    return point, cell
+
+
+def cells(reps: DataFrame, scratch: Scratch, dim: int, blocks: int, budget: float, most: int | None) -> DataFrame:
+    """block, pair of cells (s, t), owner, node, copies, vector: each vector in the pairs of its own cell and those that its block's range reaches.
+
+    A block's cells are cut at medians of as many of its coordinates as there must be cells, and at
+    further quantiles where it has no more coordinates; the more of them are cut, the fewer cells a
+    range reaches.
+    """
     import numpy as np
 
     turn, edges_at = rotation(dim), np.linspace(0, dim, blocks + 1).astype(int)
-    leads = turn[:, edges_at[:-1]]
+    n = reps.where(F.size("v") == dim).count()
+    parts = -(-n // most) if most else max(-(-n // max(1, CELL_BYTES // (8 * dim))), min(CELLS, -(-n // LEAST)))
+    halvings, narrow = max(0, parts - 1).bit_length(), int(np.diff(edges_at).min())
+    cut = min(halvings, narrow)  # coordinates of each block that are cut
+    intervals = [1 << (halvings // cut + (j < halvings % cut)) for j in range(cut)]
+    leads = np.column_stack([turn[:, at : at + cut] for at in edges_at[:-1]]) if cut else np.empty((dim, 0))
 
     def lead(batches):
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(-1, dim)
-            x = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x)), pa.array(list(x @ leads))], names=["node", "copies", "u", "leads"])
-
-    led = scratch.write(reps.select("node", "v", "copies").mapInArrow(lead, "node long, copies long, u array<double>, leads array<double>"), f"led{dim}")
-    n = led.count()
-    parts = -(-n // strip) if strip else max(-(-n // max(1, STRIP_BYTES // (8 * dim))), min(STRIPS, -(-n // LEAST)))
-    names = [f"x{b}" for b in range(blocks)]
-    cuts = led.select(*(F.col("leads")[b].alias(x) for b, x in enumerate(names))).stat.approxQuantile(names, [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else [[]] * blocks
-    reach = [float((budget * (edges_at[b + 1] - edges_at[b]) / dim) ** 0.5) + SLACK for b in range(blocks)]
-    schema = "block int, s int, t int, owner boolean, node long, copies long, u array<double>"
+            x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, dim)
+            most = np.abs(x).max(1, keepdims=True)
+            x = x / np.linalg.norm(x / most, axis=1, keepdims=True) / most
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x)), pa.array(list(x @ leads), pa.list_(pa.float64()))], names=["node", "copies", "u", "leads"])
+
+    led = scratch.write(reps.where(F.size("v") == dim).select("node", "v", "copies").mapInArrow(lead, "node long, copies long, u array<double>, leads array<double>"), f"led{dim}")
+    names = [f"x{k}" for k in range(cut * blocks)]
+    finest = max(intervals, default=1)
+    found = led.select(*(F.col("leads")[k].alias(x) for k, x in enumerate(names))).stat.approxQuantile(names, [i / finest for i in range(1, finest)], 0.2 / finest) if cut else []
+    cuts = [np.asarray(c)[finest // q - 1 :: finest // q] for c, q in zip(found, intervals * blocks, strict=True)]
+    reach = [budget * (edges_at[b + 1] - edges_at[b]) / dim + SLACK for b in range(blocks)]
 
     def deal(batches):
         for batch in batches:
-            x = np.array(batch.column(3).to_pylist(), dtype=np.float64).reshape(-1, blocks)
-            takes, columns = [], [[], [], [], []]
+            x = np.asarray(batch.column(3).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
             for b in range(blocks):
-                at = np.asarray(cuts[b])
-                home = np.searchsorted(at, x[:, b], side="right")
-                low, high = np.searchsorted(at, x[:, b] - reach[b], side="right"), np.searchsorted(at, x[:, b] + reach[b], side="right")
-                for i in range(batch.num_rows):
-                    h = int(home[i])
-                    # Pairs within a strip and with each higher strip: owner of (h, h..high), visitor of (low.., h).
-                    mine = [(h, t, True) for t in range(h, int(high[i]) + 1)] + [(s, h, False) for s in range(int(low[i]), h)]
-                    takes += [i] * len(mine)
-                    for s, t, own in mine:
-                        for column, value in zip(columns, (b, s, t, own), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.bool_()), *(batch.column(k).take(pa.array(takes, pa.int64())) for k in (0, 1, 2))], names=["block", "s", "t", "owner", "node", "copies", "u"])
-
-    return led.mapInArrow(deal, schema)
+                home, costs = np.zeros(batch.num_rows, dtype=np.int64), []
+                for k in range(b * cut, b * cut + cut):
+                    low, high = np.r_[-np.inf, cuts[k]], np.r_[cuts[k], np.inf]
+                    costs.append(np.maximum(0, np.maximum(low[None, :] - x[:, k, None], x[:, k, None] - high[None, :])) ** 2)
+                    home = home * len(low) + np.searchsorted(cuts[k], x[:, k], side="right")
+                point, cell = reachable(costs, reach[b]) if cut else (np.arange(batch.num_rows), home)
+                own = home[point]
+                for at in range(0, len(point), 1 << 13):
+                    p, c, h = point[at : at + (1 << 13)], cell[at : at + (1 << 13)], own[at : at + (1 << 13)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(p), b, dtype=np.int32)), pa.array(np.minimum(c, h)), pa.array(np.maximum(c, h)), pa.array(h <= c), *(batch.column(k).take(pa.array(p)) for k in (0, 1, 2))], names=["block", "s", "t", "owner", "node", "copies", "u"]
+                    )
+
+    return led.mapInArrow(deal, "block int, s long, t long, owner boolean, node long, copies long, u array<double>")
 
 
 def joined(dealt: DataFrame, dim: int, blocks: int, budget: float, threshold: float) -> DataFrame:
     """node, links (copies of the vectors that it links with here), toward (a linked node of each local group).
 
-    A pair is verified in the first block that finds it, so no pair counts twice and none is written out.
+    Candidates are found in single precision, with room for its rounding, and judged in double. A pair
+    is verified in the first block that finds it, so no pair counts twice and none is written out.
     """
     import numpy as np
 
@@ -116,29 +142,34 @@ def joined(dealt: DataFrame, dim: int, blocks: int, budget: float, threshold: fl
             return i
 
         part = [x[:, at[b] : at[b + 1]] for b in range(blocks)]
-        norms = (part[block] ** 2).sum(1)
-        for k in range(0, len(left), 512):
-            rows = left[k : k + 512]
-            near = norms[rows][:, None] + norms[right][None, :] - 2 * part[block][rows] @ part[block][right].T <= limits[block] + 1e-7
-            if s == t:
-                near &= node[rows][:, None] < node[right][None, :]
-            i, j = np.nonzero(near)
-            i, j = rows[i], right[j]
-            for c in range(0, len(i), CHUNK):
-                a, b = i[c : c + CHUNK], j[c : c + CHUNK]
-                far = [((part[e][a] - part[e][b]) ** 2).sum(1) > limits[e] for e in range(block + 1)]
-                ok = ~far[block]
-                for e in range(block):
-                    ok &= far[e]
-                a, b = a[ok], b[ok]
-                ok = np.einsum("ij,ij->i", u[a], u[b]) >= threshold
-                a, b = a[ok], b[ok]
-                np.add.at(links, a, copies[b])
-                np.add.at(links, b, copies[a])
-                for p, q in zip(a.tolist(), b.tolist(), strict=True):
-                    p, q = find(p), find(q)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
+        half = (part[block] ** 2).sum(1, keepdims=True) / 2
+        one = np.ones_like(half)
+        # One product is the negative half of the squared distance.
+        a = np.hstack([part[block], -half, one])[left].astype(np.float32)
+        b = np.ascontiguousarray(np.hstack([part[block], one, -half])[right].astype(np.float32).T)
+        least = np.float32(-limits[block] / 2 - COARSE)
+        for k in range(0, len(left), ROWS):
+            for m in range(k if s == t else 0, len(right), COLUMNS):
+                i, j = np.divmod(np.flatnonzero(a[k : k + ROWS] @ b[:, m : m + COLUMNS] >= least), min(COLUMNS, len(right) - m))
+                i, j = left[i + k], right[j + m]
+                if s == t:
+                    once = i < j
+                    i, j = i[once], j[once]
+                for c in range(0, len(i), CHUNK):
+                    p, q = i[c : c + CHUNK], j[c : c + CHUNK]
+                    far = [((part[e][p] - part[e][q]) ** 2).sum(1) > limits[e] for e in range(block + 1)]
+                    ok = ~far[block]
+                    for e in range(block):
+                        ok &= far[e]
+                    p, q = p[ok], q[ok]
+                    ok = np.einsum("ij,ij->i", u[p], u[q]) >= threshold
+                    p, q = p[ok], q[ok]
+                    np.add.at(links, p, copies[q])
+                    np.add.at(links, q, copies[p])
+                    for v, w in zip(p.tolist(), q.tolist(), strict=True):
+                        v, w = find(v), find(w)
+                        if v != w:
+                            parent[max(v, w)] = min(v, w)
         hit = np.flatnonzero(links)
         roots = np.array([find(i) for i in hit], dtype=np.int64)
         return pa.table({"node": node[hit], "links": links[hit], "toward": node[roots] if len(hit) else node[hit]})
@@ -146,25 +177,24 @@ def joined(dealt: DataFrame, dim: int, blocks: int, budget: float, threshold: fl
     return dealt.groupBy("block", "s", "t").applyInArrow(tile, "node long, links long, toward long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, strip: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, cell: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", scratch: Scratch | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row, exactly.
 
     Equal vectors are joined as one and counted as many. Vectors that are null, empty, zero, or hold
     null or non-finite components link with nothing; so do vectors of different lengths. Rows that
-    repeat an id are vectors of their own. component_id is the smallest id reachable, the row's own
+    repeat an id are vectors of their own; ids are integers. component_id is the smallest id reachable, the row's own
     if it has no link; ids that are null are never the smallest, and their rows are not kept.
-    The strips are cut at quantiles of each block's first coordinate, which are approximate and
-    affect only how even the tasks are.
+    ``cell``: about how many vectors a cell has. Cells are cut at quantiles, which are approximate and
+    affect only how even the tasks are. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
-    scratch = Scratch(spark, "embeddings")
+    scratch = scratch or Scratch(spark, "embeddings")
     rows, reps = unit_vectors(vectors, scratch, id_col, vec_col)
     budget = 2 - 2 * threshold + SLACK
     found = None
     for (dim,) in sorted(reps.select(F.size("v")).distinct().collect()):
         m = min(blocks, dim)
-        own = reps.where(F.size("v") == dim)
-        part = joined(strips(own, scratch, dim, m, budget, strip), dim, m, budget, threshold)
+        part = joined(cells(reps, scratch, dim, m, budget, cell), dim, m, budget, threshold)
         found = part if found is None else found.union(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
@@ -172,11 +202,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
     component = connected_components(found.select(F.col("node").alias("a"), F.col("toward").alias("b")), scratch)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = reps.select("node", "k1", "k2", "copies", "least_id").join(links, "node", "left").join(component, "node", "left")
-    classes = classes.withColumn("component", F.coalesce("component", "node"))
-    least = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    classes = scratch.write(classes.join(least, "component").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("component_id").alias("of")), "classes")
-    out = rows.join(classes.withColumn("usable", F.lit(True)), ["usable", "k1", "k2"], "left")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("of", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("of", "vec_id"), F.lit(False)).alias("kept"))
+    classes = scratch.write(classes.withColumn("component", F.coalesce("component", "node")), "classes")
+    least = scratch.write(classes.groupBy("component").agg(F.min("least_id").alias("of"), F.count(F.lit(1)).alias("n")), "least")
+    by_vector = hot_join(classes, least, ["component"]).select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "of", F.col("copies").alias("n"))
+    out = hot_join(rows.where("usable").drop("usable"), scratch.write(by_vector, "by_vector"), ["k1", "k2"])
+    of = F.coalesce("of", "vec_id")
+    linked = out.select("vec_id", F.col("links").cast("long").alias("n_links"), of.alias("component_id"), F.coalesce(F.col("vec_id") == of, F.lit(False)).alias("kept"))
+    alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    return linked.unionByName(alone)
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

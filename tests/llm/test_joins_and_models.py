@@ -43,7 +43,8 @@ def test_components(spark, shape):
     assert got == components({n for e in edges for n in e}, edges)
 
 
-def test_embeddings_against_brute_force(spark):
+@pytest.mark.parametrize("cell", [50, 1, 1000])
+def test_embeddings_against_brute_force(spark, cell):
     r = np.random.default_rng(0)
     x = r.standard_normal((240, 24))
     x[40:80] = x[0] + 0.25 * r.standard_normal((40, 24))  # around the threshold
@@ -52,7 +53,7 @@ def test_embeddings_against_brute_force(spark):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     odd = [(300, None, 0), (301, [], 0), (302, [0.0] * 24, 0), (303, [float("nan")] * 24, 0), (304, [1.0, None, *[0.0] * 22], 0), (305, [float("inf")] * 24, 0), (306, x[5, :23].tolist(), 0), (5, x[5].tolist(), 1), (None, x[5].tolist(), 1)]
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, k1 int")
-    got = embeddings.near_duplicates(frame, strip=50).collect()
+    got = embeddings.near_duplicates(frame, cell=cell).collect()
     assert len(got) == len(rows + odd)
     usable = [(k, v) for k, v, _ in [*rows, *odd[-2:]]]
     m = np.array([v for _, v in usable])
@@ -71,7 +72,30 @@ def test_embeddings_against_brute_force(spark):
 
 
 def test_embedding_query(spark, sf_dir):
-    assert queries()["op6_embedding_near_dedup"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    """Links and classes of the whole table by the matrix of all cosines."""
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    ids = sorted(k for k, v in rows.items() if v and all(x is not None and math.isfinite(x) for x in v) and any(v))
+    m = np.array([rows[k] for k in ids], dtype=float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = components(ids, [(ids[i], ids[j]) for i, j in zip(*np.nonzero(near), strict=True)])
+    want = {k: (0, k, True) for k in rows} | {k: (int(near[i].sum()), label[k], label[k] == k) for i, k in enumerate(ids)}
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries()["op6_embedding_near_dedup"](spark, sf_dir).collect()} == want
+
+
+def test_cells_reach_every_neighbour():
+    """What a range reaches is all cells with a point in it."""
+    r = np.random.default_rng(4)
+    x, cuts = r.standard_normal((300, 3)), [np.array([0.1]), np.array([-0.5, 0.0, 0.6]), np.array([0.0])]
+    home, costs = np.zeros(300, dtype=int), []
+    for k, c in enumerate(cuts):
+        low, high = np.r_[-np.inf, c], np.r_[c, np.inf]
+        costs.append(np.maximum(0, np.maximum(low - x[:, k, None], x[:, k, None] - high)) ** 2)
+        home = home * len(low) + np.searchsorted(c, x[:, k], side="right")
+    got = set(zip(*(a.tolist() for a in embeddings.reachable(costs, 0.3)), strict=True))
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= 0.3
+    assert {(i, int(home[j])) for i, j in zip(*np.nonzero(near), strict=True)} <= got and len(got) < 300 * 16
 
 
 def brute_links(sets, threshold=0.8):
