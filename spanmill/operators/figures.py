@@ -30,7 +30,7 @@ def kernel_density(values: DataFrame, keys: list[str], value: str, points: int =
     x = F.ln(value) if log_value else F.col(value).cast("double")
     rows = values.where(F.col(value) > 0) if log_value else values
     rows = rows.where(F.col(value).isNotNull()).withColumn("v", x)
-    counted = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("k"))
+    counted = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("__k"))
     # By running means, not by sums of squares: equal values have no deviation at all.
     per = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd")).select(*keys, "n", (F.col("sd") * F.pow("n", F.lit(-0.2))).alias("h")).where("h > 0")
     share = keys if high_from is None else high_from
@@ -41,7 +41,7 @@ def kernel_density(values: DataFrame, keys: list[str], value: str, points: int =
     one_row = lambda a, b, on: a.join(b, on) if on else a.join(F.broadcast(b))  # noqa: E731  without keys there is one group
     at = one_row(one_row(counted, per, keys), grid, share)
     z = (F.col("x") - F.col("v")) / F.col("h")
-    return at.groupBy(*keys, "i", "x").agg((F.sum(F.col("k") * F.exp(-z * z / 2)) / (F.first("n") * F.first("h") * (2 * 3.141592653589793) ** 0.5)).alias("density")).drop("i")
+    return at.groupBy(*keys, "i", "x").agg((F.sum(F.col("__k") * F.exp(-z * z / 2)) / (F.first("n") * F.first("h") * (2 * 3.141592653589793) ** 0.5)).alias("density")).drop("i")
 
 
 def heatmap(trajectories: DataFrame, prompt: list[str], values: str, order: str | None = None) -> DataFrame:

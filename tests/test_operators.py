@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import expr as E
 from spanmill.operators import beta, bootstrap, correlation, figures, filtering, judge, panel, regression, semantic, tree
-from spanmill.sources import artifacts, prompts, results
+from spanmill.sources import artifacts, external, prompts, results
 from spanmill.streaming.prompt_stats import stream_prompt_stats
 
 INF = float("inf")
@@ -70,7 +70,7 @@ def test_verdict(spark, text, want):
     assert one(spark, E.verdict("t", F.lit("length")), t="maybe").status == "truncated"
 
 
-@pytest.mark.parametrize(("text", "want"), [("x```\n", "x"), ("x``````", "x```"), ("x \t\n", "x"), ("x```y", "x```y"), ("```", "")])
+@pytest.mark.parametrize(("text", "want"), [("x```\n", "x"), ("x``````", "x```"), ("x \t\n", "x"), ("x```y", "x```y"), ("```", ""), ("a\u00a0", "a"), ("a\u3000", "a"), ("a\u2028```\u205f\x85\x1c", "a"), ("a\u200b", "a\u200b"), ("a```\u2009b", "a```\u2009b")])
 def test_clean_prompt(spark, text, want):
     assert one(spark, E.clean_prompt("t"), t=text) == want
 
@@ -255,6 +255,11 @@ def test_z_scores(spark):
     assert got[0].R_sc == pytest.approx(-math.sqrt(0.5)) and got[0].D01 == 1e-6 and got[1].D01 == 1 - 1e-6 and got[0].VS01 is None and got[1].VS01 == 0.5
 
 
+def test_equal_values_have_no_density(spark):
+    rows = spark.createDataFrame([("a", 1021.0210339319474)] * 33 + [("b", 1.0), ("b", 2.0), ("c", 7.0)], "k string, v double").repartition(7)
+    assert {r.k for r in figures.kernel_density(rows, ["k"], "v", 5, high_from=["k"]).collect()} == {"b"}
+
+
 def test_density_integrates_to_one(spark):
     rows = spark.createDataFrame([(float(v),) for v in np.random.default_rng(0).normal(50, 5, 200)], "v double")
     got = figures.kernel_density(rows, [], "v", 400).orderBy("x").collect()
@@ -284,6 +289,41 @@ def rollout_rows(spark, ids):
     return spark.createDataFrame([(*KEYS, p, i, f"text {p} {i}", [1, 2], 2, [0.5, 1.0], None) for p in ids for i in range(2)], ROLLOUTS)
 
 
+def test_large_prompt_files_are_numbered_in_order(spark, tmp_path):
+    lines = [json.dumps({"prompt": f"p{k} " + "x" * (k % 90)}) if k % 5 else " \u3000" for k in range(4000)]
+    (tmp_path / "big.jsonl").write_text("\n".join(lines) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        found = prompts.load_prompts(spark, str(tmp_path / "big.jsonl"))
+        assert spark.read.text(str(tmp_path / "big.jsonl")).rdd.getNumPartitions() > 10
+        got = {r.prompt_id: r.prompt for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == {i: json.loads(x)["prompt"].rstrip() for i, x in enumerate(x for x in lines if x.strip())}
+
+
+def test_runs_are_appended(spark, tmp_path):
+    store = artifacts.Store(spark, str(tmp_path))
+    other = RUN | {"task": "u"}
+    for run in (RUN, other, RUN | {"num_prompts": 8}):
+        store.save_run(run)
+    assert {r.task: r.num_prompts for r in store.runs().collect()} == {"t": 8, "u": 3}
+    assert spark.read.json(str(tmp_path / "runs")).count() == 3  # what was saved before is still there
+    store.save_runs(spark.createDataFrame([tuple((RUN | {"seed": 9}).values())], ", ".join(f"{k} {'string' if isinstance(v, str) else 'boolean' if isinstance(v, bool) else 'int' if isinstance(v, int) else 'double'}" for k, v in RUN.items())))
+    assert {r.task: r.seed for r in store.runs().collect()} == {"t": 9, "u": 1}
+
+
+def test_shared_folder_is_asked_for():
+    from types import SimpleNamespace
+
+    session = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: named), sparkContext=SimpleNamespace(master=master))
+    assert results.shared_dir(session("spark://x", "hdfs://y/z/")) == "hdfs://y/z" and results.shared_dir(session("local[4]", None)) == results.shared_dir(session("local", None))
+    for master in ("spark://x", "yarn", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            results.shared_dir(session(master, None))
+
+
 def test_store(spark, tmp_path):
     store = artifacts.Store(spark, str(tmp_path))
     assert store.resume(RUN) == 0
@@ -362,6 +402,132 @@ def test_stream(spark, tmp_path):
     assert set(got) == {0, 1, 2} and got[1].m == 2 and got[1].ce_star_max == 1.5
 
 
+def test_stream_of_split_prompts(spark, tmp_path):
+    """A prompt whose rollouts come in two batches ends with the metrics of them all; one that comes again replaces its own."""
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rows = rollout_rows(spark, [0, 1])
+    for part in (rows.where("rollout_idx = 0"), rows.where("rollout_idx = 1 and prompt_id = 0").withColumn("step_entropy", F.array(F.lit(3.0)).cast("array<float>")), rows.where("rollout_idx = 0 and prompt_id = 1").withColumn("step_entropy", F.array(F.lit(5.0)).cast("array<float>"))):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream_prompt_stats(spark, source, out, state).awaitTermination()
+    got = {r.prompt_id: (r.m, r.ce_star_max) for r in spark.read.parquet(out).collect()}
+    assert got == {0: (2, 2.25), 1: (1, 5.0)}
+
+
+@pytest.mark.parametrize(("n", "n_boot"), [(1, 3), (7, 40_000), (70_000, 3)])
+def test_draws_are_those_of_one_call(spark, n, n_boot):
+    got = bootstrap.index_table(spark, n, n_boot).orderBy("b", "slot").toArrow()["pos"].to_numpy().reshape(n_boot, n)
+    assert (got == np.random.default_rng(42).integers(0, n, (n_boot, n))).all()
+
+
+def test_entropies_of_rows_and_arrays_agree(spark):
+    r = np.random.default_rng(9)
+    rows = [(g, float(x)) for g in range(20) for x in np.r_[r.normal(-3, 4, g % 5 + 1), [-INF] * (g % 3)]]
+    frame = spark.createDataFrame(rows, "g int, x double")
+    long = {x.g: (x.h, x.k) for x in tree.step_entropies(frame, ["g"], "x").collect()}
+    listed = frame.groupBy("g").agg(F.collect_list("x").alias("a")).select("g", E.step_entropy(E.normalize_scores(F.col("a"))).alias("h"))
+    assert {x.g: x.h for x in listed.collect()} == pytest.approx({g: h for g, (h, _) in long.items()}, abs=1e-12)
+    assert {g: k for g, (_, k) in long.items()} == {g: g % 5 + 1 for g in range(20)}
+
+
+def test_spectra_of_small_and_large_groups(spark):
+    r = np.random.default_rng(6)
+    x = {g: r.normal(size=(n, 6)) for g, n in enumerate((1, 5, 6, 7, 90))}
+    x = {g: v / np.linalg.norm(v, axis=1, keepdims=True) for g, v in x.items()}
+    rows = vectors(spark, x[0], 0)
+    for g in list(x)[1:]:
+        rows = rows.union(vectors(spark, x[g], g))
+    got = {v.prompt_id: v for v in semantic.vendi_entropy(rows.repartition(4), ["prompt_id"]).collect()}
+    two = {v.prompt_id: v.renyi2_entropy for v in semantic.renyi2_entropy(rows, ["prompt_id"]).collect()}
+    for g, v in x.items():
+        kernel = v @ v.T / len(v)
+        values = np.linalg.eigvalsh(kernel)
+        values = values[values > 1e-12]
+        assert (got[g].m, got[g].vendi_entropy) == (len(v), pytest.approx(-(values * np.log(values)).sum()))
+        assert two[g] == pytest.approx(-math.log((kernel**2).sum()))
+
+
+def test_judge_client(spark):
+    """Requests are repeated, the last error is kept, and no pair is asked twice once it is written."""
+
+    class Client:
+        def __init__(self):
+            self.asked = {}
+
+        def __call__(self, prompt):
+            self.asked[prompt] = self.asked.get(prompt, 0) + 1
+            if self.asked[prompt] < 3:
+                raise TimeoutError("busy")
+            return ("Response: similar", "stop") if "b" not in prompt else ("", "length")
+
+    rows = spark.createDataFrame([(0, 1, "a1"), (0, 2, "a2"), (0, 3, "b3")], "prompt_id int, pos int, text string")
+    found = external.judgment_matrix(rows, "{response_a}|{response_b}", Client, ["prompt_id"], retries=2, wait=0.0)
+    assert {(x.r, x.c): (x.is_similar, x.status) for x in found.collect()} == {(1, 2): (True, "ok"), (2, 1): (True, "ok"), (1, 3): (False, "truncated"), (2, 3): (False, "truncated")}
+    short = external.judgment_matrix(rows, "{response_a}|{response_b}", Client, ["prompt_id"], retries=1, wait=0.0).collect()
+    assert {x.status for x in short} == {"request_failed"} and all("busy" in x.text for x in short)
+    with pytest.raises(TimeoutError):
+        external.require_ready(Client)
+    with pytest.raises(ValueError, match="response_b"):
+        external.judgment_matrix(rows, "{response_a}", Client, ["prompt_id"])
+
+
+def test_eos_modes(spark, tmp_path):
+    from spanmill.plans import compute
+
+    store = artifacts.Store(spark, str(tmp_path))
+    rows = rollout_rows(spark, [0]).withColumn("prefix_ids", F.array(F.lit(7).cast("long")))
+    score = lambda: external.eos_scored(rows, lambda prefix, ids: [np.log(np.tile([0.5, 0.25, 0.25], (len(x), 1))) + 4 for x in ids], [1, 2], top_k=1)
+    with pytest.raises(FileNotFoundError):
+        compute.eos_payload(store, score, "plot_only")
+    with pytest.raises(ValueError):
+        compute.eos_payload(store, score, "plot")
+    assert compute.eos_payload(store, score, "compute_only") is None
+    for mode in ("plot_only", "compute_plot"):
+        assert [(r.eos_logprob, r.eos_in_top_k) for r in compute.eos_payload(store, score, mode).collect()] == [(pytest.approx([math.log(0.5)] * 2, abs=1e-6), [False, False])] * 2
+
+
+def beta_log_density(y, mu, phi):
+    return math.lgamma(phi) - math.lgamma(mu * phi) - math.lgamma((1 - mu) * phi) + (mu * phi - 1) * math.log(y) + ((1 - mu) * phi - 1) * math.log1p(-y)
+
+
+def test_beta_regression_against_its_likelihood():
+    """No step of any coefficient from the fit makes the data likelier, one observation after the other."""
+    r = np.random.default_rng(12)
+    x = np.column_stack([np.ones(120), r.normal(size=120), r.random(120) < 0.5]).astype(float)
+    mu, phi = 1 / (1 + np.exp(-x @ [0.2, -0.5, 0.4])), np.exp(2 + 0.5 * x[:, 2])
+    y = np.clip(r.beta(mu * phi, (1 - mu) * phi), 1e-6, 1 - 1e-6)
+    z = x[:, [0, 2]]
+    got = beta.fit_beta(y, x, ["1", "x", "g"], z, ["1", "g"], {}, 500)
+
+    def likelihood(b, d):
+        return sum(beta_log_density(y[i], 1 / (1 + math.exp(-float(x[i] @ b))), math.exp(float(z[i] @ d))) for i in range(120))
+
+    b, d = np.array([c.estimate for c in got.mean_terms.values()]), np.array(list(got.dispersion_terms.values()))
+    best = likelihood(b, d)
+    assert best == pytest.approx(got.log_likelihood, abs=1e-6)
+    for k in range(5):
+        for step in (-3e-3, 3e-3):
+            moved = np.r_[b, d]
+            moved[k] += step
+            assert likelihood(moved[:3], moved[3:]) < best
+
+
+def test_random_intercepts_against_quadrature():
+    """Laplace's approximation is near the integral over each group's intercept."""
+    r = np.random.default_rng(13)
+    g = np.repeat(np.arange(12), 15)
+    mu = 1 / (1 + np.exp(-(0.3 + 0.6 * r.normal(size=12)[g])))
+    y = np.clip(r.beta(mu * 20, (1 - mu) * 20), 1e-6, 1 - 1e-6)
+    one = np.ones((len(y), 1))
+    got = beta.fit_beta(y, one, ["1"], one, ["1"], {"g": g}, 500)
+    b, phi, sd = got.mean_terms["1"].estimate, math.exp(got.dispersion_terms["1"]), got.deviations["g"]
+    at = np.linspace(-6, 6, 241)
+    total = 0.0
+    for k in range(12):
+        logs = np.array([-t * t / 2 - math.log(2 * math.pi) / 2 + sum(beta_log_density(v, 1 / (1 + math.exp(-(b + sd * t))), phi) for v in y[g == k]) for t in at])
+        total += logs.max() + math.log(np.exp(logs - logs.max()).sum() * (at[1] - at[0]))
+    assert got.log_likelihood == pytest.approx(total, abs=0.5)
+
+
 def test_missing_cells(spark):
     cells = artifacts.matrix(spark, a=["x", "y"], b=["1", "2"])
     have = spark.createDataFrame([("x", "1")], "a string, b string")
