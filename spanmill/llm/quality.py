@@ -26,8 +26,13 @@ class LineRules:
     separator_share: float = 0.2
     #: A line is noise if words that end in a run of symbols, shouted words or words that repeat the one before make up this share of it.
     noisy_share: float = 0.5
-    #: A line is boilerplate if it holds one of these phrases, in lower case.
-    boilerplate: tuple[str, ...] = ("licensed under", "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here", "sign up for", "subscribe to our", "powered by", "skip to content")
+    #: A line is boilerplate if it holds one of these phrases, with A-Z in lower case. How often a line recurs in the corpus doesn't tell: prose has lines more frequent than notices.
+    boilerplate: tuple[str, ...] = (
+        *("licensed under", "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here", "sign up for", "subscribe to our", "powered by", "skip to content"),
+        *("alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung"),
+        *("tous droits réservés", "politique de confidentialité", "mentions légales"),
+        *("todos los derechos reservados", "política de privacidad", "aviso legal"),
+    )
     #: A text is rejected if more than this share of its words went; boilerplate that is at most ``exempt`` of it doesn't count.
     max_removed: float = 0.5
     exempt: float = 0.5
@@ -205,7 +210,7 @@ v as (select rid, len(ws) as n,
       len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) as stutter,
       regexp_matches(line, '[#*$%&|<>]') as has_symbol,
       len(list_filter(ws[-12:], lambda x: regexp_matches(x, '[.!?:;"'')\]}…]$'))) as stops,
-      regexp_matches(lower(line), 'licensed under|all rights reserved|cookie policy|privacy policy|terms of use|terms of service|enable javascript|click here|sign up for|subscribe to our|powered by|skip to content') as boiler
+      regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{phrases}') as boiler
       from lw where len(ws) > 0),
 x as (select rid, n, case when boiler then 'b' when bars >= 3 and bars >= 0.2 * n or bars > 0 and n <= 8 and bars >= 0.25 * n then 'n'
       when has_symbol and n >= 4 and noisy >= 0.5 * n then 'p' when n >= 4 and loud >= 0.5 * n then 'p' when n >= 8 and stutter >= 0.5 * n then 'p'
@@ -220,4 +225,4 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and (case when 2 * boiler_words <= n_words then n_words_removed - boiler_words else n_words_removed end) <= 0.5 * n_words as kept,
   n_lines_removed, n_words_removed
 from (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from z)
-"""
+""".replace("{phrases}", "|".join(LineRules().boilerplate))

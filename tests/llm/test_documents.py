@@ -95,6 +95,7 @@ def test_line_rules():
     verdict = lambda s: quality.line_verdict(s.encode(), s.encode().split(), rules)
     assert verdict("Home | About | Contact | Help") == "navigation"
     assert verdict("Licensed under the Apache License, Version 2.0.") == "boilerplate"
+    assert {verdict(s) for s in ("(c) 2004. Alle Rechte vorbehalten.", "© Tous droits réservés.", "Aviso legal y Política de privacidad.")} == {"boilerplate"}
     assert verdict("a*** b%%% c&&& d### e$$$ f") == "punctuation"
     assert verdict("The dog went to the river, and the fox stayed where it was before.") == ""
     assert verdict("A heading") == ""

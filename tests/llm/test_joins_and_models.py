@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from spanmill.llm import classifier, embeddings, jaccard, lattice
+from spanmill.llm import classifier, embeddings, jaccard, lattice, quality
 from spanmill.llm.common import Scratch
 from spanmill.llm.components import connected_components
 from spanmill.llm.queries import queries
@@ -306,6 +306,31 @@ def test_dual_coordinate_descent_against_a_dense_solver():
     assert np.allclose(w, (alpha * y) @ np.c_[x, np.ones(60)], atol=1e-4)
 
 
+def test_stages_on_odd_documents(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing names and empty tables at every stage."""
+    import corpus_pipeline as pipe
+
+    docs, none = odd_documents(spark), empty(spark)
+    source = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    got = {}
+    for name, stage in pipe.STAGES:
+        out = stage(spark, docs, "")
+        got[name] = out.collect()
+        assert stage(spark, none, "").count() == 0
+        if name != "packing":
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got[name] if name != "near_dedup")
+    kept = [(k, quality.judge((t or "").encode(), quality.LineRules(exempt=0))) for k, t in source]
+    assert sorted(((r.doc_id, r.text) for r in got["quality_rules"]), key=repr) == sorted(((k, v[-1].decode()) for k, v in kept if v[6]), key=repr)
+    for name in ("line_dedup", "substring_dedup"):
+        assert sorted((r.doc_id for r in got[name]), key=repr) == sorted((k for k, _ in source), key=repr)
+        by = {r.doc_id: r.text for r in got[name]}
+        assert by[1] is None and by[2] == "" and by[3] == " \n\t \n" and by[7] == "one"
+    assert sorted((r.doc_id for r in got["near_dedup"]), key=repr) == sorted([1, 2, 3, 4, 5, 6, 7, 8, 11, None], key=repr)
+    whole = Counter(r.doc_id for r in got["packing"] if r.start == 0)
+    assert whole == Counter(k for k, _ in source) and all(r.doc_tokens == r.length == 1 for r in got["packing"] if r.doc_id in (1, 2, 3))
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as pipe
 
