@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Rows of a task's part of a light table (two longs a row, 4 MB): what is left of the edges falls fast, and so does what is written.
+LIGHT_ROWS = 1 << 18
 #: The nodes that still have edges fall by a constant factor each round; this is far beyond any table.
 MAX_ROUNDS = 64
 
@@ -20,18 +22,21 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     than their edges: minima are taken before the shuffle. Self-loops make a component of their own.
     """
     edges = scratch.write(edges.select("a", "b").distinct(), f"{name}-edges")
+    parts = max(1, -(-2 * edges.count() // LIGHT_ROWS))
+    write = lambda df, table: scratch.write(df.coalesce(parts), f"{name}-{table}")
     left = edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     steps: list[DataFrame] = []
     for k in range(MAX_ROUNDS):
         both = left.union(left.select("b", "a")).toDF("node", "other")
         pointed = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("to"))
-        pointed = scratch.write(pointed, f"{name}-pointed{k}")
+        pointed = write(pointed, f"pointed{k}")
         up = pointed.toDF("to", "next")
-        step = scratch.write(pointed.join(up, "to", "left").select("node", F.coalesce("next", "to").alias("to")), f"{name}-step{k}")
+        step = write(pointed.join(up, "to", "left").select("node", F.coalesce("next", "to").alias("to")), f"step{k}")
         steps.append(step)
         moved = left.join(step.toDF("a", "to_a"), "a").join(step.toDF("b", "to_b"), "b")
-        left = scratch.write(moved.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), f"{name}-edges{k + 1}")
-        if left.isEmpty():
+        left = write(moved.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), f"edges{k + 1}")
+        parts = max(1, -(-2 * (n := left.count()) // LIGHT_ROWS))
+        if not n:
             break
     else:
         raise RuntimeError("components did not settle")
