@@ -101,15 +101,15 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> Data
     return scratch.write(ordered.drop("tie").withColumn("row", F.monotonically_increasing_id()), "keyed")
 
 
-def hot_join(many: DataFrame, few: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+def hot_join(many: DataFrame, few: DataFrame, on: list[str], n: str = "n", most: int = HOT_KEYS, least: int = HOT_ROWS) -> DataFrame:
     """``many`` joined with ``few``, which has one row a key and in ``n`` how many rows of ``many`` the key has (n is dropped).
 
-    Keys with a large share of the rows, HOT_KEYS at most, are sent to all workers, so their rows stay
-    where they are; only the other rows are shuffled to meet their keys. Both tables are read more
-    than once and are best written before.
+    Keys with a large share of the rows, ``most`` at most and of ``least`` rows at least, are sent to all
+    workers, so their rows stay where they are; only the other rows are shuffled to meet their keys. Both
+    tables are read more than once and are best written before.
     """
     total = few.agg(F.sum(n)).first()[0] or 0
-    hot = F.col(n) >= max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = F.col(n) >= max(least, -(-total // most))
     if few.where(hot).isEmpty():
         return many.join(few.drop(n), on)
     own = F.broadcast(few.where(hot).drop(n))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_NAMES = {"op6_embedding_near_dedup": "embeddings", "op7_ngram_jaccard": "jaccard", "op1_warc": "warc", "op2_substring_dedup": "substrings", "op3_line_dedup": "lines", "op4_lattice_score": "lattice", "op5_quality_rules": "quality", "op8_quality_classifier": "classifier", "op9_sentencepieces": "sentencepieces", "op10_packing": "packing"}
+_NAMES = {"op6_embedding_near_dedup": "embeddings", "op7_ngram_jaccard": "jaccard", "op1_warc": "warc", "op2_substring_dedup": "substrings", "op3_line_dedup": "lines", "op4_lattice_score": "lattice", "op5_quality_rules": "quality", "op8_quality_classifier": "classifier", "op9_sentencepieces": "sentencepieces", "op10_packing": "packing", "op13_alignment": "alignment"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
