@@ -3,34 +3,36 @@
 Python tokenises, once. Everything after is Spark's higher-order functions on arrays of token ends:
 ``array_intersect`` gives the offsets where both tokenizers end a token, ``sequence`` the tokens of one
 that a token of the other overlaps, and ``transform`` and ``aggregate`` make groups, links and sums.
+
+Neither tokenizer has a token from what is no white space into the white space after it, so a text is
+tokenised and aligned by units: white space and what follows it. A batch of texts has each of its
+units once, and its texts as lists of their places.
 """
 
 from __future__ import annotations
 
-import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHED_BYTES, Scratch, as_bytes, documents, hot_join, own_cache, sliced
+from .common import CACHED_BYTES, Scratch, documents, hot_join, own_cache, sliced
 from .sentencepieces import MergePrefixEncoder
 
-#: Units (white space and what follows it, of ``CACHED_BYTES`` at most) whose ids each worker remembers.
+#: Units (of ``CACHED_BYTES`` at most) whose ids each worker remembers; others are tokenised again.
 CACHE_UNITS = 400_000
-#: Bytes of a text after which its next word begins a new part, which bounds the arrays of a row.
-PART_BYTES = 1 << 19
+#: Bytes of the texts of a batch, and units of a batch: a longer text is cut into parts of so many.
+BATCH_BYTES, BATCH_UNITS = 8 << 20, 1 << 21
 #: Pairs of ids with at least this share of all links are sent to all workers, so there are no more of them than its inverse.
 HOT_PAIRS = 1 << 18
 
-_UNITS = re.compile(rb"[ \n]*[^ \n]+|[ \n]+\Z")
-#: White space but for space and newline, which can change how a run of spaces beside it is split; and the mark for a space.
-_ASCII_SPACE = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe2\x96\x81|\xe3\x80\x80|\xef\xbb\xbf")
+#: White space but for space and newline, and the mark for a space: beside these a run of spaces may be split otherwise.
+_OTHER_SPACE = "[\t\r\x0b\x0c\x1c-\x1f\u0085\u00a0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff]"
 
 #: What a byte-level piece writes for each byte: itself if it is visible, else the next letter from 256 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -82,32 +84,32 @@ class TwoTokenizers:
             out.append((array("I", a).tobytes(), array("I", b).tobytes()) if alike else UNLIKE)
         return out
 
-    def learn(self, new: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        found = dict(zip(new, self.both(new), strict=True))
-        if len(self.units) < CACHE_UNITS:
-            self.units.update((u, ids) for u, ids in found.items() if len(u) <= CACHED_BYTES)
+    def ids(self, units: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids of units by both; UNLIKE for those whose bytes a tokenizer doesn't give back."""
+        found = list(map(self.units.get, units))
+        new = [u for u, ids in zip(units, found, strict=True) if ids is None]
+        if new:
+            learnt = iter(self.both(new))
+            found = [next(learnt) if ids is None else ids for ids in found]
+            if len(self.units) < CACHE_UNITS:
+                self.units.update((u, ids) for u, ids in zip(units, found, strict=True) if len(u) <= CACHED_BYTES)
         return found
 
-    def parts(self, text: bytes, part_bytes: int) -> list[tuple[bytes, bytes]]:
-        """Ids of the text by both, in parts that begin with a unit: both tokenizers end a token there. Empty if a tokenizer's bytes differ from the text's."""
-        spaced = b" " + text
-        if len(spaced.translate(None, _ASCII_SPACE)) < len(spaced) or not spaced.isascii() and _OTHER_SPACE.search(spaced):
-            found = self.both([spaced])[0]
-            return [found] if found != UNLIKE else []
-        out, known = [], self.units
-        units = _UNITS.findall(spaced)
-        step = len(units) if len(spaced) <= part_bytes else max(1, part_bytes * len(units) // len(spaced))
-        for at in range(0, len(units), step):
-            own = units[at : at + step] if step < len(units) else units
-            found = list(map(known.get, own))
-            if None in found:
-                learnt = self.learn(list({u for u, ids in zip(own, found, strict=True) if ids is None}))
-                found = [learnt[u] if ids is None else ids for u, ids in zip(own, found, strict=True)]
-            if UNLIKE in found:
-                return []
-            a, b = zip(*found, strict=True)
-            out.append((b"".join(a), b"".join(b)))
-        return out
+
+def unit_starts(data: np.ndarray, starts: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Where units begin in texts that follow each other, each preceded by a space: at white space after what is none.
+    Texts that are ``odd`` only have them where a single space parts visible ASCII characters."""
+    space = (data == 32) | (data == 10)
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    if odd.any():
+        plain = (data > 32) & (data < 127)
+        alone = np.zeros(len(data), dtype=bool)
+        alone[1:-1] = (data[1:-1] == 32) & plain[:-2] & plain[2:]
+        sizes = np.diff(np.append(starts, len(data)))
+        begins &= alone | ~np.repeat(odd, sizes)
+    begins[starts] = True
+    return np.flatnonzero(begins)
 
 
 _LOADED: dict[tuple[str, str], TwoTokenizers] = {}
@@ -120,38 +122,78 @@ def tokenizers(a_path: str, b_path: str) -> TwoTokenizers:
     return _LOADED[a_path, b_path]
 
 
-def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, row, part, parts, a_ids, a_ends, b_ids, b_ends: ids and byte offsets of the ends of both tokenizers' tokens.
-
-    A row for each part of a text, and one with empty arrays where there are no tokens. ``row`` names the document's row.
+_UNIT = "struct<a_ids:array<int>,a_ends:array<int>,b_ids:array<int>,b_ends:array<int>,n:bigint>"
+_DOC = "struct<doc_id:bigint,row:bigint,part:int,parts:int,n_a:bigint,n_b:bigint,units:array<int>>"
+
+
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
+def _tokens(chunks: list[bytes], sizes: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Ids and ends of each chunk, and how many there are."""
+    counts = np.array([len(c) // 4 for c in chunks], dtype=np.int64)
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    ids = np.frombuffer(b"".join(chunks), dtype="<i4")
+    ends = np.cumsum(sizes[ids], dtype=np.int64)
+    ends -= np.repeat(np.concatenate([[0], ends])[offsets[:-1]], counts)
+    return _lists(offsets, pa.array(ids)), _lists(offsets, pa.array(ends.astype(np.int32))), counts
+
+
+def _batches(both: TwoTokenizers, doc_ids: pa.Array, rows: np.ndarray, texts: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """A record batch of one row for up to ``most`` units of the texts."""
+    n = len(texts)
+    has = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False)
+    texts, wide = texts.filter(pa.array(has)).cast(pa.large_string()), lambda x: pa.scalar(x, pa.large_string())
+    spaced = pc.binary_join_element_wise(wide(" "), texts, wide(""))
+    odd = pc.match_substring_regex(spaced, _OTHER_SPACE).to_numpy(zero_copy_only=False)
+    joined = np.frombuffer(b"".join(spaced.cast(pa.large_binary()).to_pylist()), dtype=np.uint8)
+    sizes = pc.binary_length(spaced).to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(sizes)])[: len(sizes)].astype(np.int64)
+    at = unit_starts(joined, starts, odd) if len(starts) else np.zeros(0, dtype=np.int64)
+    units = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(joined)).astype(np.int64)), pa.py_buffer(joined)]).dictionary_encode()
+    place, found = units.indices.to_numpy(), both.ids(units.dictionary.to_pylist())
+    alike = np.array([ids != UNLIKE for ids in found], dtype=bool)
+    first = np.searchsorted(at, starts)
+    whole = np.logical_and.reduceat(alike[place], first) if len(first) else np.zeros(0, dtype=bool)
+    counts = np.zeros(n, dtype=np.int64)
+    counts[np.flatnonzero(has)] = np.where(whole, np.diff(np.append(first, len(place))), 0)
+    place = place[np.repeat(whole, np.diff(np.append(first, len(place))))]
+    ends = np.cumsum(counts)
+    parts = np.maximum(1, -(-ends // most) - (ends - counts) // most)
+    for chunk in range(max(1, -(-len(place) // most))):
+        low, high = chunk * most, min((chunk + 1) * most, len(place))
+        # Texts without units go with the chunk where they would be.
+        here = np.flatnonzero((ends - counts < high) & (ends > low) | (counts == 0) & (ends >= low) & ((ends < high) | (high == len(place))))
+        times = np.bincount(place[low:high], minlength=len(found))
+        used = np.flatnonzero(times)  # every unit of a batch has tokens, and so links
+        own = (np.cumsum(times > 0) - 1)[place[low:high]]
+        kept = [found[k] for k in used.tolist()]
+        a_ids, a_ends, a_counts = _tokens([x for x, _ in kept], both.a_sizes)
+        b_ids, b_ends, b_counts = _tokens([x for _, x in kept], both.b_sizes)
+        own_counts = np.clip(ends[here], low, high) - np.clip(ends[here] - counts[here], low, high)
+        offsets = np.concatenate([[0], np.cumsum(own_counts)])
+        summed = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[own])])[offsets])
+        part = np.maximum(0, chunk - (ends[here] - counts[here]) // most)
+        names = ["doc_id", "row", "part", "parts", "n_a", "n_b", "units"]
+        doc = pa.StructArray.from_arrays([doc_ids.take(pa.array(here)), pa.array(rows[here]), pa.array(part.astype(np.int32)), pa.array(parts[here].astype(np.int32)), pa.array(summed(a_counts)), pa.array(summed(b_counts)), _lists(offsets, pa.array(own.astype(np.int32)))], names)
+        unit = pa.StructArray.from_arrays([a_ids, a_ends, b_ids, b_ends, pa.array(times[used].astype(np.int64))], ["a_ids", "a_ends", "b_ids", "b_ends", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([f"{rows[0]}-{chunk}"]), _lists(np.array([0, len(here)]), doc), _lists(np.array([0, len(used)]), unit)], names=["batch", "docs", "units"])
+
+
+def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, batch_units: int = BATCH_UNITS) -> DataFrame:
+    """batch, docs, units: texts as places of their units, and the distinct units' ids and byte offsets of token ends by both tokenizers.
+
+    A text of more than ``batch_units`` units is cut into parts. ``row`` names a document's row. What has no tokens has no units.
     """
-    ints = pa.list_(pa.int32())
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), *((n, ints) for n in ("a_ids", "a_ends", "b_ids", "b_ends"))])
-
-    def lists(chunks: list[bytes], sizes) -> tuple[pa.Array, pa.Array]:
-        offsets = np.cumsum([0, *(len(c) // 4 for c in chunks)])
-        ids = np.frombuffer(b"".join(chunks), dtype="<i4")
-        ends = np.cumsum(sizes[ids], dtype=np.int64)
-        before = np.concatenate([[0], ends])[offsets[:-1]]
-        ends = ends - np.repeat(before, np.diff(offsets))
-        offsets = pa.array(offsets.astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(ends.astype(np.int32)))
 
     def run(batches):
         both = tokenizers(a_path, b_path)
-        for batch in sliced(batches, 2, 512, 4 << 20):
-            keys, a, b = [], [], []
-            for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
-                found = (both.parts(text, part_bytes) if text else []) or [(b"", b"")]
-                for k, (own_a, own_b) in enumerate(found):
-                    keys.append((doc_id, row, k, len(found)))
-                    a.append(own_a)
-                    b.append(own_b)
-            heads = [pa.array(c, t) for c, t in zip(zip(*keys, strict=True), schema.types[:4], strict=True)]
-            yield pa.RecordBatch.from_arrays([*heads, *lists(a, both.a_sizes), *lists(b, both.b_sizes)], schema=schema)
+        for batch in sliced(batches, 2, 1 << 16, batch_bytes):
+            yield from _batches(both, batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2), batch_units)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, part int, parts int, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    return rows.mapInArrow(run, f"batch string, docs array<{_DOC}>, units array<{_UNIT}>")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -164,9 +206,9 @@ def owners(ends: Column) -> Column:
     return F.flatten(F.transform(ends, lambda e, k: F.array_repeat(k, e - F.coalesce(F.get(ends, k - 1), F.lit(0)))))
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """``tokens`` with groups (a, b: ids between two offsets where both end a token) and links (A's id times 2^32 plus B's, for each two tokens that share a byte)."""
-    a_ids, a_ends, b_ids, b_ends = (F.col(c) for c in ("a_ids", "a_ends", "b_ids", "b_ends"))
+def aligned(unit: Column) -> Column:
+    """groups (a, b: ids between two offsets where both end a token) and links (A's id times 2^32 plus B's, for each two tokens that share a byte) of a unit."""
+    a_ids, a_ends, b_ids, b_ends = (unit[c] for c in ("a_ids", "a_ends", "b_ids", "b_ends"))
 
     def between(ids: Column, own: Column, start: Column, end: Column) -> Column:
         return F.transform(F.sequence(F.get(own, start), F.get(own, end - 1)), lambda k: F.get(ids, k))  # ``slice`` reads all its array each time
@@ -181,15 +223,18 @@ def aligned(tokens: DataFrame) -> DataFrame:
     def links(own_b: Column) -> Column:
         def of(a: Column, k: Column) -> Column:
             overlapped = F.sequence(F.get(own_b, F.coalesce(F.get(a_ends, k - 1), F.lit(0))), F.get(own_b, F.get(a_ends, k) - 1))
-            return F.transform(overlapped, lambda j: F.shiftleft(a.cast("long"), 32) + F.get(b_ids, j))
+            return F.transform(overlapped, lambda j: pair(a, F.get(b_ids, j)))
 
         return F.flatten(F.transform(a_ids, of))
 
-    made = let(
+    pair = lambda a, b: F.shiftleft(a.cast("long"), 32) + b
+    kind = F.struct(F.array(F.struct(a_ids.alias("a"), b_ids.alias("b"))).alias("groups"), F.flatten(F.transform(a_ids, lambda a: F.transform(b_ids, lambda b: pair(a, b)))).alias("links"))
+    many = let(
         F.struct(F.array_intersect(a_ends, b_ends).alias("cuts"), owners(a_ends).alias("own_a"), owners(b_ends).alias("own_b")),
         lambda x: F.struct(groups(x["cuts"], x["own_a"], x["own_b"]).alias("groups"), links(x["own_b"]).alias("links")),
     )
-    return tokens.withColumn("made", made).select(*tokens.columns, "made.groups", "made.links")
+    # A unit that is one token of either tokenizer is one group, in which all overlap.
+    return F.when((F.size(a_ids) == 1) | (F.size(b_ids) == 1), kind).otherwise(many)
 
 
 def group_text(groups: Column) -> Column:
@@ -198,43 +243,62 @@ def group_text(groups: Column) -> Column:
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
-    """pair, n (its links), best (no pair of its B id has more). The counts of B's ids are as many as B has ids."""
-    counts = links.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    """pair, n (its links), best (no pair of its B id has more), of rows (pair, n). The counts of B's ids are as many as B has ids."""
+    counts = links.groupBy("pair").agg(F.sum("n").alias("n"))
     b = F.col("pair").bitwiseAND((1 << 32) - 1)
     most = counts.groupBy(b.alias("b")).agg(F.max("n").alias("most"))
     return counts.withColumn("b", b).join(F.broadcast(most), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+def total(places: Column, values: Column) -> Column:
+    """The sum of the values at these places."""
+    return F.aggregate(places, F.lit(0).cast("long"), lambda s, k: s + F.get(values, k))
+
+
+def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, batch_bytes: int = BATCH_BYTES, batch_units: int = BATCH_UNITS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for every row of ``docs``.
 
     Texts that are null or empty, or whose joined token bytes differ from a space and the text, have no
     tokens: zeros and an empty digest. Rows that repeat or lack an id are documents each by themselves.
     Ids are integers; other columns are not read. An empty table gives an empty one.
 
-    A text is tokenised once and stays in its row, in parts of bounded size. What is written has its
-    links; id pairs are counted before the shuffle, and those with a large share of all links are sent
-    to all workers, so the links of frequent pairs never travel.
+    A text is tokenised once and stays in its batch. Units are aligned once a batch; their links are
+    counted times their occurrences, before the shuffle. Frequent pairs are sent to all workers, so
+    that only links of rare ones travel, and what comes back to a batch is two numbers a unit.
     """
     scratch = scratch or Scratch(docs.sparkSession, "alignment")
-    tokens = tokenised(docs, a_path, b_path, id_col, text_col, part_bytes)
-    text = group_text(F.col("groups"))
-    found = aligned(tokens).select(
-        "doc_id", "row", "part", "parts", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), F.size("groups").alias("n_groups"), "links",
-        F.when(F.size("a_ids") == 0, F.lit("")).when(F.col("parts") == 1, F.sha2(text, 256)).alias("digest"), F.when(F.col("parts") > 1, text).alias("text"),
-    )
-    found = scratch.write(found, "found")
-    links = found.select("row", F.explode("links").alias("pair"))
-    pairs = scratch.write(pair_counts(links), "pairs")
-    weighed = hot_join(links, pairs.withColumn("links", F.col("n")), ["pair"], "links", HOT_PAIRS, 1)
-    sums = weighed.groupBy("row").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("n").alias("count_sum"))
-    sized = found.withColumn("n_links", F.size("links")).drop("links")
-    whole = sized.where("parts = 1").select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "digest")
+    tokens = tokenised(docs, a_path, b_path, id_col, text_col, batch_bytes, batch_units)
+
+    def described(u: Column) -> Column:
+        return let(aligned(u), lambda x: F.struct(group_text(x["groups"]).alias("text"), F.size(x["groups"]).alias("n_groups"), x["links"].alias("links"), u["n"].alias("n")))
+
+    def of_docs(units: Column) -> Column:
+        def of(d: Column) -> Column:
+            text = F.array_join(F.transform(d["units"], lambda k: F.get(units["text"], k)), ";")
+            digest = F.when(F.size(d["units"]) == 0, F.lit("")).when(d["parts"] == 1, F.sha2(text, 256))
+            fields = [d[c].alias(c) for c in ("doc_id", "row", "part", "parts", "n_a", "n_b", "units")]
+            return F.struct(*fields, total(d["units"], units["n_groups"]).alias("n_groups"), total(d["units"], units["n_links"]).alias("n_links"), digest.alias("digest"), F.when(d["parts"] > 1, text).alias("text"))
+
+        return F.transform("docs", of)
+
+    found = tokens.withColumn("units", F.transform("units", described))
+    by_unit = F.struct(F.col("units.text").alias("text"), F.col("units.n_groups").alias("n_groups"), F.transform("units.links", F.size).alias("n_links"))
+    found = scratch.write(found.select("batch", let(by_unit, of_docs).alias("docs"), F.transform("units", lambda u: F.struct(u["links"].alias("links"), u["n"].alias("n"))).alias("units")), "found")
+    units = found.select("batch", F.posexplode("units").alias("unit", "u")).select("batch", "unit", F.col("u.n").alias("n"), F.explode("u.links").alias("pair"))
+    pairs = scratch.write(pair_counts(units), "pairs")
+    # A pair's rows are its units in batches, of which there are no more than links.
+    weighed = hot_join(units.drop("n"), pairs.withColumnRenamed("n", "count").withColumn("n", F.col("count")), ["pair"], "n", HOT_PAIRS, 1)
+    sums = weighed.groupBy("batch", "unit").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    listed = F.array_sort(F.collect_list(F.struct("unit", "n_best", "count_sum")))
+    by_batch = scratch.write(sums.groupBy("batch").agg(listed.alias("sums")), "sums")
+    spread = found.select("batch", "docs").join(by_batch, "batch", "left")
+    weigh = lambda d, x: F.struct(*(d[c].alias(c) for c in ("doc_id", "row", "part", "parts", "n_a", "n_b", "n_groups", "n_links", "digest", "text")), total(d["units"], x["n_best"]).alias("n_best"), total(d["units"], x["count_sum"]).alias("count_sum"))
+    out = spread.select(F.inline(let(F.struct(F.col("sums.n_best").alias("n_best"), F.col("sums.count_sum").alias("count_sum")), lambda x: F.transform("docs", lambda d: weigh(d, x)))))
+    counts = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    whole = out.where("parts = 1").select("doc_id", *counts, "digest")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"])
-    cut = sized.where("parts > 1").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(n).alias(n) for n in ("n_a", "n_b", "n_groups", "n_links")), F.sha2(F.array_join(in_order, ";"), 256).alias("digest"))
-    out = whole.unionByName(cut).join(sums, "row", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", *map(zero, ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), F.col("digest").alias("groups_sha256"))
+    cut = out.where("parts > 1").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(n).alias(n) for n in counts), F.sha2(F.array_join(in_order, ";"), 256).alias("digest"))
+    return whole.unionByName(cut.drop("row")).withColumnRenamed("digest", "groups_sha256")
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,14 +230,14 @@ def test_alignment_query(spark, sf_dir):
     assert Counter(tuple(g) for g in got.collect()) == want
 
 
-@pytest.mark.parametrize("part_bytes", [8, 1 << 19])
-def test_alignment_oddities(spark, part_bytes):
+@pytest.mark.parametrize("batch_units", [3, 1 << 20])
+def test_alignment_oddities(spark, batch_units):
     """White space of all kinds, special tokens' strings, marks for spaces, many scripts; in parts or whole."""
     r = random.Random(5)
     bits = [" ", "\n", "  ", "\n\n", "\t", "\r", "a", "the", " don't", "12", "é", "▁", "漢字", "　", " ", "​", "<|endoftext|>", "<s>", "💩", "ह", "\x00", "\x1c", "\u0085", "﻿", ".", "!!", "aaaa" * 9]
     texts = ["".join(r.choice(bits[: 27 if k % 2 else 5] + bits[6:9]) for _ in range(r.randrange(1, 40))) for k in range(400)]
     frame = spark.createDataFrame([(k % 50 or None, t, 1, "x") for k, t in enumerate(texts)], "doc_id long, text string, row int, links string")
-    got = alignment.align(frame, BYTE, PIECE, part_bytes=part_bytes).collect()
+    got = alignment.align(frame, BYTE, PIECE, batch_units=batch_units).collect()
     assert Counter(tuple(g) for g in got) == Counter((k % 50 or None, *w) for k, w in enumerate(brute_alignment(texts)))
 
 
