@@ -27,7 +27,9 @@ from .sentencepieces import MergePrefixEncoder
 #: Units (of ``CACHED_BYTES`` at most) whose ids each worker remembers; others are tokenised again.
 CACHE_UNITS = 400_000
 #: Bytes of the texts of a batch, and units of a batch: a longer text is cut into parts of so many.
-BATCH_BYTES, BATCH_UNITS = 8 << 20, 1 << 21
+BATCH_BYTES, BATCH_UNITS = 4 << 20, 1 << 20
+#: Units that are tokenised at once.
+LEARN = 2048
 #: Pairs of ids with at least this share of all links are sent to all workers, so there are no more of them than its inverse.
 HOT_PAIRS = 1 << 18
 
@@ -89,7 +91,7 @@ class TwoTokenizers:
         found = list(map(self.units.get, units))
         new = [u for u, ids in zip(units, found, strict=True) if ids is None]
         if new:
-            learnt = iter(self.both(new))
+            learnt = (ids for at in range(0, len(new), LEARN) for ids in self.both(new[at : at + LEARN]))
             found = [next(learnt) if ids is None else ids for ids in found]
             if len(self.units) < CACHE_UNITS:
                 self.units.update((u, ids) for u, ids in zip(units, found, strict=True) if len(u) <= CACHED_BYTES)

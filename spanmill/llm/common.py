@@ -89,27 +89,29 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> Data
     """``placed`` columns and ``row``, a long of each row's own that orders rows by id, those without one last.
 
     Where ids are whole and unique, they are the keys. Else the rows are written once, in the order of
-    their ids and, among rows of one id, of their texts' hashes, and numbered in it: however many rows
-    share an id, they are dealt over many tasks and keep keys of their own.
+    their ids and, among rows of one id, of their texts' hashes, and of their places in the scan, and
+    numbered in it: however many rows share an id, and a text, they are dealt over many tasks and keep
+    keys of their own.
     """
     own = placed(docs)
     key = F.coalesce(F.col(place(docs, id_col)).cast("long"), F.lit(NO_ID))
     if own.select(key.alias("row")).groupBy("row").count().where((F.col("count") > 1) | (F.col("row") == NO_ID)).isEmpty():
         return own.withColumn("row", key)
     tie = F.xxhash64(place(docs, text_col))
-    ordered = own.withColumn("row", key).withColumn("tie", tie).repartitionByRange("row", "tie").sortWithinPartitions("row", "tie")
-    return scratch.write(ordered.drop("tie").withColumn("row", F.monotonically_increasing_id()), "keyed")
+    order = ["row", "tie", "spread"]
+    ordered = own.withColumns({"row": key, "tie": tie, "spread": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    return scratch.write(ordered.drop("tie", "spread").withColumn("row", F.monotonically_increasing_id()), "keyed")
 
 
-def hot_join(many: DataFrame, few: DataFrame, on: list[str], n: str = "n", most: int = HOT_KEYS, least: int = HOT_ROWS) -> DataFrame:
+def hot_join(many: DataFrame, few: DataFrame, on: list[str], n: str = "n", most: int = HOT_KEYS, least: int | None = None) -> DataFrame:
     """``many`` joined with ``few``, which has one row a key and in ``n`` how many rows of ``many`` the key has (n is dropped).
 
-    Keys with a large share of the rows, ``most`` at most and of ``least`` rows at least, are sent to all
+    Keys with a large share of the rows, ``most`` at most and of ``least`` rows (HOT_ROWS) at least, are sent to all
     workers, so their rows stay where they are; only the other rows are shuffled to meet their keys. Both
     tables are read more than once and are best written before.
     """
     total = few.agg(F.sum(n)).first()[0] or 0
-    hot = F.col(n) >= max(least, -(-total // most))
+    hot = F.col(n) >= max(HOT_ROWS if least is None else least, -(-total // most))
     if few.where(hot).isEmpty():
         return many.join(few.drop(n), on)
     own = F.broadcast(few.where(hot).drop(n))

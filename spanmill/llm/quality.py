@@ -19,7 +19,7 @@ MAX_REPEATED_PERCENT = 30
 class LineRules:
     """What a line must satisfy, and how much of a text may go."""
 
-    #: A line of this many words or more has to hold one of ``terminals`` somewhere near its end.
+    #: A line of this many words or more has to have a word that ends in one of ``_TERMINALS`` among its last so many.
     punctuated_from: int = 12
     #: A line is navigation if this share of its words, at least this many, are separators.
     min_separators: int = 3
@@ -28,17 +28,19 @@ class LineRules:
     noisy_share: float = 0.5
     #: A line is boilerplate if it holds one of these phrases, with A-Z in lower case. How often a line recurs in the corpus doesn't tell: prose has lines more frequent than notices.
     boilerplate: tuple[str, ...] = (
-        *("licensed under", "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here", "sign up for", "subscribe to our", "powered by", "skip to content"),
+        *("licensed under", "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here", "sign up for", "subscribe to our", "powered by", "skip to content", "accept all cookies", "back to top", "copyright 19", "copyright 20", "copyright ©", "copyright (c)"),
         *("alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung"),
         *("tous droits réservés", "politique de confidentialité", "mentions légales"),
         *("todos los derechos reservados", "política de privacidad", "aviso legal"),
     )
-    #: A text is rejected if more than this share of its words went; boilerplate that is at most ``exempt`` of it doesn't count.
+    #: A phrase is boilerplate in a line whose words it makes up this share of at least: a longer sentence may speak of a privacy policy.
+    phrase_share: float = 1 / 6
+    #: A text is rejected if more than this share of its words went.
     max_removed: float = 0.5
-    exempt: float = 0.5
 
 
-_TERMINALS = frozenset(b'.!?:;"\')]}') | {0xA6}  # 0xA6: last byte of the ellipsis
+#: What closes a sentence or a clause, in several scripts.
+_TERMINALS = tuple(c.encode() for c in ".!?:;,\"')]}…。！？।؟۔”’»")
 _SEPARATORS = frozenset([b"|", b">", b"<", b"/", b"-", b"*", b"\xc2\xbb", b"\xe2\x80\xba", b"\xe2\x80\xa2", b"\xc2\xb7"])
 _SYMBOLS = b"#*$%&|<>"
 _TRIMMED = b".,;:!?\"'()"
@@ -50,7 +52,7 @@ def line_verdict(line: bytes, words: list[bytes], rules: LineRules) -> str:
     if not n:
         return ""
     low = line.lower()
-    if any(p in low for p in _phrases(rules)):
+    if any(p in low and k >= rules.phrase_share * n for p, k in _phrases(rules)):
         return "boilerplate"
     bars = 0
     if b"|" in line or b">" in line or b" - " in line or b" / " in line or b" * " in line or b"\xc2" in line or b"\xe2" in line:
@@ -65,17 +67,18 @@ def line_verdict(line: bytes, words: list[bytes], rules: LineRules) -> str:
         return "punctuation"
     if n >= 8 and sum(map(bytes.__eq__, words[1:], words)) >= rules.noisy_share * n:
         return "punctuation"
-    if n >= rules.punctuated_from and not any(w[-1] in _TERMINALS for w in words[-rules.punctuated_from :]):
+    if n >= rules.punctuated_from and not any(w.endswith(_TERMINALS) for w in words[-rules.punctuated_from :]):
         return "punctuation"
     return ""
 
 
-_PHRASES: dict[LineRules, tuple[bytes, ...]] = {}
+_PHRASES: dict[LineRules, tuple[tuple[bytes, int], ...]] = {}
 
 
-def _phrases(rules: LineRules) -> tuple[bytes, ...]:
+def _phrases(rules: LineRules) -> tuple[tuple[bytes, int], ...]:
+    """The phrases and how many words they have."""
     if rules not in _PHRASES:
-        _PHRASES[rules] = tuple(p.encode() for p in rules.boilerplate)
+        _PHRASES[rules] = tuple((p.encode(), len(p.split())) for p in rules.boilerplate)
     return _PHRASES[rules]
 
 
@@ -115,7 +118,7 @@ def judge(text: bytes, rules: LineRules) -> tuple:
     word_chars = len(joined) - sum(map(joined.count, _CONTINUED)) if not joined.isascii() else len(joined)
     symbols = len(joined) - len(joined.translate(None, _SYMBOLS))
     seen: set[bytes] = set()
-    dup = bad_lines = bad_words = plain_words = 0
+    dup = bad_lines = bad_words = 0
     kept_lines = []
     for line in text.split(b"\n"):
         own = line.split()
@@ -127,12 +130,10 @@ def judge(text: bytes, rules: LineRules) -> tuple:
         if verdict:
             bad_lines += 1
             bad_words += len(own)
-            plain_words += len(own) if verdict != "boilerplate" else 0
         else:
             kept_lines.append(line)
     failed = n < MIN_WORDS or 100 * repeats > MAX_REPEATED_PERCENT * n
-    lost = plain_words if bad_words - plain_words <= rules.exempt * n else bad_words
-    kept = not failed and lost <= rules.max_removed * n
+    kept = not failed and bad_words <= rules.max_removed * n
     return n, word_chars, symbols, dup, repeats, failed, kept, bad_lines, bad_words, b"\n".join(kept_lines)
 
 
@@ -209,20 +210,19 @@ v as (select rid, len(ws) as n,
       len(list_filter(ws, lambda x: x like '%!!')) as loud,
       len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) as stutter,
       regexp_matches(line, '[#*$%&|<>]') as has_symbol,
-      len(list_filter(ws[-12:], lambda x: regexp_matches(x, '[.!?:;"'')\]}…]$'))) as stops,
-      regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{phrases}') as boiler
+      len(list_filter(ws[-12:], lambda x: regexp_matches(x, '[.!?:;,"'')\]}…。！？।؟۔”’»]$'))) as stops,
+      len(list_filter([{phrases}], lambda p: contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p) and len(string_split(p, ' ')) >= len(ws) / 6.0::double)) > 0 as boiler
       from lw where len(ws) > 0),
 x as (select rid, n, case when boiler then 'b' when bars >= 3 and bars >= 0.2 * n or bars > 0 and n <= 8 and bars >= 0.25 * n then 'n'
       when has_symbol and n >= 4 and noisy >= 0.5 * n then 'p' when n >= 4 and loud >= 0.5 * n then 'p' when n >= 8 and stutter >= 0.5 * n then 'p'
       when n >= 12 and stops = 0 then 'p' else '' end as verdict from v),
-y as (select rid, count(*) filter (verdict <> '') as n_lines_removed, coalesce(sum(n) filter (verdict <> ''), 0)::bigint as n_words_removed,
-      coalesce(sum(n) filter (verdict = 'b'), 0)::bigint as boiler_words from x group by rid),
+y as (select rid, count(*) filter (verdict <> '') as n_lines_removed, coalesce(sum(n) filter (verdict <> ''), 0)::bigint as n_words_removed from x group by rid),
 z as (select d.doc_id, s.n_words::bigint as n_words, s.word_chars::bigint as word_chars, s.n_symbols::bigint as n_symbols,
       coalesce(dl.n_dup_lines, 0)::bigint as n_dup_lines, coalesce(q.n_repeat_words, 0)::bigint as n_repeat_words,
-      coalesce(y.n_lines_removed, 0)::bigint as n_lines_removed, coalesce(y.n_words_removed, 0)::bigint as n_words_removed, coalesce(y.boiler_words, 0) as boiler_words
+      coalesce(y.n_lines_removed, 0)::bigint as n_lines_removed, coalesce(y.n_words_removed, 0)::bigint as n_words_removed
       from d join s using (rid) left join q using (rid) left join dl using (rid) left join y using (rid))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and (case when 2 * boiler_words <= n_words then n_words_removed - boiler_words else n_words_removed end) <= 0.5 * n_words as kept,
+  not base_failed and n_words_removed <= 0.5 * n_words as kept,
   n_lines_removed, n_words_removed
 from (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from z)
-""".replace("{phrases}", "|".join(LineRules().boilerplate))
+""".replace("{phrases}", ", ".join(f"'{p}'" for p in LineRules().boilerplate))

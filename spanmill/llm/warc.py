@@ -129,7 +129,7 @@ class Archive:
         block = F.when(F.col("record_type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
         return self.read(record_type).withColumn("record", F.concat(F.col("header").cast("binary"), block, F.lit("\r\n\r\n").cast("binary"))).drop("payload")
 
-    def summary(self) -> DataFrame:
+    def summary(self, scratch: Scratch | None = None) -> DataFrame:
         """Per record what its header says, once the record has been rebuilt and its block measured. A
         revisit has no block: it is held against the stored payload that it refers to, whose bytes stay where they are."""
         block = F.expr("substring(record, octet_length(header) + 1, content_length)")
@@ -137,8 +137,12 @@ class Archive:
         whole = F.octet_length("record") == F.octet_length("header") + F.col("content_length") + 4
         light = ["page_id", "payload_digest", "record_type", "refers_to"]
         responses = built.select(*light, F.octet_length("block").cast("long").alias("payload_bytes"), F.when(whole, base32_sha1(F.col("block"))).alias("measured"))
-        stored = self.payloads().select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("measured"))
-        revisits = self.headers("revisit").select("sha256", *light).join(stored, "sha256", "left").select(*light, "payload_bytes", "measured")
+        # A payload that much of a crawl shares, such as the empty page, is sent to its revisits.
+        scratch = scratch or Scratch(self.spark, "warc")
+        times = self.headers("revisit").groupBy("sha256").agg(F.count(F.lit(1)).alias("n"))
+        measured = self.payloads().select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("measured"))
+        stored = scratch.write(times.join(measured, "sha256", "left"), "measured")
+        revisits = hot_join(self.headers("revisit").select("sha256", *light), stored, ["sha256"]).select(*light, "payload_bytes", "measured")
         found = responses.unionByName(revisits)
         same = F.col("measured").eqNullSafe(F.col("payload_digest"))
         return found.select("page_id", "payload_bytes", F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record's digest is not that of its payload"))).alias("payload_digest"), "record_type", "refers_to")
@@ -146,7 +150,7 @@ class Archive:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
-    return Archive.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch.path("archive"), scratch=scratch).summary()
+    return Archive.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch.path("archive"), scratch=scratch).summary(scratch)
 
 
 OP1_SQL = """

@@ -320,7 +320,7 @@ def test_stages_on_odd_documents(spark):
         if name != "packing":
             assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
             assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got[name] if name != "near_dedup")
-    kept = [(k, quality.judge((t or "").encode(), quality.LineRules(exempt=0))) for k, t in source]
+    kept = [(k, quality.judge((t or "").encode(), quality.LineRules())) for k, t in source]
     assert sorted(((r.doc_id, r.text) for r in got["quality_rules"]), key=repr) == sorted(((k, v[-1].decode()) for k, v in kept if v[6]), key=repr)
     for name in ("line_dedup", "substring_dedup"):
         assert sorted((r.doc_id for r in got[name]), key=repr) == sorted((k for k, _ in source), key=repr)
