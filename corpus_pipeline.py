@@ -27,15 +27,15 @@ def _columns_of(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
-    """Removes the lines that fail the line-first rules, and drops the documents that the rules reject: boilerplate counts as lost too.
+    """Removes the lines that fail the line-first rules, and drops the documents that the rules reject.
 
     Null and empty texts have no words and go. Rows are judged each by itself, whatever their ids.
     """
-    return _columns_of(docs, quality.filter_documents(docs, quality.LineRules(exempt=0)))
+    return _columns_of(docs, quality.filter_documents(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
-    """Removes runs of lines that an earlier document has. A document that is left empty stays, empty; a null text stays null.
+    """Removes chunks of lines that an earlier document has. A document that is left empty stays, empty; a null text stays null.
 
     Earlier goes by id; rows that share one, or lack one and come last, are documents of their own.
     """
