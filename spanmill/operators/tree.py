@@ -17,14 +17,26 @@ def rollout_entropies(rollouts: DataFrame, steps: str = "step_entropy") -> DataF
     return rollouts.withColumn("h_sum", checked).withColumn("seq_len", n.cast("long")).withColumn("rate", E.entropy_rate("h_sum", "seq_len"))
 
 
+#: Scores of a step are summed up relative to the nearest multiple of this, so that no exponential over- or underflows.
+SPAN = 600.0
+
+
 def step_entropies(candidates: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """keys, h (entropy in nats of the normalised scores) and k (candidates) of each step, from a row for each candidate: one aggregation.
+    """keys, h (entropy in nats of the normalised scores) and k (candidates) of each step, from a row for each candidate.
 
-    Scores are logs between -700 and 700, as log probabilities are; -inf and null are candidates that are out.
+    Scores are logs of any size; -inf, NaN and null are candidates that are out. Candidates are summed
+    up before the shuffle by the span that holds them; a step has as many rows then as spans, mostly one.
     """
-    x = F.when(F.col(score) > float("-inf"), F.col(score))
-    k, total = F.count(x), F.sum(F.exp(x))
-    return candidates.groupBy(*keys).agg(F.when(k > 1, F.ln(total) - F.sum(x * F.exp(x)) / total).when(k == 1, 0.0).alias("h"), k.alias("k"))
+    x = F.when((F.col(score) > float("-inf")) & (F.col(score) < float("inf")), F.col(score).cast("double"))
+    span = F.round(x / SPAN)
+    y = x - span * SPAN
+    by_span = candidates.groupBy(*keys, span.alias("__span")).agg(F.count(x).alias("k"), F.sum(F.exp(y)).alias("__s"), F.sum(y * F.exp(y)).alias("__w"))
+    held = F.collect_list(F.when(F.col("k") > 0, F.struct("__span", "__s", "__w"))).alias("__held")
+    per = by_span.groupBy(*keys).agg(F.sum("k").alias("k"), F.max("__span").alias("__top"), held)
+    away = lambda p: (p["__span"] - F.col("__top")) * SPAN  # noqa: E731  0 for the highest span, else -600 or less
+    total = F.aggregate("__held", F.lit(0.0), lambda t, p: t + p["__s"] * F.exp(away(p)))
+    weighted = F.aggregate("__held", F.lit(0.0), lambda t, p: t + (p["__w"] + p["__s"] * away(p)) * F.exp(away(p)))
+    return per.select(*keys, F.when(F.col("k") > 1, F.greatest(F.ln(total) - weighted / total, F.lit(0.0))).when(F.col("k") == 1, 0.0).alias("h"), F.col("k").cast("long").alias("k"))
 
 
 def rollout_sums(steps: DataFrame, keys: list[str], h: str = "h") -> DataFrame:

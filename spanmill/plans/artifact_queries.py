@@ -6,13 +6,13 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..operators import PROMPT, RUN, correlation, filtering, judge, panel, regression, semantic, tree
 from ..schemas import ROLLOUTS, RUN_KEYS, names
-from ..sources import artifacts, external, prompts, results
+from ..sources import artifacts, external, prompts, results, shards
 from . import compute
 from . import fixtures as fx
 from .queries import FISHER, P, R, V, WEIGHTED, query, rounded
@@ -52,6 +52,45 @@ def artifact_texts(spark, d):
     return _filled(spark, d).texts(model_name="fam1", model_variant="base").select("task", "model_variant", "prompt_id", "rollout_idx", "text")
 
 
+_SHARD = f"(select s.*, row_number() over (partition by {V}, spot order by rollout_idx) - 1 as place from {_STORED} s)"
+
+
+def _in_shards(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """A folder of shards of all runs; rollouts are numbered within their prompts, as shards have them."""
+    place = (F.row_number().over(Window.partitionBy(*RUN_KEYS, "prompt_id").orderBy("rollout_idx")) - 1).cast("int")
+    rows, root = _stored(spark, d).withColumn("rollout_idx", place), results.temporary(spark, "shards")
+    shards.write_shards(rows.withColumn("prompt", F.concat_ws(" ", "task", "prompt_id")), root)
+    return root, rows
+
+
+@query(f"select {V}, spot::int as prompt_id, place::int as rollout_idx, concat_ws(' ', task, spot) as prompt, text, seq_len, {R('hs', 'h_sum')} from (select *, 'text ' || rollout_idx as text from {_SHARD})")
+def shard_rollouts(spark, d):
+    """All rollouts written as shards, a file each prompt; entropies and texts read back from their byte ranges."""
+    found = shards.read_shards(spark, _in_shards(spark, d)[0], columns=[*RUN, "prompt_id", "rollout_idx", "prompt", "text", "step_entropy"])
+    return rounded(tree.rollout_entropies(found).select(*RUN, "prompt_id", "rollout_idx", "prompt", "text", "seq_len", "h_sum"))
+
+
+@query(f"select task, model_variant, spot::int as prompt_id, place::int as rollout_idx, 'text ' || rollout_idx as text, round(reward::float::double, 6) + 0.0::double as reward from {_SHARD} where model_name = 'fam1' and task in ('ASIA', 'EUROPE')")
+def shard_run(spark, d):
+    """Texts and rewards of some runs, whose folders alone are listed and whose headers alone are read for the texts."""
+    root, rows = _in_shards(spark, d)
+    shards.write_shards(rows.withColumn("reward_name", F.lit("w")), root, "rewards")
+    of = lambda df: df.where(F.col("model_name") == "fam1").where(F.col("task").isin("ASIA", "EUROPE"))
+    texts = of(shards.read_shards(spark, root, columns=[*RUN, "prompt_id", "rollout_idx", "text"]))
+    rewards = of(shards.read_shards(spark, root, "rewards", columns=[*RUN, "prompt_id", "rollout_idx", "reward"]))
+    return rounded(texts.join(rewards, [*RUN, "prompt_id", "rollout_idx"]).select("task", "model_variant", "prompt_id", "rollout_idx", "text", F.col("reward").cast("double").alias("reward")))
+
+
+@query("select prompt_id::int as prompt_id, r::int as r, c::int as c, vr::int as rollout_idx_r, vc::int as rollout_idx_c, sim > 0.17 + 0.03 * (vr % 3) as is_similar, case when sim > 0.17 + 0.03 * (vr % 3) then 'ok' else 'parse_failed' end as status from fx_pairs")
+def shard_judgments(spark, d):
+    """Verdicts written as a matrix and a list for each prompt, and read back."""
+    similar = F.col("sim") > 0.17 + F.lit(0.03) * (F.col("vr") % 3)
+    rows = fx.directed_pairs(spark, d).select("prompt_id", "r", "c", F.col("vr").alias("rollout_idx_r"), F.col("vc").alias("rollout_idx_c"), similar.alias("is_similar"), F.when(similar, "ok").otherwise("parse_failed").alias("status"))
+    root = results.temporary(spark, "shards")
+    shards.write_shards(rows.withColumns({**{k: F.lit(v) for k, v in _CELL.items()}, "judge_name": F.lit("j"), "text": F.lit("said")}), root, "judgments")
+    return shards.read_shards(spark, root, "judgments").where("judge_name = 'j' and text = 'said'").select("prompt_id", "r", "c", "rollout_idx_r", "rollout_idx_c", "is_similar", "status")
+
+
 @query(f"select {V}, count(distinct spot) as prompts from {_STORED} group by {V}")
 def artifact_counts(spark, d):
     return _filled(spark, d).count_prompts("rollouts").select(*RUN, "prompts")
