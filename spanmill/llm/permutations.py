@@ -3,7 +3,7 @@
 Vectors are represented by their nearest pivots in order. Blocks of vectors are posted in inverted
 files: for each pivot the vectors that have it among their nearest and in which place. A query adds
 up, over the lists of its own nearest pivots, what tells the footrule distance to each vector of a
-block; the nearest by footrule are reranked by their inner products in double precision.
+block; in the order of these, vectors are reranked by their inner products in double precision.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ from .common import NO_ID, Scratch
 
 #: Pivots, and how many of them stand for a vector.
 PIVOTS, PREFIX = 256, 128
-#: Share of a block's distinct vectors that are reranked for a query, and how many are at least. Recall rests on these and is measured.
-RERANKED, LEAST = 1 / 16, 256
+#: Share of a block's distinct vectors that are reranked for a query at a time, and how many are at least. This goes on
+#: until so many times in turn none of them was among the best, so a large group of near copies is gone through. Recall is measured.
+RERANKED, LEAST, IDLE = 1 / 32, 128, 2
 #: Bytes of the vectors of an index block and of a block of queries.
 BLOCK_BYTES = 4 << 20
 TOP = 20
 SEED = 17
+#: How far two sums of the same products may be apart, relative to the largest.
+ROUNDING = 1e-9
 
 
 class Index:
@@ -149,26 +152,31 @@ def search(index: Index, queries: DataFrame, scratch: Scratch, top: int = TOP, r
         smallest = ids[ends - copies]
         order_by_id = np.argsort(smallest, kind="stable")
         # The place of each pivot in each vector's order; those behind the prefix share the place after it.
-        place = np.full((len(points), len(x)), prefix, dtype=np.int16)
+        place = np.full((len(points), len(x)), prefix, dtype=np.uint16 if prefix <= 255 else np.int32)  # sums of so many places fit
         for r in held:
             if r["pivot"] is not None:
                 place[r["pivot"], np.frombuffer(r["members"], dtype="<i4")] = np.frombuffer(r["places"], dtype="<i4")
-        place = place[:, order_by_id]
+        place = np.ascontiguousarray(place[:, order_by_id])
         q, q_rows, q_ids = _matrix(right["v"], width), right["row"].to_numpy(), right["vec_id"].to_pylist()
         near = nearest_pivots(np.column_stack([q, np.zeros(len(q))]), points, prefix)
         many = min(len(x), max(least, int(np.ceil(len(x) * reranked))))
-        out = []
+        out, far, larger = [], np.empty(len(x), dtype=place.dtype), np.empty(len(x), dtype=place.dtype)
         for i in range(len(q)):
             # Up to a constant the footrule is twice the sum of the larger of both places, over the query's pivots.
-            far = np.zeros(len(x), dtype=np.int32)
+            far[:] = 0
             for s, p in enumerate(near[i].tolist()):
-                far += np.maximum(place[p], s)
-            if many < len(x):
-                limit = np.partition(far, many - 1)[many - 1]
-                inside, edge = np.flatnonzero(far < limit), np.flatnonzero(far == limit)
-                found = order_by_id[np.concatenate([inside, edge[: many - len(inside)]])]
-            else:
-                found = order_by_id
+                np.maximum(place[p], s, out=larger)
+                np.add(far, larger, out=far)
+            order, rough, done, idle = np.argsort(far, kind="stable"), np.empty(len(x)), 0, 0
+            best = np.full(top + 1, -np.inf)  # the query's own vector may be among them
+            while done < len(x) and idle < IDLE:
+                own = order_by_id[order[done : done + many]]
+                rough[done : done + len(own)] = x[own] @ q[i]
+                idle = 0 if rough[done : done + len(own)].max() > best[0] else idle + 1
+                done += len(own)
+                best = np.sort(np.concatenate([best, rough[done - len(own) : done]]))[-top - 1 :]
+            # What rounding can't lift among the best isn't multiplied out.
+            found = order_by_id[order[:done][rough[:done] >= best[0] - ROUNDING * max(1.0, abs(best[-1]))]]
             score = products(np.broadcast_to(q[i], (len(found), width)), x[found])
             best = np.lexsort((smallest[found], -score))[: top + 1]
             rank = []
