@@ -275,7 +275,7 @@ def active_counts(spark, d):
     return figures.active_counts(fx.rollouts_with_steps(spark, d).withColumn("logs", logs), ["task"], "logs")
 
 
-@query(f"select task, prompt_id, count(*) as n, (sum(count(*)) over (order by task, prompt_id))::bigint as end_line, round(sum(count(*)) over (order by task, prompt_id) - count(*) / 2.0::double, 6) as centre from fx_rollouts group by task, prompt_id")
+@query(f"select task, prompt_id, count(*) as n, (sum(count(*)) over (order by task, prompt_id))::bigint as end_line, round(sum(count(*)) over (order by task, prompt_id) - (count(*) + 1) / 2.0::double, 6) as centre from fx_rollouts group by task, prompt_id")
 def heatmap_blocks(spark, d):
     return rounded(figures.prompt_bounds(fx.rollouts(spark, d), ["task", "prompt_id"]).withColumnRenamed("end", "end_line"))
 
@@ -285,6 +285,13 @@ def heatmap_cells(spark, d):
     return rounded(figures.heatmap(fx.rollouts_with_steps(spark, d), ["task", "prompt_id"], "step_entropy").select(F.col("row").alias("line"), "pos", "value"))
 
 
+@query(f"select l.line::bigint as line, (s.t - 1)::int as pos, {R('s.h', 'value')} from (select rollout_idx, row_number() over (order by task, prompt_id, rollout_idx) - 1 as line from fx_rollouts) l join fx_steps s on s.custkey = l.rollout_idx where s.t <= 5")
+def heatmap_unsorted(spark, d):
+    """Lines as the rollouts are numbered, the first five positions of each."""
+    found = figures.heatmap(fx.rollouts_with_steps(spark, d), ["task", "prompt_id"], "step_entropy", "none", 5)
+    return rounded(found.select(F.col("row").alias("line"), "pos", "value"))
+
+
 @query(f"select {R('quantile_cont(h, 0.02)', 'low')}, {R('quantile_cont(h, 0.98)', 'high')} from fx_steps")
 def colour_limits(spark, d):
     return rounded(figures.colour_limits(fx.steps(spark, d), "h"))
@@ -432,17 +439,16 @@ def _correlated_components(spark: SparkSession, d: str) -> DataFrame:
     return _components(spark, d).drop("pearson", "covariance").join(found, PROMPT)
 
 
-def _hashed_indices(spark: SparkSession, prompts: DataFrame) -> DataFrame:
-    sizes = prompts.groupBy("task", "model_name", "model_variant").count().select(F.col("count").alias("n_prompts")).distinct()
-    b, slot = F.col("b"), F.col("slot")
-    grid = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(bootstrap.N_BOOT - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n_prompts") - 1).cast("int"))))
-    return grid.select("n_prompts", "b", "slot", (((b * 7919 + slot * 104729 + b * slot * 31) % 1000003) % F.col("n_prompts")).cast("long").alias("pos"))
+def _hashed_draws(n_prompts: int):
+    """Draws by a formula that SQL has as well."""
+    b, slot = np.indices((bootstrap.N_BOOT, n_prompts))
+    yield ((b * 7919 + slot * 104729 + b * slot * 31) % 1000003) % n_prompts
 
 
 @query(_bootstrap_sql("select np, b, s, ((b * 7919 + s * 104729 + b * s * 31) % 1000003) % np as pos from (select distinct np from p) cross join range(2000) b(b) cross join lateral (select unnest(range(np)) as s)"))
 def bootstrap_ci(spark, d):
     prompts = _correlated_components(spark, d)
-    return rounded(bootstrap.comparison(prompts, _hashed_indices(spark, prompts), ["task", "model_name"]))
+    return rounded(bootstrap.comparison(prompts, _hashed_draws, ["task", "model_name"]))
 
 
 def _drawn(most: int = 5) -> str:
@@ -455,7 +461,7 @@ def _drawn(most: int = 5) -> str:
 @query(_bootstrap_sql(_drawn()))
 def bootstrap_seeded(spark, d):
     prompts = _correlated_components(spark, d)
-    return rounded(bootstrap.comparison(prompts, bootstrap.numpy_indices(spark, prompts, ["task", "model_name"]), ["task", "model_name"]))
+    return rounded(bootstrap.comparison(prompts, bootstrap.seeded_draws(), ["task", "model_name"]))
 
 
 def _plain_panel(spark: SparkSession, d: str) -> DataFrame:

@@ -182,7 +182,7 @@ def test_bootstrap_against_numpy(spark):
     rows = [("m", v, p, float(r.random()), float(10 + p), 0.5, 0.1, None, 0.2, 0.3, 8) for v in ("base", "instruct") for p in range(6)]
     schema = "model_name string, model_variant string, prompt_id int, ce_star_max double, mean_length double, mean_rate double, pearson double, spearman double, kendall double, covariance double, n int"
     frame = spark.createDataFrame(rows, schema)
-    got = {(x.metric, x.contrast): x for x in bootstrap.comparison(frame, bootstrap.index_table(spark, 6, 50), ["model_name"]).collect()}
+    got = {(x.metric, x.contrast): x for x in bootstrap.comparison(frame, bootstrap.seeded_draws(50), ["model_name"]).collect()}
     drawn = np.random.default_rng(42).integers(0, 6, (50, 6))
     base, other = np.array([x[3] for x in rows[:6]]), np.array([x[3] for x in rows[6:]])
     delta = other[drawn].mean(1) - base[drawn].mean(1)
@@ -260,6 +260,21 @@ def test_equal_values_have_no_density(spark):
     assert {r.k for r in figures.kernel_density(rows, ["k"], "v", 5, high_from=["k"]).collect()} == {"b"}
 
 
+def test_density_against_all_pairs(spark):
+    """Kernels scattered over the grid within their reach, by parts in several tasks, are the sums over all values."""
+    r = np.random.default_rng(2)
+    x = {"a": np.round(r.normal(20, 3, 900), 1), "b": np.r_[r.normal(5, 1, 50), 400.0]}
+    frame = spark.createDataFrame([(k, float(v)) for k, own in x.items() for v in own], "k string, v double").repartition(6)
+    got = {}
+    for row in figures.kernel_density(frame, ["k"], "v", 60, 0.0, []).orderBy("x").collect():
+        got.setdefault(row.k, []).append((row.x, row.density))
+    grid = np.linspace(0, 401.0, 60)
+    for k, own in x.items():
+        h = own.std(ddof=1) * len(own) ** -0.2
+        want = np.exp(-(((grid[:, None] - own) / h) ** 2) / 2).sum(1) / (len(own) * h * math.sqrt(2 * math.pi))
+        assert np.array(got[k]) == pytest.approx(np.column_stack([grid, want]), abs=1e-12)
+
+
 def test_density_integrates_to_one(spark):
     rows = spark.createDataFrame([(float(v),) for v in np.random.default_rng(0).normal(50, 5, 200)], "v double")
     got = figures.kernel_density(rows, [], "v", 400).orderBy("x").collect()
@@ -413,10 +428,36 @@ def test_stream_of_split_prompts(spark, tmp_path):
     assert got == {0: (2, 2.25), 1: (1, 5.0)}
 
 
-@pytest.mark.parametrize(("n", "n_boot"), [(1, 3), (7, 40_000), (70_000, 3)])
-def test_draws_are_those_of_one_call(spark, n, n_boot):
-    got = bootstrap.index_table(spark, n, n_boot).orderBy("b", "slot").toArrow()["pos"].to_numpy().reshape(n_boot, n)
-    assert (got == np.random.default_rng(42).integers(0, n, (n_boot, n))).all()
+@pytest.mark.parametrize(("n", "n_boot"), [(1, 3), (7, 40_000), (70_000, 99)])
+def test_draws_are_those_of_one_call(n, n_boot):
+    blocks = list(bootstrap.seeded_draws(n_boot)(n))
+    assert len(blocks) == -(-n_boot // max(1, bootstrap.DRAWN // n))
+    assert (np.concatenate(blocks) == np.random.default_rng(42).integers(0, n, (n_boot, n))).all()
+
+
+@pytest.mark.parametrize("held", [1, 1 << 17])
+def test_replicate_sums_in_parts(spark, monkeypatch, held):
+    """Running sums over parts of a group's prompts, in several tasks, are the sums over all that is drawn."""
+    r = np.random.default_rng(3)
+    x = {(g, p): r.random() for g, n in (("a", 40), ("b", 7)) for p in range(n)}
+    frame = spark.createDataFrame([(g, p, 40 if g == "a" else 7, v) for (g, p), v in x.items()], "g string, pos long, n_prompts long, v double").repartition(5)
+    monkeypatch.setattr(bootstrap, "HELD", held)
+    got = {(s.g, s.b): s.v for s in bootstrap.replicate_sums(frame, ["g"], ["v"], bootstrap.seeded_draws(60)).collect()}
+    for g, n in (("a", 40), ("b", 7)):
+        drawn = np.random.default_rng(42).integers(0, n, (60, n))
+        assert [got[g, b] for b in range(60)] == pytest.approx([sum(x[g, p] for p in row) for row in drawn.tolist()])
+
+
+@pytest.mark.parametrize("gathered", [10, 10_000])
+@pytest.mark.parametrize("kind", ["distinct", "few", "skewed", "one", "two"])
+def test_quantiles(spark, kind, gathered):
+    r = np.random.default_rng(5)
+    x = {"distinct": r.normal(size=30_000), "few": r.integers(0, 4, 5_000), "skewed": np.r_[np.zeros(20_000), r.exponential(size=3_000)], "one": np.full(3_000, 2.5), "two": np.array([1.0, 4.0])}[kind].astype(float)
+    frame = spark.createDataFrame([(float(v),) for v in x], "v double").repartition(5).cache()
+    for q in (0.0, 0.02, 0.31, 0.98, 1.0):
+        assert figures.quantile(frame, "v", q, gathered) == pytest.approx(float(np.quantile(x, q)), abs=1e-12)
+    assert figures.quantile(frame.limit(0), "v", 0.5) is None
+    frame.unpersist()
 
 
 def test_entropies_of_rows_and_arrays_agree(spark):
@@ -429,6 +470,19 @@ def test_entropies_of_rows_and_arrays_agree(spark):
     assert {g: k for g, (_, k) in long.items()} == {g: g % 5 + 1 for g in range(20)}
 
 
+def test_entropies_of_scores_of_any_size(spark):
+    """Rows agree with arrays from -1e5 to 1e5, across the borders of spans too; a step without candidates has no entropy."""
+    r = np.random.default_rng(10)
+    at = [-1e5, -1500.0, -801.0, -300.0, -299.0, 0.0, 300.0, 301.0, 799.0, 900.0, 1e5]
+    rows = [(g, float(x)) for g in range(200) for x in at[g % len(at)] + r.choice([0.0, 1.0, 3.0, -250.0], 4) * r.random(4)]
+    rows += [(300, -800.0), (300, -801.0), (301, 800.0), (301, 799.0), (302, 1e5), (302, -1e5), (303, -INF), (304, None), (305, 300.5), (305, 299.5), (305, -INF)]
+    frame = spark.createDataFrame(rows, "g int, x double")
+    long = {x.g: (x.h, x.k) for x in tree.step_entropies(frame, ["g"], "x").collect()}
+    listed = frame.where("g < 303 or g = 305").groupBy("g").agg(F.collect_list("x").alias("a")).select("g", E.step_entropy(E.normalize_scores(F.col("a"))).alias("h"))
+    assert {x.g: x.h for x in listed.collect()} == pytest.approx({g: h for g, (h, _) in long.items() if g not in (303, 304)}, abs=1e-9)
+    assert long[300][0] == pytest.approx(0.5822, abs=1e-4) and long[301] == pytest.approx(long[300]) and long[303] == long[304] == (None, 0)
+
+
 def test_spectra_of_small_and_large_groups(spark):
     r = np.random.default_rng(6)
     x = {g: r.normal(size=(n, 6)) for g, n in enumerate((1, 5, 6, 7, 90))}
