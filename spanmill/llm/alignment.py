@@ -4,9 +4,10 @@ Python tokenises, once. Everything after is Spark's higher-order functions on ar
 ``array_intersect`` gives the offsets where both tokenizers end a token, ``sequence`` the tokens of one
 that a token of the other overlaps, and ``transform`` and ``aggregate`` make groups, links and sums.
 
-Neither tokenizer has a token from what is no white space into the white space after it, so a text is
-tokenised and aligned by units: white space and what follows it. A batch of texts has each of its
-units once, and its texts as lists of their places.
+Neither tokenizer has a token from what is no white space into the white space after it, so a text's
+tokens are those of its units: white space and what follows it. Texts are cut into units first; each
+unit of the corpus is tokenised and aligned once, counted times its occurrences, and comes back to the
+batches of texts that have it.
 """
 
 from __future__ import annotations
@@ -21,13 +22,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHED_BYTES, Scratch, documents, hot_join, own_cache, sliced
+from .common import Scratch, documents, hot_join, own_cache, sliced
 from .sentencepieces import MergePrefixEncoder
 
-#: Units (of ``CACHED_BYTES`` at most) whose ids each worker remembers; others are tokenised again.
-CACHE_UNITS = 400_000
 #: Bytes of the texts of a batch, and units of a batch: a longer text is cut into parts of so many.
-BATCH_BYTES, BATCH_UNITS = 4 << 20, 1 << 20
+BATCH_BYTES, BATCH_UNITS = 16 << 20, 1 << 22
 #: Units that are tokenised at once.
 LEARN = 2048
 #: Pairs of ids with at least this share of all links are sent to all workers, so there are no more of them than its inverse.
@@ -51,11 +50,7 @@ UNLIKE = (b"", b"")
 
 
 class TwoTokenizers:
-    """Ids of a text by a byte-level BPE (A, of a space and the text) and by a sentencepiece BPE (B, which adds that space).
-
-    Neither has a token from what is no white space into the white space after it, so a text's ids are
-    those of its units (white space and what follows it) in turn, and units are remembered.
-    """
+    """Ids of a text by a byte-level BPE (A, of a space and the text) and by a sentencepiece BPE (B, which adds that space)."""
 
     def __init__(self, a_path: str, b_path: str):
         import os
@@ -74,7 +69,6 @@ class TwoTokenizers:
             self.a_bytes[i] = special[i].encode() if i in special else bytes(letters[c] for c in piece)
         self.b_bytes = rules.surface
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in table], dtype=np.int32) for table in (self.a_bytes, self.b_bytes))
-        self.units: dict[bytes, tuple[bytes, bytes]] = {}
 
     def both(self, spaced: list[bytes]) -> list[tuple[bytes, bytes]]:
         """A's and B's ids (little-endian uint32) of texts that are already preceded by their white space; UNLIKE if either's bytes aren't the text's."""
@@ -86,17 +80,6 @@ class TwoTokenizers:
             out.append((array("I", a).tobytes(), array("I", b).tobytes()) if alike else UNLIKE)
         return out
 
-    def ids(self, units: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Ids of units by both; UNLIKE for those whose bytes a tokenizer doesn't give back."""
-        found = list(map(self.units.get, units))
-        new = [u for u, ids in zip(units, found, strict=True) if ids is None]
-        if new:
-            learnt = (ids for at in range(0, len(new), LEARN) for ids in self.both(new[at : at + LEARN]))
-            found = [next(learnt) if ids is None else ids for ids in found]
-            if len(self.units) < CACHE_UNITS:
-                self.units.update((u, ids) for u, ids in zip(units, found, strict=True) if len(u) <= CACHED_BYTES)
-        return found
-
 
 def unit_starts(data: np.ndarray, starts: np.ndarray, odd: np.ndarray) -> np.ndarray:
     """Where units begin in texts that follow each other, each preceded by a space: at white space after what is none.
@@ -124,78 +107,83 @@ def tokenizers(a_path: str, b_path: str) -> TwoTokenizers:
     return _LOADED[a_path, b_path]
 
 
-_UNIT = "struct<a_ids:array<int>,a_ends:array<int>,b_ids:array<int>,b_ends:array<int>,n:bigint>"
-_DOC = "struct<doc_id:bigint,row:bigint,part:int,parts:int,n_a:bigint,n_b:bigint,units:array<int>>"
+_DOC = "struct<doc_id:bigint,row:bigint,part:int,parts:int,units:array<int>>"
 
 
 def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
-def _tokens(chunks: list[bytes], sizes: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
-    """Ids and ends of each chunk, and how many there are."""
-    counts = np.array([len(c) // 4 for c in chunks], dtype=np.int64)
-    offsets = np.concatenate([[0], np.cumsum(counts)])
-    ids = np.frombuffer(b"".join(chunks), dtype="<i4")
-    ends = np.cumsum(sizes[ids], dtype=np.int64)
-    ends -= np.repeat(np.concatenate([[0], ends])[offsets[:-1]], counts)
-    return _lists(offsets, pa.array(ids)), _lists(offsets, pa.array(ends.astype(np.int32))), counts
-
-
-def _batches(both: TwoTokenizers, doc_ids: pa.Array, rows: np.ndarray, texts: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+def _batches(tokenizers: Callable[[], TwoTokenizers], doc_ids: pa.Array, rows: np.ndarray, texts: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
     """A record batch of one row for up to ``most`` units of the texts."""
     n = len(texts)
     has = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False)
     texts, wide = texts.filter(pa.array(has)).cast(pa.large_string()), lambda x: pa.scalar(x, pa.large_string())
     spaced = pc.binary_join_element_wise(wide(" "), texts, wide(""))
     odd = pc.match_substring_regex(spaced, _OTHER_SPACE).to_numpy(zero_copy_only=False)
+    # White space that a tokenizer may not give back is rare; whole texts tell whether it does.
+    whole = np.ones(len(spaced), dtype=bool)
+    for i in np.flatnonzero(odd):
+        whole[i] = tokenizers().both([spaced[int(i)].as_py().encode()])[0] != UNLIKE
+    spaced, odd = spaced.filter(pa.array(whole)), odd[whole]
+    has[np.flatnonzero(has)[~whole]] = False
     joined = np.frombuffer(b"".join(spaced.cast(pa.large_binary()).to_pylist()), dtype=np.uint8)
     sizes = pc.binary_length(spaced).to_numpy(zero_copy_only=False)
     starts = np.concatenate([[0], np.cumsum(sizes)])[: len(sizes)].astype(np.int64)
     at = unit_starts(joined, starts, odd) if len(starts) else np.zeros(0, dtype=np.int64)
-    units = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(joined)).astype(np.int64)), pa.py_buffer(joined)]).dictionary_encode()
-    place, found = units.indices.to_numpy(), both.ids(units.dictionary.to_pylist())
-    alike = np.array([ids != UNLIKE for ids in found], dtype=bool)
-    first = np.searchsorted(at, starts)
-    whole = np.logical_and.reduceat(alike[place], first) if len(first) else np.zeros(0, dtype=bool)
-    counts = np.zeros(n, dtype=np.int64)
-    counts[np.flatnonzero(has)] = np.where(whole, np.diff(np.append(first, len(place))), 0)
-    place = place[np.repeat(whole, np.diff(np.append(first, len(place))))]
+    units = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(at, len(joined)).astype(np.int64)), pa.py_buffer(joined)]).dictionary_encode()
+    place, counts = units.indices.to_numpy(), np.zeros(n, dtype=np.int64)
+    counts[np.flatnonzero(has)] = np.diff(np.append(np.searchsorted(at, starts), len(place)))
     ends = np.cumsum(counts)
     parts = np.maximum(1, -(-ends // most) - (ends - counts) // most)
     for chunk in range(max(1, -(-len(place) // most))):
         low, high = chunk * most, min((chunk + 1) * most, len(place))
         # Texts without units go with the chunk where they would be.
         here = np.flatnonzero((ends - counts < high) & (ends > low) | (counts == 0) & (ends >= low) & ((ends < high) | (high == len(place))))
-        times = np.bincount(place[low:high], minlength=len(found))
-        used = np.flatnonzero(times)  # every unit of a batch has tokens, and so links
+        times = np.bincount(place[low:high], minlength=len(units.dictionary))
+        used = np.flatnonzero(times)
         own = (np.cumsum(times > 0) - 1)[place[low:high]]
-        kept = [found[k] for k in used.tolist()]
-        a_ids, a_ends, a_counts = _tokens([x for x, _ in kept], both.a_sizes)
-        b_ids, b_ends, b_counts = _tokens([x for _, x in kept], both.b_sizes)
-        own_counts = np.clip(ends[here], low, high) - np.clip(ends[here] - counts[here], low, high)
-        offsets = np.concatenate([[0], np.cumsum(own_counts)])
-        summed = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[own])])[offsets])
+        offsets = np.concatenate([[0], np.cumsum(np.clip(ends[here], low, high) - np.clip(ends[here] - counts[here], low, high))])
         part = np.maximum(0, chunk - (ends[here] - counts[here]) // most)
-        names = ["doc_id", "row", "part", "parts", "n_a", "n_b", "units"]
-        doc = pa.StructArray.from_arrays([doc_ids.take(pa.array(here)), pa.array(rows[here]), pa.array(part.astype(np.int32)), pa.array(parts[here].astype(np.int32)), pa.array(summed(a_counts)), pa.array(summed(b_counts)), _lists(offsets, pa.array(own.astype(np.int32)))], names)
-        unit = pa.StructArray.from_arrays([a_ids, a_ends, b_ids, b_ends, pa.array(times[used].astype(np.int64))], ["a_ids", "a_ends", "b_ids", "b_ends", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([f"{rows[0]}-{chunk}"]), _lists(np.array([0, len(here)]), doc), _lists(np.array([0, len(used)]), unit)], names=["batch", "docs", "units"])
+        doc = pa.StructArray.from_arrays([doc_ids.take(pa.array(here)), pa.array(rows[here]), pa.array(part.astype(np.int32)), pa.array(parts[here].astype(np.int32)), _lists(offsets, pa.array(own.astype(np.int32)))], ["doc_id", "row", "part", "parts", "units"])
+        unit = pa.StructArray.from_arrays([units.dictionary.take(pa.array(used)).cast(pa.string()), pa.array(times[used].astype(np.int64))], ["unit", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:1]), pa.array([chunk], pa.int32()), _lists(np.array([0, len(here)]), doc), _lists(np.array([0, len(used)]), unit)], names=["batch", "chunk", "docs", "units"])
 
 
-def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, batch_units: int = BATCH_UNITS) -> DataFrame:
-    """batch, docs, units: texts as places of their units, and the distinct units' ids and byte offsets of token ends by both tokenizers.
+def in_units(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, batch_units: int = BATCH_UNITS) -> DataFrame:
+    """batch, chunk, docs, units: batches of texts as places of their units, and the batch's distinct units with their occurrences.
 
     A text of more than ``batch_units`` units is cut into parts. ``row`` names a document's row. What has no tokens has no units.
     """
 
     def run(batches):
-        both = tokenizers(a_path, b_path)
         for batch in sliced(batches, 2, 1 << 16, batch_bytes):
-            yield from _batches(both, batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2), batch_units)
+            yield from _batches(lambda: tokenizers(a_path, b_path), batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2), batch_units)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"batch string, docs array<{_DOC}>, units array<{_UNIT}>")
+    return rows.mapInArrow(run, f"batch long, chunk int, docs array<{_DOC}>, units array<struct<unit:string,n:bigint>>")
+
+
+def tokenised(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """unit, n, a_ids, a_ends, b_ids, b_ends: ids and byte offsets of the ends of both tokenizers' tokens. A unit that a tokenizer doesn't give back is an error here: ``in_units`` leaves out the texts that have such."""
+
+    def tokens(chunks: list[bytes], sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        counts = np.array([len(c) // 4 for c in chunks], dtype=np.int64)
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.frombuffer(b"".join(chunks), dtype="<i4")
+        ends = np.cumsum(sizes[ids], dtype=np.int64)
+        ends -= np.repeat(np.concatenate([[0], ends])[offsets[:-1]], counts)
+        return _lists(offsets, pa.array(ids)), _lists(offsets, pa.array(ends.astype(np.int32)))
+
+    def run(batches):
+        both = tokenizers(a_path, b_path)
+        for batch in sliced(batches, 0, LEARN):
+            found = both.both([u.encode() for u in batch.column(0).to_pylist()])
+            if UNLIKE in found:
+                raise ValueError("a tokenizer doesn't give back a text without odd white space")
+            yield pa.RecordBatch.from_arrays([*batch.columns, *tokens([a for a, _ in found], both.a_sizes), *tokens([b for _, b in found], both.b_sizes)], names=["unit", "n", "a_ids", "a_ends", "b_ids", "b_ends"])
+
+    return units.select("unit", "n").mapInArrow(run, "unit string, n long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -245,16 +233,14 @@ def group_text(groups: Column) -> Column:
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
-    """pair, n (its links), best (no pair of its B id has more), of rows (pair, n). The counts of B's ids are as many as B has ids."""
-    counts = links.groupBy("pair").agg(F.sum("n").alias("n"))
+    """pair, n (its links), best (no pair of its B id has more), rows, of rows (pair, n). The counts of B's ids are as many as B has ids."""
+    counts = links.groupBy("pair").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     b = F.col("pair").bitwiseAND((1 << 32) - 1)
     most = counts.groupBy(b.alias("b")).agg(F.max("n").alias("most"))
-    return counts.withColumn("b", b).join(F.broadcast(most), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
+    return counts.withColumn("b", b).join(F.broadcast(most), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"), "rows")
 
 
-def total(places: Column, values: Column) -> Column:
-    """The sum of the values at these places."""
-    return F.aggregate(places, F.lit(0).cast("long"), lambda s, k: s + F.get(values, k))
+_COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, batch_bytes: int = BATCH_BYTES, batch_units: int = BATCH_UNITS) -> DataFrame:
@@ -264,42 +250,38 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     tokens: zeros and an empty digest. Rows that repeat or lack an id are documents each by themselves.
     Ids are integers; other columns are not read. An empty table gives an empty one.
 
-    A text is tokenised once and stays in its batch. Units are aligned once a batch; their links are
-    counted times their occurrences, before the shuffle. Frequent pairs are sent to all workers, so
-    that only links of rare ones travel, and what comes back to a batch is two numbers a unit.
+    A unit is counted before the shuffle, in its batch, so a word of a third of all texts is a row a
+    batch. Id pairs are counted from distinct units times their occurrences. What comes back to a batch
+    is a row for each of its distinct units.
     """
     scratch = scratch or Scratch(docs.sparkSession, "alignment")
-    tokens = tokenised(docs, a_path, b_path, id_col, text_col, batch_bytes, batch_units)
-
-    def described(u: Column) -> Column:
-        return let(aligned(u), lambda x: F.struct(group_text(x["groups"]).alias("text"), F.size(x["groups"]).alias("n_groups"), x["links"].alias("links"), u["n"].alias("n")))
-
-    def of_docs(units: Column) -> Column:
-        def of(d: Column) -> Column:
-            text = F.array_join(F.transform(d["units"], lambda k: F.get(units["text"], k)), ";")
-            digest = F.when(F.size(d["units"]) == 0, F.lit("")).when(d["parts"] == 1, F.sha2(text, 256))
-            fields = [d[c].alias(c) for c in ("doc_id", "row", "part", "parts", "n_a", "n_b", "units")]
-            return F.struct(*fields, total(d["units"], units["n_groups"]).alias("n_groups"), total(d["units"], units["n_links"]).alias("n_links"), digest.alias("digest"), F.when(d["parts"] > 1, text).alias("text"))
-
-        return F.transform("docs", of)
-
-    found = tokens.withColumn("units", F.transform("units", described))
-    by_unit = F.struct(F.col("units.text").alias("text"), F.col("units.n_groups").alias("n_groups"), F.transform("units.links", F.size).alias("n_links"))
-    found = scratch.write(found.select("batch", let(by_unit, of_docs).alias("docs"), F.transform("units", lambda u: F.struct(u["links"].alias("links"), u["n"].alias("n"))).alias("units")), "found")
-    units = found.select("batch", F.posexplode("units").alias("unit", "u")).select("batch", "unit", F.col("u.n").alias("n"), F.explode("u.links").alias("pair"))
-    pairs = scratch.write(pair_counts(units), "pairs")
-    # A pair's rows are its units in batches, of which there are no more than links.
-    weighed = hot_join(units.drop("n"), pairs.withColumnRenamed("n", "count").withColumn("n", F.col("count")), ["pair"], "n", HOT_PAIRS, 1)
-    sums = weighed.groupBy("batch", "unit").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    listed = F.array_sort(F.collect_list(F.struct("unit", "n_best", "count_sum")))
-    by_batch = scratch.write(sums.groupBy("batch").agg(listed.alias("sums")), "sums")
-    spread = found.select("batch", "docs").join(by_batch, "batch", "left")
-    weigh = lambda d, x: F.struct(*(d[c].alias(c) for c in ("doc_id", "row", "part", "parts", "n_a", "n_b", "n_groups", "n_links", "digest", "text")), total(d["units"], x["n_best"]).alias("n_best"), total(d["units"], x["count_sum"]).alias("count_sum"))
-    out = spread.select(F.inline(let(F.struct(F.col("sums.n_best").alias("n_best"), F.col("sums.count_sum").alias("count_sum")), lambda x: F.transform("docs", lambda d: weigh(d, x)))))
-    counts = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    whole = out.where("parts = 1").select("doc_id", *counts, "digest")
+    split = scratch.write(in_units(docs, a_path, b_path, id_col, text_col, batch_bytes, batch_units), "split")
+    units = split.select(F.inline("units")).groupBy("unit").agg(F.sum("n").alias("n"))
+    found = tokenised(units, a_path, b_path).withColumn("x", aligned(F.struct("a_ids", "a_ends", "b_ids", "b_ends")))
+    size = lambda c, name: F.size(c).alias(name)
+    found = scratch.write(found.select("unit", F.monotonically_increasing_id().alias("id"), "n", size("a_ids", "n_a"), size("b_ids", "n_b"), size("x.groups", "n_groups"), size("x.links", "n_links"), group_text(F.col("x.groups")).alias("text"), F.col("x.links").alias("links")), "units")
+    links = found.select("id", "n", F.explode("links").alias("pair"))
+    pairs = scratch.write(pair_counts(links), "pairs")
+    weighed = hot_join(links.select("id", "pair"), pairs, ["pair"], "rows", HOT_PAIRS)
+    sums = weighed.groupBy("id").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("n").alias("count_sum"))
+    of_unit = found.drop("n", "links").join(sums, "id").drop("id")
+    held = F.struct("place", "text", *_COUNTS)
+    placed = split.select("batch", "chunk", F.posexplode("units").alias("place", "u")).select("batch", "chunk", "place", F.col("u.unit").alias("unit"))
+    by_batch = placed.join(of_unit, "unit").groupBy("batch", "chunk").agg(F.sort_array(F.collect_list(held)).alias("units"))
+    spread = split.select("batch", "chunk", "docs").join(by_batch, ["batch", "chunk"], "left")
+
+    def of_doc(d: Column) -> Column:
+        at = lambda k, c: F.get(F.col("units"), k)[c]
+        none = F.struct(*(F.lit(0).cast("long").alias(c) for c in _COUNTS))
+        sums = F.aggregate(d["units"], none, lambda s, k: F.struct(*((s[c] + at(k, c)).alias(c) for c in _COUNTS)))
+        text = F.array_join(F.transform(d["units"], lambda k: at(k, "text")), ";")
+        digest = F.when(F.size(d["units"]) == 0, F.lit("")).when(d["parts"] == 1, F.sha2(text, 256))
+        return F.struct(*(d[c].alias(c) for c in ("doc_id", "row", "part", "parts")), sums.alias("sums"), digest.alias("digest"), F.when(d["parts"] > 1, text).alias("text"))
+
+    out = spread.select(F.inline(F.transform("docs", of_doc))).select("doc_id", "row", "part", "parts", "sums.*", "digest", "text")
+    whole = out.where("parts = 1").select("doc_id", *_COUNTS, "digest")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"])
-    cut = out.where("parts > 1").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(n).alias(n) for n in counts), F.sha2(F.array_join(in_order, ";"), 256).alias("digest"))
+    cut = out.where("parts > 1").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in _COUNTS), F.sha2(F.array_join(in_order, ";"), 256).alias("digest"))
     return whole.unionByName(cut.drop("row")).withColumnRenamed("digest", "groups_sha256")
 
 
