@@ -29,6 +29,8 @@ from .sentencepieces import MergePrefixEncoder
 BATCH_BYTES, BATCH_UNITS = 16 << 20, 1 << 22
 #: Units that are tokenised at once.
 LEARN = 2048
+#: Units that so large a share of all batches' rows have, and no more of them than this, are sent to all batches in one array.
+HOT_UNITS = 1 << 18
 #: Pairs of ids with at least this share of all links are sent to all workers, so there are no more of them than its inverse.
 HOT_PAIRS = 1 << 18
 
@@ -165,7 +167,7 @@ def in_units(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
 
 
 def tokenised(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """unit, n, a_ids, a_ends, b_ids, b_ends: ids and byte offsets of the ends of both tokenizers' tokens. A unit that a tokenizer doesn't give back is an error here: ``in_units`` leaves out the texts that have such."""
+    """unit, n, batches, a_ids, a_ends, b_ids, b_ends: ids and byte offsets of the ends of both tokenizers' tokens. A unit that a tokenizer doesn't give back is an error here: ``in_units`` leaves out the texts that have such."""
 
     def tokens(chunks: list[bytes], sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
         counts = np.array([len(c) // 4 for c in chunks], dtype=np.int64)
@@ -181,9 +183,9 @@ def tokenised(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
             found = both.both([u.encode() for u in batch.column(0).to_pylist()])
             if UNLIKE in found:
                 raise ValueError("a tokenizer doesn't give back a text without odd white space")
-            yield pa.RecordBatch.from_arrays([*batch.columns, *tokens([a for a, _ in found], both.a_sizes), *tokens([b for _, b in found], both.b_sizes)], names=["unit", "n", "a_ids", "a_ends", "b_ids", "b_ends"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *tokens([a for a, _ in found], both.a_sizes), *tokens([b for _, b in found], both.b_sizes)], names=["unit", "n", "batches", "a_ids", "a_ends", "b_ids", "b_ends"])
 
-    return units.select("unit", "n").mapInArrow(run, "unit string, n long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    return units.select("unit", "n", "batches").mapInArrow(run, "unit string, n long, batches long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -252,26 +254,35 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
 
     A unit is counted before the shuffle, in its batch, so a word of a third of all texts is a row a
     batch. Id pairs are counted from distinct units times their occurrences. What comes back to a batch
-    is a row for each of its distinct units.
+    is a row for each of its distinct units; of those that many batches have, a place in one array.
     """
     scratch = scratch or Scratch(docs.sparkSession, "alignment")
     split = scratch.write(in_units(docs, a_path, b_path, id_col, text_col, batch_bytes, batch_units), "split")
-    units = split.select(F.inline("units")).groupBy("unit").agg(F.sum("n").alias("n"))
+    units = split.select(F.inline("units")).groupBy("unit").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("batches"))
     found = tokenised(units, a_path, b_path).withColumn("x", aligned(F.struct("a_ids", "a_ends", "b_ids", "b_ends")))
     size = lambda c, name: F.size(c).alias(name)
-    found = scratch.write(found.select("unit", F.monotonically_increasing_id().alias("id"), "n", size("a_ids", "n_a"), size("b_ids", "n_b"), size("x.groups", "n_groups"), size("x.links", "n_links"), group_text(F.col("x.groups")).alias("text"), F.col("x.links").alias("links")), "units")
-    links = found.select("id", "n", F.explode("links").alias("pair"))
+    found = scratch.write(found.select("unit", "n", "batches", size("a_ids", "n_a"), size("b_ids", "n_b"), size("x.groups", "n_groups"), size("x.links", "n_links"), group_text(F.col("x.groups")).alias("text"), F.col("x.links").alias("links")), "units")
+    links = found.select("unit", "n", F.explode("links").alias("pair"))
     pairs = scratch.write(pair_counts(links), "pairs")
-    weighed = hot_join(links.select("id", "pair"), pairs, ["pair"], "rows", HOT_PAIRS)
-    sums = weighed.groupBy("id").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("n").alias("count_sum"))
-    of_unit = found.drop("n", "links").join(sums, "id").drop("id")
-    held = F.struct("place", "text", *_COUNTS)
+    weighed = hot_join(links.select("unit", "pair"), pairs, ["pair"], "rows", HOT_PAIRS)
+    sums = weighed.groupBy("unit").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("n").alias("count_sum"))
+    of_unit = scratch.write(found.drop("n", "links").join(sums, "unit"), "of_unit")
+    # Units that many batches have are one array, which all batches get; a batch's own array names their places in it.
+    hot = F.col("batches") >= max(2, -(-(of_unit.agg(F.sum("batches")).first()[0] or 0) // HOT_UNITS))
+    frequent = scratch.write(of_unit.where(hot).agg(F.sort_array(F.collect_list(F.struct("unit", "text", *_COUNTS))).alias("frequent")), "frequent")
+    named = frequent.select(F.posexplode("frequent").alias("shared", "u")).select("shared", F.col("u.unit").alias("unit"))
     placed = split.select("batch", "chunk", F.posexplode("units").alias("place", "u")).select("batch", "chunk", "place", F.col("u.unit").alias("unit"))
-    by_batch = placed.join(of_unit, "unit").groupBy("batch", "chunk").agg(F.sort_array(F.collect_list(held)).alias("units"))
-    spread = split.select("batch", "chunk", "docs").join(by_batch, ["batch", "chunk"], "left")
+    fields = ["place", "shared", "text", *_COUNTS]
+    of_unit = of_unit.where(~hot).select("unit", F.lit(None).cast("int").alias("shared"), "text", *_COUNTS)
+    none = [F.lit(None).cast(of_unit.schema[c].dataType).alias(c) for c in fields[2:]]
+    many = placed.join(F.broadcast(named), "unit").select("batch", "chunk", "place", "shared", *none)
+    few = placed.join(F.broadcast(named), "unit", "left_anti").join(of_unit, "unit").select("batch", "chunk", *fields)
+    by_batch = many.unionByName(few).groupBy("batch", "chunk").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("units"))
+    spread = split.select("batch", "chunk", "docs").join(by_batch, ["batch", "chunk"], "left").join(F.broadcast(frequent))  # one row
 
     def of_doc(d: Column) -> Column:
-        at = lambda k, c: F.get(F.col("units"), k)[c]
+        own = lambda k: F.get(F.col("units"), k)
+        at = lambda k, c: F.coalesce(own(k)[c], F.get(F.col("frequent"), own(k)["shared"])[c])
         none = F.struct(*(F.lit(0).cast("long").alias(c) for c in _COUNTS))
         sums = F.aggregate(d["units"], none, lambda s, k: F.struct(*((s[c] + at(k, c)).alias(c) for c in _COUNTS)))
         text = F.array_join(F.transform(d["units"], lambda k: at(k, "text")), ";")
