@@ -169,7 +169,15 @@ def quantile(rows: DataFrame, value: str, q: float, gathered: int = GATHERED) ->
     return x + (y - x) * (rank - low)
 
 
+def quantiles(rows: DataFrame, value: str, qs: list[float], gathered: int = GATHERED) -> list[float | None]:
+    """Several exact quantiles; few rows are gathered once for all."""
+    if rows.limit(gathered + 1).count() > gathered:
+        return [quantile(rows, value, q, gathered) for q in qs]
+    x = np.array([r[0] for r in rows.select(F.col(value).cast("double")).collect()])
+    return [float(np.quantile(x, q)) if len(x) else None for q in qs]
+
+
 def colour_limits(cells: DataFrame, value: str = "value", low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Exact quantiles of the finite values, in one row; the values are written once and never meet in a task."""
     finite = results.cut(cells.where(F.abs(value) < float("inf")).select(F.col(value).cast("double").alias("v")))
-    return cells.sparkSession.createDataFrame([(quantile(finite, "v", low), quantile(finite, "v", high))], "low double, high double")
+    return cells.sparkSession.createDataFrame([tuple(quantiles(finite, "v", [low, high]))], "low double, high double")

@@ -510,20 +510,20 @@ def _beta_terms(spark: SparkSession, found: beta.BetaFit) -> DataFrame:
 
 @query()
 def beta_interaction(spark, d):
-    return _beta_terms(spark, beta.beta_interaction(panel.z_scored(_panel(spark, d))))
+    return _beta_terms(spark, beta.beta_interaction(panel.z_scored(_panel(spark, d)), task="AFRICA"))
 
 
 @query()
 def beta_vendi(spark, d):
-    return _beta_terms(spark, beta.beta_interaction(panel.z_scored(_panel(spark, d)), "VS01", dispersion_df=4, spline_by_variant=True))
+    return _beta_terms(spark, beta.beta_interaction(panel.z_scored(_panel(spark, d)), "VS01", dispersion_df=4, task="AFRICA", spline_by_variant=True))
 
 
 @query()
 def beta_residuals(spark, d):
     """Simulated residuals of the beta model over the panel."""
     rows = results.cut(panel.z_scored(_plain_panel(spark, d)))
-    found = beta.beta_interaction(rows)
-    return spark.createDataFrame(sorted(beta.residual_tests(found, found.observed).items()), "name string, value double")
+    found = beta.beta_interaction(rows, task="AFRICA")
+    return spark.createDataFrame(sorted(beta.residual_tests(found).items()), "name string, value double")
 
 
 # Artifacts and results
