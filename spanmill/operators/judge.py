@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,11 +15,42 @@ JUDGED = 24
 MAX_FAILURE_RATE = 0.05
 
 
-def subsample(rollouts: DataFrame, size: int = JUDGED, seed: int = 42, keys: list[str] = PROMPT, order: Column | None = None) -> DataFrame:
-    """The rollouts of each prompt that are judged, with ``pos`` from 1 on. All if there are no more than ``size``; a seeded hash chooses without replacement."""
-    chance = F.xxhash64(F.lit(seed) + F.col("prompt_id"), "rollout_idx") if order is None else order
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(chance, "rollout_idx"))
-    return rollouts.withColumn("pos", place).where(F.col("pos") <= size)
+def drawn(n: int, size: int, seed: int) -> list[int]:
+    """The first ``size`` places of a permutation of n by the 32-bit Mersenne generator seeded with an integer, sorted: the
+    place i is swapped with one of those from i on, the next output modulo how many these are. All of n if they are no more."""
+    if n <= size:
+        return list(range(n))
+    raw = np.random.RandomState(seed % (1 << 32))._bit_generator.random_raw(size)
+    moved: dict[int, int] = {}  # what stands in a place that has been swapped
+    out = []
+    for i, x in enumerate(raw.tolist()):
+        j = i + x % (n - i)
+        out.append(moved.get(j, j))
+        moved[j] = moved.get(i, i)
+    return sorted(out)
+
+
+def subsample(rollouts: DataFrame, size: int = JUDGED, seed: int = 42, keys: list[str] = PROMPT, order: Column | None = None, prompt: str = "prompt_id") -> DataFrame:
+    """The rollouts of each prompt that are judged, with ``pos`` from 1 on in the order of rollout_idx. All if there are no more than ``size``.
+
+    A prompt's draw (``drawn``) is seeded by ``seed`` plus its number, ``prompt``; one without a number draws as 0. With ``order``
+    the first rollouts in that order are taken, and numbered in it.
+    """
+    if order is not None:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "rollout_idx"))
+        return rollouts.withColumn("pos", place).where(F.col("pos") <= size)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rollouts.select(*keys).schema)
+
+    def run(batches):
+        for batch in batches:
+            places = [drawn(n, size, seed + (number or 0)) for n, number in zip(batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(places, pa.list_(pa.int32()))], names=[*batch.schema.names[:-2], "places"])
+
+    # A prompt is one of its keys' rows, however many rollouts it has: prompts are counted before they draw.
+    counts = rollouts.groupBy(*keys).agg(F.first(F.col(prompt).cast("long")).alias("__number"), F.count(F.lit(1)).alias("__n"))
+    chosen = counts.mapInArrow(run, f"{kinds}, places array<int>").select(*keys, F.posexplode("places").alias("pos", "__place"))
+    place = (F.row_number().over(Window.partitionBy(*keys).orderBy("rollout_idx")) - 1).alias("__place")
+    return rollouts.select("*", place).join(chosen, [*keys, "__place"]).select(*rollouts.columns, (F.col("pos") + 1).cast("int").alias("pos"))
 
 
 def forward_pairs(nodes: DataFrame, keys: list[str] = PROMPT) -> DataFrame:

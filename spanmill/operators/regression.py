@@ -119,6 +119,17 @@ def solve(stats: list[tuple[int, int, np.ndarray, np.ndarray]], names: list[str]
     return Fit({n: Coefficient(float(b), float(e)) for n, b, e in zip(names, beta, errors, strict=True)}, sigma2, theta, log_likelihood, n_obs, n_groups)
 
 
+#: Columns that every regression over a panel needs, beside its response.
+PANEL = ("N_bar", "R_bar", "model_name", "model_variant", "prompt_uid", "task")
+
+
+def require_columns(panel: DataFrame, y: str) -> None:
+    """All missing columns are named in one error, before any work."""
+    missing = sorted({y, *PANEL} - set(panel.columns))
+    if missing:
+        raise ValueError(f"the panel lacks {missing}")
+
+
 def fit(rows: DataFrame, y: str, design: dict[str, Column], group: str = "prompt_uid", reml: bool = True) -> Fit:
     missing = {y, group} - set(rows.columns)
     if missing:
@@ -146,6 +157,7 @@ def main_design(panel: DataFrame) -> dict[str, Column]:
 
 def main_regression(panel: DataFrame, y: str = "D") -> Fit:
     """y on rate, length, task and the product of model and variant, with an intercept for each prompt (REML)."""
+    require_columns(panel, y)
     panel = cut(panel)  # read for its levels, then for its sums
     return fit(panel, y, main_design(panel))
 
@@ -160,6 +172,7 @@ def interaction_design(panel: DataFrame, tuned: str = "instruct", base: str = "b
 
 def interaction_regression(panel: DataFrame, y: str = "D", tuned: str = "instruct", base: str = "base") -> Fit:
     """y on the product of rate and variant, length, task and model (REML). ``extra`` names beta (rate), tau (variant), eta (their product) and gamma (length)."""
+    require_columns(panel, y)
     panel = cut(panel)
     out = fit(panel, y, interaction_design(panel, tuned, base))
     v = f"model_variant[{tuned}]"
@@ -176,13 +189,24 @@ def quadratic_designs(panel: DataFrame, tuned: str = "instruct", base: str = "ba
 
 
 def quadratic_robustness(panel: DataFrame, y: str = "D", tuned: str = "instruct", base: str = "base") -> dict[str, float]:
-    """Does a quadratic rate change the picture? Both models by maximum likelihood over the centred rate; the ratio test has two degrees of freedom, whose tail is exp(-x / 2)."""
-    centred, design, square = quadratic_designs(cut(panel), tuned, base)
+    """Does a quadratic rate change the picture? Both models by maximum likelihood over the centred rate; the ratio test has two degrees of freedom, whose tail is exp(-x / 2).
+
+    beta (rate), eta (rate by variant) of both models, q and k (their squares) of the quadratic one, each with its error, p value and interval; deltas of beta and eta; the centre; counts.
+    """
+    require_columns(panel, y)
+    panel = cut(panel)
+    (mean,) = panel.agg(F.avg("R_bar")).first()
+    centred, design, square = quadratic_designs(panel, tuned, base)
     v = f"model_variant[{tuned}]"
     line, curve = fit(centred, y, design, reml=False), fit(centred, y, design | square, reml=False)
-    statistic = max(0.0, 2 * (curve.log_likelihood - line.log_likelihood))
-    out = {"lrt": statistic, "pvalue": math.exp(-statistic / 2), "log_likelihood_linear": line.log_likelihood, "log_likelihood_quadratic": curve.log_likelihood}
-    for name, term in (("beta", "R_bar"), ("eta", f"R_bar:{v}")):
-        a, b = line.terms[term], curve.terms[term]
-        out |= {f"{name}_linear": a.estimate, f"{name}_quadratic": b.estimate, f"delta_{name}": b.estimate - a.estimate, f"{name}_within_one_se": float(abs(b.estimate - a.estimate) <= a.stderr)}
+    statistic = 2 * (curve.log_likelihood - line.log_likelihood)
+    out = {"lrt": statistic, "lrt_df": 2.0, "pvalue": math.exp(-max(0.0, statistic) / 2), "log_likelihood_linear": line.log_likelihood, "log_likelihood_quadratic": curve.log_likelihood}
+    out |= {"r_bar_mean": mean, "n_obs": float(line.n_obs), "n_prompts": float(line.n_groups)}
+    terms = [("linear", line, "beta", "R_bar"), ("linear", line, "eta", f"R_bar:{v}"), ("quadratic", curve, "beta", "R_bar"), ("quadratic", curve, "eta", f"R_bar:{v}"), ("quadratic", curve, "q", "R_bar^2"), ("quadratic", curve, "k", f"R_bar^2:{v}")]
+    for model, found, name, term in terms:
+        c = found.terms[term]
+        out |= {f"{name}_{model}": c.estimate, f"{name}_{model}_stderr": c.stderr, f"{name}_{model}_pvalue": c.pvalue, f"{name}_{model}_ci_low": c.interval[0], f"{name}_{model}_ci_high": c.interval[1]}
+    for name in ("beta", "eta"):
+        delta = out[f"{name}_quadratic"] - out[f"{name}_linear"]
+        out |= {f"delta_{name}": delta, f"{name}_within_one_se": float(abs(delta) <= out[f"{name}_linear_stderr"])}
     return out

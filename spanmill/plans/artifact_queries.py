@@ -249,10 +249,20 @@ def failure_gate(spark, d):
     return judge.require_few_failures(judged, ["prompt_id"], 1.0).groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n")).withColumn("strict", F.lit(strict))
 
 
-@query("select label as prompt_id, least(24, count(*))::bigint as n, least(24, count(*))::int as last, least(24, count(*))::bigint as rollouts from embeddings group by label")
+def _outputs(prompts: int = 10, size: int = judge.JUDGED, seed: int = 42) -> str:
+    """The Mersenne generator's first outputs for each prompt's seed: an input table of the SQL."""
+    rows = ", ".join(f"({k}, {i}, {x})" for k in range(prompts) for i, x in enumerate(np.random.RandomState(seed + k)._bit_generator.random_raw(size).tolist()))
+    return f"select * from (values {rows}) t(prompt_id, i, x)"
+
+
+@query(f"""select * from (with recursive raw as ({_outputs()}), own as (select label as prompt_id, vec_id, row_number() over (partition by label order by vec_id) - 1 as place, count(*) over (partition by label) as n from embeddings),
+ p as (select prompt_id, max(n) as n, 0 as i, range(max(n)) as r from own group by prompt_id union all
+  select p.prompt_id, p.n, p.i + 1, list_transform(p.r, lambda v, k: case when k - 1 = p.i then p.r[p.i + 1 + raw.x % (p.n - p.i)] when k - 1 = p.i + raw.x % (p.n - p.i) then p.r[p.i + 1] else v end) from p join raw using (prompt_id, i) where p.n > {judge.JUDGED})
+ select own.prompt_id, own.vec_id as rollout_idx, row_number() over (partition by own.prompt_id order by own.vec_id)::int as pos from own join p on p.prompt_id = own.prompt_id
+  and (p.n <= {judge.JUDGED} and p.i = 0 or p.i = {judge.JUDGED} and list_contains(p.r[1:{judge.JUDGED}], own.place)))""")
 def judge_subsample(spark, d):
-    drawn = judge.subsample(fx.labelled(spark, d), keys=["prompt_id"])
-    return drawn.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last"), F.count_distinct("rollout_idx").alias("rollouts"))
+    """Which rollouts are drawn."""
+    return judge.subsample(fx.labelled(spark, d), keys=["prompt_id"]).select("prompt_id", "rollout_idx", "pos")
 
 
 _CLEAN = rf"regexp_replace(regexp_replace(regexp_replace(text, '[{E.WHITE_SPACE}]+\z', ''), '```\z', ''), '[{E.WHITE_SPACE}]+\z', '')".replace(r"\x{85}\x{A0}", r"\x{0085}\x{00A0}")
@@ -275,15 +285,16 @@ def loaded_templates(spark, d):
     return spark.createDataFrame([(t, prompts.load_template(spark, folder, t)) for t in tasks], "task string, template string")
 
 
-@query("select 'the panel lacks [''D'']' as message")
+@query("select 'the panel lacks [' || string_agg(chr(39) || name || chr(39), ', ' order by name) || ']' as message, max(n) as rows from (select unnest(['D', 'N_bar', 'task']) as name, n from (select count(*) as n from fx_prompt))")
 def required_columns(spark, d):
-    rows = tree.prompt_metrics(fx.rollouts(spark, d)).select(F.col("mean_rate").alias("R_bar"), panel.prompt_uid().alias("prompt_uid"))
+    """A panel of all prompts that lacks three columns, named in the error."""
+    rows = tree.prompt_metrics(fx.rollouts(spark, d)).select("model_name", "model_variant", F.col("mean_rate").alias("R_bar"), panel.prompt_uid().alias("prompt_uid"))
     try:
-        regression.fit(rows, "D", {"Intercept": F.lit(1.0)})
+        regression.main_regression(rows)
         message = ""
     except ValueError as error:
         message = str(error)
-    return spark.createDataFrame([(message,)], "message string")
+    return rows.agg(F.lit(message).alias("message"), F.count(F.lit(1)).alias("rows"))
 
 
 @query("select n_nationkey::int as prompt_id, i::int as rollout_idx, n_name || '-' || i as text, length(n_name || '-' || i)::double as size, i = 1 as ends, (length(n_name) % 3)::double as reward from nation cross join range(3) t(i)")
@@ -331,8 +342,8 @@ class _Judge:
  select prompt_id, r::int as r, c::int as c, heard and alike as is_similar, case when heard then 'ok' else 'request_failed' end as status from w where r < c or (heard and alike))""")
 def judgment_matrix(spark, d):
     """All pairs once, and those found similar the other way round, by a judge that fails now and then."""
-    nodes = fx.nodes(spark, d).select("prompt_id", "pos", F.col("rollout_idx").cast("string").alias("text"))
-    found = external.judgment_matrix(nodes, "Compare {response_a} {response_b}", _Judge, ["prompt_id"], retries=2, wait=0.0)
+    nodes = fx.nodes(spark, d).select("prompt_id", "pos", F.col("rollout_idx").cast("string").alias("text"), F.concat(F.lit("Name "), F.col("prompt_id").cast("string")).alias("task_prompt"))
+    found = external.judgment_matrix(nodes, "For {task_prompt} compare {response_a} {response_b}", _Judge, ["prompt_id"], retries=2, wait=0.0)
     return found.select("prompt_id", "r", "c", "is_similar", "status")
 
 

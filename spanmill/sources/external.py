@@ -76,19 +76,24 @@ def judged(pairs: DataFrame, judge: Callable[[], Ask], prompt: str = "prompt", c
 def judgment_matrix(nodes: DataFrame, template: str, judge_client: Callable[[], Ask], keys: list[str] = PROMPT, text: str = "text", concurrency: int = 64, retries: int = 5, wait: float = 1.0) -> DataFrame:
     """keys, r, c, text, is_similar, status: every pair r < c of the judged rollouts (keys, pos, text), and the other way round those that were found similar.
 
-    What is asked is written before it is used again, so no request is made twice. ``template`` has
-    {response_a} and {response_b}, and {task_prompt} if the nodes have that column.
+    What is asked is written before it is used again, so no request is made twice. ``template`` has to
+    have {task_prompt}, {response_a} and {response_b}, and the nodes a column task_prompt.
     """
-    own = nodes.select(*keys, "pos", F.col(text).alias("response"), *(c for c in ("task_prompt",) if c in nodes.columns))
+    missing = [p for p in ("{task_prompt}", "{response_a}", "{response_b}") if p not in template]
+    if missing:
+        raise ValueError(f"the template lacks {missing}")
+    if "task_prompt" not in nodes.columns:
+        raise ValueError("the nodes lack task_prompt, which the template asks for")
+    own = nodes.select(*keys, "pos", F.col(text).alias("response"), "task_prompt")
     both = judge.forward_pairs(own, keys)
-    response = {"response_a": F.col("response_r"), "response_b": F.col("response_c")} | ({"task_prompt": F.col("task_prompt_r")} if "task_prompt" in nodes.columns else {})
+    response = {"response_a": F.col("response_r"), "response_b": F.col("response_c"), "task_prompt": F.col("task_prompt_r")}
 
     def asked(pairs: DataFrame) -> DataFrame:
         replies = judged(pairs.select(*keys, "r", "c", E.filled(template, response).alias("prompt")), judge_client, "prompt", concurrency, retries, wait)
         return results.cut(judge.judgments(replies).select(*keys, "r", "c", "text", "is_similar", "status"))
 
     forward = asked(both)
-    turned = both.select(*keys, F.col("c").alias("r"), F.col("r").alias("c"), F.col("response_c").alias("response_r"), F.col("response_r").alias("response_c"), *(c for c in ("task_prompt_r",) if c in both.columns))
+    turned = both.select(*keys, F.col("c").alias("r"), F.col("r").alias("c"), F.col("response_c").alias("response_r"), F.col("response_r").alias("response_c"), "task_prompt_r")
     reverse = asked(turned.join(judge.reverse_pairs(forward, keys), [*keys, "r", "c"], "left_semi"))
     return forward.unionByName(reverse)
 

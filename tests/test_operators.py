@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from spanmill.functions import expr as E
 from spanmill.operators import beta, bootstrap, correlation, figures, filtering, judge, panel, regression, semantic, tree
 from spanmill.sources import artifacts, external, prompts, results
-from spanmill.streaming.prompt_stats import stream_prompt_stats
+from spanmill.schemas import ROLLOUTS
+from spanmill.streaming.prompt_stats import compact, current, stream_prompt_stats
 
 INF = float("inf")
 
@@ -166,7 +167,31 @@ def test_subsample(spark):
     rows = spark.createDataFrame([(p, i) for p in range(3) for i in range(40 if p else 5)], "prompt_id int, rollout_idx int")
     got = judge.subsample(rows, 10, keys=["prompt_id"]).collect()
     assert sorted(np.bincount([r.prompt_id for r in got])) == [5, 10, 10]
-    assert [r.rollout_idx for r in got] == [r.rollout_idx for r in judge.subsample(rows, 10, keys=["prompt_id"]).collect()]
+    by = {}
+    for r in got:
+        by.setdefault(r.prompt_id, []).append((r.pos, r.rollout_idx))
+    for p, own in by.items():
+        assert [k for k, _ in sorted(own)] == list(range(1, len(own) + 1)) and [i for _, i in sorted(own)] == judge.drawn(40 if p else 5, 10, 42 + p)
+
+
+def test_draws_of_the_mersenne_generator():
+    """The generator is the published one (its outputs for the seed 5489), and a draw is the head of the swapped permutation."""
+    raw = np.random.RandomState(5489)._bit_generator.random_raw(10_000)
+    assert raw[0] == 3499211612 and raw[-1] == 4123659995
+    for n, size, seed in ((100, 24, 42), (30, 24, 7), (25, 24, 0), (10, 24, 3), (1000, 5, 2**32 + 9)):
+        order, outputs = list(range(n)), np.random.RandomState(seed % 2**32)._bit_generator.random_raw(n).tolist()
+        for i in range(n - 1):
+            j = i + outputs[i] % (n - i)
+            order[i], order[j] = order[j], order[i]
+        assert judge.drawn(n, size, seed) == (sorted(order[:size]) if n > size else list(range(n)))
+
+
+def test_templates_need_their_places(spark):
+    nodes = spark.createDataFrame([(0, 1, "a"), (0, 2, "b")], "prompt_id int, pos int, text string")
+    with pytest.raises(ValueError, match="template lacks"):
+        external.judgment_matrix(nodes, "{response_a} {response_b}", None, ["prompt_id"])
+    with pytest.raises(ValueError, match="nodes lack task_prompt"):
+        external.judgment_matrix(nodes, "{task_prompt} {response_a} {response_b}", None, ["prompt_id"])
 
 
 def test_failures_stop_the_write(spark):
@@ -476,10 +501,11 @@ def test_stream(spark, tmp_path):
     flat = lambda ids: rollout_rows(spark, ids).coalesce(1).write.mode("append").parquet(source)
     flat([0, 1])
     stream_prompt_stats(spark, source, out, state).awaitTermination()
-    assert spark.read.parquet(out).count() == 2
+    assert current(spark, out).count() == 2
     flat([1, 2])
     stream_prompt_stats(spark, source, out, state).awaitTermination()
-    got = {r.prompt_id: r for r in spark.read.parquet(out).collect()}
+    compact(spark, out, str(tmp_path / "compact"))
+    got = {r.prompt_id: r for r in spark.read.parquet(str(tmp_path / "compact")).collect()}
     assert set(got) == {0, 1, 2} and got[1].m == 2 and got[1].ce_star_max == 1.5
 
 
@@ -490,10 +516,32 @@ def test_stream_of_split_prompts(spark, tmp_path):
     for part in (rows.where("rollout_idx = 0"), rows.where("rollout_idx = 1 and prompt_id = 0").withColumn("step_entropy", F.array(F.lit(3.0)).cast("array<float>")), rows.where("rollout_idx = 0 and prompt_id = 1").withColumn("step_entropy", F.array(F.lit(5.0)).cast("array<float>"))):
         part.coalesce(1).write.mode("append").parquet(source)
         stream_prompt_stats(spark, source, out, state).awaitTermination()
-    got = {r.prompt_id: (r.m, r.ce_star_max) for r in spark.read.parquet(out).collect()}
+    got = {r.prompt_id: (r.m, r.ce_star_max) for r in current(spark, out).collect()}
     assert got == {0: (2, 2.25), 1: (1, 5.0)}
 
 
+def test_stream_works_on_what_comes(spark, tmp_path):
+    """Over many batches, each reads and updates no more than it has; the metrics are those of the last rollouts in one batch."""
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    r, last = np.random.default_rng(4), {}
+    for k in range(12):
+        for p, i in {(int(r.integers(3)), int(r.integers(6))) for _ in range(4)}:
+            last[p, i] = (k, [float(x) for x in r.random(int(r.integers(1, 8)))])
+        own = [(p, i, steps) for (p, i), (at, steps) in last.items() if at == k]
+        frame = spark.createDataFrame(own, "prompt_id int, rollout_idx int, step_entropy array<float>").withColumns({**{c: F.lit("x") for c in ("model_name", "task", "model_variant", "run_name", "text")}, "token_ids": F.array(F.lit(1).cast("long")), "seq_len": F.size("step_entropy").cast("long"), "step_logprobs": F.lit(None).cast("array<array<float>>")})
+        frame.select(*(c.split()[0] for c in ROLLOUTS.split(", "))).coalesce(1).write.mode("append").parquet(source)
+    query = stream_prompt_stats(spark, source, out, state, max_new_tokens=5, max_files=1)
+    query.awaitTermination()
+    progress = [x for x in query.recentProgress if x["numInputRows"]]
+    assert len(progress) == 12 and all(x["numInputRows"] <= 4 and x["stateOperators"][0]["numRowsUpdated"] <= 8 for x in progress)
+    rows = spark.createDataFrame([(p, i, steps) for (p, i), (_, steps) in last.items()], "prompt_id int, rollout_idx int, step_entropy array<float>")
+    want = {x.prompt_id: x for x in tree.prompt_metrics(tree.rollout_entropies(rows), ["prompt_id"], 5).collect()}
+    got = {x.prompt_id: x for x in current(spark, out).collect()}
+    assert set(got) == set(want)
+    for p, x in want.items():
+        assert all(got[p][c] == pytest.approx(x[c], rel=1e-6) for c in x.asDict())
+
+
 @pytest.mark.parametrize(("n", "n_boot"), [(1, 3), (7, 40_000), (70_000, 99)])
 def test_draws_are_those_of_one_call(n, n_boot):
     blocks = list(bootstrap.seeded_draws(n_boot)(n))
@@ -579,15 +627,15 @@ def test_judge_client(spark):
                 raise TimeoutError("busy")
             return ("Response: similar", "stop") if "b" not in prompt else ("", "length")
 
-    rows = spark.createDataFrame([(0, 1, "a1"), (0, 2, "a2"), (0, 3, "b3")], "prompt_id int, pos int, text string")
-    found = external.judgment_matrix(rows, "{response_a}|{response_b}", Client, ["prompt_id"], retries=2, wait=0.0)
+    rows = spark.createDataFrame([(0, 1, "a1"), (0, 2, "a2"), (0, 3, "b3")], "prompt_id int, pos int, text string").withColumn("task_prompt", F.lit("t"))
+    found = external.judgment_matrix(rows, "{task_prompt}: {response_a}|{response_b}", Client, ["prompt_id"], retries=2, wait=0.0)
     assert {(x.r, x.c): (x.is_similar, x.status) for x in found.collect()} == {(1, 2): (True, "ok"), (2, 1): (True, "ok"), (1, 3): (False, "truncated"), (2, 3): (False, "truncated")}
-    short = external.judgment_matrix(rows, "{response_a}|{response_b}", Client, ["prompt_id"], retries=1, wait=0.0).collect()
+    short = external.judgment_matrix(rows, "{task_prompt}: {response_a}|{response_b}", Client, ["prompt_id"], retries=1, wait=0.0).collect()
     assert {x.status for x in short} == {"request_failed"} and all("busy" in x.text for x in short)
     with pytest.raises(TimeoutError):
         external.require_ready(Client)
     with pytest.raises(ValueError, match="response_b"):
-        external.judgment_matrix(rows, "{response_a}", Client, ["prompt_id"])
+        external.judgment_matrix(rows, "{task_prompt} {response_a}", Client, ["prompt_id"])
 
 
 def test_eos_modes(spark, tmp_path):
