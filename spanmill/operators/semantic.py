@@ -132,3 +132,8 @@ def vendi_entropy(rows: DataFrame, keys: list[str] = PROMPT, embedding: str = "e
 def renyi2_entropy(rows: DataFrame, keys: list[str] = PROMPT, embedding: str = "embedding") -> DataFrame:
     """m and renyi2_entropy: minus the log of the kernel's squared Frobenius norm, a lower bound of the Vendi entropy."""
     return _spectral(rows, keys, embedding, "renyi2_entropy", collision_entropy)
+
+
+def spectral_moment(rows: DataFrame, power: int, keys: list[str] = PROMPT, embedding: str = "embedding") -> DataFrame:
+    """m and moment of each group: the sum of the power of its kernel's eigenvalues, the trace of the kernel's power."""
+    return _spectral(rows, keys, embedding, "moment", lambda gram, n: float((np.linalg.eigvalsh(gram / n) ** power).sum()))

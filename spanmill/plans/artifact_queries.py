@@ -322,6 +322,21 @@ def model_hooks(spark, d):
     return found.select("prompt_id", "rollout_idx", "text", F.col("embedding")[0].alias("size"), (F.col("embedding")[1] == 1).alias("ends"), "reward")
 
 
+@query("select doc_id, length(text)::bigint as seen, true as fits from documents")
+def length_batches(spark, d):
+    """Every document through a hook in batches of like length; a batch and its padding stay within the budget, and all padding within a tenth of the tokens."""
+    tokens = 1 << 13
+
+    def score(batches):
+        for batch in batches:
+            n = batch["text"].str.len()
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "seen": n, "padded": n.max(), "fits": len(batch) == 1 or len(batch) * n.max() <= tokens})
+
+    found = results.cut(external.rewarded(fx.table(spark, d, "documents").select("doc_id", "text"), score, "doc_id long, seen long, padded long, fits boolean", F.length("text"), tokens))
+    little = found.agg((F.sum("padded") - F.sum("seen") <= 0.1 * F.sum("padded")).alias("little"))  # one row
+    return found.join(F.broadcast(little)).select("doc_id", "seen", (F.col("fits") & F.col("little")).alias("fits"))
+
+
 class _Judge:
     """Stands for a judge: alike if both responses end in the same digit; every fifth request fails at first, some for good."""
 

@@ -240,6 +240,20 @@ def vendi_renyi2(spark, d):
     return rounded(semantic.renyi2_entropy(fx.labelled(spark, d), ["prompt_id"]))
 
 
+_MOMENTS = """(with x as (select label as prompt_id, vec_id, unnest(embedding::double[]) as x, unnest(range(len(embedding))) as i from embeddings),
+ g as (select a.prompt_id, a.i, b.i as j, sum(a.x * b.x) / max(n.n) as g, max(n.n) as m from x a join x b using (prompt_id, vec_id) join (select label as prompt_id, count(*) as n from embeddings group by label) n using (prompt_id) group by all),
+ g2 as (select a.prompt_id, a.i, b.j, sum(a.g * b.g) as g from g a join g b on a.prompt_id = b.prompt_id and a.j = b.i group by all)
+ select prompt_id, max(g.m) as m, sum(g.g * g.g) as p2, sum(g2.g * g.g) as p3, sum(g2.g * g2.g) as p4 from g join g2 using (prompt_id, i, j) group by prompt_id)"""
+
+
+@query(f"select prompt_id, m, {R('p2', 'p2')}, {R('p3', 'p3')}, {R('p4', 'p4')} from {_MOMENTS}")
+def vendi_moments(spark, d):
+    """The spectra of kernels of real embeddings, held by the traces of the kernels' powers."""
+    rows = fx.labelled(spark, d)
+    found = [semantic.spectral_moment(rows, p, ["prompt_id"]).withColumnRenamed("moment", f"p{p}") for p in (2, 3, 4)]
+    return rounded(found[0].join(found[1].drop("m"), "prompt_id").join(found[2].drop("m"), "prompt_id"))
+
+
 @query(f"select label as prompt_id, vec_id as rollout_idx, {R('sqrt(list_sum(list_transform(e, lambda x: x * x)))', 'norm')}, {R('e[1] / greatest(sqrt(list_sum(list_transform(e, lambda x: x * x))), 1e-12)', 'first')} from (select label, vec_id, list_transform(embedding::double[], lambda x: 3 * x) as e from embeddings)")
 def l2_normalize(spark, d):
     tripled = F.transform("embedding", lambda x: 3 * x.cast("double"))

@@ -9,7 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
@@ -29,12 +29,51 @@ def generated(prompts: DataFrame, generator: Batches, schema: str) -> DataFrame:
     return prompts.mapInPandas(generator, schema)
 
 
-def embedded(rollouts: DataFrame, encoder: Batches, schema: str) -> DataFrame:
-    return rollouts.mapInPandas(encoder, schema)
+#: Tokens of a batch, padding included, unless a hook is told otherwise.
+TOKENS = 1 << 16
 
 
-def rewarded(rollouts: DataFrame, scorer: Batches, schema: str) -> DataFrame:
-    return rollouts.mapInPandas(scorer, schema)
+def by_length(rows: DataFrame, hook: Batches, schema: str, length: Column, tokens: int = TOKENS) -> DataFrame:
+    """A hook over batches of rows of like length: as many rows as fit into ``tokens`` when all are padded to the longest, one at least.
+
+    Rows are dealt by ranges of length over all tasks, those of one length by their places in the scan, and
+    sorted within a task; a batch ends where the next row would not fit. What the hook returns has to
+    carry its rows' keys, as rows come back in another order.
+    """
+    dealt = rows.withColumns({"__length": F.coalesce(length.cast("long"), F.lit(0)), "__place": F.monotonically_increasing_id()})
+    dealt = dealt.repartitionByRange("__length", "__place").sortWithinPartitions("__length").drop("__place")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def filled() -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []
+            n = 0
+            for batch in batches:
+                lengths, start = batch["__length"].to_numpy(), 0
+                for i, own in enumerate(lengths.tolist()):
+                    if n and (n + 1) * own > tokens:
+                        if i > start:
+                            held.append(batch.iloc[start:i])
+                        yield pd.concat(held, ignore_index=True).drop(columns="__length")
+                        held, n, start = [], 0, i
+                    n += 1
+                if start < len(batch):
+                    held.append(batch.iloc[start:])
+            if held:
+                yield pd.concat(held, ignore_index=True).drop(columns="__length")
+
+        return hook(filled())
+
+    return dealt.mapInPandas(run, schema)
+
+
+def embedded(rollouts: DataFrame, encoder: Batches, schema: str, length: Column | None = None, tokens: int = TOKENS) -> DataFrame:
+    """With ``length`` the encoder gets batches of like length (``by_length``)."""
+    return rollouts.mapInPandas(encoder, schema) if length is None else by_length(rollouts, encoder, schema, length, tokens)
+
+
+def rewarded(rollouts: DataFrame, scorer: Batches, schema: str, length: Column | None = None, tokens: int = TOKENS) -> DataFrame:
+    """With ``length`` the scorer gets batches of like length (``by_length``)."""
+    return rollouts.mapInPandas(scorer, schema) if length is None else by_length(rollouts, scorer, schema, length, tokens)
 
 
 def _asked(ask: Ask, prompt: str, retries: int, wait: float) -> tuple[str, str | None, bool]:

@@ -638,6 +638,29 @@ def test_judge_client(spark):
         external.judgment_matrix(rows, "{task_prompt} {response_a}", Client, ["prompt_id"])
 
 
+@pytest.mark.parametrize("tokens", [1, 50, 10_000])
+def test_batches_of_like_length(spark, tokens):
+    """One row out for each in; a batch holds as many rows as fit when padded, whatever Arrow batches they came in."""
+    r = np.random.default_rng(6)
+    sizes = [0, *(int(x) for x in r.integers(1, 30, 300)), *[7] * 200]
+    rows = spark.createDataFrame([(i, "x" * n if n else None) for i, n in enumerate(sizes)], "id long, text string").repartition(7)
+
+    def hook(batches):
+        for k, batch in enumerate(batches):
+            n = batch["text"].fillna("").str.len()
+            yield batch[["id"]].assign(rows=len(batch), longest=n.max(), own=n)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = external.by_length(rows, hook, "id long, rows long, longest long, own long", F.length("text"), tokens).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(x.id for x in got) == list(range(len(sizes))) and all(x.own == sizes[x.id] for x in got)
+    assert all(x.rows == 1 or x.rows * x.longest <= tokens for x in got)
+    if tokens == 50:
+        assert sum(x.longest - x.own for x in got) < 0.2 * sum(sizes) and max(x.rows for x in got) > 5
+
+
 def test_eos_modes(spark, tmp_path):
     from spanmill.plans import compute
 
