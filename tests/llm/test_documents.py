@@ -240,6 +240,33 @@ def test_chunk_oddities(spark, module):
     assert module.deduplicate(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("window", "least"), [(64, 0.7), (256, 0.9)])
+def test_substrings_recall(spark, sf_dir, texts, window, least):
+    """Held against an oracle without chunks: bytes within a window that an earlier text has, or the text itself before.
+    Most of them go, and a text without a repeated window of the shortest run that goes stays as it is."""
+    own = substrings.MIN_RUN
+    got = {r.doc_id: r for r in queries()["op2_substring_dedup"](spark, sf_dir).collect()}
+    due = left = 0
+    seen: dict[int, set[int]] = {window: set(), own: set()}
+    for k, text in sorted((k, t.encode()) for k, t in texts.items()):
+        covered = {}
+        for n in {window, own}:
+            marks = np.zeros(len(text) + 1, dtype=np.int64)
+            first: dict[int, int] = {}
+            for i in range(len(text) - n + 1):
+                h = hash(text[i : i + n])
+                if h in seen[n] or first.setdefault(h, i) + n <= i:
+                    marks[i] += 1
+                    marks[i + n] -= 1
+            seen[n] |= first.keys()
+            covered[n] = int((np.cumsum(marks)[:-1] > 0).sum())
+        gone = len(text) - len(got[k].text.encode())
+        assert gone == got[k].n_removed_bytes <= covered[own]
+        due += covered[window]
+        left += max(0, covered[window] - gone)
+    assert due > 50_000 and left <= (1 - least) * due
+
+
 def test_substrings_find_shifted_passages(spark):
     r = random.Random(5)
     words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(n))
