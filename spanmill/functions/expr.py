@@ -91,17 +91,26 @@ def top_k(a: Column, k: int) -> Column:
     return let(a, lambda v: let(bound(v), lambda least: F.transform(v, lambda x: F.when(x >= least, x).otherwise(float("-inf")))))
 
 
-def top_p(a: Column, p: float) -> Column:
-    """Scores go out once the probability of those before them, largest first, exceeds p; the first stays. Ties go by position."""
+def top_p(a: Column, p: float, shares: Column | None = None) -> Column:
+    """Scores go out once the probability of those before them, largest first, exceeds p; the first stays. Ties go by position.
+
+    ``shares`` are the probabilities themselves, where they are known by other means than the scores, their logarithms: by way
+    of ln and exp they are off in the last digits, which decide where a sum comes to p itself. Those of scores that are out count as 0.
+    """
     if p >= 1:
         return a
     start = F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("n"))
 
     def places(order: Column) -> Column:
-        kept = F.aggregate(order, start, lambda s, x: F.struct((s["mass"] + F.exp(-x["neg"])).alias("mass"), (s["n"] + F.when((s["mass"] <= p) | (s["n"] == 0), 1).otherwise(0)).alias("n")))["n"]
+        kept = F.aggregate(order, start, lambda s, x: F.struct((s["mass"] + x["share"]).alias("mass"), (s["n"] + F.when((s["mass"] <= p) | (s["n"] == 0), 1).otherwise(0)).alias("n")))["n"]
         return F.transform(F.slice(order, 1, kept), lambda x: x["i"])
 
-    ordered = lambda v: F.array_sort(F.transform(normalize_scores(v), lambda x, i: F.struct((-x).alias("neg"), i.alias("i"))))
+    def ordered(v: Column) -> Column:
+        if shares is None:
+            return F.array_sort(F.transform(normalize_scores(v), lambda x, i: F.struct((-x).alias("neg"), i.alias("i"), F.exp(x).alias("share"))))
+        own = F.zip_with(v, shares, lambda x, q: F.when((x > float("-inf")) & q.isNotNull(), q.cast("double")).otherwise(0.0))
+        return F.array_sort(F.transform(own, lambda q, i: F.struct((-q).alias("neg"), i.alias("i"), q.alias("share"))))
+
     return let(a, lambda v: let(let(ordered(v), places), lambda own: F.transform(v, lambda x, i: F.when(F.array_contains(own, i), x).otherwise(float("-inf")))))
 
 

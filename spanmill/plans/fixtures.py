@@ -24,6 +24,17 @@ def candidates(spark: SparkSession, sf_dir: str, score=None) -> DataFrame:
     return listed.select("orderkey", F.transform("lines", lambda s: s["l_linenumber"]).alias("numbers"), F.transform("lines", lambda s: s["x"]).alias("scores"))
 
 
+def shared_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with each line's share of its order's price: divided, not by way of logarithms, and summed in the order of the table's rows."""
+    lines = table(spark, sf_dir, "lineitem")
+    own = F.struct("l_linenumber", F.col("l_extendedprice").alias("x"), F.col("_metadata.row_index").alias("row"))
+    listed = lines.groupBy(F.col("l_orderkey").alias("orderkey")).agg(F.array_sort(F.collect_list(own)).alias("lines"))
+    in_rows = F.array_sort(F.transform("lines", lambda s: F.struct(s["row"].alias("row"), s["l_linenumber"].alias("line"), s["x"].alias("x"))))
+    total = F.aggregate(in_rows, F.lit(0.0), lambda t, s: t + F.coalesce(s["x"], F.lit(0.0)))
+    shares = E.let(total, lambda t: F.transform("lines", lambda s: E.ratio(s["x"], t)))
+    return listed.select("orderkey", F.transform("lines", lambda s: s["l_linenumber"]).alias("numbers"), F.transform("lines", lambda s: F.ln(s["x"])).alias("scores"), shares.alias("shares"))
+
+
 def _placed(orders: DataFrame, entropy: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
