@@ -1,17 +1,18 @@
 """Alignment of two tokenizers' tokens over the bytes of a text.
 
-Python tokenises, once. Everything after is Spark's higher-order functions on arrays of token ends:
+Python tokenises, once. Units are aligned by Spark's higher-order functions on arrays of token ends:
 ``array_intersect`` gives the offsets where both tokenizers end a token, ``sequence`` the tokens of one
-that a token of the other overlaps, and ``transform`` and ``aggregate`` make groups, links and sums.
+that a token of the other overlaps, and ``transform`` makes groups and links.
 
 Neither tokenizer has a token from what is no white space into the white space after it, so a text's
 tokens are those of its units: white space and what follows it. Texts are cut into units first; each
 unit of the corpus is tokenised and aligned once, counted times its occurrences, and comes back to the
-batches of texts that have it.
+batches of texts that have it, where each text's sums and digest are taken from its units'.
 """
 
 from __future__ import annotations
 
+import hashlib
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -26,11 +27,9 @@ from .common import Scratch, documents, hot_join, own_cache, sliced
 from .sentencepieces import MergePrefixEncoder
 
 #: Bytes of the texts of a batch, and units of a batch: a longer text is cut into parts of so many.
-BATCH_BYTES, BATCH_UNITS = 16 << 20, 1 << 22
+BATCH_BYTES, BATCH_UNITS = 8 << 20, 1 << 22
 #: Units that are tokenised at once.
 LEARN = 2048
-#: Units that so large a share of all batches' rows have, and no more of them than this, are sent to all batches in one array.
-HOT_UNITS = 1 << 18
 #: Pairs of ids with at least this share of all links are sent to all workers, so there are no more of them than its inverse.
 HOT_PAIRS = 1 << 18
 
@@ -109,15 +108,22 @@ def tokenizers(a_path: str, b_path: str) -> TwoTokenizers:
     return _LOADED[a_path, b_path]
 
 
-_DOC = "struct<doc_id:bigint,row:bigint,part:int,parts:int,units:array<int>>"
+#: A text's places of its units, or a unit of the batch at its place: rows of either kind, the other's columns null.
+_SPLIT = "batch long, chunk int, doc_id long, row long, part int, parts int, places array<int>, place int, unit string, n long"
 
 
 def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
+def _split(batch: int, chunk: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
+    kinds = {"doc_id": pa.int64(), "row": pa.int64(), "part": pa.int32(), "parts": pa.int32(), "places": pa.list_(pa.int32()), "place": pa.int32(), "unit": pa.string(), "n": pa.int64()}
+    same = {"batch": pa.array(np.full(size, batch, dtype=np.int64)), "chunk": pa.array(np.full(size, chunk, dtype=np.int32))}
+    return pa.RecordBatch.from_pydict(same | {c: columns[c] if c in columns else pa.nulls(size, kind) for c, kind in kinds.items()})
+
+
 def _batches(tokenizers: Callable[[], TwoTokenizers], doc_ids: pa.Array, rows: np.ndarray, texts: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
-    """A record batch of one row for up to ``most`` units of the texts."""
+    """For up to ``most`` units of the texts at a time, record batches of the texts' parts and of the distinct units."""
     n = len(texts)
     has = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False)
     texts, wide = texts.filter(pa.array(has)).cast(pa.large_string()), lambda x: pa.scalar(x, pa.large_string())
@@ -147,13 +153,15 @@ def _batches(tokenizers: Callable[[], TwoTokenizers], doc_ids: pa.Array, rows: n
         own = (np.cumsum(times > 0) - 1)[place[low:high]]
         offsets = np.concatenate([[0], np.cumsum(np.clip(ends[here], low, high) - np.clip(ends[here] - counts[here], low, high))])
         part = np.maximum(0, chunk - (ends[here] - counts[here]) // most)
-        doc = pa.StructArray.from_arrays([doc_ids.take(pa.array(here)), pa.array(rows[here]), pa.array(part.astype(np.int32)), pa.array(parts[here].astype(np.int32)), _lists(offsets, pa.array(own.astype(np.int32)))], ["doc_id", "row", "part", "parts", "units"])
-        unit = pa.StructArray.from_arrays([units.dictionary.take(pa.array(used)).cast(pa.string()), pa.array(times[used].astype(np.int64))], ["unit", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:1]), pa.array([chunk], pa.int32()), _lists(np.array([0, len(here)]), doc), _lists(np.array([0, len(used)]), unit)], names=["batch", "chunk", "docs", "units"])
+        yield _split(rows[0], chunk, len(here), doc_id=doc_ids.take(pa.array(here)), row=pa.array(rows[here]), part=pa.array(part.astype(np.int32)), parts=pa.array(parts[here].astype(np.int32)), places=_lists(offsets, pa.array(own.astype(np.int32))))
+        for at_once in range(0, len(used), 1 << 14):
+            some = used[at_once : at_once + (1 << 14)]
+            place_of = np.arange(at_once, at_once + len(some), dtype=np.int32)
+            yield _split(rows[0], chunk, len(some), place=pa.array(place_of), unit=units.dictionary.take(pa.array(some)).cast(pa.string()), n=pa.array(times[some].astype(np.int64)))
 
 
 def in_units(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, batch_units: int = BATCH_UNITS) -> DataFrame:
-    """batch, chunk, docs, units: batches of texts as places of their units, and the batch's distinct units with their occurrences.
+    """Rows of batches: texts as places of their units (doc_id, row, part, parts, places), and the batch's distinct units with their occurrences (place, unit, n).
 
     A text of more than ``batch_units`` units is cut into parts. ``row`` names a document's row. What has no tokens has no units.
     """
@@ -163,11 +171,11 @@ def in_units(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
             yield from _batches(lambda: tokenizers(a_path, b_path), batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2), batch_units)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"batch long, chunk int, docs array<{_DOC}>, units array<struct<unit:string,n:bigint>>")
+    return rows.mapInArrow(run, _SPLIT)
 
 
 def tokenised(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """unit, n, batches, a_ids, a_ends, b_ids, b_ends: ids and byte offsets of the ends of both tokenizers' tokens. A unit that a tokenizer doesn't give back is an error here: ``in_units`` leaves out the texts that have such."""
+    """unit, n, a_ids, a_ends, b_ids, b_ends: ids and byte offsets of the ends of both tokenizers' tokens. A unit that a tokenizer doesn't give back is an error here: ``in_units`` leaves out the texts that have such."""
 
     def tokens(chunks: list[bytes], sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
         counts = np.array([len(c) // 4 for c in chunks], dtype=np.int64)
@@ -183,9 +191,9 @@ def tokenised(units: DataFrame, a_path: str, b_path: str) -> DataFrame:
             found = both.both([u.encode() for u in batch.column(0).to_pylist()])
             if UNLIKE in found:
                 raise ValueError("a tokenizer doesn't give back a text without odd white space")
-            yield pa.RecordBatch.from_arrays([*batch.columns, *tokens([a for a, _ in found], both.a_sizes), *tokens([b for _, b in found], both.b_sizes)], names=["unit", "n", "batches", "a_ids", "a_ends", "b_ids", "b_ends"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *tokens([a for a, _ in found], both.a_sizes), *tokens([b for _, b in found], both.b_sizes)], names=["unit", "n", "a_ids", "a_ends", "b_ids", "b_ends"])
 
-    return units.select("unit", "n", "batches").mapInArrow(run, "unit string, n long, batches long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    return units.select("unit", "n").mapInArrow(run, "unit string, n long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -245,6 +253,27 @@ def pair_counts(links: DataFrame) -> DataFrame:
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
+def _gathered(texts: pa.Table, units: pa.Table) -> pa.Table:
+    """A batch's texts with the sums over their units, and the digest of their units' groups (of a part: the groups themselves)."""
+    places = texts["places"].combine_chunks()
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(places).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    own, order = places.flatten(), np.argsort(units["place"].to_numpy())
+    sums = {}
+    for c in _COUNTS:
+        run = np.concatenate([[0], np.cumsum(units[c].to_numpy()[order][own.to_numpy()])])
+        sums[c] = pa.array((run[bounds[1:]] - run[bounds[:-1]]).astype(np.int64))
+    groups = pc.binary_join_element_wise(units["text"].combine_chunks().cast(pa.large_string()).take(pa.array(order)), pa.scalar(";", pa.large_string()), pa.scalar("", pa.large_string()))
+    said = groups.take(own) if len(own) else pa.array([], pa.large_string())
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(said).to_numpy(zero_copy_only=False))]).astype(np.int64)[bounds]
+    data = memoryview(said.buffers()[2] or b"")
+    digests, kept = [], []
+    for start, end, parts in zip(ends[:-1].tolist(), ends[1:].tolist(), texts["parts"].to_pylist(), strict=True):
+        one = data[start : end - 1] if end > start else None
+        digests.append(("" if one is None else hashlib.sha256(one).hexdigest()) if parts == 1 else None)
+        kept.append(bytes(one).decode() if parts > 1 and one is not None else None)
+    return pa.table({c: texts[c] for c in ("doc_id", "row", "part", "parts")} | sums | {"digest": pa.array(digests, pa.string()), "text": pa.array(kept, pa.string())})
+
+
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, batch_bytes: int = BATCH_BYTES, batch_units: int = BATCH_UNITS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for every row of ``docs``.
 
@@ -254,42 +283,23 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
 
     A unit is counted before the shuffle, in its batch, so a word of a third of all texts is a row a
     batch. Id pairs are counted from distinct units times their occurrences. What comes back to a batch
-    is a row for each of its distinct units; of those that many batches have, a place in one array.
+    is a row for each of its distinct units, and no row or group is larger than what a batch has.
     """
     scratch = scratch or Scratch(docs.sparkSession, "alignment")
     split = scratch.write(in_units(docs, a_path, b_path, id_col, text_col, batch_bytes, batch_units), "split")
-    units = split.select(F.inline("units")).groupBy("unit").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("batches"))
-    found = tokenised(units, a_path, b_path).withColumn("x", aligned(F.struct("a_ids", "a_ends", "b_ids", "b_ends")))
-    size = lambda c, name: F.size(c).alias(name)
-    found = scratch.write(found.select("unit", "n", "batches", size("a_ids", "n_a"), size("b_ids", "n_b"), size("x.groups", "n_groups"), size("x.links", "n_links"), group_text(F.col("x.groups")).alias("text"), F.col("x.links").alias("links")), "units")
+    of_batch = split.where("unit is not null").select("batch", "chunk", "place", "unit", "n")
+    found = tokenised(of_batch.groupBy("unit").agg(F.sum("n").alias("n")), a_path, b_path).withColumn("x", aligned(F.struct("a_ids", "a_ends", "b_ids", "b_ends")))
+    size = lambda c, name: F.size(c).cast("long").alias(name)
+    found = scratch.write(found.select("unit", "n", size("a_ids", "n_a"), size("b_ids", "n_b"), size("x.groups", "n_groups"), size("x.links", "n_links"), group_text(F.col("x.groups")).alias("text"), F.col("x.links").alias("links")), "units")
     links = found.select("unit", "n", F.explode("links").alias("pair"))
     pairs = scratch.write(pair_counts(links), "pairs")
     weighed = hot_join(links.select("unit", "pair"), pairs, ["pair"], "rows", HOT_PAIRS)
     sums = weighed.groupBy("unit").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("n").alias("count_sum"))
-    of_unit = scratch.write(found.drop("n", "links").join(sums, "unit"), "of_unit")
-    # Units that many batches have are one array, which all batches get; a batch's own array names their places in it.
-    hot = F.col("batches") >= max(2, -(-(of_unit.agg(F.sum("batches")).first()[0] or 0) // HOT_UNITS))
-    frequent = scratch.write(of_unit.where(hot).agg(F.sort_array(F.collect_list(F.struct("unit", "text", *_COUNTS))).alias("frequent")), "frequent")
-    named = frequent.select(F.posexplode("frequent").alias("shared", "u")).select("shared", F.col("u.unit").alias("unit"))
-    placed = split.select("batch", "chunk", F.posexplode("units").alias("place", "u")).select("batch", "chunk", "place", F.col("u.unit").alias("unit"))
-    fields = ["place", "shared", "text", *_COUNTS]
-    of_unit = of_unit.where(~hot).select("unit", F.lit(None).cast("int").alias("shared"), "text", *_COUNTS)
-    none = [F.lit(None).cast(of_unit.schema[c].dataType).alias(c) for c in fields[2:]]
-    many = placed.join(F.broadcast(named), "unit").select("batch", "chunk", "place", "shared", *none)
-    few = placed.join(F.broadcast(named), "unit", "left_anti").join(of_unit, "unit").select("batch", "chunk", *fields)
-    by_batch = many.unionByName(few).groupBy("batch", "chunk").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("units"))
-    spread = split.select("batch", "chunk", "docs").join(by_batch, ["batch", "chunk"], "left").join(F.broadcast(frequent))  # one row
-
-    def of_doc(d: Column) -> Column:
-        own = lambda k: F.get(F.col("units"), k)
-        at = lambda k, c: F.coalesce(own(k)[c], F.get(F.col("frequent"), own(k)["shared"])[c])
-        none = F.struct(*(F.lit(0).cast("long").alias(c) for c in _COUNTS))
-        sums = F.aggregate(d["units"], none, lambda s, k: F.struct(*((s[c] + at(k, c)).alias(c) for c in _COUNTS)))
-        text = F.array_join(F.transform(d["units"], lambda k: at(k, "text")), ";")
-        digest = F.when(F.size(d["units"]) == 0, F.lit("")).when(d["parts"] == 1, F.sha2(text, 256))
-        return F.struct(*(d[c].alias(c) for c in ("doc_id", "row", "part", "parts")), sums.alias("sums"), digest.alias("digest"), F.when(d["parts"] > 1, text).alias("text"))
-
-    out = spread.select(F.inline(F.transform("docs", of_doc))).select("doc_id", "row", "part", "parts", "sums.*", "digest", "text")
+    of_unit = found.drop("n", "links").join(sums, "unit")
+    back = of_batch.drop("n").join(of_unit, "unit").select("batch", "chunk", "place", "text", *_COUNTS)
+    texts = split.where("row is not null").select(F.col("batch").alias("b"), F.col("chunk").alias("c"), "doc_id", "row", "part", "parts", "places")
+    kinds = f"doc_id long, row long, part int, parts int, {', '.join(f'{c} long' for c in _COUNTS)}, digest string, text string"
+    out = scratch.write(texts.groupBy("b", "c").cogroup(back.groupBy("batch", "chunk")).applyInArrow(_gathered, kinds), "gathered")
     whole = out.where("parts = 1").select("doc_id", *_COUNTS, "digest")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"])
     cut = out.where("parts > 1").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in _COUNTS), F.sha2(F.array_join(in_order, ";"), 256).alias("digest"))

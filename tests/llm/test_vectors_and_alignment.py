@@ -246,3 +246,14 @@ def test_alignment_of_odd_documents(spark):
     got = alignment.align(odd_documents(spark), BYTE, PIECE).collect()
     assert Counter(tuple(g) for g in got) == Counter((r.doc_id, *w) for r, w in zip(rows, brute_alignment([r.text for r in rows]), strict=True))
     assert alignment.align(empty(spark), BYTE, PIECE).count() == 0
+
+
+def test_alignment_splits_into_rows_of_a_text_or_a_unit(spark):
+    """What a task hands to Spark has no row the size of a batch: a row is one text's places or one unit."""
+    texts = [f"{w} und {w} oder {k}" for k, w in enumerate(["eins", "zwei", "drei"] * 100)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    split = alignment.in_units(frame, BYTE, PIECE).cache()
+    assert [len(r.places) for r in split.where("row is not null").collect()] == [5] * 300
+    units = {r.unit: r.n for r in split.where("unit is not null").collect()}
+    assert units == Counter(f" {w}" for t in texts for w in t.split())
+    split.unpersist()
