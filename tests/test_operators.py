@@ -409,6 +409,27 @@ def test_large_prompt_files_are_numbered_in_order(spark, tmp_path):
     assert got == {i: json.loads(x)["prompt"].rstrip() for i, x in enumerate(x for x in lines if x.strip())}
 
 
+def test_prompt_files_in_parts(spark, tmp_path):
+    """What Spark writes in parts is one file: numbered through, under the folder's name."""
+    path, values = str(tmp_path / "math.jsonl"), [json.dumps({"prompt": f"p{k}"}) + "\n  \n" * (k % 3 == 0) for k in range(200)]
+    spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, value string").repartitionByRange(7, "k").sortWithinPartitions("k").select("value").write.text(path)
+    assert len(list((tmp_path / "math.jsonl").glob("part-*"))) > 3
+    got = prompts.load_prompts(spark, path).collect()
+    assert sorted((r.task, r.prompt_id, r.prompt) for r in got) == sorted(("math", k, f"p{k}") for k in range(200))
+
+
+def test_large_prompt_tables_are_written_in_parts(spark, sf_dir, monkeypatch):
+    from spanmill.plans import artifact_queries
+
+    seen, load = [], prompts.load_prompts
+    monkeypatch.setattr(artifact_queries, "_PART_BYTES", 1 << 15)
+    monkeypatch.setattr(artifact_queries.prompts, "load_prompts", lambda spark, path, n: seen.append(path) or load(spark, path, n))
+    want = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").orderBy("doc_id").select("text").collect()]
+    assert artifact_queries.loaded_prompts(spark, sf_dir).count() == min(150, len(want))
+    assert spark.read.text(seen[0]).select("_metadata.file_path").distinct().count() > 5
+    assert load(spark, seen[0]).count() == len(want)
+
+
 def test_runs_are_appended(spark, tmp_path):
     store = artifacts.Store(spark, str(tmp_path))
     other = RUN | {"task": "u"}
