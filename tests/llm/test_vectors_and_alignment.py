@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +259,49 @@ def test_alignment_splits_into_rows_of_a_text_or_a_unit(spark):
     units = {r.unit: r.n for r in split.where("unit is not null").collect()}
     assert units == Counter(f" {w}" for t in texts for w in t.split())
     split.unpersist()
+
+
+def test_alignment_shuffles_little(spark):
+    """A unit's text is shuffled once, what goes back to a batch is packed: 1.4 times the texts' bytes here, with a row for each unit and batch 2.3 times."""
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(4000)]
+    texts = [" ".join(words[int(4000 * r.random() ** 3)] for _ in range(300)) for _ in range(600)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+    before = shuffled()
+    assert len(alignment.align(frame, BYTE, PIECE, batch_bytes=1 << 16).collect()) == 600
+    sent = sum(n for stage, n in shuffled().items() if stage not in before)
+    assert 0 < sent < 1.8 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("block_bytes", [1, 500, 1 << 20])
+def test_alignment_blocks(monkeypatch, block_bytes):
+    """However units are cut into blocks, each batch gets its own back: long texts, many homes, large counts."""
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", block_bytes)
+    r, want, units, place = random.Random(3), defaultdict(list), [], Counter()
+    for k in range(200):
+        text, counts = "7|8;" * r.choice([1, 3, 400]) + f"{k}|1", [r.choice([1, 127, 128, 1 << 40, (1 << 63) - 1]) for _ in alignment._COUNTS]
+        homes = r.sample(range(40), r.choice([1, 2, 40]))
+        units.append(([(b << 42 | 5 << alignment.PLACE_BITS) + place[b] for b in homes], text, *counts))
+        for b in homes:
+            place[b] += 1
+            want[b].append((text, *counts))
+    schema = pa.schema({"homes": pa.list_(pa.int64()), "text": pa.string()} | dict.fromkeys(alignment._COUNTS, pa.int64()))
+    rows = pa.RecordBatch.from_pylist([dict(zip(schema.names, u, strict=True)) for u in r.sample(units, len(units))], schema)
+    blocks = pa.Table.from_batches(list(alignment._blocks([rows.slice(0, 70), rows.slice(70, 0), rows.slice(70)])))
+    assert set(blocks["home"].to_pylist()) == {b << 42 | 5 << alignment.PLACE_BITS for b in want}
+    for b, own in want.items():
+        counts, texts = alignment._from_blocks(blocks.filter(pc.equal(blocks["home"], b << 42 | 5 << alignment.PLACE_BITS)))
+        assert list(zip(texts.to_pylist(), *(counts[c].tolist() for c in alignment._COUNTS), strict=True)) == own
+
+
+def test_numbers_of_varying_length():
+    values = np.array([0, 1, 127, 128, 16383, 16384, 1 << 35, (1 << 63) - 1, 5], dtype=np.int64)
+    data, ends = alignment.varints(values)
+    assert alignment.from_varints(data).tolist() == values.tolist()
+    assert ends.tolist() == [1, 2, 3, 5, 7, 10, 16, 25, 26]
+    assert alignment.from_varints(alignment.varints(values[:0])[0]).tolist() == []
